@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, sharding
+from . import decontaminate, mixing, quality, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_sharding": sharding.op4_sharding,
+        "op7_simhash": simhash.op7_simhash,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
         "op10_mixing": mixing.op10_mixing,
     }
 
