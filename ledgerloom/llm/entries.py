@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, sharding, simhash
+from . import decontaminate, linededup, mixing, quality, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": linededup.op1_line_dedup,
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_sharding": sharding.op4_sharding,
         "op7_simhash": simhash.op7_simhash,
@@ -20,4 +21,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.OP4_SQL}
+    return {"op1_line_dedup": linededup.OP1_SQL, "op4_sharding": sharding.OP4_SQL}
