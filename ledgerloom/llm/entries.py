@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, mixing, quality, sharding, simhash
+from . import decontaminate, html_extract, linededup, mixing, quality, sharding, simhash, surrogates
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": linededup.op1_line_dedup,
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_sharding": sharding.op4_sharding,
+        "op5_html_text": html_extract.op5_html_text,
+        "op6_surrogates": surrogates.op6_surrogates,
         "op7_simhash": simhash.op7_simhash,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op10_mixing": mixing.op10_mixing,
