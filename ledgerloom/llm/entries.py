@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, linededup, mixing, quality, sharding, simhash, surrogates
+from . import decontaminate, html_extract, linededup, mixing, quality, sharding, simhash, substring_dedup, surrogates
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": linededup.op1_line_dedup,
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_sharding": sharding.op4_sharding,
         "op5_html_text": html_extract.op5_html_text,
