@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, linededup, mixing, quality, sharding, simhash, substring_dedup, surrogates
+from . import decontaminate, html_extract, katz, linededup, mixing, quality, sharding, simhash, substring_dedup, surrogates
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_surrogates": surrogates.op6_surrogates,
         "op7_simhash": simhash.op7_simhash,
         "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op9_katz": katz.op9_katz,
         "op10_mixing": mixing.op10_mixing,
     }
 
