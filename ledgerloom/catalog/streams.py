@@ -11,7 +11,7 @@ from .base import Query
 
 
 def _events(s: SparkSession, d: str) -> DataFrame:
-    return jobs.stream(s, d, "events.parquet", table(s, d, "events").schema)
+    return jobs.stream(s, d, "events.parquet", table(s, d, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))  # event time needs an instant
 
 
 def _st1(s: SparkSession, d: str) -> DataFrame:
@@ -21,7 +21,7 @@ def _st1(s: SparkSession, d: str) -> DataFrame:
 
 def _st2(s: SparkSession, d: str) -> DataFrame:
     n = jobs.rolling_counts(_events(s, d).filter("event_type = 'error'"), ["user_id"], "ts", "7 days", "1 day", "1 day", jobs.work_folder(s, "rolling"))
-    return n.select("user_id", F.col("window.start").alias("start"), F.col("count").alias("n"))
+    return n.select("user_id", F.col("window.start").cast("timestamp_ntz").alias("start"), F.col("count").alias("n"))
 
 
 def _st3(s: SparkSession, d: str) -> DataFrame:

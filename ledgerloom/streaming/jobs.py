@@ -44,7 +44,7 @@ def rolling_counts(new: DataFrame, keys: list[str], at: str, width: str, slide:
 
     query = counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    every = new.sparkSession.read.schema(counts.schema.add("batch", "int")).parquet(f"{folder}/out")
+    every = new.sparkSession.read.schema(StructType(list(counts.schema.fields)).add("batch", "integer")).parquet(f"{folder}/out")
     # an update replaces what earlier batches said of the window
     return latest_by(every, [*keys, "window"], [F.col("batch").desc()]).drop("batch")
 
