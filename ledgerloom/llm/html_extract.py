@@ -48,6 +48,8 @@ BROADCAST_NODES = 100_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that do not end the line of text they stand in.
+IN_LINE = INLINE | frozenset("button canvas iframe noscript object script select style svg template".split())
 NOT_CONTENT = frozenset("head nav footer aside form script style noscript template iframe object svg canvas button select input textarea menu dialog title datalist".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",), "option": ("select",)}
@@ -99,13 +101,13 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
             said = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if said:
-                path = next((p for t, p, _ in reversed(stack) if t not in INLINE), "")
+                path = next((p for t, p, _ in reversed(stack) if t not in IN_LINE), "")
                 out.append((path, said, inside > 0))
 
     def pop() -> None:
         nonlocal inside
         tag = stack[-1][0]
-        if tag not in INLINE:
+        if tag not in IN_LINE:
             flush()
         inside -= tag in ("article", "main")
         stack.pop()
@@ -160,7 +162,7 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
                     while len(stack) > k:
                         pop()
                     break
-        if tag not in INLINE:
+        if tag not in IN_LINE:
             flush()
         sign, part = _signature(tag, attributes)
         above = stack[-1] if stack else ("", "", False)
