@@ -36,6 +36,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Like :func:`materialize`, as a table bucketed by ``key``: grouping or joining it by that key needs no shuffle."""
+    spark = df.sparkSession
+    name = f"ledgerloom_{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/ledgerloom-{spark.sparkContext.applicationId}/{name}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` worked out once per row.
 

@@ -9,19 +9,23 @@ identifier without a global sort:
   offset 0 and at a later offset; each round reuses the identifiers of the round before;
 * the 50-byte suffix at a position joins the 16-byte bucket whose identifier is smallest among the
   35 that lie inside it, a later offset that equal suffixes share. Runs of neighbouring suffixes
-  choose the same bucket, so that a bucket holds runs, not single suffixes;
-* a bucket within one document is settled. In the others, runs are refined by the identifiers of
-  their first and last 50-byte bucket, which together cover the run: equal runs repeat as a whole.
-  Where a bucket holds different runs, the first of each is refined to its 50-byte buckets.
-
-Every task first settles what its own documents show (a run that a smaller document of the batch has
+  choose the same bucket, so that a bucket holds runs, not single suffixes. A bucket that only one
+  document reaches is settled;
+* in the others, runs are refined by the identifiers of their first and last 50-byte bucket, which
+  together cover the run: equal runs repeat as a whole;
+* where a bucket holds different runs, the first of each is cut where its suffixes reach further to
+  the left or to the right of the 16 bytes, and refined by the 33 bytes on that side; what is still
+  mixed is refined to its 50-byte buckets.
+
+The documents are kept once, in compressed batches, in a table bucketed by batch; the later steps meet
+it there. A batch settles what its own documents show (a run that a smaller document of the batch has
 too), so that a passage in many documents reaches its bucket once per batch.
 
 Defined results
 ---------------
 * null text has no bytes; texts below 50 bytes lose nothing;
 * documents with equal ids are not smaller than one another; a null id is larger than any other;
-* rows are judged one by one: rows that are equal get equal results;
+* rows that are equal in id and text get equal results;
 * an empty table gives an empty result; input columns named like a result column are replaced.
 """
 
@@ -34,17 +38,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import free_name, materialize, table
+from .blocks import cuts, grouped, sorted_in, sorted_out, spread, squeeze, unsqueeze
+from .common import bucketed, free_name, materialize, table
 
 WIDTH = 50
 GRAM = 16
 CHOICES = WIDTH - GRAM + 1
 #: Bytes that are refined together; longer documents are cut into overlapping pieces.
 PIECE = 1 << 20
+#: Text that a batch holds.
+BATCH_BYTES = 24 << 20
+#: Bytes that a suffix reaches beyond its 16 on one side at least.
+SIDE = (WIDTH - GRAM) // 2
 #: In a packed (position, length, flag): bits of the length, and the flag of a run settled in its batch.
-LEN_BITS, SETTLED = 6, 1 << 6
+LEN_BITS, SETTLED, ROW_SHIFT = 6, 1 << 6, 40
 LAST_ID = (1 << 63) - 1
 
 _RNG = np.random.default_rng(20240229)
@@ -62,14 +70,14 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def refined(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Identifiers of the 16-byte bucket and of the 50-byte bucket at each position that has one."""
+def refined(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Identifiers of the 16-, 32- and 50-byte bucket at each position that has one."""
     h, k = _BYTES[data], 1
     while k < GRAM:
         h = _pair(h[:-k], h[k:])
         k *= 2
     h32 = _pair(h[:-GRAM], h[GRAM:])
-    return h, _pair(h32[: -(WIDTH - 32)], h32[WIDTH - 32 :])
+    return h, h32, _pair(h32[: -(WIDTH - 32)], h32[WIDTH - 32 :])
 
 
 def _least(h: np.ndarray) -> np.ndarray:
@@ -106,7 +114,7 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     for rows, offsets, parts in _pieces(texts):
         data = np.frombuffer(b"".join(parts), np.uint8)
         lens = np.fromiter(map(len, parts), np.int64, len(parts))
-        h16, h50 = refined(data)
+        h16, _, h50 = refined(data)
         least = _least(h16)
         ends = np.cumsum(lens)
         part = np.repeat(np.arange(len(parts)), lens - (WIDTH - 1))
@@ -128,24 +136,76 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         left, p = at[first], part[first]
         name = _pair(h50[left], h50[left + length - 1]) + length.astype(np.uint64) * _A
         out.append((np.array(rows)[p], left - begin[p] + np.array(offsets)[p], length, m[first], name))
-    if not out:
-        return tuple(np.empty(0, k) for k in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    return _joined(out)
+
+
+def _located(texts: list[bytes], row: np.ndarray, pos: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs sorted by row: groups of ``data``, and of each suffix its place in it, its row and its position."""
+    def group(items):
+        data = np.frombuffer(b"".join(part for part, *_ in items), np.uint8)
+        base = np.cumsum([0, *(len(part) for part, *_ in items)])
+        n = np.concatenate([length[a:b] for _, _, a, b in items])
+        first = np.concatenate([pos[a:b] - at + o for (_, at, a, b), o in zip(items, base, strict=False)])
+        runs_ = np.concatenate([np.arange(a, b) for _, _, a, b in items])
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return data, np.repeat(first, n) + step, np.repeat(row[runs_], n), np.repeat(pos[runs_], n) + step
+
+    items, size = [], 0
+    for a, b in _bounds(row):
+        t = texts[int(row[a])]
+        for at in range(0, len(t), PIECE):
+            lo, hi = a + np.searchsorted(pos[a:b], at), a + np.searchsorted(pos[a:b], at + PIECE)
+            if lo < hi:
+                part = t[at : at + PIECE + CHOICES + WIDTH]
+                items.append((part, at, int(lo), int(hi)))
+                size += len(part)
+                if size >= PIECE:
+                    yield group(items)
+                    items, size = [], 0
+    if items:
+        yield group(items)
+
+
+def _bounds(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
+    if not len(sorted_keys):
+        return []
+    starts = _groups(sorted_keys)
+    return list(zip(starts.tolist(), np.append(starts[1:], len(sorted_keys)).tolist(), strict=True))
+
+
+def sided(texts: list[bytes], row: np.ndarray, pos: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Like :func:`runs`, for the given runs, cut by the side of the 16 bytes that their suffixes reach further to."""
+    out = []
+    for data, p, r, at in _located(texts, row, pos, length):
+        h16, h32, h50 = refined(data)
+        near = np.minimum.reduce([h16[p + k] for k in range(CHOICES)])
+        offset = np.zeros(len(p), np.int64)
+        for k in range(CHOICES - 1, -1, -1):  # the first place of the 16 bytes in the suffix
+            offset[h16[p + k] == near] = k
+        anchor, left = p + offset, offset >= SIDE
+        bucket = np.empty(len(p), np.uint64)
+        a = anchor[left]
+        bucket[left] = _pair(h32[a - SIDE], h16[a])
+        a = anchor[~left]
+        bucket[~left] = _pair(h32[a], h16[a + SIDE]) ^ _C
+        first = _groups(r, anchor, left, at - np.arange(len(at)))
+        n = np.diff(first, append=len(p))
+        name = _pair(h50[p[first]], h50[p[first] + n - 1]) + n.astype(np.uint64) * _A
+        out.append((r[first], at[first], n, bucket[first], name))
+    return _joined(out)
+
+
+def single(texts: list[bytes], row: np.ndarray, pos: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Like :func:`runs`, for each suffix of the given runs on its own."""
+    out = []
+    for data, p, r, at in _located(texts, row, pos, length):
+        h16, _, h50 = refined(data)
+        near = np.minimum.reduce([h16[p + k] for k in range(CHOICES)])
+        out.append((r, at, np.ones(len(p), np.int64), _pair(near, h50[p]), h50[p]))
+    return _joined(out)
 
 
-def single(texts: list[bytes], wanted: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
-    """Like :func:`runs`, for each suffix of the wanted (positions, lengths) of each text on its own."""
-    out = []
-    for r, (t, (pos, length)) in enumerate(zip(texts, wanted, strict=True)):
-        for at in range(0, max(1, len(t) - WIDTH + 1), PIECE):
-            here = (pos >= at) & (pos < at + PIECE)
-            if not here.any():
-                continue
-            h16, h50 = refined(np.frombuffer(t[at : at + PIECE + WIDTH - 1 + CHOICES], np.uint8))
-            n = length[here]
-            p = np.repeat(pos[here] - at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            near = np.minimum.reduce([h16[p + k] for k in range(CHOICES)])
-            out.append((np.full(len(p), r), p + at, np.ones(len(p), np.int64), _pair(near, h50[p]), h50[p]))
+def _joined(out: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     if not out:
         return tuple(np.empty(0, k) for k in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -164,29 +224,39 @@ def _least_of_group(doc: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.repeat(np.minimum.reduceat(doc, starts), np.diff(starts, append=len(doc)))
 
 
-#: What is sent to the buckets. ``row`` names the row, ``doc`` orders it.
-SENT = "bucket long, name long, doc long, row long, packed long"
-_NAMES = ["bucket", "name", "doc", "row", "packed"]
+def _packed(row: np.ndarray, pos: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Row of the batch, position and length of a run in one number that sorts by them."""
+    return (row << ROW_SHIFT) | (pos << (LEN_BITS + 1)) | length
+
+
+def _unpacked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    pos = (packed & ((1 << ROW_SHIFT) - 1)) >> (LEN_BITS + 1)
+    return packed >> ROW_SHIFT, pos, packed & ((1 << LEN_BITS) - 1)
 
 
-def _sent(found: tuple[np.ndarray, ...], doc: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
-    r, pos, length, bucket, name = found
-    packed = (pos << (LEN_BITS + 1)) | length
-    d = doc[r]
-    order = np.argsort(name, kind="stable")
+#: What is sent to the buckets; ``doc`` orders documents.
+SENT = "bucket long, name long, doc long, batch long, packed long"
+_NAMES = ["bucket", "name", "doc", "batch", "packed"]
+
+
+def _sent(found: tuple[np.ndarray, ...], doc: np.ndarray, batch: int) -> pa.Table:
+    row, pos, length, bucket, name = found
+    packed = _packed(row, pos, length)
+    d = doc[row]
+    order = np.lexsort((name, bucket))
     n, b = name[order], bucket[order]
     if len(order):
         settled = np.zeros(len(order), bool)
         settled[order] = d[order] > _least_of_group(d[order], _groups(n, b))
         packed = packed | np.where(settled, SETTLED, 0)
         # what is settled needs no bucket; it is dealt out evenly
-        bucket = np.where(settled, name ^ (pos.astype(np.uint64) + d.astype(np.uint64) * _C) * _A, bucket)
-    columns = (bucket.view(np.int64), name.view(np.int64), d, row[r], packed)
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_NAMES)
+        bucket = np.where(settled, _pair(name, packed.astype(np.uint64)), bucket)
+    columns = (bucket.view(np.int64), name.view(np.int64), d, np.full(len(d), batch), packed)
+    return pa.Table.from_arrays([pa.array(c) for c in columns], names=_NAMES)
 
 
 #: What the buckets decide: a run to remove, or one to be refined further.
-DECIDED = "row long, doc long, packed long, remove boolean"
+DECIDED = "batch long, packed long, remove boolean"
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,30 +264,30 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
 
     def flush() -> pa.RecordBatch:
-        bucket, name, doc, row, packed = (np.concatenate(x) for x in zip(*held, strict=True))
+        bucket, name, doc, batch, packed = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         done = (packed & SETTLED) != 0
-        out = [(row[done], doc[done], packed[done], np.ones(done.sum(), bool))]
-        bucket, name, doc, row, packed = (x[~done] for x in (bucket, name, doc, row, packed))
+        out = [(batch[done], packed[done], np.ones(done.sum(), bool))]
+        bucket, name, doc, batch, packed = (x[~done] for x in (bucket, name, doc, batch, packed))
         if len(bucket):
             starts = _groups(bucket)
             several = np.repeat(np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts), np.diff(starts, append=len(doc)))
-            bucket, name, doc, row, packed = (x[several] for x in (bucket, name, doc, row, packed))
+            bucket, name, doc, batch, packed = (x[several] for x in (bucket, name, doc, batch, packed))
         if len(bucket):
             order = np.lexsort((name, bucket))
-            bucket, name, doc, row, packed = (x[order] for x in (bucket, name, doc, row, packed))
+            bucket, name, doc, batch, packed = (x[order] for x in (bucket, name, doc, batch, packed))
             remove = doc > _least_of_group(doc, _groups(bucket, name))
             starts = _groups(bucket)
             mixed = np.repeat(name[starts] != name[np.append(starts[1:], len(name)) - 1], np.diff(starts, append=len(name)))
             keep = remove | mixed
-            out.append((row[keep], doc[keep], packed[keep], remove[keep]))
+            out.append((batch[keep], packed[keep], remove[keep]))
         columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-        columns[2] = columns[2] & ~np.int64(SETTLED)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row", "doc", "packed", "remove"])
+        columns[1] = columns[1] & ~np.int64(SETTLED)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["batch", "packed", "remove"])
 
     size = 0
-    for batch in batches:
-        columns = tuple(batch.column(k).to_numpy() for k in range(5))
+    for rows in batches:
+        columns = tuple(rows.column(k).to_numpy() for k in range(5))
         if not len(columns[0]):
             continue
         cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last bucket may go on
@@ -232,49 +302,116 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _bytes_of(texts: pa.Array) -> list[bytes]:
-    return [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in texts]
+# ---------------------------------------------------------------- batches
+
+BATCHES = "batch long, docs array<long>, keys array<long>, lengths array<long>, z binary"
 
 
-def _compressed(rows: DataFrame) -> DataFrame:
-    """``doc, row`` and the text compressed, for shuffles."""
+def _batches(rows: DataFrame) -> DataFrame:
+    """``doc, key, text`` as batches of about BATCH_BYTES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
+        from pyspark import TaskContext
+
+        number, docs, keys, texts, size = TaskContext.get().partitionId() << 32, [], [], [], 0
+
+        def close() -> pa.RecordBatch:
+            z = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+            longs = pa.list_(pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([docs], longs), pa.array([keys], longs), pa.array([[len(t) for t in texts]], longs), pa.array([z])], names=["batch", "docs", "keys", "lengths", "z"])
 
-        pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(t) for t in _bytes_of(b.column(2))], pa.binary())], names=["doc", "row", "z"])
+            for d, k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                docs.append(d)
+                keys.append(k)
+                texts.append((t.as_py() or "").encode("utf-8", "surrogatepass"))
+                size += len(texts[-1])
+                if size >= BATCH_BYTES:
+                    yield close()
+                    number, docs, keys, texts, size = number + 1, [], [], [], 0
+        if docs:
+            yield close()
 
-    return rows.mapInArrow(run, "doc long, row long, z binary")
+    return rows.mapInArrow(run, BATCHES)
 
 
-def _packed_lists(decided: DataFrame, what: str) -> DataFrame:
-    """For each row its packed runs; a row has no more of them than bytes."""
-    return decided.filter(what).groupBy("row").agg(F.collect_list("packed").alias("runs"))
+def _texts(row: dict) -> list[bytes]:
+    import zstandard
 
+    data = zstandard.ZstdDecompressor().decompress(row["z"])
+    ends = np.cumsum(row["lengths"]).tolist()
+    return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-def _unpacked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return packed >> (LEN_BITS + 1), packed & ((1 << LEN_BITS) - 1)
 
+def _reached(parts: int):
+    """Sends the 16-byte buckets that a batch reaches; a bit says whether two of its documents do."""
 
-def _send_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield _sent(runs(_bytes_of(b.column(2))), b.column(0).to_numpy(), b.column(1).to_numpy())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for row in rows.to_pylist():
+                found, doc = runs(_texts(row)), np.array(row["docs"], np.int64)
+                keys, several = _buckets_of(found, doc)
+                sent = [(p, row["batch"], sorted_out(keys[a:b]), squeeze(several[a:b])) for p, a, b in cuts(keys, parts)]
+                columns = list(zip(*sent, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "batch", "keys", "several"])
 
+    return run
+
+
+def _buckets_of(found: tuple[np.ndarray, ...], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    d, bucket = doc[found[0]], found[3]
+    if not len(bucket):
+        return bucket, np.empty(0, np.uint8)
+    order = np.argsort(bucket)
+    b, d = bucket[order], d[order]
+    starts = _groups(b)
+    return b[starts], (np.minimum.reduceat(d, starts) < np.maximum.reduceat(d, starts)).astype(np.uint8)
 
-def _send_single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
 
-    unpack = zstandard.ZstdDecompressor().decompress
-    for b in batches:
-        texts = [unpack(z.as_py()) for z in b.column(2)]
-        wanted = [_unpacked(x.values.to_numpy()) for x in b.column(3)]
-        yield _sent(single(texts, wanted), b.column(0).to_numpy(), b.column(1).to_numpy())
+def _shared(part: pa.Table) -> pa.Table:
+    """For each bucket sent, whether several documents reach it."""
+    rows = part.to_pylist()
+    order, starts, lens = grouped([r["keys"] for r in rows])
+    several = np.concatenate([unsqueeze(r["several"], np.uint8) for r in rows])[order]
+    shared = (np.diff(starts, append=len(order)) > 1) | (np.maximum.reduceat(several, starts) > 0)
+    out = np.split(spread(shared.astype(np.uint8), order, starts), np.cumsum(lens)[:-1])
+    columns = [[r["batch"] for r in rows], [r["part"] for r in rows], [squeeze(x) for x in out]]
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["batch", "part", "shared"])
 
 
-def _decided(sent: DataFrame) -> DataFrame:
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_decide, DECIDED)
+def _tables(tables: list[pa.Table], schema: list[tuple[str, pa.DataType]]) -> pa.Table:
+    return pa.concat_tables([*tables, pa.table({n: pa.array([], k) for n, k in schema})])
+
+
+_SENT_SCHEMA = [(n, pa.int64()) for n in _NAMES]
+
+
+def _send_shared(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The runs of a batch in buckets that several documents reach."""
+    out = []
+    answers = [unsqueeze(r["shared"], np.uint8) for r in sorted(right.to_pylist(), key=lambda r: r["part"])]
+    for row in left.to_pylist():
+        found, doc = runs(_texts(row)), np.array(row["docs"], np.int64)
+        if answers:
+            shared = np.concatenate(answers).astype(bool)[np.searchsorted(np.unique(found[3]), found[3])]
+            out.append(_sent(tuple(x[shared] for x in found), doc, row["batch"]))
+    return _tables(out, _SENT_SCHEMA)
+
+
+def _send_again(how):
+    """The runs given for a batch, refined further."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        packed = np.sort(right.column("packed").to_numpy())
+        out = [_sent(how(_texts(row), *_unpacked(packed)), np.array(row["docs"], np.int64), row["batch"]) for row in left.to_pylist() if len(packed)]
+        return _tables(out, _SENT_SCHEMA)
+
+    return run
+
+
+def _decided(sent: DataFrame, label: str) -> DataFrame:
+    return materialize(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_decide, DECIDED), label)
 
 
 def spans(pos: np.ndarray, length: np.ndarray) -> list[tuple[int, int]]:
@@ -291,57 +428,44 @@ def substring_deduplicated(docs: DataFrame, text_col: str = "text", id_col: str
     The text column is left out, or with ``with_text`` holds what is kept, as binary (a cut may fall inside a character).
     """
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    # the id names a row where it is unique, which takes less to shuffle than a hash
+    # the id names a row where it is unique; else a hash does
     n = docs.agg(F.count("*").alias("n"), F.count_distinct(id_col).alias("d")).first()
-    row = doc if n["n"] == n["d"] else F.xxhash64(id_col, text_col)
-    rows = docs.select(doc.alias("doc"), row.alias("row"), text.alias("text"))
-    first = materialize(_decided(rows.mapInArrow(_send_runs, SENT)), "substring-runs")
-    refine = _packed_lists(first, "not remove")
-    mixed = _compressed(rows).join(refine, "row").select("doc", "row", "z", "runs")
-    second = materialize(_decided(mixed.mapInArrow(_send_single, SENT)).filter("remove"), "substring-single")
-    removed = _packed_lists(first.union(second), "remove")
+    unique = n["n"] == n["d"]
+    key = doc if unique else F.xxhash64(id_col, text_col)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    batches = bucketed(_batches(docs.select(doc.alias("doc"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))), "batch", "substring-batches")
+    with_batch = lambda other, how, schema: batches.groupBy("batch").cogroup(other.groupBy("batch")).applyInArrow(how, schema)
+
+    reached = batches.mapInArrow(_reached(parts), "part int, batch long, keys binary, several binary")
+    shared = materialize(reached.groupBy("part").applyInArrow(_shared, "batch long, part int, shared binary"), "substring-shared")
+    first = _decided(with_batch(shared, _send_shared, SENT), "substring-runs")
+    second = _decided(with_batch(first.filter("not remove"), _send_again(sided), SENT), "substring-sides")
+    third = _decided(with_batch(second.filter("not remove"), _send_again(single), SENT), "substring-single")
+    removed = first.union(second).union(third).filter("remove").select("batch", "packed")
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        packed = np.sort(right.column("packed").to_numpy())
+        row, pos, length = _unpacked(packed)
+        bounds = {int(row[a]): (a, b) for a, b in _bounds(row)}
+        out = []
+        for batch in left.to_pylist():
+            for i, (k, t) in enumerate(zip(batch["keys"], _texts(batch), strict=True)):
+                a, b = bounds.get(i, (0, 0))
+                found = spans(pos[a:b], length[a:b]) if b > a else []
+                edges = [0, *(x for s in found for x in s), len(t)]
+                left_over = b"".join(t[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
+                out.append((k, len(t), len(t) - len(left_over), len(found), [x for s in found for x in s], hashlib.sha256(left_over).hexdigest(), left_over if with_text else None))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.binary())
+        columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
+        return pa.Table.from_arrays([pa.array(c, x) for c, x in zip(columns, kinds, strict=True)], names=["key", *names, "kept"])
 
     names = ["n_bytes", "n_removed", "n_spans", "spans", "kept_sha256"]
+    result = with_batch(removed, finish, "key long, n_bytes long, n_removed long, n_spans long, spans array<bigint>, kept_sha256 string, kept binary")
+    result = result if unique else result.dropDuplicates(["key"])
+    own, text = free_name(docs, "_key"), [F.col("kept").alias(text_col)] if with_text else []
     kept = [c for c in docs.columns if c not in names and c != text_col]
-    key = free_name(docs, "_row")
-    fields = StructType([docs.schema[c] for c in kept]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
-    full = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
-    full += ", spans array<bigint>, kept_sha256 string" + (f", `{text_col}` binary" if with_text else "")
-    full = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "spans array<bigint>", "kept_sha256 string", *([f"`{text_col}` binary"] if with_text else [])])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        small = zstandard.ZstdCompressor(level=3).compress
-        for b in batches:
-            z = pa.array([small(t) for t in _bytes_of(b.column(b.num_columns - 1))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], z], names=[*kept, key, "z"])
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
-        for b in batches:
-            n_bytes, n_removed, all_spans, digests, texts = [], [], [], [], []
-            for z, mine in zip(b.column(len(kept)), b.column(len(kept) + 1), strict=True):
-                t = unpack(z.as_py())
-                found = spans(*_unpacked(mine.values.to_numpy())) if mine.is_valid else []
-                edges = [0, *(x for s in found for x in s), len(t)]
-                left = b"".join(t[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
-                n_bytes.append(len(t))
-                n_removed.append(len(t) - len(left))
-                all_spans.append([x for s in found for x in s])
-                digests.append(hashlib.sha256(left).hexdigest())
-                texts.append(left if with_text else None)
-            columns = [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([len(s) // 2 for s in all_spans], pa.int64()), pa.array(all_spans, pa.list_(pa.int64())), pa.array(digests, pa.string())]
-            columns += [pa.array(texts, pa.binary())] if with_text else []
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *columns], names=[*kept, *names, *([text_col] if with_text else [])])
-
-    packed_schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"`{key}` long", "z binary"])
-    packed = docs.select(*kept, row.alias(key), text.alias("z")).mapInArrow(pack, packed_schema)
-    joined = packed.join(removed.withColumnRenamed("row", key), key, "left").select(*kept, "z", "runs")
-    return joined.mapInArrow(finish, full)
+    results = result.select(F.col("key").alias(own), *(F.col(c).alias(c) for c in names), *text)
+    return docs.select(*kept, key.alias(own)).join(results, own).drop(own)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
