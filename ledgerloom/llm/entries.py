@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": linededup.OP1_SQL, "op4_sharding": sharding.OP4_SQL}
+    return {"op1_line_dedup": linededup.OP1_SQL, "op4_sharding": sharding.OP4_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
