@@ -36,6 +36,8 @@ def sorted_in(data: bytes) -> np.ndarray:
 
 def cuts(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
     """(part, from, to) of the sorted keys in each part of the range that has any."""
+    if not len(keys):
+        return []
     of = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     starts = np.flatnonzero(np.diff(of, prepend=np.uint64(parts)) != 0)
     return [(int(of[a]), int(a), int(b)) for a, b in zip(starts, np.append(starts[1:], len(keys)), strict=True)]
