@@ -118,20 +118,23 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_dup_lines": _dup_lines(text).cast("long"),
         "n_repeat_words": F.col(s)["n_repeat_words"],
     }
-    out = out.withColumns(base | {"_n_lines": F.regexp_count(text, F.lit("\n")) + 1, "_upper": F.regexp_count(text, F.lit(r"\p{Lu}")), "_shout": F.regexp_count(text, F.lit("!")), "_digit": F.regexp_count(text, F.lit("[0-9]"))}).drop(s)
+    patterns = {"lines": "\n", "upper": r"\p{Lu}", "shout": "!", "digit": "[0-9]"}
+    c = {k: free_name(docs, f"_n_{k}") for k in patterns}
+    out = out.withColumns(base | {c[k]: F.regexp_count(text, F.lit(p)) for k, p in patterns.items()}).drop(s)
+    n_lines = F.col(c["lines"]) + 1
     n, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
     return out.withColumns(
         {
             "word_len": F.col("word_chars") / n,
             "symbol_rate": F.col("n_symbols") / n,
-            "dup_line_rate": F.col("n_dup_lines") / F.col("_n_lines"),
+            "dup_line_rate": F.col("n_dup_lines") / n_lines,
             "repeat_rate": F.col("n_repeat_words") / n,
-            "upper_rate": F.col("_upper") / chars,
-            "shout_rate": F.col("_shout") / n,
-            "digit_rate": F.col("_digit") / chars,
-            "line_words": F.col("n_words") / F.col("_n_lines"),
+            "upper_rate": F.col(c["upper"]) / chars,
+            "shout_rate": F.col(c["shout"]) / n,
+            "digit_rate": F.col(c["digit"]) / chars,
+            "line_words": F.col("n_words") / n_lines,
         }
-    ).drop("_n_lines", "_upper", "_shout", "_digit")
+    ).drop(*c.values())
 
 
 def base_failed() -> Column:
@@ -171,8 +174,9 @@ def _candidates(rows: DataFrame, cuts: dict[str, list[float]]) -> list[tuple[Con
 
 
 def learn(rows: DataFrame) -> list[list[Condition]]:
-    """Sequential covering over ``rows`` (the features, ``bad`` 0/1, ``prune`` boolean)."""
-    rows = materialize(rows.select("bad", "prune", *(F.col(f).cast("double").alias(f) for f in FEATURES)), "quality-fit")
+    """Sequential covering over those ``rows`` (the features, ``bad`` 0/1, ``prune`` and ``failed`` boolean) that the base rules let pass."""
+    # written before it is filtered: the filter would be worked out below the join, for every document
+    rows = materialize(rows.select("bad", "prune", "failed", *(F.col(f).cast("double").alias(f) for f in FEATURES)), "quality-fit").filter("not failed")
     grid = [k / THRESHOLDS for k in range(THRESHOLDS + 1)]
     quantiles = rows.groupBy("bad").agg(*(F.percentile_approx(f, grid, 2000).alias(f) for f in FEATURES)).collect()
     cuts = {f: sorted({t for r in quantiles for t in r[f] or []}) for f in FEATURES}
@@ -216,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     if n > fit_rows:
         known = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * fit_rows / n))
     labelled = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "_id")
-    labelled = statistics(labelled).filter(~base_failed())
+    labelled = statistics(labelled).withColumn("failed", base_failed())
     return learn(labelled.withColumn("prune", F.pmod(F.xxhash64("_id", F.lit("prune")), F.lit(3)) == 0))
 
 
@@ -236,7 +240,9 @@ def judged(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: s
 
 def quality_filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the base rules and the learned list keep."""
-    return judged(docs, labels).filter("kept").select(*docs.columns)
+    # whole rows are carried in one column, so that their own columns may have any names
+    rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return judged(rows, labels).filter("kept").select("row.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
