@@ -28,7 +28,7 @@ BUDGET = 1.5
 MAX_RATE = 2.0
 NEWTON_STEPS = 60
 #: Rows that one rounding stratum holds on average at most.
-STRATUM_ROWS = 20_000
+STRATUM_ROWS = 5_000
 
 
 def _source_key(source: Column) -> Column:
@@ -105,14 +105,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
 
     # what rounding left over goes to (or comes from) a few documents of falling size
     gap = rounded.groupBy("key").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
-    can = F.when(F.col("gap") > 0, F.col("copies") < int(max_rate)).otherwise(F.col("copies") > 0)
+    doc = F.struct("size", "h", "doc_id")
     choice = (
-        rounded.join(gap, "key")
-        .filter(can & (F.col("size") > 0) & (F.col("size") <= F.abs("gap")))
-        .groupBy("key", "gap", "bin")
-        .agg(F.max(F.struct("size", "h", "doc_id")).alias("c"))
-        .groupBy("key", "gap")
-        .agg(F.sort_array(F.collect_list("c"), asc=False).alias("choices"))
+        rounded.filter("size > 0")
+        .groupBy("key", "bin")
+        .agg(F.max(F.when(F.col("copies") < int(max_rate), doc)).alias("more"), F.max(F.when(F.col("copies") > 0, doc)).alias("less"))
+        .groupBy("key")
+        .agg(F.collect_list("more").alias("more"), F.collect_list("less").alias("less"))
+        .join(gap, "key")
+        .select("key", "gap", F.sort_array(F.when(F.col("gap") > 0, F.col("more")).otherwise(F.col("less")), asc=False).alias("choices"))
     )
     start = F.struct(F.abs(F.col("gap")).alias("left"), F.filter(F.col("choices"), lambda c: F.lit(False)).alias("picked"))
 
