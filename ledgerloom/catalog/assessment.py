@@ -9,6 +9,7 @@ from ..operators import beliefs, variables
 from ..plans import flagship, model
 from ..sources import adapters
 from ..sources.adapters import AS_OF, with_ctes
+from ..sources.shared import materialize
 from .base import Query, r6
 
 DAY = f"DATE '{AS_OF}'"
@@ -168,7 +169,8 @@ def reliability(spark: SparkSession, d: str) -> DataFrame:
 
 def eleven_values(spark: SparkSession, d: str) -> DataFrame:
     who, day = flagship.companies(spark, d), adapters.as_of()
-    facts, duties, people = adapters.facts(spark, d), adapters.obligations(spark, d), adapters.directors(spark, d)
+    # several variables start from the same inputs: work them out once
+    facts, duties, people = (materialize(f(spark, d), f.__name__) for f in (adapters.facts, adapters.obligations, adapters.directors))
     parts = [variables.ratio(who, facts, c) for c in variables.RATIOS]
     parts += [variables.net_asset_trend(who, facts), variables.lateness(who, duties, "ACCOUNTS", "G1.1", day), variables.lateness(who, duties, "CONFIRMATION", "G1.2", day)]
     parts += [variables.turnover(who, people, day), variables.median_tenure(who, people, day), variables.change_concentration(who, people, day)]
@@ -180,7 +182,7 @@ def eleven_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def discounted_leaves(spark: SparkSession, d: str) -> DataFrame:
-    values = eleven_values(spark, d).join(reliability(spark, d), "company")
+    values = materialize(eleven_values(spark, d), "values").join(reliability(spark, d), "company")
     return beliefs.leaves(flagship.companies(spark, d), values, model.variables(spark, "1"))
 
 
