@@ -48,7 +48,7 @@ CHOICES = WIDTH - GRAM + 1
 #: Bytes that are refined together; longer documents are cut into overlapping pieces.
 PIECE = 1 << 20
 #: Text that a batch holds.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 12 << 20
 #: Bytes that a suffix reaches beyond its 16 on one side at least.
 SIDE = (WIDTH - GRAM) // 2
 #: In a packed (position, length, flag): bits of the length, and the flag of a run settled in its batch.
@@ -89,6 +89,14 @@ def _least(h: np.ndarray) -> np.ndarray:
     return np.minimum(m[: len(m) - (CHOICES - k)], m[CHOICES - k :])
 
 
+def _least_from(h: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The same at the positions ``p`` only."""
+    m = h[p]
+    for k in range(1, CHOICES):
+        np.minimum(m, h[p + k], out=m)
+    return m
+
+
 def _pieces(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
     """Groups of (row, offset, bytes) of about PIECE bytes; pieces of one text overlap by WIDTH - 1."""
     rows, offsets, parts, size = [], [], [], 0
@@ -178,7 +186,7 @@ def sided(texts: list[bytes], row: np.ndarray, pos: np.ndarray, length: np.ndarr
     out = []
     for data, p, r, at in _located(texts, row, pos, length):
         h16, h32, h50 = refined(data)
-        near = np.minimum.reduce([h16[p + k] for k in range(CHOICES)])
+        near = _least_from(h16, p)
         offset = np.zeros(len(p), np.int64)
         for k in range(CHOICES - 1, -1, -1):  # the first place of the 16 bytes in the suffix
             offset[h16[p + k] == near] = k
@@ -200,7 +208,7 @@ def single(texts: list[bytes], row: np.ndarray, pos: np.ndarray, length: np.ndar
     out = []
     for data, p, r, at in _located(texts, row, pos, length):
         h16, _, h50 = refined(data)
-        near = np.minimum.reduce([h16[p + k] for k in range(CHOICES)])
+        near = _least_from(h16, p)
         out.append((r, at, np.ones(len(p), np.int64), _pair(near, h50[p]), h50[p]))
     return _joined(out)
 
