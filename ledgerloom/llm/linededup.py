@@ -44,6 +44,8 @@ def _row_keys(doc_id: Column, text: Column) -> list[Column]:
 def _shared(suffixes: DataFrame) -> DataFrame:
     """The suffixes whose name (p, q) another one has too."""
     several = suffixes.groupBy("p", "q").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    # as a table of its own, so that the join can split the rows of a name that very many lines have
+    several = materialize(several, "line-several")
     return suffixes.join(several, ["p", "q"], "left_semi")
 
 
@@ -70,7 +72,7 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, text_col: str = "
         suffixes = materialize(_shared(_doubled(suffixes, have, want)), "line-suffixes")
         have = want
     place = F.struct(F.col("doc").isNull(), F.col("doc"), F.col("r1"), F.col("r2"), F.col("k"))
-    first = suffixes.groupBy("p", "q").agg(F.min(place).alias("first"))
+    first = materialize(suffixes.groupBy("p", "q").agg(F.min(place).alias("first")), "line-first")
     starts = suffixes.join(first, ["p", "q"]).filter(place > F.col("first")).select("r1", "r2", "k")
     of_doc = Window.partitionBy("r1", "r2").orderBy("k")
     begins = F.coalesce(F.col("k") > F.lag("k").over(of_doc) + min_lines, F.lit(True)).cast("int")
