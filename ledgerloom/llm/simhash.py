@@ -176,7 +176,8 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     links = materialize(sorted_leaves.mapInArrow(_search, "a long, b long").distinct(), "simhash-links")
     of_point = components(links)
     joined = points.join(of_point, points["fp"] == of_point["node"], "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("group"))
-    least = joined.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    # as a table of its own, so that the join can split a large component
+    least = materialize(joined.groupBy("group").agg(F.min("doc_id").alias("component_id")), "simhash-least")
     of_fp = joined.join(least, "group").select("fp", "component_id")
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
