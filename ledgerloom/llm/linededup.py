@@ -6,7 +6,8 @@ doubling round a suffix's name for 2k lines is made of its own name for k lines
 the suffix k lines on; suffixes whose name is unique settle and leave. After the last round,
 suffixes of equal name share a prefix of ``min_lines`` lines: they are one interval of the
 longest-common-prefix table. Every member but the first by (document, line) marks the lines of
-its prefix; marked lines that touch are one maximal repeated run, and are deleted.
+its prefix; marked lines that touch are one maximal repeated run, and are deleted. Prefixes of
+fewer lines mark theirs in the same way where they hold more than ``long_words`` words.
 
 Defined results
 ---------------
@@ -23,10 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, let, materialize, table
+from .common import free_name, let, materialize, table, words
 
-#: Runs of fewer lines are left alone.
+#: Runs of fewer lines are left alone, unless they are long.
 MIN_LINES = 3
+#: Runs of more words go, however few lines they have.
+LONG_WORDS = 50
 
 #: A line that is part of runs: with a character that is not white space.
 SOLID = r"[^\x20\x09-\x0D]"
@@ -58,33 +61,59 @@ def _doubled(suffixes: DataFrame, have: int, want: int) -> DataFrame:
     return paired.select("r1", "r2", "doc", "k", *_names(F.col("p"), F.col("q"), F.col("later.p"), F.col("later.q")))
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``(r1, r2, runs)`` for documents with something to delete; ``runs``: sorted (start, end) over their non-blank lines."""
+def _later(suffixes: DataFrame, size: int) -> DataFrame:
+    """``(r1, r2, k, e)``: the lines [k, e) of every suffix whose first ``size`` lines have an earlier copy."""
+    place = F.struct(F.col("doc").isNull(), F.col("doc"), F.col("r1"), F.col("r2"), F.col("k"))
+    first = materialize(suffixes.groupBy("p", "q").agg(F.min(place).alias("first")), "line-first")
+    return suffixes.join(first, ["p", "q"]).filter(place > F.col("first")).select("r1", "r2", "k", (F.col("k") + size).alias("e"))
+
+
+def _long(starts: DataFrame, sizes: DataFrame, long_words: int) -> DataFrame:
+    """Those of ``starts`` whose lines hold more than ``long_words`` words."""
+    of_start = starts.join(sizes, (starts["r1"] == sizes["s1"]) & (starts["r2"] == sizes["s2"]) & (sizes["i"] >= starts["k"]) & (sizes["i"] < starts["e"]))
+    return of_start.groupBy("r1", "r2", "k", "e").agg(F.sum("n").alias("n")).filter(F.col("n") > long_words).drop("n")
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, text_col: str = "text", id_col: str = "doc_id", long_words: int | None = LONG_WORDS) -> DataFrame:
+    """``(r1, r2, runs)`` for documents with something to delete; ``runs``: sorted (start, end) over their non-blank lines.
+
+    A run of fewer than ``min_lines`` lines counts if it holds more than ``long_words`` words (None: never).
+    """
     if min_lines < 1:
         raise ValueError("min_lines must be positive")
     r1, r2 = _row_keys(F.col(id_col), F.col(text_col))
     lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda x: x.rlike(SOLID))
     rows = docs.select(r1.alias("r1"), r2.alias("r2"), F.col(id_col).alias("doc"), F.posexplode(lines).alias("k", "line"))
-    suffixes = materialize(_shared(materialize(rows.select("r1", "r2", "doc", "k", *_names(F.col("line"))), "line-names")), "line-suffixes")
+    short = min_lines > 1 and long_words is not None
+    n = [F.size(words(F.col("line"))).alias("n")] if short else []
+    named = materialize(rows.select("r1", "r2", "doc", "k", *_names(F.col("line")), *n), "line-names")
+    shared = materialize(_shared(named), "line-suffixes")
+    suffixes, starts = shared.drop("n"), []
+    if short:
+        # once for each line, though rows may be equal in id and text
+        sizes = shared.select(F.col("r1").alias("s1"), F.col("r2").alias("s2"), F.col("k").alias("i"), "n").distinct()
     have = 1
     while have < min_lines:
-        want = min(2 * have, min_lines)
+        if short:
+            starts.append(_long(_later(suffixes, have).distinct(), sizes, long_words))
+        want = have + 1 if short else min(2 * have, min_lines)
         suffixes = materialize(_shared(_doubled(suffixes, have, want)), "line-suffixes")
         have = want
-    place = F.struct(F.col("doc").isNull(), F.col("doc"), F.col("r1"), F.col("r2"), F.col("k"))
-    first = materialize(suffixes.groupBy("p", "q").agg(F.min(place).alias("first")), "line-first")
-    starts = suffixes.join(first, ["p", "q"]).filter(place > F.col("first")).select("r1", "r2", "k")
+    found = _later(suffixes, min_lines)
+    for more in starts:
+        found = found.union(more)
     of_doc = Window.partitionBy("r1", "r2").orderBy("k")
-    begins = F.coalesce(F.col("k") > F.lag("k").over(of_doc) + min_lines, F.lit(True)).cast("int")
-    numbered = starts.withColumn("begins", begins).withColumn("run", F.sum("begins").over(of_doc))
-    runs = numbered.groupBy("r1", "r2", "run").agg(F.min("k").alias("start"), (F.max("k") + min_lines).alias("end"))
+    before = of_doc.rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.coalesce(F.col("k") > F.max("e").over(before), F.lit(True)).cast("int")
+    numbered = found.withColumn("begins", begins).withColumn("run", F.sum("begins").over(of_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = numbered.groupBy("r1", "r2", "run").agg(F.min("k").alias("start"), F.max("e").alias("end"))
     return runs.groupBy("r1", "r2").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
 
-def line_deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def line_deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, text_col: str = "text", id_col: str = "doc_id", long_words: int | None = LONG_WORDS) -> DataFrame:
     """``docs`` without later copies of runs; adds ``n_lines`` (non-blank, before), ``n_removed`` and ``n_runs``."""
     r1, r2, runs = (free_name(docs, x) for x in ("_r1", "_r2", "_runs"))
-    found = repeated_runs(docs, min_lines, text_col, id_col).select(F.col("r1").alias(r1), F.col("r2").alias(r2), F.col("runs").alias(runs))
+    found = repeated_runs(docs, min_lines, text_col, id_col, long_words).select(F.col("r1").alias(r1), F.col("r2").alias(r2), F.col("runs").alias(runs))
     k1, k2 = _row_keys(F.col(id_col), F.col(text_col))
     out = docs.withColumns({r1: k1, r2: k2}).join(found, [r1, r2], "left")
     numbered = F.transform(F.split(F.col(text_col), "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
@@ -105,7 +134,8 @@ def line_deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, text_col: str
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # OP1_SQL, which defines this query's result, has no rule for long runs of fewer lines
+    out = line_deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), long_words=None)
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -82,6 +82,16 @@ def test_line_dedup_repeated_rows_and_null_ids(spark, empty):
     assert linededup.line_deduplicated(empty).count() == 0
 
 
+def test_line_dedup_of_long_runs(spark):
+    """Runs of one or two lines go if they hold more than 50 words; short ones stay."""
+    say = lambda x, n: " ".join(f"{x}{k}" for k in range(n))
+    para, two = say("p", 60), f"{say('a', 30)}\n{say('b', 30)}"
+    texts = [para, two, "one\ntwo", para, f"new\n{two}\nend", "one\ntwo", f"{say('a', 30)}\nother"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r["text"], r["n_removed"], r["n_runs"]) for r in linededup.line_deduplicated(df).orderBy("doc_id").collect()]
+    assert got == [(para, 0, 0), (two, 0, 0), ("one\ntwo", 0, 0), ("", 1, 1), ("new\nend", 2, 1), ("one\ntwo", 0, 0), (texts[6], 0, 0)]
+
+
 # ------------------------------------------------------------- 2 substring dedup
 
 
