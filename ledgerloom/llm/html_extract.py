@@ -1,15 +1,18 @@
 """Main text of web pages with a site style tree.
 
 Pages of one host are merged into a tree of style nodes: a node is the path of elements (tag and
-class or id) above a block of text. For each node the tree holds how its content and its
-presentation (the number of blocks under it in a page) vary over the host's pages. Their
-normalised entropies give the node's importance: a branch that says the same on every page has
-importance near 0, an article's paragraphs near 1. Branches of low importance are removed from
-each page. Branches that HTML itself declares not to be content (navigation, forms, scripts, ...,
+class or id) above a block of text. For each node the tree holds how its content (all that a page
+says under it) and its presentation (the number of blocks) vary over the host's pages. Their
+entropies, as shares of what a fixed number of different pages would have, give the node's
+importance: a branch that says the same on every page has importance near 0, an article's
+paragraphs 1, however many pages there are. Branches of low importance are removed from each page. Branches that HTML itself declares not to be content (navigation, forms, scripts, ...,
 or classes and ids that name such parts) are removed at once, also on hosts with too few pages for
 statistics. If a page has an <article> or <main> element, only text within one is content.
 
-Exact copies of a page count once in the statistics, so that a host of copies keeps its articles.
+Pages count once in a node's statistics if their main text is the same: the nodes that are longer
+than it, and not short beside the page's longest. A node without such others counts once for each
+content. A host of copies, under one title or many, thus keeps its articles; so does a page whose
+longest node is not the article (it then keeps that node, too).
 
 Defined results
 ---------------
@@ -19,7 +22,7 @@ Defined results
 * unclosed elements end where HTML ends them, at the latest with the page; a stray end tag is ignored;
 * repeated rows and ids are judged row by row; an empty table gives an empty result;
 * input columns named like a result column are replaced; names that start with an underscore and _host, _paths,
-  _texts, _low, _k1 or _k2 are reserved.
+  _texts, _nodes, _low, _k1 or _k2 are reserved.
 """
 
 from __future__ import annotations
@@ -35,8 +38,10 @@ from pyspark.sql.types import ArrayType, StringType, StructType
 
 from .common import materialize, table
 
-#: Nodes seen on fewer different pages of a host have no reliable entropy and are kept.
+#: Nodes seen on fewer different pages of a host have no reliable entropy and are kept. Entropies are shares of its logarithm.
 MIN_PAGES = 8
+#: Nodes that have at least this share of the longest one's text are a page's main text.
+MAIN_SHARE = 0.25
 #: Nodes below this importance are removed.
 MIN_IMPORTANCE = 0.2
 #: Weight of content against presentation in a node's importance.
@@ -186,40 +191,67 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
     return [(p, t) for p, t, _ in out]
 
 
+def style_nodes(found: list[tuple[str, str]]) -> list[tuple[int, int, int, int]]:
+    """For each node of a page's blocks: its first block's number, and its content, main text and number of different blocks.
+
+    The main text is of the longer nodes with MAIN_SHARE of the longest one's text; without any, the node's own content.
+    """
+    import xxhash
+
+    under: dict[str, tuple[int, dict[str, None]]] = {}
+    for k, (path, said) in enumerate(found):
+        under.setdefault(path, (k, {}))[1][said] = None
+    digest = lambda x: xxhash.xxh3_64_intdigest("\0".join(x).encode("utf-8", "surrogatepass")) - 2**63
+    nodes = sorted((-sum(map(len, said)), path, k, digest(sorted(said)), len(said)) for path, (k, said) in under.items())
+    out, main = [], []
+    for length, path, k, content, n in nodes:
+        out.append((k, content, digest(main) if main else content, n))
+        if length <= MAIN_SHARE * nodes[0][0]:
+            main += (path, str(content))
+    return out
+
+
+_NODE = [("at", "integer"), ("content", "long"), ("main", "long"), ("blocks", "integer")]
+
+
 def parsed(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """The columns of ``pages`` but the html, with ``_host``, ``_paths`` and ``_texts`` (of the blocks that may be content)."""
+    """The columns of ``pages`` but the html, with ``_host``, ``_paths`` and ``_texts`` (of the blocks that may be content) and ``_nodes``."""
     kept = [c for c in pages.columns if c not in ("text", "n_chars", html_col)]
     host = F.lower(F.coalesce(F.regexp_extract(url_col, r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#\s]*)", 1), F.lit("")))
     named = pages.select(*kept, host.alias("_host"), F.col(html_col).alias("_html"))
     strings = pa.list_(pa.string())
+    nodes = pa.list_(pa.struct([(n, {"integer": pa.int32(), "long": pa.int64()}[k]) for n, k in _NODE]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [blocks(page.as_py()) for page in b.column(b.num_columns - 1)]
             paths, texts = (pa.array([[x[k] for x in f] for f in found], strings) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], paths, texts], names=[*kept, "_host", "_paths", "_texts"])
+            style = pa.array([style_nodes(f) for f in found], nodes)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], paths, texts, style], names=[*kept, "_host", "_paths", "_texts", "_nodes"])
 
     schema = StructType([pages.schema[c] for c in kept]).add("_host", "string").add("_paths", ArrayType(StringType())).add("_texts", ArrayType(StringType()))
-    return named.mapInArrow(run, schema)
+    style_type = StructType()
+    for n, k in _NODE:
+        style_type.add(n, k)
+    return named.mapInArrow(run, schema.add("_nodes", ArrayType(style_type)))
 
 
 def low_nodes(found: DataFrame) -> DataFrame:
     """``(_host, path)`` of the style nodes to remove, from the result of :func:`parsed`."""
-    contents = F.transform("_texts", lambda t: F.xxhash64(t))
-    pairs = found.select("_host", F.xxhash64("_paths", "_texts").alias("page"), F.explode(F.arrays_zip(F.col("_paths").alias("path"), contents.alias("content"))).alias("b"))
-    # exact copies of a page, and repeated blocks of one page, fall together here
-    seen = materialize(pairs.select("_host", "page", "b.path", "b.content").distinct(), "html-nodes")
+    each = found.select("_host", "_paths", F.explode("_nodes").alias("n"))
+    pairs = each.select("_host", F.get("_paths", F.col("n.at")).alias("path"), "n.content", "n.main", "n.blocks")
+    # pages of the same main text fall together here
+    seen = materialize(pairs.distinct(), "html-nodes")
     node = ["_host", "path"]
 
-    def entropy(counted: DataFrame, name: str) -> DataFrame:
+    def entropy(value: str) -> DataFrame:
+        counted = seen.groupBy(*node, value).agg(F.count("*").alias("c"))
         total = F.sum("c")
-        return counted.groupBy(*node).agg((F.log(total) - F.sum(F.col("c") * F.log("c")) / total).alias(f"{name}_h"), total.alias(f"{name}_n"))
+        share = F.least(F.lit(1.0), (F.log(total) - F.sum(F.col("c") * F.log("c")) / total) / F.log(F.lit(MIN_PAGES)))
+        return counted.groupBy(*node).agg(share.alias(f"{value}_h"), total.alias(f"{value}_n"))
 
-    content = entropy(seen.groupBy(*node, "content").agg(F.count("*").alias("c")), "content")
-    per_page = seen.groupBy(*node, "page").agg(F.count("*").alias("blocks"))
-    shape = entropy(per_page.groupBy(*node, "blocks").agg(F.count("*").alias("c")), "shape")
-    nodes = content.join(shape, node).filter(F.col("shape_n") >= MIN_PAGES)
-    importance = CONTENT_WEIGHT * F.col("content_h") / F.log("content_n") + (1 - CONTENT_WEIGHT) * F.col("shape_h") / F.log("shape_n")
+    nodes = entropy("content").join(entropy("blocks"), node).filter(F.col("content_n") >= MIN_PAGES)
+    importance = CONTENT_WEIGHT * F.col("content_h") + (1 - CONTENT_WEIGHT) * F.col("blocks_h")
     return nodes.filter(importance < MIN_IMPORTANCE).select(*node)
 
 
@@ -238,7 +270,7 @@ def extracted(pages: DataFrame, html_col: str = "html", url_col: str = "url", br
     pairs = F.arrays_zip(F.col("_paths").alias("p"), F.col("_texts").alias("t"))
     kept = F.filter(pairs, lambda b: ~F.coalesce(F.array_contains("_low", b["p"]), F.lit(False)))
     text = F.array_join(F.transform(kept, lambda b: b["t"]), "\n")
-    return work.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).drop("_host", "_paths", "_texts", "_low", "_k1", "_k2")
+    return work.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).drop("_host", "_paths", "_texts", "_nodes", "_low", "_k1", "_k2")
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

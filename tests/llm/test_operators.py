@@ -240,6 +240,18 @@ def test_html_style_tree(spark, bound):
     assert got[3] == "Story 3 of many" and got[99] == "Call us now\nStory 99 of many" and got[205] == "Call us now\nStory 7 of many"
 
 
+def test_html_same_article_under_many_titles(spark):
+    """On a host of one article's copies, and for headings from a small vocabulary, size of the host does not matter."""
+    body = "".join(f"<p>Paragraph {k} of the article that every page of the host has</p>" for k in range(5))
+    copy = lambda k: f"<body><div class=x1>Call us</div><h1>Title {k}</h1><div class=t>{body}<ul><li>A list in the article, as long as a paragraph of it</ul></div></body>"
+    head = lambda k: f"<body><div class=x1>Call us</div><h2>Section {k % 6}</h2><div class=t><p>Story {k} of so many others</p></div></body>"
+    rows = [(k, "http://one.example/", copy(k)) for k in range(600)] + [(1000 + k, "http://two.example/", head(k)) for k in range(9000)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    for k in (0, 599):
+        assert f"Title {k}" in got[k] and "Paragraph 0" in got[k] and "Paragraph 4" in got[k] and "A list" in got[k]
+    assert got[1007] == "Section 1\nStory 7 of so many others"
+
+
 # ------------------------------------------------------------------ 6 surrogates
 
 
