@@ -7,7 +7,11 @@ entropies, as shares of what a fixed number of different pages would have, give
 importance: a branch that says the same on every page has importance near 0, an article's
 paragraphs 1, however many pages there are. Branches of low importance are removed from each page. Branches that HTML itself declares not to be content (navigation, forms, scripts, ...,
 or classes and ids that name such parts) are removed at once, also on hosts with too few pages for
-statistics. If a page has an <article> or <main> element, only text within one is content.
+statistics. If a page has an <article> or <main> element, only text within one is content. A class,
+id or role names a part if one of its tokens ends in the part's word, fittings such as "list" or
+"box" aside, with no "no", "with", "has" or the like in the token. An element that is removed by
+name gives back the <main> or single <article> in it if the page has no other one with text (beside
+an <article>, the page's other text stays too), and all of them if the page has no other text at all.
 
 Pages count once in a node's statistics if their main text is the same: the nodes that are longer
 than it, and not short beside the page's longest. A node without such others counts once for each
@@ -64,6 +68,13 @@ PARTS = frozenset(
     "gdpr header masthead menu menubar nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related share sharing "
     "sidebar signup social sponsor sponsored subscribe toolbar widget widgets contentinfo complementary search replies responses respond reactions modal overlay alert skip".split()
 )
+#: Words that may follow a part's word in a token that names the part.
+FITTINGS = frozenset(
+    "area author bar block body bottom box btn button buttons card cards col column container content entry feed form group header heading holder icon icons inner item items left "
+    "link links list main media meta module next outer panel post posts prev previous rail results right row section slot stories text title to top unit wrap wrapper zone".split()
+)
+#: Words that make a token say something of the layout instead.
+LAYOUT = frozenset("no not with has have without hide hidden".split())
 #: Parts that may head an article from inside.
 HEADS = frozenset(("header", "banner", "masthead"))
 
@@ -73,31 +84,61 @@ _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _signature(tag: str, attributes: str) -> tuple[str, bool]:
-    """A style node's name, and whether its class, id or role names a part that is not content."""
+def _part_words(value: str) -> set[str]:
+    """The parts that the tokens of a class, id or role name."""
+    found = set()
+    for token in value.split():
+        names = _WORD.findall(_CAMEL.sub(" ", token).lower())
+        if LAYOUT.isdisjoint(names):
+            while len(names) > 1 and names[-1] in FITTINGS and names[-1] not in PARTS:
+                names.pop()
+            if names and names[-1] in PARTS:
+                found.add(names[-1])
+    return found
+
+
+def _signature(tag: str, attributes: str) -> tuple[str, bool, set[str], bool]:
+    """A style node's name; whether its class, id or role names a part that is not content; what class and id name; whether it is hidden."""
     if not attributes or attributes.isspace():
-        return tag, False
-    names, part = [], False
+        return tag, False, set(), False
+    names, part, hits, hidden = [], False, set(), False
     for name, value in _NAMED.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            part = True
+            hidden = True
         elif name in ("class", "id", "role"):
-            words = set(_WORD.findall(_CAMEL.sub(" ", value).lower()))
-            hit = words & PARTS
+            hit = _part_words(value)
             part |= bool(hit)
             if name != "role":
+                hits |= hit
                 names.append(re.sub(r"\d+", "0", value.lower()))
-    return (f"{tag}.{' '.join(names)}" if names else tag), part
+    return (f"{tag}.{' '.join(names)}" if names else tag), part, hits, hidden
 
 
 def blocks(page: str | None) -> list[tuple[str, str]]:
     """``(path, text)`` of the page's blocks that may be content, in page order."""
     if not page:
         return []
-    out: list[tuple[str, str, bool]] = []  # path, text, inside an article or main element
-    stack: list[tuple[str, str, bool]] = []  # tag, path, not content
+    out, lost = _blocks(page, False)
+    beside = False
+    if lost and not any(x[2] for x in out) and (not out or "main" in lost or len(lost) == 1):
+        # the page's article is in an element that goes by its name
+        beside = bool(out) and "main" not in lost
+        out, _ = _blocks(page, True)
+    if any(x[2] for x in out) and not beside:
+        out = [x for x in out if x[2]]
+    return [(p, t) for p, t, _ in out]
+
+
+def _blocks(page: str, rescue: bool) -> tuple[list[tuple[str, str, bool]], list[str]]:
+    """``(path, text, inside an article or main element)`` of the blocks; the outermost such elements within others that go by name.
+
+    With ``rescue`` those elements stay.
+    """
+    out: list[tuple[str, str, bool]] = []
+    stack: list[tuple[str, str, int]] = []  # tag, path, not content: by name 1, by tag 2
     text: list[str] = []
+    lost: list[str] = []
     at, end, inside = 0, len(page), 0
     lower = None
 
@@ -169,12 +210,18 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
                     break
         if tag not in IN_LINE:
             flush()
-        sign, part = _signature(tag, attributes)
-        above = stack[-1] if stack else ("", "", False)
-        heads = tag == "header" or (part and inside and set(_WORD.findall(sign)) & PARTS <= HEADS)
-        gone = above[2] or tag in NOT_CONTENT or (part and not heads) or (heads and not inside)
+        sign, part, hits, hidden = _signature(tag, attributes)
+        above = stack[-1] if stack else ("", "", 0)
+        heads = tag == "header" or ((part or hidden) and inside and hits <= HEADS)
+        named = (part and not heads) or (heads and not inside)
+        gone = max(above[2], 2 if tag in NOT_CONTENT or (hidden and not heads) else 1 if named else 0)
         if tag in ("html", "body"):
-            gone = False
+            gone = 0
+        if tag in ("article", "main") and above[2] == 1 and gone == 1 and not part:
+            if not inside:
+                lost.append(tag)
+            if rescue:
+                gone = 0
         inside += tag in ("article", "main")
         if attributes.endswith("/") and tag in ("svg",):
             continue
@@ -186,9 +233,7 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
     while stack:
         pop()
     flush()
-    if any(x[2] for x in out):
-        out = [x for x in out if x[2]]
-    return [(p, t) for p, t, _ in out]
+    return out, lost
 
 
 def style_nodes(found: list[tuple[str, str]]) -> list[tuple[int, int, int, int]]:

@@ -252,6 +252,27 @@ def test_html_same_article_under_many_titles(spark):
     assert got[1007] == "Section 1\nStory 7 of so many others"
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<div class="content with-sidebar"><p>a</p></div>', ["a"]),
+        ('<article class="post no-sidebar"><p>a</p></article>', ["a"]),
+        ('<div class="has-header"><p>a</p></div><div class="article-share-layout">b</div>', ["a", "b"]),
+        ('<div class="share-buttons">x</div><div id="leftSidebar">x</div><ul class="nav-links"><li>x</ul><div class="comment-list">x</div><p>a</p>', ["a"]),
+        ('<div class="sidebar-right"><div>x</div><main><p>a</p></main></div><div>y</div>', ["a"]),
+        ('<div class="page-header"><article><p>a</p></article></div>', ["a"]),
+        ('<div>a</div><div class="sidebar"><article>b</article></div>', ["a", "b"]),
+        ('<div>a</div><div class="related"><article>x</article><article>x</article></div>', ["a"]),
+        ('<main>a<section id="comments"><article>x</article></section></main>', ["a"]),
+        ('<div class="sidebar"><article>x</article></div><article>a</article>', ["a"]),
+        ('<div>a</div><section id="comments"><article class="comment-body">x</article></section>', ["a"]),
+    ],
+)
+def test_html_names_of_layouts(page, want):
+    """A name that merely mentions a part removes nothing; one that is a part's does, but not the page's article."""
+    assert [t for _, t in html_extract.blocks(page)] == want
+
+
 # ------------------------------------------------------------------ 6 surrogates
 
 
