@@ -11,16 +11,20 @@ from .base import Query
 
 
 def _events(s: SparkSession, d: str) -> DataFrame:
-    return jobs.stream(s, d, "events.parquet", table(s, d, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))  # event time needs an instant
+    return jobs.table_stream(s, f"{d}/events.parquet", table(s, d, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))  # event time needs an instant
+
+
+def _delay(s: SparkSession, d: str, least_days: int) -> str:
+    return jobs.whole_span(table(s, d, "events"), "ts", least_days)
 
 
 def _st1(s: SparkSession, d: str) -> DataFrame:
-    once = jobs.process_once(_events(s, d), [F.col("event_type"), F.col("props")], "ts", "60 days", jobs.work_folder(s, "once"))
+    once = jobs.process_once(_events(s, d), [F.col("event_type"), F.col("props")], "ts", _delay(s, d, 60), jobs.work_folder(s, "once"))
     return once.select("fingerprint", "event_type")
 
 
 def _st2(s: SparkSession, d: str) -> DataFrame:
-    n = jobs.rolling_counts(_events(s, d).filter("event_type = 'error'"), ["user_id"], "ts", "7 days", "1 day", "1 day", jobs.work_folder(s, "rolling"))
+    n = jobs.rolling_counts(_events(s, d).filter("event_type = 'error'"), ["user_id"], "ts", "7 days", "1 day", _delay(s, d, 1), jobs.work_folder(s, "rolling"))
     return n.select("user_id", F.col("window.start").cast("timestamp_ntz").alias("start"), F.col("count").alias("n"))
 
 

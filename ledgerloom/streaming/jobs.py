@@ -22,6 +22,22 @@ def work_folder(spark: SparkSession, label: str) -> str:
     return f"{root}/ledgerloom-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def table_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The Parquet table at ``path``, a single file or a folder of part files, as a stream."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return stream(spark, path, "*", schema)
+    folder, _, name = path.rpartition("/")
+    return stream(spark, folder, name, schema)
+
+
+def whole_span(table: DataFrame, at: str, least_days: int) -> str:
+    """A watermark delay with which no row of ``table`` is late, in whatever order its files come."""
+    instant = F.col(at).cast("timestamp").cast("double")
+    span = table.agg(F.max(instant) - F.min(instant)).first()[0] or 0
+    return f"{max(least_days * 86_400, int(span) + 2)} seconds"
+
+
 def stream(spark: SparkSession, folder: str, pattern: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
     """New Parquet files of a folder."""
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).parquet(folder)

@@ -216,6 +216,25 @@ def test_lines_are_anchored_on_their_first_word(spark):
     assert got == ["w0 w2", "w4 w6"]
 
 
+def test_streams_of_a_folder_in_any_order(spark, tmp_path, monkeypatch):
+    """A table of part files, the latest first and one a batch, gives what the batch read gives."""
+    import functools
+
+    from ledgerloom.catalog import streams
+    from ledgerloom.streaming import jobs
+
+    monkeypatch.setattr(jobs, "stream", functools.partial(jobs.stream, files_per_batch=1))
+    day = lambda k: f"timestamp_ntz '2024-01-01 12:00:00' + interval {k} day"
+    rows = [(1, 7, "error", 300, "p"), (2, 7, "error", 1, "p"), (3, 8, "error", 150, "q"), (4, 8, "view", 2, "q"), (5, 7, "error", 299, "p")]
+    for k, (event, user, kind, d, props) in enumerate(rows):
+        one = spark.sql(f"SELECT {event}L AS event_id, {user}L AS user_id, '{kind}' AS event_type, {day(d)} AS ts, '{props}' AS props")
+        one.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    found = {n: q.run(spark, str(tmp_path)).collect() for n, q in streams.queries().items()}
+    assert sorted((r["event_type"]) for r in found["ST1_process_once"]) == ["error", "error", "view"]
+    assert sum(r["n"] for r in found["ST2_rolling_counts"]) == 4 * 7
+    assert sorted((r["user_id"], r["event_id"]) for r in found["ST3_latest_state"]) == [(7, 1), (8, 3)]
+
+
 def test_streams_go_on_where_they_ended(spark, tmp_path):
     from ledgerloom.streaming import jobs
 
