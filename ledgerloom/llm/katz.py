@@ -1,10 +1,10 @@
 """Katz backoff language model: bigram counts with Good-Turing discounts, exactly normalised.
 
-``P(w | v) = d_r c(v, w) / c(v)`` for bigrams seen at least twice in training; for all others
+``P(w | v) = d_r c(v, w) / c(v)`` for bigrams seen in training (at least ``min_bigram`` times); for all others
 ``alpha(v) P(w)``, where ``alpha(v)`` spreads exactly the mass that the discounts of context ``v``
 leave over the words that did not follow it. ``P(w)`` is the Good-Turing discounted unigram; the
-mass it leaves is that of one unknown token. As Katz proposed, bigrams seen once count as unseen;
-their mass goes to the backoff weights. All counts come from all training documents.
+mass it leaves is that of one unknown token. With ``min_bigram`` 2, as Katz proposed, bigrams seen
+once count as unseen and their mass goes to the backoff weights; the query keeps them. All counts come from all training documents.
 
 A corpus has more n-grams than rows that Spark shuffles well, so that the tables are made of blocks.
 A *batch* is a few thousand documents as word numbers with their vocabulary (hashes of words). It
@@ -38,7 +38,7 @@ from .common import bucketed, materialize, table
 
 #: Counts up to this are discounted.
 K = 7
-#: Bigrams seen less often in training count as unseen.
+#: Bigrams seen less often in training count as unseen, where the caller asks for nothing else.
 MIN_BIGRAM = 2
 #: A batch is closed when it holds so many tokens.
 BATCH_TOKENS = 2_000_000
@@ -165,7 +165,7 @@ RETURNED = "batch long, part int, kind int, a binary, b binary, stats array<long
 _RETURNED = [("batch", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("stats", pa.list_(pa.int64()))]
 
 
-def _add_counts(part: pa.Table) -> pa.Table:
+def _add_counts(part: pa.Table, min_bigram: int) -> pa.Table:
     """Totals for each n-gram sent; for bigrams twice the total, plus 1 for the batch that sums it up, or 0 if seen too seldom."""
     out = []
     rows = part.to_pylist()
@@ -179,7 +179,7 @@ def _add_counts(part: pa.Table) -> pa.Table:
         out.append((None, mine[0]["part"], STATS, None, None, [0] * ((K + 5) * kind) + [int(total.sum()), int((total > 0).sum()), *map(int, histogram)] + [0] * ((K + 5) * (1 - kind))))
         values = spread(total, order, starts)
         if kind == BIGRAMS:
-            values = np.where(values >= MIN_BIGRAM, 2 * values, 0)
+            values = np.where(values >= min_bigram, 2 * values, 0)
             first = order[starts]
             values[first] += values[first] > 0
         for r, v in zip(mine, np.split(values.astype(np.uint64), np.cumsum(lens)[:-1]), strict=True):
@@ -235,20 +235,20 @@ def _totals(batch: Batch, rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.
     return words, pairs >> 1, (pairs & 1).astype(bool)
 
 
-def _contexts(batch: Batch, words: np.ndarray) -> np.ndarray:
+def _contexts(batch: Batch, words: np.ndarray, min_bigram: int) -> np.ndarray:
     """Numbers of the words that stand before another here and may do so in a bigram that is kept, here or elsewhere."""
     v = np.unique(batch.v)
-    return v[(words[v] >= MIN_BIGRAM) | (batch.words[v] == START)]
+    return v[(words[v] >= min_bigram) | (batch.words[v] == START)]
 
 
-def _send_sums(parts: int, discounts: Discounts):
+def _send_sums(parts: int, discounts: Discounts, min_bigram: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         rows = right.to_pylist()
         for row in left.to_pylist():
             batch = Batch(row)
             words, pairs, own = _totals(batch, rows)
-            at = _contexts(batch, words)
+            at = _contexts(batch, words, min_bigram)
             v, n = batch.v[own], len(batch.words)
             mass = np.bincount(v, discounts.kept(pairs[own]), n)[at]
             lower = np.bincount(v, discounts.p_word(words[batch.w[own]]), n)[at]
@@ -267,10 +267,10 @@ def _add_sums(part: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_table(_RETURNED, [(r["batch"], r["part"], SUMS, squeeze(a), squeeze(b), None) for r, a, b in zip(rows, *split, strict=True)])])
 
 
-def log_probabilities(batch: Batch, rows: list[dict], discounts: Discounts) -> tuple[np.ndarray, np.ndarray]:
+def log_probabilities(batch: Batch, rows: list[dict], discounts: Discounts, min_bigram: int) -> tuple[np.ndarray, np.ndarray]:
     """Natural logs of P(w | v) for each of the batch's bigrams; the total counts of its words."""
     words, pairs, _ = _totals(batch, rows)
-    at = _contexts(batch, words)
+    at = _contexts(batch, words, min_bigram)
     c = words[at].astype(float)
     start = np.searchsorted(batch.words, START)
     starts_seen = _returned(rows, STATS, "a", np.uint64, 1)
@@ -293,14 +293,14 @@ def log_probabilities(batch: Batch, rows: list[dict], discounts: Discounts) -> t
     return np.log(p), words
 
 
-def _score(discounts: Discounts, kind: pa.DataType):
+def _score(discounts: Discounts, kind: pa.DataType, min_bigram: int):
     schema = [("doc_id", kind), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows, out = right.to_pylist(), []
         for row in left.to_pylist():
             batch = Batch(row)
-            logs, words = log_probabilities(batch, rows, discounts)
+            logs, words = log_probabilities(batch, rows, discounts, min_bigram)
             first = batch.ends - batch.n_tokens
             base = np.log10((words + 0.5) / (discounts.n + 0.5 * (discounts.types + 1)))
             per_doc = lambda x: np.add.reduceat(x, first)
@@ -311,19 +311,21 @@ def _score(discounts: Discounts, kind: pa.DataType):
     return run
 
 
-def katz_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def katz_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_bigram: int = MIN_BIGRAM) -> DataFrame:
     """For each row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` (log10)."""
+    if min_bigram < 1:
+        raise ValueError("min_bigram must be positive")
     spark = docs.sparkSession
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     batches = bucketed(_batches(docs, text_col, id_col), "batch", "katz-batches")
-    counts = materialize(batches.mapInArrow(_send_counts(parts), SENT).groupBy("part").applyInArrow(_add_counts, RETURNED), "katz-counts")
+    counts = materialize(batches.mapInArrow(_send_counts(parts), SENT).groupBy("part").applyInArrow(lambda part: _add_counts(part, min_bigram), RETURNED), "katz-counts")
     stats = counts.filter(F.col("kind") == STATS).select(F.posexplode("stats").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()  # 2 * (K + 5) numbers
     n = {r["at"]: r["n"] for r in stats}
     discounts = Discounts([n.get(k, 0) for k in range(2 * (K + 5))])
     # training documents, which is how often the start mark was a context; every batch needs it
     learnt = docs.filter(~held_out(F.col(id_col))).count()
     totals = counts.filter("batch is not null").drop("stats")
-    sums = batches.groupBy("batch").cogroup(totals.groupBy("batch")).applyInArrow(_send_sums(parts, discounts), SENT)
+    sums = batches.groupBy("batch").cogroup(totals.groupBy("batch")).applyInArrow(_send_sums(parts, discounts, min_bigram), SENT)
     sums = materialize(sums.groupBy("part").applyInArrow(_add_sums, RETURNED), "katz-sums").drop("stats")
     starts = batches.select("batch", F.lit(0).alias("part"), F.lit(STATS).alias("kind"), F.lit(squeeze(np.array([learnt], np.uint64))).alias("a"), F.lit(None).cast("binary").alias("b"))
     model = totals.unionByName(sums).unionByName(starts)
@@ -332,8 +334,8 @@ def katz_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     from pyspark.sql.pandas.types import to_arrow_type
 
     result = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return small.groupBy("batch").cogroup(model.groupBy("batch")).applyInArrow(_score(discounts, to_arrow_type(kind)), result)
+    return small.groupBy("batch").cogroup(model.groupBy("batch")).applyInArrow(_score(discounts, to_arrow_type(kind), min_bigram), result)
 
 
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return katz_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), min_bigram=1)

@@ -473,6 +473,15 @@ def test_katz(docs, monkeypatch, tokens):
         assert math.isclose(r["base_score"], x[4], rel_tol=1e-9) and math.isclose(r["score"], x[5], rel_tol=1e-9)
 
 
+def test_katz_keeps_single_bigrams(spark, tmp_path):
+    """The query scores a bigram seen once by its Good-Turing discount: d_1 = 2 n_2 / n_1 = 2/3 here."""
+    ids = {h: [k for k in range(100) if (zlib.crc32(str(k).encode()) % 5 == 1) == h] for h in (True, False)}
+    rows = [*zip(ids[False], ["a b", "a b", "c d", "e f", "g h"]), (ids[True][0], "c d")]  # noqa: B905
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["score"] for r in katz.op9_katz(spark, str(tmp_path)).collect()}
+    assert math.isclose(got[ids[True][0]], math.log10(2 / 3 / 5 * 2 / 3 * 2 / 3), rel_tol=1e-9)
+
+
 def test_katz_edges(spark, empty):
     assert katz.katz_scores(empty).count() == 0
     held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 1)
