@@ -1,7 +1,7 @@
 """A corpus pipeline over ``documents``: every stage is written as Parquet and read again by the next.
 
 1. quality rules: documents that the base rules or the learned decision list reject go;
-2. SimHash near-dedup: the document with the smallest id of each component stays;
+2. SimHash near-dedup: one row of each component stays, the smallest by id (null last), then by hashes of text and row;
 3. decontamination: documents that contain too much of the benchmark go;
 4. mixing: each document is taken as often as its source's target asks for (0, 1 or 2 times);
 5. sharding: each row gets the extendible-hashing shard it belongs to.

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import free_name, materialize, table
 from .graph import components
 
 SHINGLE_WORDS = 4
@@ -167,15 +167,20 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(*(np.concatenate(p) for p in zip(*held, strict=True)))
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``(doc_id, fp, component_id)`` for every row of ``docs``; components join over fingerprints within 4 bits."""
-    fps = materialize(fingerprints(docs, text_col, id_col), "simhash-fps")
-    points = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "simhash-points")
+def _groups(points: DataFrame) -> DataFrame:
+    """``points`` (``fp`` once each) with the ``group`` of fingerprints that each is linked to."""
     leaves = _split_large(materialize(_forest(points), "simhash-forest"))
     sorted_leaves = leaves.select("leaf", "fp").repartition("leaf").sortWithinPartitions("leaf")
     links = materialize(sorted_leaves.mapInArrow(_search, "a long, b long").distinct(), "simhash-links")
     of_point = components(links)
-    joined = points.join(of_point, points["fp"] == of_point["node"], "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("group"))
+    return points.join(of_point, points["fp"] == of_point["node"], "left").select(*points.columns, F.coalesce("component", "fp").alias("group"))
+
+
+def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``(doc_id, fp, component_id)`` for every row of ``docs``; components join over fingerprints within 4 bits."""
+    fps = materialize(fingerprints(docs, text_col, id_col), "simhash-fps")
+    points = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "simhash-points")
+    joined = _groups(points)
     # as a table of its own, so that the join can split a large component
     least = materialize(joined.groupBy("group").agg(F.min("doc_id").alias("component_id")), "simhash-least")
     of_fp = joined.join(least, "group").select("fp", "component_id")
@@ -183,10 +188,20 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
 
 def near_deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, one for each id; rows with a null id stay."""
-    keep = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One row of ``docs`` for each component: the smallest by id (null last), then by a hash of the text, then of the row.
+
+    Rows with equal ids are documents of their own.
+    """
+    r1, r2 = (free_name(docs, x) for x in ("_r1", "_r2"))
+    row = [F.struct(F.col(c).isNull(), c) for c in docs.columns]
+    keyed = docs.withColumns({r1: F.xxhash64(*row), r2: F.xxhash64(F.lit("row"), *row)})
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("said"), F.col(r1).alias("r1"), F.col(r2).alias("r2"))
+    fps = materialize(fingerprints(keyed.select(place.alias("doc_id"), "text")), "simhash-fps")
+    points = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-points")
+    least = _groups(points).groupBy("group").agg(F.min("least").alias("least"))
+    keep = materialize(least.select(F.col("least.r1").alias(r1), F.col("least.r2").alias(r2)), "simhash-keep")
+    # rows of one key are equal in every column
+    return keyed.join(keep, [r1, r2], "left_semi").dropDuplicates([r1, r2]).drop(r1, r2)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

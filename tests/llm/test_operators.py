@@ -352,6 +352,15 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_near_dedup_of_rows_with_equal_and_null_ids(spark):
+    """One row of each component stays, whatever the ids are."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (2, b), (2, a), (2, b), (None, a), (None, c), (None, c)]
+    for order in (rows, rows[::-1]):
+        got = simhash.near_deduplicated(spark.createDataFrame(order, "doc_id long, text string").repartition(3)).collect()
+        assert sorted(map(tuple, got), key=str) == sorted([(1, a), (2, b), (None, c)], key=str)
+
+
 @pytest.mark.parametrize("leaf", [2_000, 3])
 def test_simhash_search_is_exact(spark, monkeypatch, leaf):
     monkeypatch.setattr(simhash, "LEAF_ROWS", leaf)
