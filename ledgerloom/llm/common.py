@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in local tests.
+#: Used only by local sessions that name no shared folder, as in tests.
 LOCAL_FALLBACK = "/tmp/checkpoints/ledgerloom"
 
 #: White space that separates words in most contracts: space, tab .. carriage return.
@@ -20,8 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK
+    """The folder that the driver and all executors share; a cluster has to name it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(named or LOCAL_FALLBACK).rstrip('/')}/ledgerloom-{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -31,7 +36,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     consumers read a result that was worked out once.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/ledgerloom-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _note(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -40,11 +46,65 @@ def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     """Like :func:`materialize`, as a table bucketed by ``key``: grouping or joining it by that key needs no shuffle."""
     spark = df.sparkSession
     name = f"ledgerloom_{label.replace('-', '_')}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark).rstrip('/')}/ledgerloom-{spark.sparkContext.applicationId}/{name}"
+    path = f"{shared_dir(spark)}/{name}"
+    _note(path, name)
     df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
+#: Folders and tables written inside each open :func:`settle`, innermost last.
+_OPEN: list[list[tuple[str, str | None]]] = []
+
+
+def _note(path: str, name: str | None = None) -> None:
+    if _OPEN:
+        _OPEN[-1].append((path, name))
+
+
+def settle(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """:func:`materialize` of ``make()``; what ``make`` wrote to the shared folder on the way is deleted once the result is written.
+
+    Elsewhere such tables stay, for whoever still reads the lazy results, until :func:`release`.
+    """
+    _OPEN.append([])
+    spark = None
+    try:
+        df = make()
+        spark = df.sparkSession
+        path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+    finally:
+        written = _OPEN.pop()
+        for at, name in written if spark else ():
+            _delete(spark, at, name)
+    _note(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the folders (or the bucketed table) that ``df``, the result of :func:`materialize` or :func:`bucketed`, reads."""
+    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+    names = {f.rpartition("/")[2] for f in folders}
+    for path in folders:
+        name = path.rpartition("/")[2]
+        _delete(df.sparkSession, path, name if name.startswith("ledgerloom_") and len(names) == 1 else None)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that this application's operators wrote to the shared folder, with the tables that name it."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("ledgerloom_"):
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    _delete(spark, shared_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str, name: str | None = None) -> None:
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` worked out once per row.
 

@@ -1,14 +1,24 @@
-"""SimHash near-duplicates, searched with a forest of vantage-point trees.
-
-Distances from a vantage point to random 64-bit fingerprints lie close to 32, so that one
-tree over whole fingerprints prunes hardly anything at 4 bits. The forest measures the
-distance on bands of bits instead. Of 5 bands, one must agree where at most 4 bits differ:
-in that band's tree the search radius is 0, the triangle bound leaves a single branch at
-every vantage point (the origin and the unit points of the band), and the leaf is named by
-the band's bits. Leaves above a size are split by the 5 sub-bands of their other bits in the
-same way. Inside a leaf the distance to one more vantage point, over whole fingerprints,
-prunes by the triangle bound: only pairs whose distances to it differ by 4 at most, across
-shard boundaries as well, are compared exactly.
+"""SimHash near-duplicates, searched with vantage-point trees.
+
+Distances from a vantage point to random 64-bit fingerprints lie close to 32, so that a tree over whole
+fingerprints prunes hardly anything at 4 bits. The trees therefore measure the distance on three bands of
+21, 21 and 22 bits: two fingerprints within 4 bits are within 1 in the first band, or within 1 in the
+second, or equal in the third (else they differed in 2 + 2 + 1 bits). Each band has one tree, searched
+with that radius.
+
+A node of a tree holds a vantage point and the median distance to it; nearer fingerprints go to the left,
+the others to the right, down to leaves, which are the shards. A fingerprint is at home in one leaf. The
+triangle bound says on which side of a node its neighbours can be: where its ball overlaps the boundary,
+it goes down both ways, and is a guest in the leaves it touches beyond its own. A pair meets in the leaf
+where one of the two is at home and the other is, too, or is a guest; only leaves after one's own need to
+be visited, since each pair has a later home. Within a leaf the distance to one more vantage point, over
+all 64 bits, prunes again by the triangle bound; what is left is compared exactly.
+
+The trees are grown from a sample: about SAMPLE_PER_LEAF fingerprints for each leaf of LEAF_ROWS, chosen by
+a hash, MAX_SAMPLE at most (8 MB on the driver; its nodes are broadcast, 9 bytes each). The sample shapes
+the leaves only; every fingerprint is at home in one. Leaves that turn out above MAX_LEAF rows, as those of
+many near copies do, are cut into blocks by the distance to a vantage point, and pairs of blocks that the
+triangle bound cannot exclude are rows of their own, so that no task has to hold a large leaf.
 
 Defined results
 ---------------
@@ -23,6 +33,7 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +46,18 @@ from .graph import components
 SHINGLE_WORDS = 4
 MAX_BITS = 4
 SEED = 42
-#: Leaves with more fingerprints are split by sub-bands.
+#: (shift, width, radius) of the bands; the radii and one for each band sum to more than MAX_BITS.
+BANDS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
+#: Fingerprints that a leaf holds on average.
 LEAF_ROWS = 2_000
-#: Rows of a leaf that are compared with others at once.
-BLOCK = 1_024
+SAMPLE_PER_LEAF = 8
+#: Fingerprints of the sample at most, whatever the corpus.
+MAX_SAMPLE = 1_000_000
+#: Rows of a leaf, guests included, that one task takes at once; larger leaves are cut into blocks.
+MAX_LEAF = 40_000
+BLOCK_ROWS = 8_192
+#: Rows that are compared with others at once.
+CHUNK = 1_024
 
 
 def fingerprint(text: str | None) -> int:
@@ -73,106 +92,190 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def _bands(width: int, first: int = 0) -> list[tuple[int, int]]:
-    """(shift, width) of the bands that split ``width`` bits from bit ``first`` as evenly as can be."""
-    cuts = [first + width * k // (MAX_BITS + 1) for k in range(MAX_BITS + 2)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
-def _band_value(shift: int, width: int) -> str:
-    return f"shiftrightunsigned(fp, {shift}) & {(1 << width) - 1}L"
+# ------------------------------------------------------------------ the trees
+
+
+@dataclass
+class Tree:
+    """A vantage-point tree of one band. Inner node k has children 2k + 1 (nearer) and 2k + 2; ``depth`` levels of inner nodes."""
+
+    shift: int
+    width: int
+    radius: int
+    depth: int
+    vantage: np.ndarray
+    median: np.ndarray
+
+    def distance(self, fp: np.ndarray, node: np.ndarray) -> np.ndarray:
+        x = ((fp ^ self.vantage[node]) >> np.uint64(self.shift)) & np.uint64((1 << self.width) - 1)
+        return np.bitwise_count(x).astype(np.int16)
+
+    def leaves(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(row, leaf, guest)``: each fingerprint's home, and the later leaves that its ball touches."""
+        home = np.zeros(len(fp), np.int64)
+        row, node = np.arange(len(fp)), np.zeros(len(fp), np.int64)
+        for _ in range(self.depth):
+            home = 2 * home + 1 + (self.distance(fp, home) > self.median[home])
+            d, m = self.distance(fp[row], node), self.median[node]
+            near, far = d - self.radius <= m, d + self.radius > m
+            row, node = np.concatenate((row[near], row[far])), np.concatenate((2 * node[near] + 1, 2 * node[far] + 2))
+            # what lies left of the path home leads to earlier leaves only
+            later = node >= home[row]
+            row, node = row[later], node[later]
+        return row, node, node != home[row]
+
+
+def grow(sample: np.ndarray, shift: int, width: int, radius: int, depth: int) -> Tree:
+    """A tree from a sample of fingerprints: of a node's sample, the vantage point is the one that spreads the others most."""
+    size = (1 << depth) - 1
+    tree = Tree(shift, width, radius, depth, np.zeros(size, np.uint64), np.full(size, 64, np.int16))
+    of = [sample]
+    for k in range(size):
+        here, of[k] = of[k], None
+        below = (here, here[:0])
+        if len(here):
+            tries = here[np.linspace(0, len(here) - 1, min(8, len(here))).astype(int)]
+            mask = np.uint64(((1 << width) - 1) << shift)
+            away = np.bitwise_count((here[None, :] ^ tries[:, None]) & mask).astype(np.int16)
+            best = int(np.argmax(away.var(axis=1)))
+            tree.vantage[k] = tries[best]
+            # of the two cuts beside the median, the more even one
+            d = away[best]
+            middle = int(np.median(d))
+            cut = min((middle, max(0, middle - 1)), key=lambda m: abs(int((d <= m).sum()) * 2 - len(d)))
+            tree.median[k] = cut
+            below = (here[d <= cut], here[d > cut])
+        if 2 * k + 2 < size:
+            of += below
+    return tree
+
+
+def _trees(points: DataFrame) -> list[Tree]:
+    n = points.count()
+    depth = max(0, (n // LEAF_ROWS).bit_length())
+    want = min(MAX_SAMPLE, SAMPLE_PER_LEAF << depth) if depth else 0
+    depth = min(depth, max(0, (want // SAMPLE_PER_LEAF).bit_length() - 1))
+    chosen = points.filter(F.pmod(F.xxhash64("fp", F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, want / n))).select("fp") if depth else points.limit(0).select("fp")
+    sample = np.array(sorted(r["fp"] for r in chosen.collect()), np.int64).view(np.uint64)  # about SAMPLE_PER_LEAF / LEAF_ROWS of all, at most MAX_SAMPLE
+    return [grow(sample, *band, depth) for band in BANDS]
+
+
+def shards(points: DataFrame) -> DataFrame:
+    """``(leaf, guest, fp)`` of all trees' leaves."""
+    trees = points.sparkSession.sparkContext.broadcast(_trees(points))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = b.column(0).to_numpy().view(np.uint64)
+            for k, tree in enumerate(trees.value):
+                row, leaf, guest = tree.leaves(fp)
+                yield pa.RecordBatch.from_arrays([pa.array((leaf << 2) | k), pa.array(guest), pa.array(fp[row].view(np.int64))], names=["leaf", "guest", "fp"])
 
-def _forest(points: DataFrame) -> DataFrame:
-    """``(leaf, fp)``: every fingerprint once in each band's tree."""
-    keys = [F.xxhash64(F.lit(k), F.expr(_band_value(*band))).alias(f"k{k}") for k, band in enumerate(_bands(64))]
-    return points.select("fp", F.posexplode(F.array(*keys)).alias("band", "leaf"))
+    return points.select("fp").mapInArrow(run, "leaf long, guest boolean, fp long")
 
 
-def _split_large(leaves: DataFrame) -> DataFrame:
-    """Leaves above LEAF_ROWS, split by the sub-bands of the bits outside their band."""
-    sizes = leaves.groupBy("leaf").count().filter(F.col("count") > LEAF_ROWS).select("leaf", F.lit(True).alias("large"))
-    marked = leaves.join(sizes, "leaf", "left")
-    subs = []
-    for k, (shift, width) in enumerate(_bands(64)):
-        # the other bits, moved together, then cut into bands
-        rest = f"((shiftrightunsigned(fp, {shift + width}) << {shift}) | (fp & {(1 << shift) - 1}L))" if shift + width < 64 else f"(fp & {(1 << shift) - 1}L)"
-        values = [f"xxhash64(leaf, {j}, shiftrightunsigned({rest}, {s}) & {(1 << w) - 1}L)" for j, (s, w) in enumerate(_bands(64 - width))]
-        subs.append(f"WHEN {k} THEN array({', '.join(values)})")
-    split = F.expr(f"CASE WHEN large THEN CASE band {' '.join(subs)} END ELSE array(leaf) END")
-    return marked.select("fp", F.explode(split).alias("leaf"))
+# ------------------------------------------------------------ inside the leaves
 
 
-def link_leaf(fp: np.ndarray) -> np.ndarray:
-    """For each of a leaf's fingerprints, the index of the smallest one in its component within the leaf.
+def link_leaf(fp: np.ndarray, guest: np.ndarray) -> np.ndarray:
+    """For each of a leaf's fingerprints, the index of a representative of its component within the leaf.
 
-    Sorted by the distance to a vantage point, so that the triangle bound cuts the blocks to compare.
+    Pairs of guests are left out: they meet elsewhere. Sorted by the distance to a vantage point, so that
+    the triangle bound cuts the chunks to compare; each pair of chunks is looked at once.
     """
-    n = len(fp)
     d = np.bitwise_count(fp ^ fp[0])
-    order = np.argsort(d, kind="stable")
-    x, d = fp[order], d[order].astype(np.int16)
-    label = np.arange(n)
-    spans = [(a, min(a + BLOCK, n)) for a in range(0, n, BLOCK)]
-    pairs = [(a, b, np.searchsorted(d[:b], d[a] - MAX_BITS)) for a, b in spans]
-    while True:
-        before = label.copy()
-        for a, b, low in pairs:
-            for c in range(int(low), b, BLOCK):
-                e = min(c + BLOCK, b)
-                i, j = np.nonzero(np.bitwise_count(x[a:b, None] ^ x[None, c:e]) <= MAX_BITS)
-                i, j = i + a, j + c
-                m = np.minimum(label[i], label[j])
-                np.minimum.at(label, i, m)
-                np.minimum.at(label, j, m)
-        while (label != label[label]).any():
-            label = label[label]
-        if n <= BLOCK and (before == label).all() or (before == label).all():
-            break
+    order = np.lexsort((guest, d))
+    x, d, g = fp[order], d[order].astype(np.int16), guest[order]
+    n = len(x)
+    root = np.arange(n)
+    for a in range(0, n, CHUNK):
+        b = min(a + CHUNK, n)
+        for c in range(int(np.searchsorted(d, d[a] - MAX_BITS)) // CHUNK * CHUNK, b, CHUNK):
+            e = min(c + CHUNK, b)
+            i, j = np.nonzero(np.bitwise_count(x[a:b, None] ^ x[None, c:e]) <= MAX_BITS)
+            i, j = i + a, j + c
+            ok = (i > j) & ~(g[i] & g[j])
+            i, j = i[ok], j[ok]
+            while len(i):
+                p, q = root[i], root[j]
+                np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+                while (root != root[root]).any():
+                    root = root[root]
+                open_ = root[i] != root[j]
+                i, j = i[open_], j[open_]
     out = np.empty(n, np.int64)
-    least = np.full(n, n)
-    np.minimum.at(least, label, order)
-    out[order] = least[label]
+    out[order] = order[root]
     return out
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by leaf; gives links that span each leaf's components."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    """Rows (leaf, guest, fp) sorted by leaf, each of which fits a task; gives links that span each leaf's components."""
+    held: list[tuple[np.ndarray, ...]] = []
 
-    def flush(leaf: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    def flush() -> pa.RecordBatch:
+        leaf, guest, fp = (np.concatenate(p) for p in zip(*held, strict=True))
+        held.clear()
         starts = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1])))
-        a, b = [], []
+        a, b = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
         for s, e in zip(starts, np.append(starts[1:], len(leaf)), strict=True):
             if e - s > 1:
                 x = fp[s:e]
-                to = link_leaf(x)
-                i = np.flatnonzero(to != np.arange(e - s))
+                to = link_leaf(x, guest[s:e])
+                i = np.flatnonzero(x != x[to])
                 a.append(x[i])
                 b.append(x[to[i]])
-        make = lambda p: pa.array((np.concatenate(p) if p else np.empty(0, np.uint64)).view(np.int64))
-        return pa.RecordBatch.from_arrays([make(a), make(b)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(p).view(np.int64)) for p in (a, b)], names=["a", "b"])
 
     for batch in batches:
-        leaf, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        leaf, guest, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
         if not len(leaf):
             continue
         cut = int(np.searchsorted(leaf, leaf[-1]))  # the last leaf may go on in the next batch
         if cut:
-            held.append((leaf[:cut], fp[:cut].view(np.uint64)))
-            yield flush(*(np.concatenate(p) for p in zip(*held, strict=True)))
-            held = []
-        held.append((leaf[cut:], fp[cut:].view(np.uint64)))
+            held.append((leaf[:cut], guest[:cut], fp[:cut].view(np.uint64)))
+            yield flush()
+        held.append((leaf[cut:], guest[cut:], fp[cut:].view(np.uint64)))
     if held:
-        yield flush(*(np.concatenate(p) for p in zip(*held, strict=True)))
+        yield flush()
+
+
+def _searched(rows: DataFrame) -> DataFrame:
+    return rows.select("leaf", "guest", "fp").repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_search, "a long, b long")
+
+
+def _block_pairs(rows: DataFrame, vantage: DataFrame) -> DataFrame:
+    """The rows of large leaves once for each pair of blocks that they are in; the pair is their new leaf.
+
+    Blocks hold rows of one distance to the leaf's vantage point. Blocks whose distances differ by more
+    than MAX_BITS cannot hold a pair.
+    """
+    d = F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage")))
+    placed = materialize(rows.join(vantage, "leaf").select("leaf", "guest", "fp", d.alias("d")), "simhash-large")
+    sizes = placed.groupBy("leaf", "d").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    placed = placed.join(sizes, ["leaf", "d"]).withColumn("s", F.pmod(F.xxhash64("fp", F.lit("block")), F.col("blocks")).cast("int")).drop("blocks")
+    block = sizes.select("leaf", "d", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("s"))
+    other = block.select("leaf", F.col("d").alias("d2"), F.col("s").alias("s2"))
+    after = (F.col("d2") > F.col("d")) | ((F.col("d2") == F.col("d")) & (F.col("s2") >= F.col("s")))
+    pairs = block.join(other, "leaf").filter(after & (F.col("d2") - F.col("d") <= MAX_BITS))
+    pairs = materialize(pairs.withColumn("pair", F.xxhash64("leaf", "d", "s", "d2", "s2")), "simhash-blocks")
+    first = pairs.select("leaf", "d", "s", "pair")
+    second = pairs.filter((F.col("d") != F.col("d2")) | (F.col("s") != F.col("s2"))).select("leaf", F.col("d2").alias("d"), F.col("s2").alias("s"), "pair")
+    return placed.join(first.union(second), ["leaf", "d", "s"]).select(F.col("pair").alias("leaf"), "guest", "fp")
+
+
+def links(points: DataFrame) -> DataFrame:
+    """``(a, b)``: links within MAX_BITS that span the components of ``points`` (``fp`` once each)."""
+    rows = materialize(shards(points), "simhash-shards")
+    large = materialize(rows.groupBy("leaf").agg(F.count("*").alias("n"), F.min("fp").alias("vantage")).filter(F.col("n") > MAX_LEAF).drop("n"), "simhash-large-leaves")
+    out = _searched(rows.join(large, "leaf", "left_anti"))
+    if not large.isEmpty():
+        out = out.union(_searched(_block_pairs(rows, large)))
+    return materialize(out.distinct(), "simhash-links")
 
 
 def _groups(points: DataFrame) -> DataFrame:
     """``points`` (``fp`` once each) with the ``group`` of fingerprints that each is linked to."""
-    leaves = _split_large(materialize(_forest(points), "simhash-forest"))
-    sorted_leaves = leaves.select("leaf", "fp").repartition("leaf").sortWithinPartitions("leaf")
-    links = materialize(sorted_leaves.mapInArrow(_search, "a long, b long").distinct(), "simhash-links")
-    of_point = components(links)
+    of_point = components(links(points))
     return points.join(of_point, points["fp"] == of_point["node"], "left").select(*points.columns, F.coalesce("component", "fp").alias("group"))
 
 

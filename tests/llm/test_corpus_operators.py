@@ -361,18 +361,22 @@ def test_near_dedup_of_rows_with_equal_and_null_ids(spark):
         assert sorted(map(tuple, got), key=str) == sorted([(1, a), (2, b), (None, c)], key=str)
 
 
-@pytest.mark.parametrize("leaf", [2_000, 3])
-def test_simhash_search_is_exact(spark, monkeypatch, leaf):
-    monkeypatch.setattr(simhash, "LEAF_ROWS", leaf)
+@pytest.mark.parametrize(("leaf", "most", "block"), [(2_000, 40_000, 8_192), (3, 40_000, 8_192), (20, 10, 4)])
+def test_simhash_search_is_exact(spark, monkeypatch, leaf, most, block):
+    """Whole leaves, deep trees with guests, and large leaves in pairs of blocks find the same components."""
+    for name, value in (("LEAF_ROWS", leaf), ("MAX_LEAF", most), ("BLOCK_ROWS", block)):
+        monkeypatch.setattr(simhash, name, value)
     rng = random.Random(5)
     fps = [rng.getrandbits(64) for _ in range(60)]
     for f in fps[:40]:
         for _ in range(4):
             fps.append(f ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 8))))
+    fps += [fps[0] ^ (1 << a) ^ (1 << b) for a in range(8) for b in range(30, 38)]  # one dense group
     fps = sorted(set(fps))
     points = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in fps], "fp long")
-    links = simhash._split_large(simhash._forest(points)).select("leaf", "fp").repartition("leaf").sortWithinPartitions("leaf").mapInArrow(simhash._search, "a long, b long")
-    label = {r["node"] % 2**64: r["component"] for r in graph.components(links).collect()}
+    links = simhash.links(points).collect()
+    assert all(bin((r["a"] ^ r["b"]) % 2**64).count("1") for r in links)
+    label = {r["node"] % 2**64: r["component"] for r in graph.components(simhash.links(points)).collect()}
     comp = brute_components(fps, lambda a, b: bin(a ^ b).count("1") <= 4)
     groups, want = collections.defaultdict(set), collections.defaultdict(set)
     for k, f in enumerate(fps):
@@ -381,6 +385,25 @@ def test_simhash_search_is_exact(spark, monkeypatch, leaf):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_vantage_point_trees_have_a_home_and_every_neighbour():
+    """Each fingerprint has one home; of a pair within the band's radius, one is a guest in the other's home, or shares it."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    fp = rng.integers(0, 1 << 64, 3000, dtype=np.uint64)
+    fp[1500:] = fp[:1500] ^ (np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64))
+    for band in simhash.BANDS:
+        tree = simhash.grow(fp[::3], *band, 6)
+        row, leaf, guest = tree.leaves(fp)
+        home = dict(zip(row[~guest].tolist(), leaf[~guest].tolist(), strict=True))
+        assert sorted(home) == list(range(3000)) and (~guest).sum() == 3000
+        at = set(zip(row.tolist(), leaf.tolist(), strict=True))
+        mask = ((1 << band[1]) - 1) << band[0]
+        for k in range(1500):
+            if bin(int(fp[k] ^ fp[k + 1500]) & mask).count("1") <= band[2]:
+                assert (k, home[k + 1500]) in at or (k + 1500, home[k]) in at
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 1001), (1001, 1000)], "a long, b long")
     got = {r["node"]: r["component"] for r in graph.components(links).collect()}

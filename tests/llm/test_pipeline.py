@@ -4,7 +4,7 @@ import collections
 
 import pytest
 
-from test_operators import awkward, brute_components, brute_fingerprint, brute_stats, words  # noqa: F401
+from test_corpus_operators import awkward, brute_components, brute_fingerprint, brute_stats, words  # noqa: F401
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
