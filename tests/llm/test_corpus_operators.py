@@ -75,6 +75,16 @@ def test_line_dedup(docs, n):
     assert got == want
 
 
+def test_maximal_runs_are_longest_common_prefixes(spark):
+    """A head's run is as long as what it and its partner share, neither shorter nor cut to a power of two."""
+    a = [f"line {k}" for k in range(40)]
+    texts = [a, ["x", *a[3:24], "y"], ["z", *a[30:], "w"], [*a[:5], "u", *a[4:9]]]
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    of = {tuple(r): i for i, r in enumerate(df.select(*linededup._row_keys(F.col("doc_id"), F.col("text"))).collect())}
+    got = sorted((of[r["r1"], r["r2"]], r["k"], r["n"]) for r in linededup.maximal_runs(df).collect())
+    assert got == [(1, 1, 21), (2, 1, 10), (3, 0, 5), (3, 6, 5)]
+
+
 def test_line_dedup_repeated_rows_and_null_ids(spark, empty):
     df = spark.createDataFrame([(None, "a\nb\nc", 1), (None, "a\nb\nc", 2), (4, "a\nb\nc", 3), (4, "a\nb\nc", 3)], "doc_id long, text string, n_runs int")
     got = sorted((r["doc_id"] is None, r["text"]) for r in linededup.line_deduplicated(df).collect())
