@@ -441,15 +441,18 @@ def test_decontamination(spark, docs, empty, monkeypatch):
                     hit |= set(range(k, k + n))
                     its |= windows[x] - {None}
         want[i] = (len(ws), len(hit), len(its), hashlib.sha256(",".join(sorted(map(str, its))).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(ws))
-    for size in (1 << 24, 100):  # one slice of the benchmark, and several
-        monkeypatch.setattr(decontaminate, "SLICE_BYTES", size)
-        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.contamination(docs, bench).collect()}
+    monkeypatch.setattr(decontaminate, "CHUNK_WORDS", 1000)
+    for bound in (decontaminate.BROADCAST_BYTES, -1):  # windows in memory, and in tables
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.contamination(docs, bench, broadcast_bytes=bound).collect()}
         assert got == want
-    clash = docs.withColumn("n_hit", F.lit("mine"))
+    clash = docs.withColumns({"n_hit": F.lit("mine"), "_kept_n_hit": F.lit(1), "row": F.lit(2)})
     out = decontaminate.decontaminated(clash, bench)
     assert out.columns == clash.columns and {r["doc_id"] for r in out.collect()} == {i for i, x in want.items() if not x[4]}
-    assert decontaminate.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
-    assert decontaminate.contamination(empty, bench).count() == 0
+    twice = docs.filter("doc_id = 20").union(docs.filter("doc_id = 20"))
+    for bound in (decontaminate.BROADCAST_BYTES, -1):
+        assert decontaminate.contamination(docs, bench.limit(0), broadcast_bytes=bound).filter("contaminated").count() == 0
+        assert decontaminate.contamination(empty, bench, broadcast_bytes=bound).count() == 0
+        assert [r["n_hit"] for r in decontaminate.contamination(twice, bench, broadcast_bytes=bound).collect()] == [want[20][1]] * 2
 
 
 # ----------------------------------------------------------------------- 9 Katz
