@@ -574,6 +574,47 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def brute_tilt(sizes, target, most=2.0):
+    """By bisection: the tilt with which the sizes, each at rate min(most, exp(tilt * size)), sum to the target."""
+    low, high = -700.0, math.log(most)
+    for _ in range(200):
+        tilt = (low + high) / 2
+        if sum(n * min(most, math.exp(tilt * n)) for n in sizes if n) < target:
+            low = tilt
+        else:
+            high = tilt
+    return tilt
+
+
+def test_mixing_rates_solve_the_dual(spark):
+    """Rates are the entropy-balanced ones: exponential in the size, at the bound where that is beyond it."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 400)), "abcde"[rng.randrange(5) if i % 3 else 1]) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = collections.defaultdict(list)
+    for r in rows:
+        sizes[r[2]].append(len(r[1].split()))
+    target = brute_targets({s: sum(x) for s, x in sizes.items()})
+    tilt = {s: brute_tilt(x, target[s]) for s, x in sizes.items() if target[s] < 2 * sum(x)}
+    assert len(tilt) > 2 and min(tilt.values()) < 0 < max(tilt.values())
+    for r in mixing.mix(df).collect():
+        s = rows[r["doc_id"]][2]
+        want = 0.0 if not r["size"] else min(2.0, math.exp(tilt[s] * r["size"])) if s in tilt else 2.0
+        assert math.isclose(r["rate"], want, rel_tol=1e-6), (s, r)
+
+
+def test_mixing_of_awkward_rows(spark):
+    """Repeated rows, null ids and columns with clashing names."""
+    rows = [(1, "a b c", "x", 1, 2)] * 3 + [(None, "d e", "x", 1, 2), (None, "f g h i", None, 1, 2), (None, "d e", "y", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int, _copies int")
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns and set(map(tuple, out.collect())) <= set(rows)
+    taken = collections.Counter()
+    for r in mixing.mix(df).collect():
+        taken[r["key"]] += r["taken"]
+    assert len(mixing.mix(df).collect()) == 6 and taken["n"] <= 8
+
+
 def test_mixing_comes_near(spark):
     rng = random.Random(9)
     rows = [(i, " ".join(["w"] * int(rng.paretovariate(1.1) * 20)), f"s{rng.randrange(5)}" if i % 3 else "hot") for i in range(1500)]
