@@ -14,7 +14,7 @@ def squeeze(a: np.ndarray) -> bytes:
     """An array, byte plane by byte plane, compressed."""
     import zstandard
 
-    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 

@@ -1,23 +1,28 @@
-"""Katz backoff language model: bigram counts with Good-Turing discounts, exactly normalised.
-
-``P(w | v) = d_r c(v, w) / c(v)`` for bigrams seen in training (at least ``min_bigram`` times); for all others
-``alpha(v) P(w)``, where ``alpha(v)`` spreads exactly the mass that the discounts of context ``v``
-leave over the words that did not follow it. ``P(w)`` is the Good-Turing discounted unigram; the
-mass it leaves is that of one unknown token. With ``min_bigram`` 2, as Katz proposed, bigrams seen
-once count as unseen and their mass goes to the backoff weights; the query keeps them. All counts come from all training documents.
-
-A corpus has more n-grams than rows that Spark shuffles well, so that the tables are made of blocks.
-A *batch* is a few thousand documents as word numbers with their vocabulary (hashes of words). It
-sends the n-grams it has, sorted by hash and cut into *parts* of the hash range, with its own counts
-added up; a part adds up what all batches sent, and returns the totals in the order it got them. A
-hot word or bigram thus reaches its part once per batch. Two such exchanges make the model (counts,
-then the sums that normalise a context); scoring joins their tables to the batches.
+"""Katz backoff language model: Good-Turing discounted n-gram counts, exactly normalised, evaluated recursively.
+
+With a context ``h`` of ``m - 1`` words seen in training, ``P(w | h) = d_r c(h, w) / c(h)`` for n-grams seen
+``r`` times, ``alpha(h) P(w | h')`` for all others, ``h'`` being ``h`` without its first word; a context never
+seen is shortened at once. ``alpha(h)`` spreads exactly the mass that the discounts of ``h`` leave over the
+words that did not follow it. The order is three unless the caller asks for another. ``P(w)`` is the
+Good-Turing discounted unigram; the mass it leaves is shared by the words not yet seen, whose number is
+estimated from the words seen once and twice (``n_1^2 / 2 n_2``), so that an unknown word has about the
+probability of one seen once and discounted. All counts come from all training documents, single ones included.
+
+A corpus has more n-grams than rows that Spark shuffles well, so that the tables are made of blocks. A
+*batch* is some thousand documents as word numbers with their vocabulary (hashes of words). For each order it
+sends its n-grams, grouped by context, to *parts* of the hash range of contexts, with its own counts and the
+lower order's probabilities; a part adds up what all batches sent, and returns the totals, and for each
+context the number of followers by their count and the lower-order probability that they cover, from which
+the weights follow once the order's discounts are known. N-grams of contexts that no other batch has are not
+sent; which those are, the exchange of the order below tells. Parts follow the data: each gets about PART_TOKENS tokens' n-grams. The
+n-grams of a context seen more than HOT_TOKENS times are dealt out by their own hash instead; the sums of
+these contexts (one for each HOT_TOKENS tokens at most) are added up in Spark and broadcast.
 
 Defined results
 ---------------
-* null or empty text is the one token "end"; the first token follows a start mark;
+* null or empty text is the one token "end"; the first token follows a start mark, the second the mark and it;
 * a null id is trained on and scored, ids may repeat: each row is a document of its own;
-* a context with no mass left for backing off gets half a count's worth, taken evenly from its bigrams;
+* a context with no mass left for backing off gets half a count's worth, taken evenly from its n-grams;
 * a corpus without training documents gives every token the probability of the unknown one;
 * an empty table gives an empty result; other columns of the input are not read.
 """
@@ -27,6 +32,7 @@ from __future__ import annotations
 import itertools
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +44,18 @@ from .common import bucketed, materialize, table
 
 #: Counts up to this are discounted.
 K = 7
-#: Bigrams seen less often in training count as unseen, where the caller asks for nothing else.
-MIN_BIGRAM = 2
+ORDER = 3
 #: A batch is closed when it holds so many tokens.
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 1_200_000
+#: Tokens whose n-grams one part adds up on average at most.
+PART_TOKENS = 2_000_000
+#: Contexts seen more often are dealt out over all parts.
+HOT_TOKENS = 8_000_000
 START, END = np.uint64(1), np.uint64(2)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
-WORDS, BIGRAMS, STATS, SUMS = 0, 1, 2, 3
+#: What a row of the exchange is: a block of contexts by their own hash, one of hot contexts, sums of hot contexts, counts of counts.
+PLAIN, HOT, SUMS, STATS = 0, 1, 2, 3
 
 
 def held_out(doc_id: Column) -> Column:
@@ -53,6 +63,15 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of an n-gram, from its context's and its last word's."""
+    x = a * _A + b * _B
+    x ^= x >> np.uint64(29)
+    x *= _C
+    x ^= x >> np.uint64(32)
+    return x
+
+
 # ---------------------------------------------------------------- batches
 
 BATCHES = "batch long, docs array<{kind}>, held array<boolean>, n_tokens array<int>, vocabulary binary, tokens binary"
@@ -108,234 +127,399 @@ def _batches(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return read.mapInArrow(run, BATCHES.format(kind=kind))
 
 
-class Batch:
-    """A batch's tokens and its n-grams in the order of their hashes."""
+@dataclass
+class Level:
+    """A batch's n-grams of one order, sorted by context and word; single words by hash.
 
-    def __init__(self, row: dict) -> None:
-        self.docs, self.held, self.n_tokens = row["docs"], np.array(row["held"], bool), np.array(row["n_tokens"], np.int64)
-        self.words = sorted_in(row["vocabulary"])
-        t = unsqueeze(row["tokens"], np.uint32).astype(np.uint64)
-        self.ends = np.cumsum(self.n_tokens)
-        before = np.empty_like(t)
-        before[1:] = t[:-1]
-        before[self.ends - self.n_tokens] = np.searchsorted(self.words, START)
-        pairs, at = np.unique(before * np.uint64(len(self.words)) + t, return_inverse=True)
-        self.tokens = t.astype(np.int64)
-        v, w = np.divmod(pairs, np.uint64(len(self.words)))
-        x = self.words[v.astype(np.int64)] * _A + self.words[w.astype(np.int64)] * _B
-        x ^= x >> np.uint64(29)
-        x *= _C
-        x ^= x >> np.uint64(32)
-        order = np.argsort(x)
-        self.bigrams, self.v, self.w = x[order], v[order].astype(np.int64), w[order].astype(np.int64)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.bigram_of = place[at]
-
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Training counts of the words and bigrams."""
-        learn = np.repeat(~self.held, self.n_tokens)
-        return tuple(np.bincount(x[learn], minlength=n) for x, n in ((self.tokens, len(self.words)), (self.bigram_of, len(self.bigrams))))
+    ``ctx`` numbers contexts in the order of their hashes, ``low`` the n-grams of the order below in theirs.
+    """
 
+    count: np.ndarray  # in the batch's training documents
+    of: np.ndarray  # the n-gram that ends at each token; -1 where the document has begun too late
+    ctx: np.ndarray
+    word: np.ndarray
+    low: np.ndarray
+    rank: np.ndarray  # place by hash
+    keys: np.ndarray  # sorted hashes
 
-SENT = "part int, batch long, kind int, keys binary, a binary, b binary"
 
+class Batch:
+    """A batch's tokens and n-grams up to an order."""
 
-def _table(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, schema, strict=True)], names=[n for n, _ in schema])
+    def __init__(self, row: dict, order: int) -> None:
+        self.number, self.docs, self.held, self.n_tokens = row["batch"], row["docs"], np.array(row["held"], bool), np.array(row["n_tokens"], np.int64)
+        self.words = sorted_in(row["vocabulary"])
+        self.tokens = unsqueeze(row["tokens"], np.uint32).astype(np.int64)
+        self.first = np.cumsum(self.n_tokens) - self.n_tokens
+        self.learn = np.repeat(~self.held, self.n_tokens)
+        n = np.bincount(self.tokens[self.learn], minlength=len(self.words))
+        start = int(np.searchsorted(self.words, START))
+        n[start] = (~self.held).sum()  # how often the start mark is a context
+        every = np.arange(len(self.words))
+        self.levels = [Level(n, self.tokens, every, every, every, every, self.words)]
+        position = np.arange(len(self.tokens)) - np.repeat(self.first, self.n_tokens)
+        for m in range(2, order + 1):
+            below = self.levels[-1]
+            at = np.arange(len(self.tokens)) if m == 2 else np.flatnonzero(position >= m - 2)
+            ctx = below.rank[below.of[at - 1]]
+            if m == 2:
+                ctx[self.first] = start
+            grams, one, inverse = np.unique(ctx * len(self.words) + self.tokens[at], return_index=True, return_inverse=True)
+            of = np.full(len(self.tokens), -1)
+            of[at] = inverse
+            ctx, word = np.divmod(grams, max(1, len(self.words)))
+            rank = keys = grams[:0]
+            if m < order:
+                h = _mixed(below.keys[ctx], self.words[word])
+                by_hash = np.argsort(h)
+                rank = np.empty(len(h), np.int64)
+                rank[by_hash] = np.arange(len(h))
+                keys = h[by_hash]
+            self.levels.append(Level(np.bincount(inverse[self.learn[at]], minlength=len(grams)), of, ctx, word, below.of[at[one]], rank, keys))
+
+
+# ---------------------------------------------------------------- the exchange
+
+_FIELDS = {"batch": "long", "level": "int", "part": "int", "kind": "int", "ctx": "binary", "fan": "binary", "word": "binary", "n": "binary", "p": "binary", "values": "binary", "need": "binary", "stats": "array<bigint>"}
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "double": pa.float64()}
+SENT = ", ".join(f"{k} {v}" for k, v in _FIELDS.items())
+
+
+def _rows(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], _ARROW[v]) for k, v in _FIELDS.items()], names=list(_FIELDS))
+
+
+def _small(a: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs."""
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(a) or int(a.max()) <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + squeeze(a.astype(kind))
+
+
+def _large(data: bytes) -> np.ndarray:
+    return unsqueeze(data[1:], f"u{data[0]}").astype(np.int64)
+
+
+def _histogram(total: np.ndarray) -> list[int]:
+    """Their sum and number, and how many are 0, 1, .. K + 1, and beyond."""
+    return [int(total.sum()), int((total > 0).sum()), *map(int, np.bincount(np.minimum(total, K + 2), minlength=K + 3))]
+
+
+def _send_words(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for row in rows.to_pylist():
+                batch = Batch(row, 1)
+                n = batch.levels[0].count
+                yield _rows([{"batch": batch.number, "level": 1, "part": p, "kind": PLAIN, "ctx": sorted_out(batch.words[i:j]), "n": _small(n[i:j])} for p, i, j in cuts(batch.words, parts)])
 
+    return run
 
-_SENT = [("part", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary())]
 
+def _add_words(parts: int):
+    """Totals of words, and their numbers: place in the part, times ``parts``, plus the part."""
 
-def _send_counts(parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for row in rows.to_pylist():
-                batch = Batch(row)
-                for kind, keys, counts in zip((WORDS, BIGRAMS), (batch.words, batch.bigrams), batch.counts(), strict=True):
-                    c = counts.astype(np.uint32)
-                    yield _table(_SENT, [(p, row["batch"], kind, sorted_out(keys[i:j]), squeeze(c[i:j]), None) for p, i, j in cuts(keys, parts)])
+    def run(part: pa.Table) -> pa.Table:
+        rows = part.to_pylist()
+        order, starts, lens = grouped([r["ctx"] for r in rows])
+        total = np.add.reduceat(np.concatenate([_large(r["n"]) for r in rows])[order], starts)
+        keys = np.concatenate([sorted_in(r["ctx"]) for r in rows])[order][starts]
+        number = np.arange(len(total)) * parts + rows[0]["part"]
+        out = [{"batch": -1, "level": 1, "part": rows[0]["part"], "kind": STATS, "stats": _histogram(total[keys != START])}]
+        answer = _with_flag(total, np.diff(starts, append=len(order)) > 1)
+        back = [np.split(spread(x, order, starts), np.cumsum(lens)[:-1]) for x in (answer, number)]
+        out += [{"batch": r["batch"], "level": 1, "part": r["part"], "kind": PLAIN, "n": _small(n), "word": _small(w)} for r, n, w in zip(rows, *back, strict=True)]
+        return pa.Table.from_batches([_rows(out)])
 
     return run
 
 
-RETURNED = "batch long, part int, kind int, a binary, b binary, stats array<long>"
-_RETURNED = [("batch", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("stats", pa.list_(pa.int64()))]
+def _with_flag(total: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """A total with whether several batches have the n-gram."""
+    return 2 * total + shared
+
+
+def _fans(ctx: np.ndarray, total: np.ndarray, p_low: np.ndarray, n_ctx: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each context: how many n-grams were seen 1 .. K times and how often all others were; the lower-order probability they cover."""
+    seen = total > 0
+    few = seen & (total <= K)
+    fan = np.bincount(ctx[few] * (K + 1) + total[few] - 1, minlength=n_ctx * (K + 1))[: n_ctx * (K + 1)].reshape(n_ctx, K + 1).astype(np.int64)
+    many = seen & ~few
+    fan[:, K] = np.bincount(ctx[many], total[many], n_ctx)[:n_ctx].astype(np.int64)
+    return fan, np.bincount(ctx[seen], p_low[seen], n_ctx)[:n_ctx].astype(float)  # of nothing, numpy counts in whole numbers
 
 
-def _add_counts(part: pa.Table, min_bigram: int) -> pa.Table:
-    """Totals for each n-gram sent; for bigrams twice the total, plus 1 for the batch that sums it up, or 0 if seen too seldom."""
-    out = []
-    rows = part.to_pylist()
-    for kind in (WORDS, BIGRAMS):
+def _add_grams(part: pa.Table) -> pa.Table:
+    """What all batches sent of a part's contexts, added up and returned to each in its order."""
+    rows = sorted(part.to_pylist(), key=lambda r: (r["kind"], r["batch"]))  # a fixed order, so that reruns add up alike
+    out, stats = [], np.zeros(K + 5, np.int64)
+    for r in rows:
+        if r["kind"] == STATS:
+            stats += r["stats"]
+    for kind in (PLAIN, HOT):
         mine = [r for r in rows if r["kind"] == kind]
         if not mine:
             continue
-        order, starts, lens = grouped([r["keys"] for r in mine])
-        total = np.add.reduceat(np.concatenate([unsqueeze(r["a"], np.uint32) for r in mine]).astype(np.int64)[order], starts)
-        histogram = np.bincount(np.minimum(total, K + 2), minlength=K + 3)
-        out.append((None, mine[0]["part"], STATS, None, None, [0] * ((K + 5) * kind) + [int(total.sum()), int((total > 0).sum()), *map(int, histogram)] + [0] * ((K + 5) * (1 - kind))))
-        values = spread(total, order, starts)
-        if kind == BIGRAMS:
-            values = np.where(values >= min_bigram, 2 * values, 0)
-            first = order[starts]
-            values[first] += values[first] > 0
-        for r, v in zip(mine, np.split(values.astype(np.uint64), np.cumsum(lens)[:-1]), strict=True):
-            out.append((r["batch"], r["part"], kind, squeeze(v), None, None))
-    return pa.Table.from_batches([_table(_RETURNED, out)])
+        keys, fan, need = (np.concatenate(x) for x in zip(*((sorted_in(r["ctx"]), _large(r["fan"]), _large(r["need"])) for r in mine), strict=True))
+        word, n = (np.concatenate([_large(r[c]) for r in mine]) for c in ("word", "n"))
+        p = np.concatenate([unsqueeze(r["values"], np.float64)[_large(r["p"])] for r in mine])
+        _, ctx_of = np.unique(keys, return_inverse=True)
+        ctx = np.repeat(ctx_of, fan)
+        order = np.lexsort((word, ctx))
+        c, w = ctx[order], word[order]
+        starts = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1]))))
+        total = np.add.reduceat(n[order], starts)
+        stats += _histogram(total)
+        # an n-gram that nobody learnt has no probability sent with it; one that somebody did has his
+        p_low = np.maximum.reduceat(p[order], starts)
+        fans, lower = _fans(c[starts], total, p_low, int(ctx_of.max()) + 1)
+        answer = _with_flag(total, np.diff(starts, append=len(order)) > 1)
+        back = np.split(spread(answer, order, starts), np.cumsum([len(_large(r["word"])) for r in mine])[:-1])
+        edges = np.cumsum([len(sorted_in(r["ctx"])) for r in mine])[:-1]
+        for r, t, k, needs in zip(mine, back, np.split(ctx_of, edges), np.split(need, edges), strict=True):
+            row = {"batch": r["batch"], "level": r["level"], "part": r["part"], "kind": kind, "n": _small(t)}
+            if kind == PLAIN:
+                row |= {"fan": _small(fans[k].T.reshape(-1)), "p": squeeze(lower[k[needs > 0]])}
+            out.append(row)
+        if kind == HOT:
+            hot = np.unique(keys)
+            out.append({"batch": -1, "level": mine[0]["level"], "part": mine[0]["part"], "kind": SUMS, "ctx": sorted_out(hot), "fan": _small(fans.reshape(-1)), "p": squeeze(lower)})
+    out.append({"batch": -1, "level": rows[0]["level"], "part": rows[0]["part"], "kind": STATS, "stats": stats.tolist()})
+    return pa.Table.from_batches([_rows(out)])
+
+
+# ---------------------------------------------------------------- the model
 
 
 class Discounts:
-    """Good-Turing discounts and the unigram distribution, from counts of counts."""
+    """Good-Turing discounts of one order, from counts of counts."""
 
     def __init__(self, stats: list[int]) -> None:
-        words, pairs = stats[: K + 5], stats[K + 5 :]
-        self.n, self.types = words[0], words[1]
-        self.word, self.pair = (self._katz(x[2:]) for x in (words, pairs))
-        # what the discounts leave is the unknown token's; at least half a count
-        left = 1 - self._mass(words[2:]) / self.n if self.n else 1.0
-        least = 0.5 / (self.n + 0.5 * (self.types + 1))
-        self.unknown = max(left, least)
-        self.scale = (1 - self.unknown) / (1 - left) if left < 1 else 1.0
-
-    @staticmethod
-    def _katz(n: list[int]) -> np.ndarray:
-        """d_r for r = 0 .. K (and 1 beyond), where the counts of counts allow it, else 1."""
-        d = np.ones(K + 2)
+        self.n, self.types, self.of = stats[0], stats[1], stats[2:]
+        n, d = self.of, np.ones(K + 2)
         common = (K + 1) * n[K + 1] / n[1] if n[1] else 1.0
         for r in range(1, K + 1):
             if n[r] and common < 1:
                 x = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common)
                 d[r] = x if 0 < x < 1 else 1.0
-        return d
-
-    def _mass(self, n: list[int]) -> float:
-        seen = sum(r * n[r] for r in range(1, K + 2))
-        return self.n - seen + sum(self.word[r] * r * n[r] for r in range(1, K + 2))
-
-    def p_word(self, c: np.ndarray) -> np.ndarray:
-        d = self.word[np.minimum(c, K + 1).astype(np.int64)]
-        return np.where(c > 0, self.scale * d * c / max(1, self.n), self.unknown)
+        self.d = d
 
     def kept(self, c: np.ndarray) -> np.ndarray:
-        return self.pair[np.minimum(c, K + 1).astype(np.int64)] * c
-
-
-def _returned(rows: list[dict], kind: int, column: str, dtype: type, n: int) -> np.ndarray:
-    mine = sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["part"])
-    return np.concatenate([unsqueeze(r[column], dtype) for r in mine]) if mine else np.zeros(n, dtype)
-
+        return self.d[np.minimum(c, K + 1)] * c
 
-def _totals(batch: Batch, rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Total counts of the batch's words; of its bigrams (0 if unseen); whether the batch sums the bigram up."""
-    words = _returned(rows, WORDS, "a", np.uint64, len(batch.words)).astype(np.int64)
-    pairs = _returned(rows, BIGRAMS, "a", np.uint64, len(batch.bigrams)).astype(np.int64)
-    return words, pairs >> 1, (pairs & 1).astype(bool)
 
+class Words(Discounts):
+    """The discounted unigrams, and the probability of each word not seen."""
 
-def _contexts(batch: Batch, words: np.ndarray, min_bigram: int) -> np.ndarray:
-    """Numbers of the words that stand before another here and may do so in a bigram that is kept, here or elsewhere."""
-    v = np.unique(batch.v)
-    return v[(words[v] >= min_bigram) | (batch.words[v] == START)]
-
-
-def _send_sums(parts: int, discounts: Discounts, min_bigram: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def __init__(self, stats: list[int]) -> None:
+        super().__init__(stats)
+        seen = sum(r * self.of[r] for r in range(1, K + 2))
+        mass = self.n - seen + sum(self.d[r] * r * self.of[r] for r in range(1, K + 2))
+        left = 1 - mass / self.n if self.n else 1.0
+        # at least half a count is left for the unknown
+        self.unseen = max(left, 0.5 / (self.n + 0.5 * (self.types + 1)))
+        self.scale = (1 - self.unseen) / (1 - left) if left < 1 else 1.0
+        others = self.of[1] ** 2 / (2 * self.of[2]) if self.of[2] else self.of[1] * (self.of[1] - 1) / 2
+        self.unknown = self.unseen / max(1.0, others)
+
+    def p(self, c: np.ndarray) -> np.ndarray:
+        return np.where(c > 0, self.scale * self.kept(c) / max(1, self.n), self.unknown)
+
+
+class Model:
+    """Discounts by order, and the sums of hot contexts, as far as they are known."""
+
+    def __init__(self, words: Words, parts: int, hot_tokens: int) -> None:
+        self.words, self.parts, self.hot_tokens = words, parts, hot_tokens
+        self.discounts: dict[int, Discounts] = {}
+        self.hot: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
+class Exchange:
+    """What a batch sends for one order, given total, probability and whether others have it of each n-gram of the order below."""
+
+    def __init__(self, batch: Batch, m: int, below_total: np.ndarray, below_p: np.ndarray, below_shared: np.ndarray, model: Model) -> None:
+        self.level, below = batch.levels[m - 1], batch.levels[m - 2]
+        by_hash = lambda x: x if m == 2 else _placed(x, below.rank)
+        self.keys, self.ctx_total, shared = below.keys, by_hash(below_total), by_hash(below_shared)
+        self.p_low = below_p[self.level.low]
+        ctx = self.level.ctx
+        sent = (shared & (self.ctx_total > 0))[ctx]
+        hot = (self.ctx_total > model.hot_tokens)[ctx]
+        self.plain, self.hot = np.flatnonzero(sent & ~hot), np.flatnonzero(sent & hot)
+        self.own = np.flatnonzero(~sent)
+        # contexts that held-out tokens may back off from
+        tokens = np.flatnonzero((self.level.of >= 0) & ~batch.learn)
+        self.need = np.zeros(len(self.keys), np.int64)
+        self.need[ctx[self.level.of[tokens]]] = 1
+        # hot n-grams go by their own hash
+        self.deal = (_mixed(self.keys[ctx[self.hot]], batch.words[self.level.word[self.hot]]) % np.uint64(model.parts)).astype(np.int64)
+        order = np.argsort(self.deal, kind="stable")
+        self.hot, self.deal = self.hot[order], self.deal[order]
+
+    def contexts(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The contexts of some n-grams in their order, and where each begins."""
+        ctx = self.level.ctx[entries]
+        begin = np.flatnonzero(np.diff(ctx, prepend=-1))
+        return ctx[begin], begin
+
+    def messages(self, batch: Batch, m: int, numbers: np.ndarray, parts: int) -> list[dict]:
         out = []
-        rows = right.to_pylist()
+        ctx, begin = self.contexts(self.plain)
+        end = np.append(begin, len(self.plain))
+        for part, i, j in cuts(self.keys[ctx], parts):
+            out.append(self._message(self.plain[end[i] : end[j]], numbers) | {"part": part, "kind": PLAIN})
+        for i, j in _spans(self.deal):
+            out.append(self._message(self.hot[i:j], numbers) | {"part": int(self.deal[i]), "kind": HOT})
+        own = self.level.count[self.own]
+        out.append({"part": batch.number % parts, "kind": STATS, "stats": _histogram(own)})
+        return [{"batch": batch.number, "level": m} | x for x in out]
+
+    def _message(self, entries: np.ndarray, numbers: np.ndarray) -> dict:
+        ctx, begin = self.contexts(entries)
+        count = self.level.count[entries]
+        values, p = np.unique(np.where(count > 0, self.p_low[entries], 0.0), return_inverse=True)
+        return {
+            "ctx": sorted_out(self.keys[ctx]), "fan": _small(np.diff(begin, append=len(entries))), "need": _small(self.need[ctx]),
+            "word": _small(numbers[self.level.word[entries]]), "n": _small(count), "p": _small(p), "values": squeeze(values),
+        }
+
+    def answered(self, rows: list[dict], discounts: Discounts, hot: tuple | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Total and probability of each n-gram, and whether other batches have it, from what the parts returned."""
+        answer = _with_flag(self.level.count, np.zeros(len(self.level.count), bool))
+        for kind, entries in ((PLAIN, self.plain), (HOT, self.hot)):
+            mine = sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["part"])
+            if mine:
+                answer[entries] = np.concatenate([_large(r["n"]) for r in mine])
+        total = answer >> 1
+        # contexts of this batch alone, then those that parts and all parts together answer for
+        own = self.own
+        fan, lower = _fans(self.level.ctx[own], total[own], self.p_low[own], len(self.keys))
+        ctx, _ = self.contexts(self.plain)
+        mine = sorted((r for r in rows if r["kind"] == PLAIN), key=lambda r: r["part"])
+        if mine:
+            fan[ctx] = np.concatenate([_large(r["fan"]).reshape(K + 1, -1).T for r in mine])
+            lower[ctx[self.need[ctx] > 0]] = np.concatenate([unsqueeze(r["p"], np.float64) for r in mine])
+        if hot is not None and len(self.hot):
+            ctx = np.unique(self.level.ctx[self.hot])
+            at = np.searchsorted(hot[0], self.keys[ctx])
+            fan[ctx], lower[ctx] = hot[1][at], hot[2][at]
+        count = self.ctx_total.astype(float)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            used = np.where(count > 0, fan @ np.append(discounts.d[1 : K + 1] * np.arange(1, K + 1), 1.0) / count, 0.0)
+            most = 1 - 0.5 / (count + 1)
+            shrink = np.where(used > most, most / used, 1.0)
+            alpha = np.where(count > 0, (1 - used * shrink) / (1 - lower), 1.0)
+            of = self.level.ctx
+            p = np.where(total > 0, discounts.kept(total) * shrink[of] / count[of], alpha[of] * self.p_low)
+        return total, p, (answer & 1).astype(bool)
+
+
+def _placed(x: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    out = np.empty_like(x)
+    out[rank] = x
+    return out
+
+
+def _spans(a: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal neighbours begins and ends."""
+    begin = np.flatnonzero(np.diff(a, prepend=-1)).tolist()
+    return list(zip(begin, [*begin[1:], len(a)], strict=False))
+
+
+def resolved(batch: Batch, rows: list[dict], model: Model, upto: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Word totals and numbers, and of each order up to ``upto`` the n-grams' totals, probabilities and whether other batches have them."""
+    of = defaultdict(list)
+    for r in rows:
+        of[r["level"]].append(r)
+    words = sorted(of[1], key=lambda r: r["part"])
+    answer, numbers = (np.concatenate([_large(r[c]) for r in words]) for c in ("n", "word"))
+    total = answer >> 1
+    known = [(total, model.words.p(total), (answer & 1).astype(bool))]
+    for m in range(2, upto + 1):
+        known.append(Exchange(batch, m, *known[-1], model).answered(of[m], model.discounts[m], model.hot.get(m)))
+    return total, numbers, known
+
+
+def _send_grams(m: int, model: Model):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out, rows = [], right.to_pylist()
         for row in left.to_pylist():
-            batch = Batch(row)
-            words, pairs, own = _totals(batch, rows)
-            at = _contexts(batch, words, min_bigram)
-            v, n = batch.v[own], len(batch.words)
-            mass = np.bincount(v, discounts.kept(pairs[own]), n)[at]
-            lower = np.bincount(v, discounts.p_word(words[batch.w[own]]), n)[at]
-            keys = batch.words[at]
-            out += [(p, row["batch"], SUMS, sorted_out(keys[i:j]), squeeze(mass[i:j]), squeeze(lower[i:j])) for p, i, j in cuts(keys, parts)]
-        return pa.Table.from_batches([_table(_SENT, out)])
+            batch = Batch(row, m)
+            _, numbers, known = resolved(batch, rows, model, m - 1)
+            out += Exchange(batch, m, *known[-1], model).messages(batch, m, numbers, model.parts)
+        return pa.Table.from_batches([_rows(out)])
 
     return run
 
 
-def _add_sums(part: pa.Table) -> pa.Table:
-    rows = sorted(part.to_pylist(), key=lambda r: r["batch"])  # a fixed order, so that reruns add up alike
-    order, starts, lens = grouped([r["keys"] for r in rows])
-    sums = [spread(np.add.reduceat(np.concatenate([unsqueeze(r[c], np.float64) for r in rows])[order], starts), order, starts) for c in "ab"]
-    split = [np.split(s, np.cumsum(lens)[:-1]) for s in sums]
-    return pa.Table.from_batches([_table(_RETURNED, [(r["batch"], r["part"], SUMS, squeeze(a), squeeze(b), None) for r, a, b in zip(rows, *split, strict=True)])])
-
-
-def log_probabilities(batch: Batch, rows: list[dict], discounts: Discounts, min_bigram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Natural logs of P(w | v) for each of the batch's bigrams; the total counts of its words."""
-    words, pairs, _ = _totals(batch, rows)
-    at = _contexts(batch, words, min_bigram)
-    c = words[at].astype(float)
-    start = np.searchsorted(batch.words, START)
-    starts_seen = _returned(rows, STATS, "a", np.uint64, 1)
-    c[at == start] = float(starts_seen[0]) if len(starts_seen) else 0.0
-    mass, lower = (_returned(rows, SUMS, x, np.float64, 0) for x in "ab")
-    with np.errstate(divide="ignore", invalid="ignore"):
-        used = np.where(c > 0, mass / c, 0.0)
-        most = 1 - 0.5 / (c + 1)
-        shrink = np.where(used > most, most / used, 1.0)
-        backoff = (1 - used * shrink) / (1 - lower)
-    alpha, scale = np.ones(len(batch.words)), np.ones(len(batch.words))
-    alpha[at], scale[at] = backoff, shrink
-    context = np.zeros(len(batch.words))
-    context[at] = c
-    seen = pairs > 0
-    p = np.empty(len(batch.v))
-    v = batch.v[seen]
-    p[seen] = discounts.kept(pairs[seen]) * scale[v] / context[v]
-    p[~seen] = alpha[batch.v[~seen]] * discounts.p_word(words[batch.w[~seen]])
-    return np.log(p), words
-
-
-def _score(discounts: Discounts, kind: pa.DataType, min_bigram: int):
+def _score(model: Model, order: int, kind: pa.DataType):
     schema = [("doc_id", kind), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows, out = right.to_pylist(), []
         for row in left.to_pylist():
-            batch = Batch(row)
-            logs, words = log_probabilities(batch, rows, discounts, min_bigram)
-            first = batch.ends - batch.n_tokens
-            base = np.log10((words + 0.5) / (discounts.n + 0.5 * (discounts.types + 1)))
-            per_doc = lambda x: np.add.reduceat(x, first)
-            columns = (batch.docs, batch.held.tolist(), batch.n_tokens.tolist(), per_doc((words > 0)[batch.tokens].astype(np.int64)).tolist(), [discounts.n] * len(first), per_doc(base[batch.tokens]).tolist(), (per_doc(logs[batch.bigram_of]) / np.log(10)).tolist())
-            out += zip(*columns, strict=True)
-        return pa.Table.from_batches([_table(schema, out)])
+            batch = Batch(row, order)
+            words, _, known = resolved(batch, rows, model, order)
+            base = np.log10((words + 0.5) / (model.words.n + 0.5 * (model.words.types + 1)))
+            logs = np.zeros(len(batch.tokens))
+            for level, (_, p, _) in zip(batch.levels, known, strict=True):  # the highest order that a token has
+                at = np.flatnonzero(level.of >= 0)
+                logs[at] = np.log10(p)[level.of[at]]
+            per_doc = lambda x: np.add.reduceat(x, batch.first).tolist()
+            n = len(batch.first)
+            columns = (batch.docs, batch.held.tolist(), batch.n_tokens.tolist(), per_doc((words > 0)[batch.tokens].astype(np.int64)), [model.words.n] * n, per_doc(base[batch.tokens]), per_doc(logs))
+            out.append(pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, schema, strict=True)], names=[x for x, _ in schema]))
+        return pa.Table.from_batches(out, pa.schema(schema))
 
     return run
 
 
-def katz_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_bigram: int = MIN_BIGRAM) -> DataFrame:
+def _stats(answers: DataFrame) -> list[int]:
+    found = answers.filter(F.col("kind") == STATS).select(F.posexplode("stats").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()  # K + 5 numbers
+    n = {r["at"]: r["n"] for r in found}
+    return [n.get(k, 0) for k in range(K + 5)]
+
+
+def _hot_sums(answers: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hot contexts' keys, fans and lower-order probabilities over all parts; one context for each HOT_TOKENS tokens at most."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                keys, fan, lower = sorted_in(r["ctx"]).view(np.int64), _large(r["fan"]).reshape(-1, K + 1), unsqueeze(r["p"], np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(fan[:, k]) for k in range(K + 1)), pa.array(lower)], names=names)
+
+    names = ["key", *(f"f{k}" for k in range(K + 1)), "lower"]
+    rows = answers.filter(F.col("kind") == SUMS).select("ctx", "fan", "p").mapInArrow(opened, ", ".join(f"{n} {'double' if n == 'lower' else 'long'}" for n in names))
+    found = rows.groupBy("key").agg(*(F.sum(n).alias(n) for n in names[1:])).collect()
+    found.sort(key=lambda r: r["key"] % 2**64)
+    keys = np.array([r["key"] for r in found], np.int64).view(np.uint64)
+    return keys, np.array([[r[n] for n in names[1:-1]] for r in found], np.int64).reshape(len(found), K + 1), np.array([r["lower"] for r in found], np.float64)
+
+
+def katz_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", order: int = ORDER, hot_tokens: int | None = None) -> DataFrame:
     """For each row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` (log10)."""
-    if min_bigram < 1:
-        raise ValueError("min_bigram must be positive")
+    if order < 1:
+        raise ValueError("order must be positive")
     spark = docs.sparkSession
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     batches = bucketed(_batches(docs, text_col, id_col), "batch", "katz-batches")
-    counts = materialize(batches.mapInArrow(_send_counts(parts), SENT).groupBy("part").applyInArrow(lambda part: _add_counts(part, min_bigram), RETURNED), "katz-counts")
-    stats = counts.filter(F.col("kind") == STATS).select(F.posexplode("stats").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()  # 2 * (K + 5) numbers
-    n = {r["at"]: r["n"] for r in stats}
-    discounts = Discounts([n.get(k, 0) for k in range(2 * (K + 5))])
-    # training documents, which is how often the start mark was a context; every batch needs it
-    learnt = docs.filter(~held_out(F.col(id_col))).count()
-    totals = counts.filter("batch is not null").drop("stats")
-    sums = batches.groupBy("batch").cogroup(totals.groupBy("batch")).applyInArrow(_send_sums(parts, discounts, min_bigram), SENT)
-    sums = materialize(sums.groupBy("part").applyInArrow(_add_sums, RETURNED), "katz-sums").drop("stats")
-    starts = batches.select("batch", F.lit(0).alias("part"), F.lit(STATS).alias("kind"), F.lit(squeeze(np.array([learnt], np.uint64))).alias("a"), F.lit(None).cast("binary").alias("b"))
-    model = totals.unionByName(sums).unionByName(starts)
-    small = batches.select("batch", "docs", "held", "n_tokens", "vocabulary", "tokens")
+    tokens = batches.select(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).agg(F.sum("n")).first()[0] or 0
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // PART_TOKENS))
+    with_answers = lambda how, schema: batches.groupBy("batch").cogroup(answers.filter("batch >= 0").groupBy("batch")).applyInArrow(how, schema)
+
+    answers = materialize(batches.mapInArrow(_send_words(parts), SENT).groupBy("part").applyInArrow(_add_words(parts), SENT), "katz-words")
+    model = Model(Words(_stats(answers)), parts, HOT_TOKENS if hot_tokens is None else hot_tokens)
+    for m in range(2, order + 1):
+        more = materialize(with_answers(_send_grams(m, model), SENT).groupBy("part").applyInArrow(_add_grams, SENT), f"katz-grams{m}")
+        model.discounts[m] = Discounts(_stats(more))
+        model.hot[m] = _hot_sums(more)
+        answers = answers.unionByName(more)
     kind = docs.schema[id_col].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
     result = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return small.groupBy("batch").cogroup(model.groupBy("batch")).applyInArrow(_score(discounts, to_arrow_type(kind), min_bigram), result)
+    return with_answers(_score(model, order, to_arrow_type(kind)), result)
 
 
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), min_bigram=1)
+    return katz_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -1,6 +1,7 @@
 """Every corpus operator against a brute-force version, on documents chosen to be awkward."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -458,14 +459,25 @@ def test_decontamination(spark, docs, empty, monkeypatch):
 # ----------------------------------------------------------------------- 9 Katz
 
 
-def brute_katz(rows):
+def brute_katz(rows, order=3):
+    """Scores by the definition: contexts of whole words, recursion over shorter ones."""
     tokens = {i: [*(t or "").encode().lower().split(), None] for i, t, *_ in rows}
     learn = [w for i, w in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1]
-    uni, pair, context = collections.Counter(), collections.Counter(), collections.Counter()
+    grams = {m: collections.Counter() for m in range(1, order + 1)}
+    context = collections.Counter()
+
+    def contexts(w, k):
+        """The contexts of the k-th token, the longest first; the start mark stands before the first token."""
+        before = ["<s>", *w[:k]]
+        return [tuple(before[len(before) - n :]) for n in range(min(order - 1, len(before)), 0, -1)]
+
     for w in learn:
-        uni.update(w)
-        pair.update(zip(["<s>", *w[:-1]], w, strict=True))
-        context.update(["<s>", *w[:-1]])
+        grams[1].update(w)
+        for k, x in enumerate(w):
+            for h in contexts(w, k):
+                grams[len(h) + 1][h, x] += 1
+                context[h] += 1
+    uni = grams[1]
     n, v = sum(uni.values()), len(uni)
 
     def discounts(counts):
@@ -475,42 +487,51 @@ def brute_katz(rows):
         for r in range(1, 8):
             x = ((r + 1) * of[r + 1] / (r * of[r]) - common) / (1 - common) if of[r] and common < 1 else 1.0
             d[r] = x if 0 < x < 1 else 1.0
-        return d
-
-    du, db = discounts(uni), discounts(pair)
-    left = 1 - sum(du.get(c, 1) * c for c in uni.values()) / n
-    unknown = max(left, 0.5 / (n + 0.5 * (v + 1)))
-    scale = (1 - unknown) / (1 - left)
-    p1 = lambda w: scale * du.get(uni[w], 1) * uni[w] / n if w in uni else unknown
+        return d, of
+
+    d = {m: discounts(c)[0] for m, c in grams.items()}
+    of = discounts(uni)[1]
+    left = 1 - sum(d[1].get(c, 1) * c for c in uni.values()) / n
+    unseen = max(left, 0.5 / (n + 0.5 * (v + 1)))
+    scale = (1 - unseen) / (1 - left)
+    others = max(1, of[1] ** 2 / (2 * of[2]) if of[2] else of[1] * (of[1] - 1) / 2)
     after = collections.defaultdict(list)
-    for (a, b), c in pair.items():
-        if c > 1:
-            after[a].append((b, c))
-
-    def weights(a):
-        used = sum(db.get(c, 1) * c for _, c in after[a]) / context[a]
-        most = 1 - 0.5 / (context[a] + 1)
+    for m in range(2, order + 1):
+        for (h, x), c in grams[m].items():
+            after[h].append((x, c))
+
+    @functools.cache
+    def weights(h):
+        dm = d[len(h) + 1]
+        used = sum(dm.get(c, 1) * c for _, c in after[h]) / context[h]
+        most = 1 - 0.5 / (context[h] + 1)
         shrink = most / used if used > most else 1.0
-        return (1 - used * shrink) / (1 - sum(p1(b) for b, _ in after[a])), shrink
-
-    def p(a, b):
-        alpha, shrink = weights(a) if a in after else (1.0, 1.0)
-        return db.get(pair[a, b], 1) * pair[a, b] * shrink / context[a] if pair[a, b] > 1 else alpha * p1(b)
-
-    for a in list(after)[:5]:  # every context's distribution sums to 1
-        assert math.isclose(sum(p(a, b) for b in uni) + p(a, "unseen word"), 1.0, rel_tol=1e-9)
+        return (1 - used * shrink) / (1 - sum(p(h[1:], x) for x, _ in after[h])), shrink
+
+    def p(h, x):
+        if not h:
+            return scale * d[1].get(uni[x], 1) * uni[x] / n if x in uni else unseen / others
+        if h not in context:
+            return p(h[1:], x)
+        alpha, shrink = weights(h)
+        c = grams[len(h) + 1][h, x]
+        return d[len(h) + 1].get(c, 1) * c * shrink / context[h] if c else alpha * p(h[1:], x)
+
+    for h in [*list(context)[:5], *list(context)[-5:]]:  # every context's distribution sums to 1
+        assert math.isclose(sum(p(h, x) for x in uni) + others * p(h, b"unseen word"), 1.0, rel_tol=1e-9)
     out = {}
     for i, w in tokens.items():
-        score = sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w[:-1]], w, strict=True))
+        score = sum(math.log10(p(next(iter(contexts(w, k)), ()), x)) for k, x in enumerate(w))
         out[i] = (zlib.crc32(str(i).encode()) % 5 == 1, len(w), sum(x in uni for x in w), n, sum(math.log10((uni[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), score)
     return out
 
 
-@pytest.mark.parametrize("tokens", [4_000_000, 300])
-def test_katz(docs, monkeypatch, tokens):
+@pytest.mark.parametrize(("tokens", "hot", "order"), [(4_000_000, None, 3), (300, None, 3), (300, 40, 3), (300, None, 2), (300, None, 1)])
+def test_katz(docs, monkeypatch, tokens, hot, order):
+    """One batch and many, with contexts dealt out by n-gram, at several orders."""
     monkeypatch.setattr(katz, "BATCH_TOKENS", tokens)
-    want = brute_katz(awkward())
-    rows = katz.katz_scores(docs).collect()
+    want = brute_katz(awkward(), order)
+    rows = katz.katz_scores(docs, order=order, hot_tokens=hot).collect()
     assert len(rows) == len(want)
     for r in rows:
         x = want[r["doc_id"]]
@@ -518,13 +539,19 @@ def test_katz(docs, monkeypatch, tokens):
         assert math.isclose(r["base_score"], x[4], rel_tol=1e-9) and math.isclose(r["score"], x[5], rel_tol=1e-9)
 
 
-def test_katz_keeps_single_bigrams(spark, tmp_path):
-    """The query scores a bigram seen once by its Good-Turing discount: d_1 = 2 n_2 / n_1 = 2/3 here."""
-    ids = {h: [k for k in range(100) if (zlib.crc32(str(k).encode()) % 5 == 1) == h] for h in (True, False)}
-    rows = [*zip(ids[False], ["a b", "a b", "c d", "e f", "g h"]), (ids[True][0], "c d")]  # noqa: B905
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["score"] for r in katz.op9_katz(spark, str(tmp_path)).collect()}
-    assert math.isclose(got[ids[True][0]], math.log10(2 / 3 / 5 * 2 / 3 * 2 / 3), rel_tol=1e-9)
+def test_katz_tells_copies_and_junk_apart(spark):
+    """A held-out copy of a training document scores far better than other held-out text, junk far worse, and new text no better than what was learnt."""
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(2000)]
+    weights = [1 / (k + 2) for k in range(2000)]
+    texts = [" ".join(rng.choices(vocabulary, weights, k=80)) for _ in range(400)]
+    held = [k for k in range(3000) if zlib.crc32(str(k).encode()) % 5 == 1]
+    taught = [k for k in range(3000) if zlib.crc32(str(k).encode()) % 5 != 1]
+    rows = [*zip(taught, texts[:300]), *zip(held, texts[300:]), (held[200], texts[7]), (held[201], " ".join(f"junk{k}" for k in range(80)))]  # noqa: B905
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in katz.katz_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    new = [got[k] for k in held[:100]]
+    assert got[held[200]] > max(new) + 0.3 and got[held[201]] < min(new) - 0.5
+    assert max(new) < min(got[k] for k in taught[:300])
 
 
 def test_katz_edges(spark, empty):
