@@ -90,6 +90,11 @@ def drop(df: DataFrame) -> None:
         _delete(df.sparkSession, path, name if name.startswith("ledgerloom_") and len(names) == 1 else None)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now, not at the driver's next garbage collection."""
+    spark._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Delete all that this application's operators wrote to the shared folder, with the tables that name it."""
     for t in spark.catalog.listTables():

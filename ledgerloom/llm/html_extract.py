@@ -5,9 +5,11 @@ class or id) above a block of text. For each node the tree holds how its content
 says under it) and its presentation (the number of blocks) vary over the host's pages. Their
 entropies, as shares of what a fixed number of different pages would have, give the node's
 importance: a branch that says the same on every page has importance near 0, an article's
-paragraphs 1, however many pages there are. Branches of low importance are removed from each page. Branches that HTML itself declares not to be content (navigation, forms, scripts, ...,
-or classes and ids that name such parts) are removed at once, also on hosts with too few pages for
-statistics. If a page has an <article> or <main> element, only text within one is content. A class,
+paragraphs 1, however many pages there are. Few pages say little: entropies are averaged with those of
+PRIOR_PAGES pages that all differ. Branches of low importance are removed from each page. Branches that HTML itself declares not to be content (navigation, forms, scripts, ...,
+or classes and ids that name such parts) are removed at once, since statistics cannot tell, say, readers'
+comments from an article: both differ from page to page. Without ``by_name`` the tree alone decides on all that is
+visible. If <article> and <main> elements hold a fair share of a page's text, only text within one is content. A class,
 id or role names a part if one of its tokens ends in the part's word, fittings such as "list" or
 "box" aside, with no "no", "with", "has" or the like in the token. An element that is removed by
 name gives back the <main> or single <article> in it if the page has no other one with text (beside
@@ -25,13 +27,14 @@ Defined results
 * <br> and all white space (no-break spaces too) inside a block become one space;
 * unclosed elements end where HTML ends them, at the latest with the page; a stray end tag is ignored;
 * repeated rows and ids are judged row by row; an empty table gives an empty result;
-* input columns named like a result column are replaced; names that start with an underscore and _host, _paths,
-  _texts, _nodes, _low, _k1 or _k2 are reserved.
+* input columns named like a result column are replaced; other columns may have any names.
 """
 
 from __future__ import annotations
 
+import functools
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -42,8 +45,12 @@ from pyspark.sql.types import ArrayType, StringType, StructType
 
 from .common import materialize, table
 
-#: Nodes seen on fewer different pages of a host have no reliable entropy and are kept. Entropies are shares of its logarithm.
-MIN_PAGES = 8
+#: Entropies are shares of what so many pages that all differ have.
+FULL_PAGES = 8
+#: So many pages that all differ are added to what a host shows of a node.
+PRIOR_PAGES = 2
+#: Text beside <article> and <main> elements goes if they hold at least this share of the page's.
+INSIDE_SHARE = 0.2
 #: Nodes that have at least this share of the longest one's text are a page's main text.
 MAIN_SHARE = 0.25
 #: Nodes below this importance are removed.
@@ -60,6 +67,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 #: Elements that do not end the line of text they stand in.
 IN_LINE = INLINE | frozenset("button canvas iframe noscript object script select style svg template".split())
 NOT_CONTENT = frozenset("head nav footer aside form script style noscript template iframe object svg canvas button select input textarea menu dialog title datalist".split())
+#: What a reader does not see as text, of these.
+UNSEEN = frozenset("head script style noscript template iframe object svg canvas select input textarea title datalist".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 #: Words in classes, ids and roles that name parts other than the article.
@@ -68,6 +77,8 @@ PARTS = frozenset(
     "gdpr header masthead menu menubar nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related share sharing "
     "sidebar signup social sponsor sponsored subscribe toolbar widget widgets contentinfo complementary search replies responses respond reactions modal overlay alert skip".split()
 )
+#: Of these, words that an article may use of its own sections.
+OWN_WORDS = frozenset("alert banner consent notice notices promo reactions related replies respond responses search share sharing skip widget widgets".split())
 #: Words that may follow a part's word in a token that names the part.
 FITTINGS = frozenset(
     "area author bar block body bottom box btn button buttons card cards col column container content entry feed form group header heading holder icon icons inner item items left "
@@ -81,6 +92,13 @@ HEADS = frozenset(("header", "banner", "masthead"))
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
+
+
+@functools.cache
+def _close(tag: str) -> re.Pattern:
+    return re.compile(f"</{tag}", re.I | re.A)
+
+
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -115,22 +133,25 @@ def _signature(tag: str, attributes: str) -> tuple[str, bool, set[str], bool]:
     return (f"{tag}.{' '.join(names)}" if names else tag), part, hits, hidden
 
 
-def blocks(page: str | None) -> list[tuple[str, str]]:
+def blocks(page: str | None, by_name: bool = True) -> list[tuple[str, str]]:
     """``(path, text)`` of the page's blocks that may be content, in page order."""
     if not page:
         return []
+    if not by_name:
+        return [(p, t) for p, t, _ in _blocks(page, False, False)[0]]
     out, lost = _blocks(page, False)
     beside = False
     if lost and not any(x[2] for x in out) and (not out or "main" in lost or len(lost) == 1):
         # the page's article is in an element that goes by its name
         beside = bool(out) and "main" not in lost
         out, _ = _blocks(page, True)
-    if any(x[2] for x in out) and not beside:
+    inside = sum(len(t) for _, t, i in out if i)
+    if inside and not beside and inside >= INSIDE_SHARE * sum(len(t) for _, t, _ in out):
         out = [x for x in out if x[2]]
     return [(p, t) for p, t, _ in out]
 
 
-def _blocks(page: str, rescue: bool) -> tuple[list[tuple[str, str, bool]], list[str]]:
+def _blocks(page: str, rescue: bool, by_name: bool = True) -> tuple[list[tuple[str, str, bool]], list[str]]:
     """``(path, text, inside an article or main element)`` of the blocks; the outermost such elements within others that go by name.
 
     With ``rescue`` those elements stay.
@@ -140,7 +161,6 @@ def _blocks(page: str, rescue: bool) -> tuple[list[tuple[str, str, bool]], list[
     text: list[str] = []
     lost: list[str] = []
     at, end, inside = 0, len(page), 0
-    lower = None
 
     def flush() -> None:
         if text:
@@ -212,9 +232,9 @@ def _blocks(page: str, rescue: bool) -> tuple[list[tuple[str, str, bool]], list[
             flush()
         sign, part, hits, hidden = _signature(tag, attributes)
         above = stack[-1] if stack else ("", "", 0)
-        heads = tag == "header" or ((part or hidden) and inside and hits <= HEADS)
+        heads = tag == "header" or ((part or hidden) and inside and hits <= (HEADS if hidden else HEADS | OWN_WORDS) and (hits or hidden))
         named = (part and not heads) or (heads and not inside)
-        gone = max(above[2], 2 if tag in NOT_CONTENT or (hidden and not heads) else 1 if named else 0)
+        gone = max(above[2], 2 if tag in NOT_CONTENT or (hidden and not heads) else 1 if named else 0) if by_name else max(above[2], 2 * (tag in UNSEEN or hidden))
         if tag in ("html", "body"):
             gone = 0
         if tag in ("article", "main") and above[2] == 1 and gone == 1 and not part:
@@ -227,9 +247,8 @@ def _blocks(page: str, rescue: bool) -> tuple[list[tuple[str, str, bool]], list[
             continue
         stack.append((tag, f"{above[1]}/{sign}", gone))
         if tag in RAW:
-            lower = lower or page.lower()
-            close = lower.find(f"</{tag}", at)
-            at = end if close < 0 else close
+            close = _close(tag).search(page, at)
+            at = close.start() if close else end
     while stack:
         pop()
     flush()
@@ -259,63 +278,65 @@ def style_nodes(found: list[tuple[str, str]]) -> list[tuple[int, int, int, int]]
 _NODE = [("at", "integer"), ("content", "long"), ("main", "long"), ("blocks", "integer")]
 
 
-def parsed(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """The columns of ``pages`` but the html, with ``_host``, ``_paths`` and ``_texts`` (of the blocks that may be content) and ``_nodes``."""
+def parsed(pages: DataFrame, html_col: str = "html", url_col: str = "url", by_name: bool = True) -> DataFrame:
+    """``row`` (the other columns of ``pages``), ``host``, ``paths`` and ``texts`` (of the blocks that may be content) and ``nodes``."""
     kept = [c for c in pages.columns if c not in ("text", "n_chars", html_col)]
     host = F.lower(F.coalesce(F.regexp_extract(url_col, r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#\s]*)", 1), F.lit("")))
-    named = pages.select(*kept, host.alias("_host"), F.col(html_col).alias("_html"))
+    # whole rows are carried in one column, so that their own columns may have any names
+    named = pages.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), host.alias("host"), F.col(html_col).alias("html"))
     strings = pa.list_(pa.string())
     nodes = pa.list_(pa.struct([(n, {"integer": pa.int32(), "long": pa.int64()}[k]) for n, k in _NODE]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [blocks(page.as_py()) for page in b.column(b.num_columns - 1)]
+            found = [blocks(page.as_py(), by_name) for page in b.column(2)]
             paths, texts = (pa.array([[x[k] for x in f] for f in found], strings) for k in (0, 1))
             style = pa.array([style_nodes(f) for f in found], nodes)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], paths, texts, style], names=[*kept, "_host", "_paths", "_texts", "_nodes"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], paths, texts, style], names=["row", "host", "paths", "texts", "nodes"])
 
-    schema = StructType([pages.schema[c] for c in kept]).add("_host", "string").add("_paths", ArrayType(StringType())).add("_texts", ArrayType(StringType()))
+    schema = StructType([named.schema["row"]]).add("host", "string").add("paths", ArrayType(StringType())).add("texts", ArrayType(StringType()))
     style_type = StructType()
     for n, k in _NODE:
         style_type.add(n, k)
-    return named.mapInArrow(run, schema.add("_nodes", ArrayType(style_type)))
+    return named.mapInArrow(run, schema.add("nodes", ArrayType(style_type)))
 
 
 def low_nodes(found: DataFrame) -> DataFrame:
-    """``(_host, path)`` of the style nodes to remove, from the result of :func:`parsed`."""
-    each = found.select("_host", "_paths", F.explode("_nodes").alias("n"))
-    pairs = each.select("_host", F.get("_paths", F.col("n.at")).alias("path"), "n.content", "n.main", "n.blocks")
+    """``(host, path)`` of the style nodes to remove, from the result of :func:`parsed`."""
+    each = found.select("host", "paths", F.explode("nodes").alias("n"))
+    pairs = each.select("host", F.get("paths", F.col("n.at")).alias("path"), "n.content", "n.main", "n.blocks")
     # pages of the same main text fall together here
     seen = materialize(pairs.distinct(), "html-nodes")
-    node = ["_host", "path"]
+    node = ["host", "path"]
 
     def entropy(value: str) -> DataFrame:
         counted = seen.groupBy(*node, value).agg(F.count("*").alias("c"))
         total = F.sum("c")
-        share = F.least(F.lit(1.0), (F.log(total) - F.sum(F.col("c") * F.log("c")) / total) / F.log(F.lit(MIN_PAGES)))
-        return counted.groupBy(*node).agg(share.alias(f"{value}_h"), total.alias(f"{value}_n"))
+        share = F.least(F.lit(1.0), (F.log(total) - F.sum(F.col("c") * F.log("c")) / total) / math.log(FULL_PAGES))
+        return counted.groupBy(*node).agg(((total * share + PRIOR_PAGES) / (total + PRIOR_PAGES)).alias(value))
 
-    nodes = entropy("content").join(entropy("blocks"), node).filter(F.col("content_n") >= MIN_PAGES)
-    importance = CONTENT_WEIGHT * F.col("content_h") + (1 - CONTENT_WEIGHT) * F.col("blocks_h")
+    nodes = entropy("content").join(entropy("blocks"), node)
+    # the prior is of pages that differ in content; how many blocks they have it does not say
+    importance = CONTENT_WEIGHT * F.col("content") + (1 - CONTENT_WEIGHT) * F.least("content", "blocks")
     return nodes.filter(importance < MIN_IMPORTANCE).select(*node)
 
 
-def extracted(pages: DataFrame, html_col: str = "html", url_col: str = "url", broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
+def extracted(pages: DataFrame, html_col: str = "html", url_col: str = "url", broadcast_nodes: int = BROADCAST_NODES, by_name: bool = True) -> DataFrame:
     """``pages`` with ``text`` and ``n_chars``; the html is left out."""
-    found = materialize(parsed(pages, html_col, url_col), "html-blocks")
+    found = materialize(parsed(pages, html_col, url_col, by_name), "html-blocks")
     low = materialize(low_nodes(found), "html-low")
     if low.count() <= broadcast_nodes:
-        by_host = low.groupBy("_host").agg(F.collect_set("path").alias("_low"))
-        work = found.join(F.broadcast(by_host), "_host", "left")
+        by_host = low.groupBy("host").agg(F.collect_set("path").alias("low"))
+        work = found.join(F.broadcast(by_host), "host", "left")
     else:
         # too many to broadcast: each page gets the low nodes among its own
-        keyed = found.withColumns({"_k1": F.xxhash64("_host", "_paths", "_texts"), "_k2": F.xxhash64(F.lit(1), "_host", "_paths", "_texts")})
-        own = keyed.select("_k1", "_k2", "_host", F.explode("_paths").alias("path")).distinct().join(low, ["_host", "path"])
-        work = keyed.join(own.groupBy("_k1", "_k2").agg(F.collect_set("path").alias("_low")), ["_k1", "_k2"], "left")
-    pairs = F.arrays_zip(F.col("_paths").alias("p"), F.col("_texts").alias("t"))
-    kept = F.filter(pairs, lambda b: ~F.coalesce(F.array_contains("_low", b["p"]), F.lit(False)))
+        keyed = found.withColumns({"k1": F.xxhash64("host", "paths", "texts"), "k2": F.xxhash64(F.lit(1), "host", "paths", "texts")})
+        own = keyed.select("k1", "k2", "host", F.explode("paths").alias("path")).distinct().join(low, ["host", "path"])
+        work = keyed.join(own.groupBy("k1", "k2").agg(F.collect_set("path").alias("low")), ["k1", "k2"], "left")
+    pairs = F.arrays_zip(F.col("paths").alias("p"), F.col("texts").alias("t"))
+    kept = F.filter(pairs, lambda b: ~F.coalesce(F.array_contains("low", b["p"]), F.lit(False)))
     text = F.array_join(F.transform(kept, lambda b: b["t"]), "\n")
-    return work.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).drop("_host", "_paths", "_texts", "_nodes", "_low", "_k1", "_k2")
+    return work.select("row.*", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

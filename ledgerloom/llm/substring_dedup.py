@@ -24,7 +24,8 @@ too), so that a passage in many documents reaches its bucket once per batch.
 Defined results
 ---------------
 * null text has no bytes; texts below 50 bytes lose nothing;
-* documents with equal ids are not smaller than one another; a null id is larger than any other;
+* ids may be of any type that Spark orders; documents with equal ids are not smaller than one another; a null id is
+  larger than any other;
 * rows that are equal in id and text get equal results;
 * an empty table gives an empty result; input columns named like a result column are replaced.
 """
@@ -36,8 +37,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .blocks import cuts, grouped, sorted_in, sorted_out, spread, squeeze, unsqueeze
 from .common import bucketed, free_name, materialize, table
@@ -47,8 +49,10 @@ GRAM = 16
 CHOICES = WIDTH - GRAM + 1
 #: Bytes that are refined together; longer documents are cut into overlapping pieces.
 PIECE = 1 << 20
-#: Text that a batch holds.
-BATCH_BYTES = 12 << 20
+#: Text and rows that a batch holds.
+BATCH_BYTES, BATCH_ROWS = 12 << 20, 50_000
+#: Text whose buckets one part answers for on average at most.
+PART_BYTES = 64 << 20
 #: Bytes that a suffix reaches beyond its 16 on one side at least.
 SIDE = (WIDTH - GRAM) // 2
 #: In a packed (position, length, flag): bits of the length, and the flag of a run settled in its batch.
@@ -335,7 +339,7 @@ def _batches(rows: DataFrame) -> DataFrame:
                 keys.append(k)
                 texts.append((t.as_py() or "").encode("utf-8", "surrogatepass"))
                 size += len(texts[-1])
-                if size >= BATCH_BYTES:
+                if size >= BATCH_BYTES or len(docs) >= BATCH_ROWS:
                     yield close()
                     number, docs, keys, texts, size = number + 1, [], [], [], 0
         if docs:
@@ -430,18 +434,32 @@ def spans(pos: np.ndarray, length: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(start[new].tolist(), end[np.append(new[1:], len(end)) - 1].tolist(), strict=True))
 
 
+def _with_place(docs: DataFrame, id_col: str, place: str) -> DataFrame:
+    """``docs`` with the place of each id in their order, counted over sorted partitions; null for a null id."""
+    ids = docs.select(F.col(id_col).alias("id")).filter("id is not null").distinct()
+    ids = materialize(ids.orderBy("id").select("id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("pos")), "substring-ids")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    parts = ids.groupBy("part").agg(F.count("*").alias("n"), F.min("pos").alias("first")).select("part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    placed = ids.join(F.broadcast(parts), "part").select(F.col("id").alias(f"{place}_id"), (F.col("before") + F.col("pos") - F.col("first")).alias(place))
+    return docs.join(placed, F.col(id_col) == F.col(f"{place}_id"), "left").drop(f"{place}_id")
+
+
 def substring_deduplicated(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", with_text: bool = False) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans``, ``spans`` (of removed bytes) and ``kept_sha256``.
 
     The text column is left out, or with ``with_text`` holds what is kept, as binary (a cut may fall inside a character).
     """
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
     # the id names a row where it is unique; else a hash does
-    n = docs.agg(F.count("*").alias("n"), F.count_distinct(id_col).alias("d")).first()
+    n = docs.agg(F.count("*").alias("n"), F.count_distinct(id_col).alias("d"), F.max(id_col).alias("last")).first()
     unique = n["n"] == n["d"]
-    key = doc if unique else F.xxhash64(id_col, text_col)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    batches = bucketed(_batches(docs.select(doc.alias("doc"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))), "batch", "substring-batches")
+    whole = isinstance(docs.schema[id_col].dataType, IntegralType) and n["last"] != LAST_ID
+    place = free_name(docs, "_place")
+    ordered = docs if whole else _with_place(docs, id_col, place)
+    doc = F.coalesce(F.col(id_col if whole else place).cast("long"), F.lit(LAST_ID))
+    key = doc if unique and whole else F.xxhash64(id_col, text_col)
+    batches = bucketed(_batches(ordered.select(doc.alias("doc"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))), "batch", "substring-batches")
+    n_bytes = batches.select(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).agg(F.sum("n")).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PART_BYTES))
     with_batch = lambda other, how, schema: batches.groupBy("batch").cogroup(other.groupBy("batch")).applyInArrow(how, schema)
 
     reached = batches.mapInArrow(_reached(parts), "part int, batch long, keys binary, several binary")
@@ -469,11 +487,12 @@ def substring_deduplicated(docs: DataFrame, text_col: str = "text", id_col: str
 
     names = ["n_bytes", "n_removed", "n_spans", "spans", "kept_sha256"]
     result = with_batch(removed, finish, "key long, n_bytes long, n_removed long, n_spans long, spans array<bigint>, kept_sha256 string, kept binary")
-    result = result if unique else result.dropDuplicates(["key"])
+    result = result if unique and whole else result.dropDuplicates(["key"])
     own, text = free_name(docs, "_key"), [F.col("kept").alias(text_col)] if with_text else []
     kept = [c for c in docs.columns if c not in names and c != text_col]
     results = result.select(F.col("key").alias(own), *(F.col(c).alias(c) for c in names), *text)
-    return docs.select(*kept, key.alias(own)).join(results, own).drop(own)
+    own_key = key if unique and whole else F.xxhash64(id_col, text_col)
+    return docs.select(*(F.col(f"`{c}`") for c in kept), own_key.alias(own)).join(results, own).drop(own)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,11 +15,13 @@ Defined results
 * null text stays null, empty text empty; both have no entities;
 * detection is per row and does not depend on ids, which may be null or repeated;
 * overlapping finds: the first by position, then by the order of PATTERNS;
+* names are found after a title; the same words, capitalised, are mentions of them anywhere in the same text;
 * input columns named like a result column are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -60,6 +62,7 @@ PATTERNS = {
     "name": rf"(?<!\w)(?P<title>{_TITLES})\.? (?P<person>[^\W\d_]+(?:-[^\W\d_]+)?(?: [^\W\d_a-zà-ÿ][^\W\d_]+)?)",
 }
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
+_CAPITALISED = re.compile(r"(?<!\w)(?=[^\W\d_a-zà-ÿ])[^\W\d_]+(?:-[^\W\d_]+)?(?!\w)")
 #: A text without any of these has no entity.
 _MAY_HAVE = re.compile(r"[\d@]")
 _HINTS = ("AKIA", "ASIA", "assw", "ecret", "oken", *MALE_TITLES, *FEMALE_TITLES)
@@ -97,7 +100,7 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
     """``(start, end, kind, canonical form)`` of the entities in ``text``, in order, without overlaps."""
     if not text or not (_MAY_HAVE.search(text) or any(h in text for h in _HINTS)):
         return []
-    out, at = [], 0
+    out, at, named = [], 0, {}
     while m := _FIND.search(text, at):
         kind = m.lastgroup if m.lastgroup in PATTERNS else next(k for k in PATTERNS if m.group(k) is not None)
         start, end = m.span()
@@ -132,6 +135,7 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
                     role = gender if k == 0 and len(words) > 1 else "s"
                     out.append((pos, pos + len(w), f"name_{role}", w.lower()))
                     pos += len(w) + 1
+                    named.setdefault(w.lower(), f"name_{role}")
             at = max(end, m.end("title") + 1) if ok else m.end("title")
             continue
         if ok:
@@ -140,7 +144,24 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
         else:
             # inside a rejected run of digits nothing else may start by accident
             at = m.end() if kind == "card" else m.start() + 1
-    return out
+    return _with_mentions(text, out, named) if named else out
+
+
+def _with_mentions(text: str, found: list[tuple[int, int, str, str]], named: dict[str, str]) -> list[tuple[int, int, str, str]]:
+    """``found`` with the other mentions of the names that a title introduced somewhere in the text: the same words, capitalised, without a title."""
+    more = []
+    for m in _CAPITALISED.finditer(text):
+        s, e = m.span()
+        kind = named.get(m.group().lower())
+        if kind and not any(a < e and s < b for a, b in _around(found, s)):
+            more.append((s, e, kind, m.group().lower()))
+    return sorted([*found, *more])
+
+
+def _around(found: list[tuple[int, int, str, str]], at: int) -> list[tuple[int, int]]:
+    """The finds next to a place."""
+    k = bisect.bisect(found, (at,))
+    return [f[:2] for f in found[max(0, k - 1) : k + 1]]
 
 
 class _Draw:

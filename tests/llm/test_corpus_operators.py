@@ -141,6 +141,19 @@ def test_substring_dedup_ids(spark, empty):
     assert substring_dedup.substring_deduplicated(empty).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_substring_dedup_of_other_ids(spark, monkeypatch, kind):
+    """Ids of text, ids at the end of the range, many empty rows: the smaller id keeps the passage."""
+    monkeypatch.setattr(substring_dedup, "BATCH_ROWS", 3)
+    t = "the quick brown fox jumps over the lazy dog and never comes back again"
+    ids = ["b", "a", "c", None] if kind == "string" else [2**63 - 1, -5, 7, None]
+    order = ["a", "b", "c", None] if kind == "string" else [-5, 7, 2**63 - 1, None]
+    texts = {order[0]: "", order[1]: t, order[2]: t + "?", order[3]: "!" + t}
+    df = spark.createDataFrame([(i, texts[i]) for i in ids] + [(None, "")] * 7, f"id {kind}, body string")
+    got = [(r["id"], r["n_removed"]) for r in substring_dedup.substring_deduplicated(df, "body", "id").collect() if r["n_bytes"]]
+    assert sorted(got, key=str) == sorted([(order[1], 0), (order[2], len(t)), (order[3], len(t))], key=str)
+
+
 # -------------------------------------------------------------- 3 quality rules
 
 
@@ -251,6 +264,51 @@ def test_html_style_tree(spark, bound):
     assert got[3] == "Story 3 of many" and got[99] == "Call us now\nStory 99 of many" and got[205] == "Call us now\nStory 7 of many"
 
 
+def brute_low(pages):
+    """The style nodes to remove, counted by hand from each page's blocks."""
+    seen = collections.defaultdict(set)
+    for host, found in pages:
+        for k, content, main, n in html_extract.style_nodes(found):
+            seen[host, found[k][0]].add((content, main, n))
+    low = set()
+    for node, rows in seen.items():
+        shares = []
+        for at in (0, 2):
+            c, total = collections.Counter(r[at] for r in rows).values(), len(rows)
+            h = -sum(x / total * math.log(x / total) for x in c)
+            shares.append((total * min(1, h / math.log(8)) + 2) / (total + 2))
+        if 0.9 * shares[0] + 0.1 * min(shares) < 0.2:
+            low.add(node)
+    return low
+
+
+@pytest.mark.parametrize("by_name", [True, False])
+def test_html_against_a_count_by_hand(spark, by_name):
+    """Without names the tree alone removes what a host repeats, here a menu and a footer; columns may have any names."""
+    page = lambda k, h: f"<body><nav><a>Home</a> <a>News</a></nav><div class=ad>Buy {k % 3}</div><article><h1>T{k}</h1><p>Story {k} of {h} is told at length, as on such pages</p></article><footer>All rights of {h}</footer></body>"
+    rows = [(k, f"http://h{k % 2}.example/{k}", page(k, k % 2), "x", 1) for k in range(60)] + [(100 + k, f"http://few{k}.example/", page(k, k), "x", 1) for k in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, _host string, paths int")
+    out = html_extract.extracted(df, by_name=by_name)
+    assert out.columns == ["page_id", "url", "_host", "paths", "text", "n_chars"]
+    found = {r[0]: (r[1].split("/")[2], html_extract.blocks(r[2], by_name)) for r in rows}
+    low = brute_low(found.values())
+    want = {i: "\n".join(t for p, t in f if (h, p) not in low) for i, (h, f) in found.items()}
+    got = {r["page_id"]: r["text"] for r in out.collect()}
+    assert got == want
+    assert (("h0.example", "/body/nav") in low) == (not by_name)
+    assert got[7].endswith("T7\nStory 7 of 1 is told at length, as on such pages") and "Home" not in got[7] and "All rights" not in got[7]
+
+
+def test_html_of_long_and_odd_pages(spark):
+    """A letter whose lower case is longer, a page of a million characters, and a title in <main> beside the story."""
+    long_ = "<article>" + "<p>word &amp; word</p>" * 40_000 + "</article>"
+    pages = ["<p>\u0130stanbul intro</p><script>x</script><p>Hello main text</p>", long_, "<main><h1>T</h1></main><div class=story>The story that is told here</div>", '<article><section class="responses"><p>What people answered</p></section></article>']
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumn("url", F.lit(None).cast("string"))
+    got = {r["page_id"]: r["text"] for r in html_extract.extracted(df).collect()}
+    assert got[0] == "\u0130stanbul intro\nHello main text" and got[1] == "\n".join(["word & word"] * 40_000)
+    assert got[2] == "T\nThe story that is told here" and got[3] == "What people answered"
+
+
 def test_html_same_article_under_many_titles(spark):
     """On a host of one article's copies, and for headings from a small vocabulary, size of the host does not matter."""
     body = "".join(f"<p>Paragraph {k} of the article that every page of the host has</p>" for k in range(5))
@@ -313,6 +371,49 @@ def test_surrogates(spark, bound):
     assert other != text
 
 
+def test_surrogates_keep_coreference_of_names(spark):
+    """Later mentions without a title get the surrogate of the first; other words, and parts of words, stay."""
+    text = "Mr Tom Smith came. Later Smith said that Tom Smith left; Smithson and the smith stayed, Ann too. Frau Müller-Lüd, ΚΥΡΙΑ. Müller-Lüd!"
+    new, n = surrogates.rewrite(text, "k", {})
+    tom, smith = re.search(r"Mr (\w+) (\w+) came", new).groups()
+    assert n == 7 and f"Later {smith} said that {tom} {smith} left; Smithson and the smith stayed, Ann too." in new
+    assert "Müller" not in new and len(re.findall(re.escape(re.search(r"Frau (\S+),", new)[1]), new)) == 2
+    long_ = "Mr Tom Smith. " + "Smith walked. " * 20_000
+    assert "Smith" not in surrogates.rewrite(long_, "k", {})[0]
+
+
+def brute_rewrite(texts, key):
+    """Surrogates drawn one after another over all entities, without Spark."""
+    every = sorted({(k, c) for t in texts for _, _, k, c in surrogates.find(t)})
+    attempt, open_ = {}, every
+    settled = {}
+    real = set(every)
+    for a in range(50):
+        drawn = {e: surrogates.surrogate(key, *e, a) for e in open_}
+        lost = []
+        for e in sorted(open_):
+            new = (e[0], drawn[e])
+            if new in real or new in settled:
+                lost.append(e)
+            else:
+                settled[new] = e
+                attempt[e] = a
+        if not lost:
+            break
+        open_ = lost
+    return [surrogates.rewrite(t, key, {e: a for e, a in attempt.items() if a}) for t in texts]
+
+
+def test_surrogates_against_brute_force(spark):
+    rng = random.Random(8)
+    texts = [f"Mr {rng.choice(['Bo', 'Al', 'Cy'])} {rng.choice(['Li', 'Wu', 'Ng', 'Oz'])} of 192.168.{k % 3}.{rng.randrange(40)}, call 555-{rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}" for k in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = brute_rewrite(texts, "k")
+    for bound in (10_000, -1):
+        got = {r["doc_id"]: (r["text"], r["n_entities"]) for r in surrogates.pseudonymized(df, key="k", broadcast_rows=bound).collect()}
+        assert got == dict(enumerate(want))
+
+
 def test_surrogates_stay_distinct(spark):
     found = spark.createDataFrame([("pin", str(k)) for k in range(300)], "kind string, canon string")
 
