@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import cuts, grouped, sorted_in, sorted_out, spread, squeeze, unsqueeze
-from .common import bucketed, materialize, table
+from .common import bucketed, materialize, table, tidy
 
 #: Counts up to this are discounted.
 K = 7
@@ -514,6 +514,7 @@ def katz_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         model.discounts[m] = Discounts(_stats(more))
         model.hot[m] = _hot_sums(more)
         answers = answers.unionByName(more)
+        tidy(spark)
     kind = docs.schema[id_col].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
