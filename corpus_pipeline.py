@@ -1,5 +1,7 @@
 """A corpus pipeline over ``documents``: every stage is written as Parquet and read again by the next.
 
+What a stage wrote on the way is deleted once its result is written.
+
 1. quality rules: documents that the base rules or the learned decision list reject go;
 2. SimHash near-dedup: one row of each component stays, the smallest by id (null last), then by hashes of text and row;
 3. decontamination: documents that contain too much of the benchmark go;
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import decontaminate, mixing, quality, sharding, simhash
-from ledgerloom.llm.common import materialize, table
+from ledgerloom.llm.common import settle, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,5 +53,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = settle(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
