@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,6 @@ from ..operators import beliefs, variables
 from ..plans import flagship, model
 from ..sources import adapters
 from ..sources.adapters import AS_OF, with_ctes
-from ..sources.shared import materialize
 from .base import Query, r6
 
 DAY = f"DATE '{AS_OF}'"
@@ -169,20 +170,16 @@ def reliability(spark: SparkSession, d: str) -> DataFrame:
 
 def eleven_values(spark: SparkSession, d: str) -> DataFrame:
     who, day = flagship.companies(spark, d), adapters.as_of()
-    # several variables start from the same inputs: work them out once
-    facts, duties, people = (materialize(f(spark, d), f.__name__) for f in (adapters.facts, adapters.obligations, adapters.directors))
-    parts = [variables.ratio(who, facts, c) for c in variables.RATIOS]
-    parts += [variables.net_asset_trend(who, facts), variables.lateness(who, duties, "ACCOUNTS", "G1.1", day), variables.lateness(who, duties, "CONFIRMATION", "G1.2", day)]
+    people = adapters.directors(spark, d)
+    parts = [variables.financial(who, adapters.facts(spark, d), (*variables.RATIOS, variables.TREND))]
+    parts.append(variables.latenesses(who, adapters.obligations(spark, d), {"ACCOUNTS": "G1.1", "CONFIRMATION": "G1.2"}, day))
     parts += [variables.turnover(who, people, day), variables.median_tenure(who, people, day), variables.change_concentration(who, people, day)]
     parts.append(variables.control_changes(who, adapters.control_events(spark, d), control_day()))
-    out = parts[0].select("company", "code", "value")
-    for p in parts[1:]:
-        out = out.unionByName(p.select("company", "code", "value"))
-    return out
+    return reduce(DataFrame.unionByName, (p.select("company", "code", "value") for p in parts))
 
 
 def discounted_leaves(spark: SparkSession, d: str) -> DataFrame:
-    values = materialize(eleven_values(spark, d), "values").join(reliability(spark, d), "company")
+    values = eleven_values(spark, d).join(reliability(spark, d), "company")
     return beliefs.leaves(flagship.companies(spark, d), values, model.variables(spark, "1"))
 
 

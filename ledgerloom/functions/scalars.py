@@ -48,13 +48,25 @@ def printed_amount(raw: Column, unit: Column) -> Column:
 
 
 def tagged_amount(token: Column, scale: Column, sign: Column, zero_dash: Column) -> Column:
-    """A strictly grouped number times a power of ten; a dash is zero only with an explicit format flag."""
+    """A struct ``(value decimal(38,18), reason)``: a strictly grouped number times a power of ten from -18 to 18, exactly.
+
+    A dash is zero only with an explicit format flag. The point is moved in the digits, so that nothing is rounded;
+    what 20 digits before the point and 18 after it cannot hold has a reason instead of a value.
+    """
     t = F.trim(token)
-    plain = t.rlike(r"^(\d{1,3}(,\d{3})+|\d+)(\.\d+)?$")
-    number = F.when(plain, F.regexp_replace(t, ",", "").try_cast("decimal(20,4)")).when(zero_dash & t.isin("-", "–", "—"), F.lit(0).cast("decimal(20,4)"))
-    factor = F.pow(F.lit(10.0), scale).cast("decimal(19,0)")
-    value = (number * factor).try_cast("decimal(20,4)")
-    return F.when(scale.between(-18, 18) & (sign == "-"), -value).when(scale.between(-18, 18), value)
+    dash = zero_dash & t.isin("-", "–", "—")
+    plain = t.rlike(r"^(\d{1,3}(,\d{3})+|\d+)(\.\d+)?$") | dash
+    number = F.when(dash, F.lit("0")).otherwise(F.regexp_replace(t, ",", ""))
+    whole, part = F.regexp_extract(number, r"^(\d+)", 1), F.regexp_extract(number, r"\.(\d+)$", 1)
+    zeros = lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
+    digits = F.concat(zeros(-scale), whole, part, zeros(scale))
+    point = F.length(whole) + F.greatest(scale, F.lit(0))
+    left, right = F.substring(digits, F.lit(1), point), F.substring(digits, point + 1, F.length(digits))
+    left, right = F.regexp_replace(left, "^0+", ""), F.regexp_replace(right, "0+$", "")
+    fits = (F.length(left) <= 20) & (F.length(right) <= 18)
+    value = F.concat(F.when(sign == "-", "-").otherwise(""), F.lit("0"), left, F.lit("."), right, F.lit("0")).try_cast("decimal(38,18)")
+    reason = F.when(~F.coalesce(plain, F.lit(False)), "NOT_A_NUMBER").when(~F.coalesce(scale.between(-18, 18), F.lit(False)), "UNSUPPORTED_SCALE").when(~fits, "OUT_OF_RANGE")
+    return F.struct(F.when(reason.isNull(), value).alias("value"), reason.alias("reason"))
 
 
 def displayed_period(displayed: Column, filing_end: Column) -> Column:
@@ -91,8 +103,8 @@ def scope_of_heading(context: Column) -> Column:
 
 
 def identity(*parts: Column) -> Column:
-    """A deterministic id of ordered parts; nulls count as empty."""
-    return F.sha2(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256)
+    """A deterministic id of ordered parts: of their JSON array, so that no separator can move and null is not empty."""
+    return F.sha2(F.to_json(F.array(*(p.cast("string") for p in parts)), {"ignoreNullFields": "false"}), 256)
 
 
 def two_places(value: Column) -> Column:

@@ -55,18 +55,53 @@ def combine(children: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def aggregate_tree(leaves: DataFrame, hierarchy: DataFrame, levels: int, key: str = "company") -> DataFrame:
-    """``(key, node, level, low, high, unknown)`` of all inner nodes, combined from the deepest level up."""
-    edges = F.broadcast(hierarchy)
-    current = leaves.select(key, F.col("code").alias("child"), "low", "high")
-    out = []
+    """``(key, node, level, low, high, unknown)`` of all inner nodes, combined from the deepest level up.
+
+    The hierarchy is a small fixed table. One aggregate puts a company's leaves (one for each code) into a row; all
+    nodes are expressions over it. Leaves that a company lacks do not take part; a node without any has no row.
+    """
+    edges = hierarchy.select("parent", "child", "weight", "level").collect()  # tens of rows: the model
+    parents = {e["parent"] for e in edges}
+    codes = sorted({e["child"] for e in edges} - parents)
+    name = {c: f"_{k}" for k, c in enumerate([*codes, *sorted(parents)])}
+    row = leaves.filter(F.col("code").isin(*codes)).groupBy(key).agg(*(F.max(F.when(F.col("code") == c, F.struct("low", "high"))).alias(name[c]) for c in codes))
+    nodes = []
     for level in range(levels, 0, -1):
-        here = edges.filter(F.col("level") == level)
-        nodes = combine(current.join(here, "child").withColumnRenamed("parent", "node"), [key, "node"])
-        out.append(nodes.withColumn("level", F.lit(level)))
-        passed = current.join(here.select("child"), "child", "left_anti") if level > 1 else None
-        up = nodes.select(key, F.col("node").alias("child"), "low", "high")
-        current = up.unionByName(passed) if passed is not None else up
-    return reduce(DataFrame.unionByName, out)
+        here = sorted({e["parent"] for e in edges if e["level"] == level})
+        row = row.withColumns({name[p]: _combined([(F.col(name[e["child"]]), e["weight"]) for e in edges if e["parent"] == p and e["level"] == level]) for p in here})
+        nodes += [F.struct(F.lit(p).alias("node"), F.lit(level).alias("level"), F.col(name[p]).alias("b")) for p in here]
+    out = row.select(key, F.inline(F.array(*nodes))).filter("b is not null").select(key, "node", "b.low", "b.high", "level")
+    left = 1 - F.col("low") - F.col("high")
+    return out.select(key, "node", "low", "high", F.when(F.abs(left) < SNAP, 0.0).otherwise(left).alias("unknown"), "level")
+
+
+def _combined(children: list[tuple[Column, float]]) -> Column:
+    """The struct ``(low, high)`` of a node over its children's, as in :func:`combine`; null without any."""
+    weights = [w for _, w in children]
+    names = [f"c{k}" for k in range(len(children))]
+
+    def node(x: Column) -> Column:
+        beliefs = [x[n] for n in names]
+        there = [c.isNotNull() for c in beliefs]
+        n = reduce(Column.__add__, [t.cast("int") for t in there])
+        rest = [1 - w * (c["low"] + c["high"]) for c, w in zip(beliefs, weights, strict=True)]
+        product = lambda factors: reduce(Column.__mul__, [F.when(t, f).otherwise(1.0) for t, f in zip(there, factors, strict=True)])
+        low, high = (product([w * c[side] + r for c, w, r in zip(beliefs, weights, rest, strict=True)]) for side in ("low", "high"))
+        products = F.struct(low.alias("low"), high.alias("high"), product(rest).alias("none"), product([F.lit(1 - w) for w in weights]).alias("free"))
+        shares = _once(products, lambda p: _shares(p["low"], p["high"], p["none"], p["free"]))
+        return F.when(n == 1, F.coalesce(*beliefs)).when(n > 1, shares)
+
+    return _once(F.struct(*(c.alias(n) for (c, _), n in zip(children, names, strict=True))), node)
+
+
+def _shares(low: Column, high: Column, none: Column, free: Column) -> Column:
+    mu = F.try_divide(F.lit(1.0), low + high - none)
+    return F.struct(*(F.try_divide(mu * (x - none), 1 - mu * free).alias(n) for x, n in ((low, "low"), (high, "high"))))
+
+
+def _once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once per row: a lambda's variable is not worked out again where it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def belief_violations(beliefs: DataFrame, tolerance: float = 1e-8) -> DataFrame:

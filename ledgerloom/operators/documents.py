@@ -24,13 +24,13 @@ def tagged_facts(documents: DataFrame) -> DataFrame:
     every = lambda pattern: F.explode(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)))
     tags = documents.select("document_id", every(_TAG).alias("t")).select(
         "document_id", _attribute(F.col("t"), "name").alias("name"), _attribute(F.col("t"), "contextRef").alias("context"), _attribute(F.col("t"), "unitRef").alias("unit"),
-        tagged_amount(F.regexp_extract("t", ">([^<]*)<", 1), F.coalesce(_attribute(F.col("t"), "scale").try_cast("int"), F.lit(0)), _attribute(F.col("t"), "sign"), F.lit(False)).alias("value"),
+        tagged_amount(F.regexp_extract("t", ">([^<]*)<", 1), F.coalesce(_attribute(F.col("t"), "scale").try_cast("int"), F.lit(0)), _attribute(F.col("t"), "sign"), F.lit(False)).alias("amount"),
     )
     contexts = documents.select("document_id", every(_CONTEXT).alias("c")).select("document_id", _attribute(F.col("c"), "id").alias("context"), F.to_date(F.regexp_extract("c", "<xbrli:(?:instant|endDate)>([^<]*)<", 1)).alias("period_end")).distinct()
     units = documents.select("document_id", every(_UNIT).alias("u")).select("document_id", _attribute(F.col("u"), "id").alias("unit"), F.regexp_extract("u", "<xbrli:measure>(?:[^:<]*:)?([^<]*)<", 1).alias("currency")).distinct()
     j = tags.join(contexts, ["document_id", "context"], "left").join(units, ["document_id", "unit"], "left")
     bad = F.bool_or(F.col("period_end").isNull() | F.col("currency").isNull()).over(Window.partitionBy("document_id"))
-    return j.withColumn("failed", bad)
+    return j.withColumns({"failed": bad, "value": F.col("amount.value"), "reason": F.col("amount.reason")}).drop("amount")
 
 
 def visible_text(html: Column) -> Column:

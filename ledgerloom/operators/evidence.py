@@ -93,25 +93,28 @@ def snapshot_status(published: DataFrame, latest: DataFrame, key: str, config: s
 # ------------------------------------------------------------------------ joins
 
 
-def origin_snapshots(snapshots: DataFrame, max_depth: int = 64) -> DataFrame:
-    """Follow ``reused`` to the root by pointer doubling: ``snapshot_id, origin, depth``; origin is null on a cycle or a missing link.
+def origin_snapshots(snapshots: DataFrame, same: tuple[str, ...] = ()) -> DataFrame:
+    """Follow ``reused`` to the snapshot that owns the pages: ``snapshot_id, origin, depth, issue``.
 
-    Every round squares the reach, so that chains of 2**k links take k joins.
+    ``issue`` says why there is no origin: a link on the way leads to no snapshot (MISSING_LINK), to one that differs
+    in a column of ``same``, such as the company (OTHER_OWNER), or round (CYCLE). Pointers are doubled: every round
+    squares the reach, so that chains of n links take log2(n) joins, whatever their length; pointers that
+    are still open once the reach covers all snapshots go round.
     """
-    s = snapshots.select("snapshot_id", F.col("reused").alias("to"), F.when(F.col("reused").isNull(), 0).otherwise(1).alias("depth"))
-    reach = 1
-    while reach < max_depth:
-        nxt = s.select(F.col("snapshot_id").alias("to"), F.col("to").alias("_to2"), F.col("depth").alias("_d2"), F.lit(True).alias("_known"))
-        s = s.join(nxt, "to", "left").select(
-            "snapshot_id",
-            F.when(F.col("to").isNull(), None).when(F.col("_known") & F.col("_to2").isNull(), F.col("to")).otherwise(F.coalesce("_to2", "to")).alias("to"),
-            (F.col("depth") + F.coalesce("_d2", F.lit(0))).alias("depth"),
-        )
+    target = snapshots.select(F.col("snapshot_id").alias("reused"), F.lit(True).alias("_known"), F.struct(*same, F.lit(1).alias("_one")).alias("_owner"))
+    linked = snapshots.join(target, "reused", "left")
+    issue = F.when(F.col("reused").isNull(), None).when(F.col("_known").isNull(), "MISSING_LINK").when(~F.col("_owner").eqNullSafe(F.struct(*same, F.lit(1).alias("_one"))), "OTHER_OWNER")
+    # a snapshot without a sound link is the end of its chain
+    ends = F.col("reused").isNull() | issue.isNotNull()
+    s = materialize(linked.select("snapshot_id", F.when(ends, F.col("snapshot_id")).otherwise(F.col("reused")).alias("at"), F.when(ends, 0).otherwise(1).cast("long").alias("depth"), ends.alias("done"), issue.alias("issue")), "origins")
+    reach, n = 1, s.count()
+    while reach < n and not s.filter("not done").isEmpty():
+        onward = s.select(F.col("snapshot_id").alias("at"), F.col("at").alias("_at"), F.col("depth").alias("_depth"), F.col("done").alias("_done"), F.col("issue").alias("_issue"))
+        open_ = s.filter("not done").join(onward, "at").select("snapshot_id", F.col("_at").alias("at"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_done").alias("done"), F.col("_issue").alias("issue"))
+        s = materialize(s.filter("done").unionByName(open_), "origins")
         reach *= 2
-    roots = snapshots.filter("reused is null").select(F.col("snapshot_id").alias("to"), F.lit(True).alias("_root"))
-    j = s.join(roots, "to", "left")
-    origin = F.when(F.col("to").isNull(), F.col("snapshot_id")).when(F.col("_root"), F.col("to"))
-    return j.select("snapshot_id", origin.alias("origin"), F.when(origin.isNotNull(), F.col("depth")).alias("depth"))
+    why = F.when(~F.col("done"), "CYCLE").otherwise(F.col("issue"))
+    return s.select("snapshot_id", F.when(why.isNull(), F.col("at")).alias("origin"), F.when(why.isNull(), F.col("depth")).alias("depth"), why.alias("issue"))
 
 
 def latest_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -134,17 +137,21 @@ def covers(resources: DataFrame, required: tuple[str, ...], start: Column, end:
     return n.select("company", ((F.col("n") == len(required)) & F.col("ok")).alias("covered"))
 
 
-def reachable(edges: DataFrame, start: DataFrame, max_hops: int = 50) -> DataFrame:
-    """Every node that can be reached from ``start`` over ``edges`` (src, dst): a frontier join per hop, visited nodes removed."""
-    keep = lambda df: materialize(df, "reachable")
-    edges = keep(edges)
-    seen = keep(start.select("node").distinct())
-    frontier = seen
-    for _ in range(max_hops):
-        frontier = keep(frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = keep(seen.union(frontier))
+def reachable(edges: DataFrame, start: DataFrame, hops_a_round: int = 4) -> DataFrame:
+    """Every node that can be reached from ``start`` over ``edges`` (src, dst), however far.
+
+    Each round goes some hops from the nodes that the round before found, and leaves out those found earlier; it ends
+    when a round finds none.
+    """
+    edges = materialize(edges.select("src", "dst").distinct(), "reachable")
+    seen = frontier = materialize(start.select("node").distinct(), "reachable")
+    while not frontier.isEmpty():
+        at, found = frontier, None
+        for _ in range(hops_a_round):
+            at = at.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+            found = at if found is None else found.union(at)
+        frontier = materialize(found.distinct().join(seen, "node", "left_anti"), "reachable")
+        seen = materialize(seen.union(frontier), "reachable")
     return seen
 
 

@@ -5,6 +5,8 @@ Every result has ``company, code, value, reason``: a value or, if there is none,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,33 +18,64 @@ WINDOW_DAYS = 90
 
 def latest_observation(rows: DataFrame, keys: list[str], at: str = "observed_at") -> DataFrame:
     """The newest row of each key; two at the newest instant are ambiguous (``ambiguous`` true, one row)."""
-    w = Window.partitionBy(*keys).orderBy(F.col(at).desc())
-    ranked = rows.withColumn("_rank", F.rank().over(w)).filter("_rank = 1").drop("_rank")
-    ties = Window.partitionBy(*keys)
-    first = Window.partitionBy(*keys).orderBy(*(c for c in rows.columns if c not in keys))
-    return ranked.withColumn("ambiguous", F.count("*").over(ties) > 1).withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k")
+    others = [c for c in rows.columns if c not in keys]
+    # rows of one instant first, so that the second aggregate sees one row for each
+    instants = rows.groupBy(*keys, F.col(at).alias("_at")).agg(F.min(F.struct(*others)).alias("_row"), F.count("*").alias("_n"))
+    latest = instants.groupBy(*keys).agg(F.max_by(F.struct("_row", "_n"), "_at").alias("_b"))
+    return latest.select(*keys, *(F.col(f"_b._row.{c}").alias(c) for c in others), (F.col("_b._n") > 1).alias("ambiguous")).select(*rows.columns, "ambiguous")
+
+
+#: Amounts are only put together if these agree, as far as facts have them.
+SIGNATURE = ("currency", "unit", "period_type", "period_start", "period_days")
+
 
+def usable(facts: DataFrame, as_of: Column) -> DataFrame:
+    """Facts that may enter a variable, by the columns they have: available, admissible, with a value and a period that ended by ``as_of``."""
+    ok = F.col("value").isNotNull() & (F.col("period_end") <= as_of)
+    if "availability" in facts.columns:
+        ok = ok & (F.col("availability") == "AVAILABLE")
+    if "admissible" in facts.columns:
+        ok = ok & F.col("admissible")
+    for c in ("currency", "unit", "period_type"):
+        ok = ok & F.col(c).isNotNull() if c in facts.columns else ok
+    return facts.filter(ok)
 
-def compatible_periods(facts: DataFrame, concepts: tuple[str, ...]) -> DataFrame:
-    """Per company and period: the amounts of ``concepts`` (as a map), whether each occurs exactly once, and whether one is repeated."""
-    f = facts.filter(F.col("concept").isin(*concepts))
-    n = [F.count(F.when(F.col("concept") == c, 1)) for c in concepts]
-    amounts = [F.max(F.when(F.col("concept") == c, F.col("value"))).alias(c) for c in concepts]
-    all_once = n[0] == 1
-    all_there, repeated = n[0] >= 1, n[0] > 1
-    for x in n[1:]:
-        all_once, all_there, repeated = all_once & (x == 1), all_there & (x >= 1), repeated | (x > 1)
-    return f.groupBy("company", "period_end").agg(*amounts, all_once.alias("complete"), (all_there & repeated).alias("repeated"))
+
+def selected_periods(facts: DataFrame, needs: dict[str, tuple[str, ...]], periods: dict[str, int] | None = None) -> DataFrame:
+    """Per company and each name of ``needs``, a struct ``(periods, ambiguous)``: the newest periods that have every concept once, in one signature.
+
+    ``periods`` (one unless said otherwise) are structs ``(period_end, amounts)``, the newest first; ambiguous if a period as new has all
+    concepts, one of them twice. All names are served by two aggregates: by company and period, then by company.
+    """
+    concepts = sorted({c for n in needs.values() for c in n})
+    count, value = {c: f"_n{k}" for k, c in enumerate(concepts)}, {c: f"_v{k}" for k, c in enumerate(concepts)}
+    of = lambda c, x: F.when(F.col("concept") == c, x)
+    signature = [c for c in SIGNATURE if c in facts.columns]
+    sign = F.struct(*signature) if signature else F.lit(0)
+    aggregates = [x for c in concepts for x in (F.count(of(c, 1)).alias(count[c]), F.max(of(c, F.col("value"))).alias(value[c]))]
+    for k, n in enumerate(needs.values()):
+        mine = F.when(F.col("concept").isin(*n), sign)
+        aggregates.append(F.min(mine).eqNullSafe(F.max(mine)).alias(f"_s{k}"))
+    each = facts.filter(F.col("concept").isin(*concepts)).groupBy("company", "period_end").agg(*aggregates)
+    out = []
+    for k, (name, n) in enumerate(needs.items()):
+        counts = [F.col(count[c]) for c in n]
+        once = reduce(Column.__and__, [x == 1 for x in counts]) & F.col(f"_s{k}")
+        twice = reduce(Column.__and__, [x >= 1 for x in counts]) & reduce(Column.__or__, [x > 1 for x in counts])
+        period = F.when(once, F.struct("period_end", F.array(*(F.col(value[c]) for c in n)).alias("amounts")))
+        wanted = (periods or {}).get(name, 1)
+        # a company has few periods; where one is enough, only that one is kept
+        chosen = F.array_compact(F.array(F.max(period))) if wanted == 1 else F.slice(F.sort_array(F.collect_list(period), asc=False), 1, wanted)
+        out += [chosen.alias(f"_p{k}"), F.max(F.when(twice, F.col("period_end"))).alias(f"_t{k}")]
+    flat = each.groupBy("company").agg(*out)
+    last = lambda k: F.get(F.col(f"_p{k}"), F.size(f"_p{k}") - 1)["period_end"]
+    return flat.select("company", *(F.struct(F.col(f"_p{k}").alias("periods"), F.coalesce(F.col(f"_t{k}") >= last(k), F.lit(False)).alias("ambiguous")).alias(name) for k, name in enumerate(needs)))
 
 
 def latest_compatible(facts: DataFrame, concepts: tuple[str, ...], periods: int = 1) -> DataFrame:
-    """The newest ``periods`` periods that have every concept once; ambiguous if a newer one has all of them, one twice."""
-    p = compatible_periods(facts, concepts)
-    w = Window.partitionBy("company").orderBy(F.col("period_end").desc())
-    p = p.withColumn("place", F.sum(F.col("complete").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    before = F.max(F.col("repeated").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    p = p.withColumn("ambiguous", before == 1)
-    return p.filter(F.col("complete") & (F.col("place") <= periods)).drop("complete", "repeated")
+    """The newest ``periods`` periods that have every concept once, in one signature; ambiguous if a newer one has all of them, one twice."""
+    s = selected_periods(facts, {"chosen": concepts}, {"chosen": periods}).select("company", F.explode("chosen.periods").alias("p"), "chosen.ambiguous")
+    return s.select("company", F.col("p.period_end").alias("period_end"), *(F.get("p.amounts", F.lit(k)).alias(c) for k, c in enumerate(concepts)), "ambiguous")
 
 
 def closest(rows: DataFrame, keys: list[str], year: Column, requested: int, n: int = 1, then: list[Column] | None = None) -> DataFrame:
@@ -61,6 +94,8 @@ def not_newest_first(rows: DataFrame, keys: list[str], order: str, day: str) ->
 
 # ------------------------------------------------------------------ financial
 
+TREND = "F1.2"
+# Fixed values of the model.
 #: code: numerator, what is taken off it, denominator, reason if the denominator is not usable
 RATIOS = {
     "F1.1": ("NET_ASSETS", None, "TOTAL_ASSETS", "NON_POSITIVE_TOTAL_ASSETS"),
@@ -70,44 +105,67 @@ RATIOS = {
 }
 
 
+def financial(companies: DataFrame, facts: DataFrame, codes: tuple[str, ...], mode: str = "strict") -> DataFrame:
+    """``company, code, value, reason, period_end`` of the balance-sheet variables ``codes``, from one selection of their periods.
+
+    ``mode`` foundation refuses only a denominator of 0.
+    """
+    needs = {c: ("NET_ASSETS",) if c == TREND else tuple(x for x in RATIOS[c][:3] if x) for c in codes}
+    chosen = selected_periods(facts, needs, {TREND: 2})
+    row = companies.select("company").join(chosen, "company", "left")
+    amount = lambda code, period, k: F.get(F.get(F.col(f"`{code}`.periods"), F.lit(period))["amounts"], F.lit(k))
+    found = []
+    for code in codes:
+        n, ambiguous = F.coalesce(F.size(F.col(f"`{code}`.periods")), F.lit(0)), F.col(f"`{code}`.ambiguous")
+        if code == TREND:
+            now, before = amount(code, 0, 0), amount(code, 1, 0)
+            why = F.when(n < 2, "NON_COMPARABLE_PERIODS").when(ambiguous, "AMBIGUOUS").when(before == 0, "ZERO_PREVIOUS_NET_ASSETS")
+            value = (now.cast("double") - before.cast("double")) / F.abs(before.cast("double"))
+        else:
+            _, less, _, reason = RATIOS[code]
+            bottom = amount(code, 0, len(needs[code]) - 1)
+            why = F.when(n < 1, "NO_COMPATIBLE_PERIOD").when(ambiguous, "AMBIGUOUS").when(bottom == 0 if mode == "foundation" else bottom <= 0, reason if mode != "foundation" else "ZERO_DENOMINATOR")
+            value = (amount(code, 0, 0).cast("double") - (amount(code, 0, 1).cast("double") if less else F.lit(0.0))) / bottom.cast("double")
+        period = F.when(n > 0, F.get(F.col(f"`{code}`.periods"), F.lit(0))["period_end"])
+        found.append(F.struct(F.lit(code).alias("code"), F.when(why.isNull(), value).alias("value"), why.alias("reason"), period.alias("period_end")))
+    return row.select("company", F.inline(F.array(*found)))
+
+
 def ratio(companies: DataFrame, facts: DataFrame, code: str, mode: str = "strict") -> DataFrame:
-    """A balance-sheet ratio of the latest compatible period; ``mode`` foundation refuses only a denominator of 0."""
-    top, less, bottom, reason = RATIOS[code]
-    concepts = tuple(c for c in (top, less, bottom) if c)
-    chosen = latest_compatible(facts, concepts)
-    unusable = F.col(bottom) == 0 if mode == "foundation" else F.col(bottom) <= 0
-    amount = F.col(top).cast("double") - (F.col(less).cast("double") if less else F.lit(0.0))
-    out = companies.select("company").join(chosen, "company", "left")
-    why = F.when(F.col("period_end").isNull(), "NO_COMPATIBLE_PERIOD").when(F.col("ambiguous"), "AMBIGUOUS").when(unusable, reason if mode != "foundation" else "ZERO_DENOMINATOR")
-    return out.select("company", F.lit(code).alias("code"), F.when(why.isNull(), amount / F.col(bottom).cast("double")).alias("value"), why.alias("reason"), "period_end")
+    """A balance-sheet ratio of the latest compatible period."""
+    return financial(companies, facts, (code,), mode)
 
 
 def net_asset_trend(companies: DataFrame, facts: DataFrame) -> DataFrame:
     """Change of net assets against the previous comparable period, relative to its size."""
-    chosen = latest_compatible(facts, ("NET_ASSETS",), periods=2)
-    two = chosen.groupBy("company").agg(
-        F.max_by("NET_ASSETS", "period_end").alias("now"), F.min_by("NET_ASSETS", "period_end").alias("before"), F.count("*").alias("n"), F.max("period_end").alias("period_end"), F.bool_or("ambiguous").alias("ambiguous")
-    )
-    out = companies.select("company").join(two, "company", "left")
-    why = F.when(F.col("n").isNull() | (F.col("n") < 2), "NON_COMPARABLE_PERIODS").when(F.col("ambiguous"), "AMBIGUOUS").when(F.col("before") == 0, "ZERO_PREVIOUS_NET_ASSETS")
-    value = (F.col("now").cast("double") - F.col("before").cast("double")) / F.abs(F.col("before").cast("double"))
-    return out.select("company", F.lit("F1.2").alias("code"), F.when(why.isNull(), value).alias("value"), why.alias("reason"), "period_end")
+    return financial(companies, facts, (TREND,))
 
 
 # ----------------------------------------------------------------- governance
 
 def lateness(companies: DataFrame, obligations: DataFrame, kind: str, code: str, as_of: Column, mode: str = "strict") -> DataFrame:
     """Days that the latest obligation of a kind is or was late."""
-    latest = latest_observation(obligations.filter(F.col("kind") == kind), ["company"])
-    out = companies.select("company").join(latest, "company", "left")
-    end = F.when(F.col("state") == "FILED", F.col("filed")).otherwise(as_of)
-    why = F.when(F.col("state").isNull(), "NO_OBLIGATION").when(F.col("ambiguous"), "AMBIGUOUS")
-    why = why.when((F.col("state") == "UNRESOLVED") | ((F.col("state") == "FILED") & (F.col("filed") > as_of)), "UNRESOLVED_OBLIGATION" if mode == "strict" else "INCOMPLETE_FILING_HISTORY")
-    late = F.greatest(F.datediff(end, F.col("due")), F.lit(0)).cast("double")
-    if mode == "foundation":  # what is not due yet is not late, whatever is known of its filing
-        not_due = F.col("due") > as_of
-        late, why = F.when(not_due, 0.0).otherwise(late), F.when(not_due & ~F.col("ambiguous"), None).otherwise(why)
-    return out.select("company", F.lit(code).alias("code"), F.when(why.isNull(), late).alias("value"), why.alias("reason"))
+    return latenesses(companies, obligations, {kind: code}, as_of, mode)
+
+
+def latenesses(companies: DataFrame, obligations: DataFrame, codes: dict[str, str], as_of: Column, mode: str = "strict") -> DataFrame:
+    """The same for several kinds, from one selection of the latest obligations."""
+    latest = latest_observation(obligations.filter(F.col("kind").isin(*codes)), ["company", "kind"])
+    fields = ("state", "filed", "due", "ambiguous")
+    wide = latest.groupBy("company").agg(*(F.max(F.when(F.col("kind") == k, F.struct(*fields))).alias(c) for k, c in codes.items()))
+    row = companies.select("company").join(wide, "company", "left")
+    found = []
+    for code in codes.values():
+        state, filed, due, ambiguous = (F.col(f"`{code}`.{f}") for f in fields)
+        end = F.when(state == "FILED", filed).otherwise(as_of)
+        why = F.when(state.isNull(), "NO_OBLIGATION").when(ambiguous, "AMBIGUOUS")
+        why = why.when((state == "UNRESOLVED") | ((state == "FILED") & (filed > as_of)), "UNRESOLVED_OBLIGATION" if mode == "strict" else "INCOMPLETE_FILING_HISTORY")
+        late = F.greatest(F.datediff(end, due), F.lit(0)).cast("double")
+        if mode == "foundation":  # what is not due yet is not late, whatever is known of its filing
+            not_due = due > as_of
+            late, why = F.when(not_due, 0.0).otherwise(late), F.when(not_due & ~ambiguous, None).otherwise(why)
+        found.append(F.struct(F.lit(code).alias("code"), F.when(why.isNull(), late).alias("value"), why.alias("reason")))
+    return row.select("company", F.inline(F.array(*found)))
 
 
 def active_at(day: Column, just_before: bool = False) -> Column:
@@ -151,8 +209,11 @@ def change_concentration(companies: DataFrame, directors: DataFrame, as_of: Colu
     first = F.greatest(F.date_sub("day", days - 1), start)
     last = F.date_sub(as_of, days - 1)
     opens = per_day.select("company", F.explode(F.array(F.col("day"), first)).alias("open")).withColumn("open", F.greatest(F.least("open", last), start)).distinct()
-    inside = opens.join(per_day, "company").filter(F.col("day").between(F.col("open"), F.date_add("open", days - 1)))
-    counted = inside.groupBy("company", "open").agg(F.sum("n").alias("left"))
+    # openings stand among the departure days; each sums the departures of the days that follow
+    number = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date")).alias("at")
+    mixed = per_day.select("company", number("day"), "n", F.lit(None).cast("date").alias("open")).unionByName(opens.select("company", number("open"), F.lit(0).cast("long").alias("n"), "open"))
+    ahead = F.sum("n").over(Window.partitionBy("company").orderBy("at").rangeBetween(0, days - 1))
+    counted = mixed.withColumn("left", ahead).filter("open is not null and left > 0").select("company", "open", "left")
     best = counted.groupBy("company").agg(F.max(F.struct(F.col("left"), (-F.datediff("open", F.lit("1970-01-01").cast("date"))).alias("neg"), F.col("open"))).alias("b"))
     out = companies.select("company").join(initial, "company", "left").join(best, "company", "left")
     why = F.when(F.coalesce("initial", F.lit(0)) == 0, "ZERO_DIRECTOR_DENOMINATOR").when(F.col("b").isNull(), "NO_COMPUTABLE_WINDOW")
@@ -173,7 +234,13 @@ def control_changes(companies: DataFrame, events: DataFrame, as_of: Column, mont
 
 
 def role_gate(members: DataFrame, excluded: tuple[str, ...], known: tuple[str, ...]) -> DataFrame:
-    """Per company the first failure by subject: unknown role, no identity, no start; excluded roles are dropped first."""
+    """Per company the first failure by subject; excluded roles are dropped first.
+
+    A failure is an unknown role, no identity, no start, or, where members have ``resigned`` and ``resignation`` (its
+    availability), an end that is neither known nor declared not to apply.
+    """
     m = members.filter(~F.coalesce(F.col("role").isin(*excluded), F.lit(False)))
     failure = F.when(~F.coalesce(F.col("role").isin(*known), F.lit(False)), "UNKNOWN_ROLE").when(F.col("person").isNull(), "MISSING_IDENTITY").when(F.col("appointed").isNull(), "MISSING_APPOINTMENT")
+    if "resignation" in members.columns:
+        failure = failure.when(F.col("resigned").isNull() & ~F.col("resignation").eqNullSafe(F.lit("NOT_APPLICABLE")), "INCOMPLETE_POPULATION")
     return m.withColumn("failure", failure).groupBy("company").agg(F.count("*").alias("members"), F.min_by("failure", F.when(F.col("failure").isNotNull(), F.col("subject"))).alias("reason"))

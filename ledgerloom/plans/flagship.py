@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..operators import beliefs, variables
 from ..sources import adapters
-from ..sources.shared import materialize
 from . import model
 
 
@@ -20,19 +19,16 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def foundation_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``company, code, value, reason`` of the six variables, without reliability."""
     who, as_of = companies(spark, sf_dir), adapters.as_of()
-    # several variables start from the same facts and obligations: work them out once
-    facts = materialize(adapters.facts(spark, sf_dir), "facts")
-    obligations = materialize(adapters.obligations(spark, sf_dir), "obligations")
-    parts = [variables.ratio(who, facts, c, "foundation") for c in ("F1.1", "F2.2", "F2.3")]
-    parts.append(variables.lateness(who, obligations, "ACCOUNTS", "G1.1", as_of, "foundation"))
-    parts.append(variables.lateness(who, obligations, "CONFIRMATION", "G1.2", as_of, "foundation"))
-    parts.append(variables.median_tenure(who, adapters.directors(spark, sf_dir), as_of))
+    parts = [
+        variables.financial(who, adapters.facts(spark, sf_dir), ("F1.1", "F2.2", "F2.3"), "foundation"),
+        variables.latenesses(who, adapters.obligations(spark, sf_dir), {"ACCOUNTS": "G1.1", "CONFIRMATION": "G1.2"}, as_of, "foundation"),
+        variables.median_tenure(who, adapters.directors(spark, sf_dir), as_of),
+    ]
     return reduce(DataFrame.unionByName, (p.select("company", "code", "value", "reason") for p in parts))
 
 
 def reference_beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = materialize(foundation_values(spark, sf_dir), "foundation-values")
-    return beliefs.memberships(values, model.variables(spark))
+    return beliefs.memberships(foundation_values(spark, sf_dir), model.variables(spark))
 
 
 def overall(spark: SparkSession, sf_dir: str) -> DataFrame:

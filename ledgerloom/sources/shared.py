@@ -2,18 +2,40 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in local tests.
+#: Used only by local sessions that name no shared folder, as in tests.
 LOCAL_FALLBACK = "/tmp/checkpoints/ledgerloom"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; a cluster has to name it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(named or LOCAL_FALLBACK).rstrip('/')}/ledgerloom-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` as Parquet and read it back: cuts a growing plan, and survives lost executors."""
     spark = df.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK).rstrip("/")
-    path = f"{root}/ledgerloom-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the folder that ``df``, the result of :func:`materialize`, reads."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that this application wrote to the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -14,12 +14,11 @@ from pyspark.sql.types import StructType
 
 from ..functions.scalars import identity
 from ..operators.evidence import latest_by
-from ..sources.shared import LOCAL_FALLBACK
+from ..sources.shared import shared_dir
 
 
 def work_folder(spark: SparkSession, label: str) -> str:
-    root = (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK).rstrip("/")
-    return f"{root}/ledgerloom-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def table_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
