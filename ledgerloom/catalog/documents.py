@@ -217,17 +217,28 @@ def _x09(s: SparkSession, d: str) -> DataFrame:
 
 
 def _x10(s: SparkSession, d: str) -> DataFrame:
-    """Levels as stored with earlier results against the current model, per company."""
-    stored = table(s, d, "customer").select("c_custkey", F.col("c_mktsegment")).crossJoin(F.broadcast(model.variables(s).select("code", "high_ref")))  # six variables
-    old = F.when((F.col("c_mktsegment") == "BUILDING") & (F.col("code") == "G1.1"), 60.0).otherwise(F.col("high_ref"))
-    return stored.groupBy("c_custkey").agg(F.count_if(old != F.col("high_ref")).alias("drifted"), F.count("*").alias("variables"))
+    """Standards as each user saw them last against the newest of their kind: how many have drifted."""
+    e = table(s, d, "events")
+    stored = e.groupBy("user_id", "event_type").agg(F.max_by(F.floor("value"), "event_id").alias("seen"))
+    current = e.groupBy("event_type").agg(F.max_by(F.floor("value"), "event_id").alias("now"))
+    j = stored.join(F.broadcast(current), "event_type")  # one row for each kind of event
+    return j.groupBy("user_id").agg(F.count_if(F.col("seen") != F.col("now")).alias("drifted"), F.count("*").alias("standards"))
+
+
+_X10 = """SELECT user_id, count(*) FILTER (seen <> now) AS drifted, count(*) AS standards FROM (SELECT user_id, event_type, arg_max(floor(value), event_id) AS seen FROM events GROUP BY 1, 2)
+JOIN (SELECT event_type, arg_max(floor(value), event_id) AS now FROM events GROUP BY 1) USING (event_type) GROUP BY 1"""
 
 
 def _u04(s: SparkSession, d: str) -> DataFrame:
-    c = table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    told = F.transform("t", lambda x: x["text"])
-    other = F.when(F.col("conv_id") % 3 == 0, F.slice(told, 2, 1_000_000)).otherwise(F.reverse(told))
-    return c.select("conv_id", (F.array_sort(told) == F.array_sort(other)).alias("keeps_every_sentence_once"))
+    """A conversation's user turns as the plan, its assistant turns as the narrative: the same words, each as often."""
+    told = table(s, d, "conversations").filter("role IN ('user', 'assistant')").select("conv_id", "role", F.explode(F.split("text", " ")).alias("part"))
+    n = lambda r: F.count_if(F.col("role") == r).alias(r)
+    each = told.groupBy("conv_id", "part").agg(n("user"), n("assistant"))
+    return each.groupBy("conv_id").agg(F.bool_and(F.col("user") == F.col("assistant")).alias("keeps_every_part_once"), F.count_if(F.col("user") > F.col("assistant")).alias("lost"), F.count_if(F.col("user") < F.col("assistant")).alias("added"))
+
+
+_U04 = """SELECT conv_id, bool_and(u = a) AS keeps_every_part_once, count(*) FILTER (u > a) AS lost, count(*) FILTER (u < a) AS added FROM (SELECT conv_id, part, count(*) FILTER (role = 'user') AS u, count(*) FILTER (role = 'assistant') AS a
+FROM (SELECT conv_id, role, unnest(string_split(text, ' ')) AS part FROM conversations WHERE role IN ('user', 'assistant')) GROUP BY 1, 2) GROUP BY 1"""
 
 
 def queries() -> dict[str, Query]:
@@ -260,6 +271,6 @@ def queries() -> dict[str, Query]:
         "X07_source_inputs": Query(_x07, sql(["facts"], "SELECT f.company, code, f.concept, yr, CAST(value AS DOUBLE) AS value FROM (SELECT *, max(yr) OVER (PARTITION BY company) AS latest FROM facts) f JOIN (VALUES ('F1.1', 'NET_ASSETS'), ('F1.1', 'TOTAL_ASSETS'), ('F2.2', 'CURRENT_ASSETS'), ('F2.2', 'CURRENT_LIABILITIES')) n(code, concept) ON n.concept = f.concept WHERE yr = latest")),
         "X08_dominance": Query(_x08, sql(["member"], _X08)),
         "X09_reliability_rows": Query(_x09, f"WITH {_QUALITY} SELECT c_custkey, CAST(s AS DOUBLE) AS s, CAST(e AS DOUBLE) AS e, CAST(v AS DOUBLE) AS v, CAST(c AS DOUBLE) AS c, concat_ws(',', CASE WHEN failed THEN 'HARD_RULE' END, CASE WHEN s IS NULL THEN 'UNMAPPED_SOURCE' END) AS failures FROM quality"),
-        "X10_reference_drift": Query(_x10, "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN CAST(1 AS BIGINT) ELSE 0 END AS drifted, CAST(6 AS BIGINT) AS variables FROM customer"),
-        "U04_permutation_check": Query(_u04, "SELECT conv_id, conv_id % 3 <> 0 AS keeps_every_sentence_once FROM conversations GROUP BY 1"),
+        "X10_reference_drift": Query(_x10, _X10),
+        "U04_permutation_check": Query(_u04, _U04),
     }

@@ -59,9 +59,10 @@ _S04 = """SELECT filing, document_id, media FROM (SELECT *, row_number() OVER (P
 
 
 def _s05(s: SparkSession, d: str) -> DataFrame:
-    doc = table(s, d, "documents")
-    claimed = F.when(F.col("doc_id") % 10 == 3, F.lit("0" * 64)).otherwise(F.sha2(F.col("text").cast("binary"), 256))
-    return doc.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("checksum"), claimed.alias("claimed")).withColumn("verified", F.col("checksum") == F.col("claimed")).drop("claimed")
+    """Each document against the checksum recorded for its predecessor's text: verified where the two texts are the same bytes."""
+    doc = table(s, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("checksum"))
+    recorded = doc.select((F.col("doc_id") + 1).alias("doc_id"), F.col("checksum").alias("claimed"))
+    return doc.join(recorded, "doc_id", "left").select("doc_id", "checksum", F.coalesce(F.col("checksum") == F.col("claimed"), F.lit(False)).alias("verified"))
 
 
 def _s06(s: SparkSession, d: str) -> DataFrame:
@@ -110,9 +111,22 @@ def _j01(s: SparkSession, d: str) -> DataFrame:
     return wide.filter("category = 'accounts'").select("subject", F.col("link").cast("long").alias("company"), F.to_date("date").alias("day"))
 
 
+def _reuse(s: SparkSession, d: str) -> DataFrame:
+    """Each event as a snapshot that reuses its user's event before; purchases of one price may name others, or none that exists."""
+    e = table(s, d, "events").withColumn("before", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")))
+    odd = (F.col("event_type") == "purchase") & (F.col("value") < 1)
+    reused = F.when(odd & (F.col("event_id") % 2 == 0), F.col("event_id") - 1).when(odd, -F.col("event_id") - 1).otherwise(F.col("before"))
+    return e.select(F.col("event_id").alias("snapshot_id"), F.col("user_id").alias("company"), reused.alias("reused"))
+
+
 def _j02(s: SparkSession, d: str) -> DataFrame:
-    c = table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("snapshot_id"), F.when(F.col("turn") % 4 != 0, F.col("conv_id") * 1000 + F.col("turn") - 1).alias("reused"))
-    return E.origin_snapshots(c, 8).select("snapshot_id", "origin", F.col("depth").cast("long").alias("depth"))
+    return E.origin_snapshots(_reuse(s, d), ("company",))
+
+
+_J02 = """WITH RECURSIVE snap AS (SELECT event_id AS id, user_id AS company, CASE WHEN event_type = 'purchase' AND value < 1 THEN CASE WHEN event_id % 2 = 0 THEN event_id - 1 ELSE -event_id - 1 END ELSE lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) END AS reused FROM events),
+link AS (SELECT s.*, CASE WHEN s.reused IS NULL THEN NULL WHEN t.id IS NULL THEN 'MISSING_LINK' WHEN t.company <> s.company THEN 'OTHER_OWNER' END AS issue FROM snap s LEFT JOIN snap t ON t.id = s.reused),
+walk AS (SELECT id AS snapshot_id, id AS cur, CAST(0 AS BIGINT) AS depth FROM link UNION ALL SELECT snapshot_id, reused, depth + 1 FROM walk JOIN link ON id = cur WHERE reused IS NOT NULL AND issue IS NULL)
+SELECT snapshot_id, CASE WHEN issue IS NULL THEN cur END AS origin, CASE WHEN issue IS NULL THEN depth END AS depth, issue FROM walk JOIN link ON id = cur WHERE reused IS NULL OR issue IS NOT NULL"""
 
 
 def _j03(s: SparkSession, d: str) -> DataFrame:
@@ -137,10 +151,18 @@ def _j05(s: SparkSession, d: str) -> DataFrame:
 
 
 def _j06(s: SparkSession, d: str) -> DataFrame:
-    """Facts with ordered evidence ids resolved to their documents."""
-    li = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("fact")).agg(F.array_sort(F.collect_set("l_orderkey")).alias("evidence"))
-    each = li.select("fact", F.posexplode("evidence").alias("pos", "o_orderkey"))
-    return each.join(table(s, d, "orders"), "o_orderkey", "left").groupBy("fact").agg(F.count("*").alias("claimed"), F.count("o_custkey").alias("resolved"), F.max_by("o_orderkey", "pos").alias("last_id"))
+    """Facts (a supplier's parts) through their evidence (order lines) to source (order) and document owner (customer), each level counted."""
+    claims = table(s, d, "lineitem").select(F.col("l_suppkey").alias("fact"), "l_orderkey").distinct()
+    sources = table(s, d, "orders").filter("o_orderpriority <> '4-NOT SPECIFIED'").select("o_orderkey", "o_custkey")
+    owners = table(s, d, "customer").filter("c_acctbal >= 0").select("c_custkey")
+    each = claims.join(sources, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(owners, F.col("o_custkey") == F.col("c_custkey"), "left")
+    n = each.groupBy("fact").agg(F.count("*").alias("claimed"), F.count("o_orderkey").alias("resolved"), F.count("c_custkey").alias("grounded"), F.max("l_orderkey").alias("last_id"))
+    return n.withColumn("status", F.when(F.col("resolved") < F.col("claimed"), "SOURCE_MISSING").when(F.col("grounded") < F.col("claimed"), "OWNER_MISSING").otherwise("GROUNDED"))
+
+
+_J06 = """SELECT *, CASE WHEN resolved < claimed THEN 'SOURCE_MISSING' WHEN grounded < claimed THEN 'OWNER_MISSING' ELSE 'GROUNDED' END AS status FROM (
+  SELECT l_suppkey AS fact, count(DISTINCT l_orderkey) AS claimed, count(DISTINCT o_orderkey) AS resolved, count(DISTINCT CASE WHEN c_custkey IS NOT NULL THEN o_orderkey END) AS grounded, max(l_orderkey) AS last_id
+  FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED') ON l_orderkey = o_orderkey LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) ON o_custkey = c_custkey GROUP BY 1)"""
 
 
 def _j07(s: SparkSession, d: str) -> DataFrame:
@@ -199,35 +221,36 @@ def _edges(s: SparkSession, d: str) -> DataFrame:
         .union(li.select(name("o", "l_orderkey"), name("s", "l_suppkey")))
         .union(su.select(name("s", "s_suppkey"), name("n", "s_nationkey")))
         .union(na.select(name("n", "n_nationkey"), name("r", "n_regionkey")))
+        .union(_reuse(s, d).filter("reused is not null").select(name("e", "snapshot_id"), name("e", "reused")))
     )
 
 
 _EDGES = """edges AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION ALL SELECT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem
-UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"""
+UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
+UNION ALL SELECT 'e' || event_id, 'e' || reused FROM (SELECT event_id, CASE WHEN event_type = 'purchase' AND value < 1 THEN CASE WHEN event_id % 2 = 0 THEN event_id - 1 ELSE -event_id - 1 END ELSE lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) END AS reused FROM events) WHERE reused IS NOT NULL)"""
 
 
 def _j12(s: SparkSession, d: str) -> DataFrame:
     """Retention: what the chosen companies need is kept, all other nodes could go."""
     edges = _edges(s, d)
     start = table(s, d, "customer").filter("c_acctbal < 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
+    start = start.union(table(s, d, "events").filter("value > 99").select(F.concat(F.lit("e"), F.col("event_id").cast("string"))))
     kept = E.reachable(edges, start).withColumn("kept", F.lit(True))
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     return nodes.join(kept, "node", "left").groupBy(F.substring("node", 1, 1).alias("kind")).agg(F.count("kept").alias("kept"), F.count_if(F.col("kept").isNull()).alias("could_go"))
 
 
-_J12 = f"""WITH RECURSIVE {_EDGES}, seen AS (SELECT 'c' || c_custkey AS node FROM customer WHERE c_acctbal < 0 UNION SELECT dst FROM seen JOIN edges ON node = src)
+_J12 = f"""WITH RECURSIVE {_EDGES}, seen AS (SELECT 'c' || c_custkey AS node FROM customer WHERE c_acctbal < 0 UNION SELECT 'e' || event_id FROM events WHERE value > 99 UNION SELECT dst FROM seen JOIN edges ON node = src)
 SELECT substr(n.node, 1, 1) AS kind, count(s.node) AS kept, count(*) FILTER (s.node IS NULL) AS could_go FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges) n LEFT JOIN seen s ON s.node = n.node GROUP BY 1"""
 
 
 def _j13(s: SparkSession, d: str) -> DataFrame:
-    """The tree company - filing - fact, as nested arrays, with broken edges counted."""
+    """The tree company - filing - fact with its sizes at each level, and its broken edges counted."""
     li, o, c = table(s, d, "lineitem"), table(s, d, "orders"), table(s, d, "customer")
-    facts = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("facts"))
-    filings = o.join(facts, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "facts"))).alias("filings"))
+    per_filing = li.groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    filings = o.join(per_filing, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_custkey").agg(F.count("*").alias("filings"), F.sum("n").alias("facts"), F.count_if(F.col("n").isNull()).alias("broken"))
     t = c.join(filings, F.col("c_custkey") == F.col("o_custkey"), "left")
-    n_facts = F.aggregate("filings", F.lit(0), lambda acc, f: acc + F.coalesce(F.size(f["facts"]), F.lit(0)))
-    broken = F.size(F.filter("filings", lambda f: f["facts"].isNull()))
-    return t.select(F.col("c_custkey").alias("company"), F.coalesce(F.size("filings"), F.lit(0)).cast("long").alias("filings"), F.coalesce(n_facts, F.lit(0)).cast("long").alias("facts"), F.when(F.col("filings").isNull(), 0).otherwise(broken).cast("long").alias("broken"))
+    return t.select(F.col("c_custkey").alias("company"), *(F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("filings", "facts", "broken")))
 
 
 _J13 = """SELECT c_custkey AS company, count(o_orderkey) AS filings, CAST(coalesce(sum(n), 0) AS BIGINT) AS facts, count(*) FILTER (o_orderkey IS NOT NULL AND n IS NULL) AS broken
@@ -287,7 +310,7 @@ def queries() -> dict[str, Query]:
         "S02_page_sequence": Query(_s02, _S02),
         "S03_horizon_filter": Query(_s03, f"SELECT o_custkey AS company, o_orderkey, covered FROM (SELECT *, bool_or(CAST(o_orderdate AS DATE) < ({DAY} - INTERVAL 36 MONTH)::DATE) OVER (PARTITION BY o_custkey) AS covered FROM orders) WHERE CAST(o_orderdate AS DATE) BETWEEN ({DAY} - INTERVAL 36 MONTH)::DATE AND {DAY}"),
         "S04_representation": Query(lambda s, d: E.preferred_representation(_documents(s, d)).select("filing", "document_id", "media"), _S04),
-        "S05_checksum": Query(_s05, "SELECT doc_id, sha256(text) AS checksum, doc_id % 10 <> 3 AS verified FROM documents"),
+        "S05_checksum": Query(_s05, "SELECT a.doc_id, sha256(a.text) AS checksum, coalesce(a.text = b.text, false) AS verified FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id - 1"),
         "S06_object_key": Query(_s06, "SELECT event_id, lpad(user_id::VARCHAR, 8, '0') || '/' || lower(event_type) || '/' || strftime(ts, '%Y%m%dT%H%M%SZ') || '/' || event_id || '/' || sha256(props) || '.json' AS object_key FROM events"),
         "S07_immutable_append": Query(_s07, _S07),
         "S08_page_fact_append": Query(_s08, _S08),
@@ -298,11 +321,11 @@ def queries() -> dict[str, Query]:
         "S11_snapshot_status": Query(_s11, "SELECT c_custkey, CASE WHEN c_custkey % 4 = 1 THEN 'MISSING' WHEN c_custkey % 11 = 0 THEN 'HASH_MISMATCH' WHEN c_custkey % 8 = 2 THEN 'OLD_CONFIG' WHEN c_custkey % 5 = 4 THEN 'NEWER_EVIDENCE' ELSE 'CURRENT' END AS status FROM customer"),
         "S12_audit_export": Query(_s12, with_ctes(["facts"], "SELECT company, period_end, count(*) AS facts, CAST(sum(value) AS DOUBLE) AS total FROM facts GROUP BY 1, 2")),
         "J01_eav_filings": Query(_j01, "SELECT o_orderkey AS subject, o_custkey AS company, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderstatus = 'F'"),
-        "J02_origin_snapshot": Query(_j02, "SELECT conv_id * 1000 + turn AS snapshot_id, conv_id * 1000 + turn - turn % 4 AS origin, turn % 4 AS depth FROM conversations"),
+        "J02_origin_snapshot": Query(_j02, _J02),
         "J03_snapshot_members": Query(_j03, "SELECT DISTINCT o_custkey AS c_custkey, l_suppkey, l_returnflag FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"),
         "J04_obligation_match": Query(_j04, f"SELECT o_orderkey AS duty, CASE count(l_orderkey) WHEN 0 THEN 'OUTSTANDING' WHEN 1 THEN 'FILED' ELSE 'UNRESOLVED' END AS state FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = o_orderkey % 7 AND l_shipdate <= {DAY} GROUP BY 1"),
         "J05_concept_mapping": Query(_j05, "SELECT CASE l_returnflag WHEN 'A' THEN 'REGULAR' WHEN 'R' THEN 'RETURNED' ELSE 'UNMAPPED' END AS concept, count(*) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN -1 ELSE 0 END) AS DOUBLE) AS total FROM lineitem GROUP BY 1"),
-        "J06_provenance": Query(_j06, "SELECT l_suppkey AS fact, count(DISTINCT l_orderkey) AS claimed, count(DISTINCT o_orderkey) AS resolved, max(l_orderkey) AS last_id FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY 1"),
+        "J06_provenance": Query(_j06, _J06),
         "J07_competing_observations": Query(_j07, "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, count(*) AS rows, count(DISTINCT l_extendedprice) > 1 AS competing FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1"),
         "J08_run_pairing": Query(_j08, """SELECT a.o_custkey, a.o_orderkey AS accounts_run, g.o_orderkey AS governance_run, g.o_orderkey IS NOT NULL AS paired
 FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders WHERE o_orderstatus IN ('F', 'O')) WHERE k = 1) a

@@ -61,7 +61,7 @@ def _p04(s: SparkSession, d: str) -> DataFrame:
     return li.select("l_orderkey", "l_linenumber", "l_partkey", S.subject_identity(F.when(k % 3 == 0, F.concat(F.lit("r"), F.col("l_partkey").cast("string"))), F.when(k % 3 == 1, F.concat(F.lit("/o/"), F.col("l_orderkey").cast("string"))), F.col("l_suppkey"), F.col("l_returnflag"), F.when(k != 5, F.col("l_shipdate").cast("date"))).alias("subject"))
 
 
-_P04 = "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 3 = 0 THEN 'r' || l_partkey WHEN l_linenumber % 3 = 1 THEN '/o/' || l_orderkey WHEN l_linenumber <> 5 THEN sha256(l_suppkey || '|' || l_returnflag || '|' || CAST(l_shipdate AS DATE)) END AS subject FROM lineitem"
+_P04 = "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 3 = 0 THEN 'r' || l_partkey WHEN l_linenumber % 3 = 1 THEN '/o/' || l_orderkey WHEN l_linenumber <> 5 THEN sha256(CAST(to_json([CAST(l_suppkey AS VARCHAR), l_returnflag, CAST(CAST(l_shipdate AS DATE) AS VARCHAR)]) AS VARCHAR)) END AS subject FROM lineitem"
 
 
 def _dates(s: SparkSession, d: str) -> DataFrame:
@@ -86,14 +86,21 @@ FROM (SELECT *, l_orderkey % 7 AS k, l_linenumber % 4 AS u, CAST(floor(l_extende
 
 
 def _p08(s: SparkSession, d: str) -> DataFrame:
+    """Tokens of several spellings at every scale from -19 to 18; the value in full, as text."""
     k = F.col("l_orderkey") % 5
     token = F.when(k == 0, F.format_number("whole", 0)).when(k == 1, F.col("whole").cast("string")).when(k == 2, F.lit("-")).when(k == 3, F.concat(F.lit("1,2"), F.col("whole").cast("string"))).otherwise(F.concat(F.col("whole").cast("string"), F.lit(".5")))
-    v = S.tagged_amount(token, (F.col("l_linenumber") % 4).cast("int"), F.when(F.col("l_returnflag") == "R", "-").otherwise(""), F.col("l_partkey") % 2 == 0)
-    return _lines(s, d).select("l_orderkey", "l_linenumber", "l_partkey", v.cast("double").alias("value"))
+    scale = (F.pmod(F.col("l_partkey") * 7 + F.col("l_linenumber"), F.lit(38)) - 19).cast("int")
+    v = S.tagged_amount(token, scale, F.when(F.col("l_returnflag") == "R", "-").otherwise(""), F.col("l_partkey") % 2 == 0)
+    return _lines(s, d).select("l_orderkey", "l_linenumber", "l_partkey", F.regexp_replace(v["value"].cast("string"), r"^0E-18$", "0.000000000000000000").alias("value"), v["reason"].alias("reason"))
 
 
-_P08 = """SELECT l_orderkey, l_linenumber, l_partkey, CAST(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * pow(10, l_linenumber % 4) * CASE WHEN k IN (0, 1) THEN w WHEN k = 4 THEN w + 0.5 WHEN k = 2 AND l_partkey % 2 = 0 THEN 0 WHEN k = 3 AND w BETWEEN 10 AND 99 THEN 1200 + w END AS DOUBLE) + 0.0 AS value
-FROM (SELECT *, l_orderkey % 5 AS k, CAST(floor(l_extendedprice) AS BIGINT) AS w FROM lineitem)"""
+# digits d with f of them after the point are moved by e = scale - f places
+_P08 = """WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, (l_partkey * 7 + l_linenumber) % 38 - 19 AS scale, CASE WHEN k IN (0, 1) THEN w::VARCHAR WHEN k = 2 AND l_partkey % 2 = 0 THEN '0' WHEN k = 3 AND w BETWEEN 10 AND 99 THEN '12' || w WHEN k = 4 THEN w || '5' END AS d, CASE k WHEN 4 THEN 1 ELSE 0 END AS f
+  FROM (SELECT *, l_orderkey % 5 AS k, CAST(floor(l_extendedprice) AS BIGINT) AS w FROM lineitem)),
+m AS (SELECT *, scale - f AS e, CASE WHEN scale >= f THEN d || repeat('0', CAST(scale - f AS BIGINT)) ELSE lpad(d, CAST(greatest(length(d), f - scale + 1) AS INTEGER), '0') END AS p FROM t),
+n AS (SELECT *, ltrim(CASE WHEN e >= 0 THEN p ELSE left(p, CAST(length(p) + e AS BIGINT)) END, '0') AS a, rtrim(CASE WHEN e >= 0 THEN '' ELSE right(p, CAST(-e AS BIGINT)) END, '0') AS b FROM m)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN reason IS NULL THEN CASE WHEN l_returnflag = 'R' AND a || b <> '' THEN '-' ELSE '' END || CASE WHEN a = '' THEN '0' ELSE a END || '.' || rpad(b, 18, '0') END AS value, reason
+FROM (SELECT *, CASE WHEN d IS NULL THEN 'NOT_A_NUMBER' WHEN scale NOT BETWEEN -18 AND 18 THEN 'UNSUPPORTED_SCALE' WHEN length(a) > 20 OR length(b) > 18 THEN 'OUT_OF_RANGE' END AS reason FROM n)"""
 
 
 def _p09(s: SparkSession, d: str) -> DataFrame:
@@ -141,6 +148,19 @@ def _p14(s: SparkSession, d: str) -> DataFrame:
 _P14 = "SELECT event_id, CASE WHEN event_type = 'click' THEN value END AS v_num, CASE WHEN event_type = 'error' THEN CAST(ts AS DATE) END AS v_date, CASE WHEN event_type = 'view' THEN props END AS v_text, CASE WHEN event_type = 'signup' THEN value > 50 END AS v_bool, CASE WHEN event_type = 'purchase' THEN CAST(2 AS BIGINT) END AS n_codes FROM events"
 
 
+def _p15(s: SparkSession, d: str) -> DataFrame:
+    """Ids of parts that hold separators, quotes, nothing or null; rows whose parts read alike when joined must not meet."""
+    k = F.col("o_orderkey") % 4
+    bar = F.concat(F.col("o_orderstatus"), F.lit("|"), F.col("o_orderpriority"))
+    first = F.when(k == 0, bar).when(k == 1, F.col("o_orderstatus")).when(k == 2, F.lit("")).otherwise(F.lit(None))
+    second = F.when(k == 0, F.col("day").cast("string")).when(k == 1, F.concat(F.col("o_orderpriority"), F.lit("|"), F.col("day").cast("string"))).otherwise(F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit('",')))
+    return _orders(s, d).select("o_orderkey", S.identity(F.col("o_custkey"), first, second).alias("id"))
+
+
+_P15 = """SELECT o_orderkey, sha256(CAST(to_json([CAST(o_custkey AS VARCHAR), CASE k WHEN 0 THEN o_orderstatus || '|' || o_orderpriority WHEN 1 THEN o_orderstatus WHEN 2 THEN '' END,
+  CASE k WHEN 0 THEN day WHEN 1 THEN o_orderpriority || '|' || day ELSE '"' || o_orderpriority || '",' END]) AS VARCHAR)) AS id FROM (SELECT *, o_orderkey % 4 AS k, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders)"""
+
+
 def _p16(s: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey") % 3
     js = F.when(k == 0, F.concat(F.lit('{"made_up_date": "'), F.col("day").cast("string"), F.lit('"}'))).when(k == 1, F.lit('{"other": 1}')).otherwise(F.lit("not json"))
@@ -172,7 +192,7 @@ def queries() -> dict[str, Query]:
         "P10_normalize_source": Query(lambda s, d: _normal(s, d).select("c_custkey", "concept", F.col("normal").cast("double").alias("normal")), f"SELECT c_custkey, concept, CAST(normal AS DOUBLE) AS normal FROM {_NORMAL}"),
         "P11_canonical_guard": Query(
             lambda s, d: _normal(s, d).select("c_custkey", F.when(F.col("value") == F.col("normal"), F.col("c_custkey").cast("string")).otherwise(S.identity(F.col("c_custkey"), F.col("normal"))).alias("fact_id")),
-            f"SELECT c_custkey, CASE WHEN value = normal THEN c_custkey::VARCHAR ELSE sha256(c_custkey || '|' || normal) END AS fact_id FROM {_NORMAL}",
+            f"SELECT c_custkey, CASE WHEN value = normal THEN c_custkey::VARCHAR ELSE sha256(CAST(to_json([CAST(c_custkey AS VARCHAR), CAST(normal AS VARCHAR)]) AS VARCHAR)) END AS fact_id FROM {_NORMAL}",
         ),
         "P12_normalization_rule": Query(
             lambda s, d: _normal(s, d).groupBy(S.normalization_rule(F.col("value"), F.col("normal"), F.col("concept")).alias("rule")).agg(F.count("*").alias("n")),
@@ -180,7 +200,7 @@ def queries() -> dict[str, Query]:
         ),
         "P13_heading_scope": Query(_p13, "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'GROUP' WHEN 1 THEN 'COMPANY' WHEN 5 THEN 'GROUP' ELSE 'UNRESOLVED' END AS scope FROM part"),
         "P14_value_codec": Query(_p14, _P14),
-        "P15_identity": Query(lambda s, d: _orders(s, d).select("o_orderkey", S.identity(F.col("o_custkey"), F.col("o_orderstatus"), F.col("day")).alias("id")), "SELECT o_orderkey, sha256(o_custkey || '|' || o_orderstatus || '|' || CAST(o_orderdate AS DATE)) AS id FROM orders"),
+        "P15_identity": Query(_p15, _P15),
         "P16_made_up_date": Query(_p16, "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) END AS made_up FROM orders"),
         "P17_strict_json": Query(_p17, "SELECT event_id, event_id % 3 = 0 AS accepted FROM events"),
         "P18_two_places": Query(

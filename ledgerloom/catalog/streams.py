@@ -34,7 +34,7 @@ def _st3(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        "ST1_process_once": Query(_st1, "SELECT DISTINCT sha256(event_type || '|' || props) AS fingerprint, event_type FROM events"),
+        "ST1_process_once": Query(_st1, "SELECT DISTINCT sha256(CAST(to_json([event_type, props]) AS VARCHAR)) AS fingerprint, event_type FROM events"),
         "ST2_rolling_counts": Query(_st2, "SELECT user_id, start, count(*) AS n FROM (SELECT user_id, date_trunc('day', ts) - INTERVAL 1 DAY * unnest(range(0, 7)) AS start FROM events WHERE event_type = 'error') GROUP BY 1, 2"),
         "ST3_latest_state": Query(_st3, "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1"),
     }

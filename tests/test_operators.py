@@ -162,10 +162,26 @@ def test_small_scalars(spark):
     assert [cell(spark, S.strict_date(F.lit(v))) for v in ("2024-02-29", "2023-02-29", "2024-1-5", None)] == [day("2024-02-29"), None, None, None]
     assert cell(spark, S.months_before(F.lit("2024-02-29").cast("date"), 24)) == day("2022-02-28")
     assert [cell(spark, S.scope_of_heading(F.lit(v))) for v in ("Company balance sheet", "Group accounts", "Company\nGroup", None)] == ["COMPANY", "GROUP", "UNRESOLVED", "UNRESOLVED"]
-    assert cell(spark, S.tagged_amount(F.lit("123.40"), F.lit(3), F.lit("-"), F.lit(False))) == -123400
+    assert cell(spark, S.tagged_amount(F.lit("123.40"), F.lit(3), F.lit("-"), F.lit(False)))["value"] == -123400
     assert [cell(spark, S.two_places(F.lit(v).cast("decimal(10,4)"))) for v in ("1.005", None)] == ["1.01", "Unavailable"]
 
 
+@pytest.mark.parametrize(
+    "token, scale, dash, value, reason",
+    [("1,234", -2, False, "12.34", None), ("1,234", 15, False, "1234000000000000000", None), ("1", -18, False, "0.000000000000000001", None), ("99", 18, False, "99000000000000000000", None),
+     ("999", 18, False, None, "OUT_OF_RANGE"), ("0.5", -18, False, None, "OUT_OF_RANGE"), ("0", 18, False, "0", None), ("-", 3, True, "0", None), ("-", 3, False, None, "NOT_A_NUMBER"), ("1", 19, False, None, "UNSUPPORTED_SCALE"), (None, 0, False, None, "NOT_A_NUMBER")],
+)
+def test_tagged_amounts_move_the_point_exactly(spark, token, scale, dash, value, reason):
+    x = cell(spark, S.tagged_amount(F.lit(token).cast("string"), F.lit(scale), F.lit(""), F.lit(dash)))
+    assert (None if x["value"] is None else x["value"] == Decimal(value), x["reason"]) == (None if value is None else True, reason)
+
+
+def test_ids_keep_their_parts_apart(spark):
+    parts = [("a|b", "c"), ("a", "b|c"), ("a", None), ("a", ""), (None, "a"), ('a","b', "c"), ("a", 'b","c')]
+    ids = {cell(spark, S.identity(*(F.lit(x).cast("string") for x in p))) for p in parts}
+    assert len(ids) == len(parts)
+
+
 # ------------------------------------------------------------------ validation
 
 
@@ -189,13 +205,56 @@ def test_conflicts(spark):
 
 
 def test_chains_and_reach(spark):
-    s = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (7, 8), (8, 7), (9, 99)], "snapshot_id int, reused int")
-    got = {r["snapshot_id"]: r["origin"] for r in evidence.origin_snapshots(s).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 7: None, 8: None, 9: None}
+    s = spark.createDataFrame([(1, None, "a"), (2, 1, "a"), (3, 2, "a"), (4, 3, "a"), (7, 8, "a"), (8, 7, "a"), (9, 99, "a"), (10, 9, "a"), (11, 4, "b"), (12, 11, "b"), (13, 13, "a")], "snapshot_id int, reused int, company string")
+    got = {r["snapshot_id"]: (r["origin"], r["depth"], r["issue"]) for r in evidence.origin_snapshots(s, ("company",)).collect()}
+    assert got == {
+        1: (1, 0, None), 2: (1, 1, None), 3: (1, 2, None), 4: (1, 3, None), 7: (None, None, "CYCLE"), 8: (None, None, "CYCLE"), 13: (None, None, "CYCLE"),
+        9: (None, None, "MISSING_LINK"), 10: (None, None, "MISSING_LINK"), 11: (None, None, "OTHER_OWNER"), 12: (None, None, "OTHER_OWNER"),
+    }
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (5, 6)], "src int, dst int")
     assert sorted(r["node"] for r in evidence.reachable(edges, spark.createDataFrame([(1,)], "node int")).collect()) == [1, 2, 3]
 
 
+def test_long_chains_are_followed_to_the_end(spark):
+    chain = spark.range(1, 101).selectExpr("id AS snapshot_id", "nullif(id - 1, 0) AS reused")
+    got = {r["snapshot_id"]: (r["origin"], r["depth"]) for r in evidence.origin_snapshots(chain).collect()}
+    assert got == {k: (1, k - 1) for k in range(1, 101)}
+    edges = spark.range(1, 61).selectExpr("id AS src", "id + 1 AS dst")
+    assert evidence.reachable(edges, spark.createDataFrame([(1,)], "node long"), hops_a_round=16).count() == 61
+
+
+def test_signatures_and_usable_facts(spark):
+    """Amounts in two currencies are never put together; what is not admissible, not available or not over is no input."""
+    schema = "company int, period_end date, concept string, value decimal(20,4), currency string, availability string, admissible boolean"
+    old, new = day("2023-12-31"), day("2024-12-31")
+    rows = [(1, new, "NET_ASSETS", 1, "GBP", "AVAILABLE", True), (1, new, "TOTAL_ASSETS", 4, "EUR", "AVAILABLE", True), (1, old, "NET_ASSETS", 1, "GBP", "AVAILABLE", True), (1, old, "TOTAL_ASSETS", 2, "GBP", "AVAILABLE", True)]
+    rows += [(2, new, "NET_ASSETS", 9, "GBP", "AVAILABLE", False), (2, new, "TOTAL_ASSETS", 9, "GBP", "AVAILABLE", True), (2, old, "NET_ASSETS", 3, "GBP", "AVAILABLE", True), (2, old, "TOTAL_ASSETS", 4, "GBP", "AVAILABLE", True)]
+    rows += [(3, day("2030-12-31"), c, 5, "GBP", "AVAILABLE", True) for c in ("NET_ASSETS", "TOTAL_ASSETS")] + [(3, old, "NET_ASSETS", 5, None, "AVAILABLE", True), (3, old, "TOTAL_ASSETS", 5, "GBP", "NOT_DISCLOSED", True)]
+    facts = variables.usable(spark.createDataFrame([(a, b, c, Decimal(v), *x) for a, b, c, v, *x in rows], schema), F.lit("2026-09-30").cast("date"))
+    who = spark.createDataFrame([(k,) for k in (1, 2, 3)], "company int")
+    got = {r["company"]: (r["value"], r["reason"]) for r in variables.ratio(who, facts, "F1.1").collect()}
+    assert got == {1: (0.5, None), 2: (0.75, None), 3: (None, "NO_COMPATIBLE_PERIOD")}
+
+
+def test_role_gate_needs_the_end_of_office(spark):
+    rows = [(1, 1, "director", "p", day("2020-01-01"), None, "NOT_APPLICABLE"), (2, 1, "director", "p", day("2020-01-01"), None, "NOT_DISCLOSED"), (3, 1, "director", "p", day("2020-01-01"), day("2021-01-01"), "AVAILABLE"), (4, 1, "secretary", None, None, None, None), (4, 2, "director", None, None, None, None)]
+    m = spark.createDataFrame(rows, "company int, subject int, role string, person string, appointed date, resigned date, resignation string")
+    got = {r["company"]: r["reason"] for r in variables.role_gate(m, ("secretary",), ("director",)).collect()}
+    assert got == {1: None, 2: "INCOMPLETE_POPULATION", 3: None, 4: "MISSING_IDENTITY"}
+
+
+def test_trees_with_missing_leaves(spark):
+    """A company that lacks leaves is combined from those it has, level by level, as rows would be."""
+    rows = [(1, "G1.1", 0.2, 0.7), (1, "F1.1", 0.5, 0.1), (1, "F2.2", 0.1, 0.1), (2, "F1.1", 0.4, 0.4), (3, "other", 1.0, 0.0)]
+    leaves = spark.createDataFrame(rows, "company int, code string, low double, high double")
+    h = model.hierarchy(spark)
+    got = {(r["company"], r["node"]): (r["low"], r["high"]) for r in beliefs.aggregate_tree(leaves, h, 2).collect()}
+    domains = beliefs.combine(leaves.join(h, F.col("code") == F.col("child")).withColumnRenamed("parent", "node"), ["company", "node"])
+    top = beliefs.combine(domains.withColumnRenamed("node", "child").join(h, "child").withColumnRenamed("parent", "node"), ["company", "node"])
+    want = {(r["company"], r["node"]): (r["low"], r["high"]) for r in domains.unionByName(top).collect()}
+    assert set(got) == set(want) and all(math.isclose(a, b, rel_tol=1e-12) for k in got for a, b in zip(got[k], want[k], strict=True))
+
+
 def test_immutable_append(spark):
     store = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     new = spark.createDataFrame([(1, "a"), (2, "x"), (3, "c"), (3, "d"), (4, None)], "id int, v string")
