@@ -15,7 +15,7 @@ def squeeze(a: np.ndarray) -> bytes:
     import zstandard
 
     planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def unsqueeze(data: bytes, kind: type) -> np.ndarray:

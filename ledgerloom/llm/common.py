@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import re
+import time
 import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +40,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     _note(path)
-    with _shuffles_end(spark):
-        df.write.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,23 +50,10 @@ def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     name = f"ledgerloom_{label.replace('-', '_')}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     _note(path, name)
-    with _shuffles_end(spark):
-        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(name)
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
-@contextmanager
-def _shuffles_end(spark: SparkSession) -> Iterator[None]:
-    """Lets Spark delete a write's shuffle files when it ends: the table is whole, so that nothing reads them again."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
-
-
 #: Folders and tables written inside each open :func:`settle`, innermost last.
 _OPEN: list[list[tuple[str, str | None]]] = []
 
@@ -87,8 +74,7 @@ def settle(make: Callable[[], DataFrame], label: str) -> DataFrame:
         df = make()
         spark = df.sparkSession
         path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        with _shuffles_end(spark):
-            df.write.parquet(path)
+        df.write.parquet(path)
     finally:
         written = _OPEN.pop()
         for at, name in written if spark else ():
@@ -106,6 +92,14 @@ def drop(df: DataFrame) -> None:
         _delete(df.sparkSession, path, name if name.startswith("ledgerloom_") and len(names) == 1 else None)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects garbage."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def release(spark: SparkSession) -> None:
     """Delete all that this application's operators wrote to the shared folder, with the tables that name it."""
     for t in spark.catalog.listTables():

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import cuts, grouped, sorted_in, sorted_out, spread, squeeze, unsqueeze
-from .common import bucketed, materialize, table
+from .common import bucketed, materialize, table, tidy
 
 #: Counts up to this are discounted.
 K = 7
@@ -204,28 +204,45 @@ def _histogram(total: np.ndarray) -> list[int]:
     return [int(total.sum()), int((total > 0).sum()), *map(int, np.bincount(np.minimum(total, K + 2), minlength=K + 3))]
 
 
+def _counts(batch: Batch, level: Level) -> np.ndarray:
+    """What a batch says of its n-grams: twice the training count, and one more if it has to score them in text held out."""
+    held = np.zeros(len(level.count), np.int64)
+    held[level.of[(level.of >= 0) & ~batch.learn]] = 1
+    if level is batch.levels[0]:
+        held[np.searchsorted(batch.words, START)] = batch.held.any()  # no token, but a context
+    return 2 * level.count + held
+
+
+def _answers(n: np.ndarray, order: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Totals of groups of n-grams; and what is answered: four times that, with two flags, held out somewhere and sent by several batches."""
+    total = np.add.reduceat(n[order] >> 1, starts)
+    held = np.maximum.reduceat(n[order] & 1, starts)
+    return total, 4 * total + 2 * held + (np.diff(starts, append=len(order)) > 1)
+
+
 def _send_words(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for row in rows.to_pylist():
                 batch = Batch(row, 1)
-                n = batch.levels[0].count
+                n = _counts(batch, batch.levels[0])
                 yield _rows([{"batch": batch.number, "level": 1, "part": p, "kind": PLAIN, "ctx": sorted_out(batch.words[i:j]), "n": _small(n[i:j])} for p, i, j in cuts(batch.words, parts)])
 
     return run
 
 
 def _add_words(parts: int):
-    """Totals of words, and their numbers: place in the part, times ``parts``, plus the part."""
+    """Totals of words, and their numbers: place in the part by falling total, times ``parts``, plus the part."""
 
     def run(part: pa.Table) -> pa.Table:
         rows = part.to_pylist()
         order, starts, lens = grouped([r["ctx"] for r in rows])
-        total = np.add.reduceat(np.concatenate([_large(r["n"]) for r in rows])[order], starts)
+        total, answer = _answers(np.concatenate([_large(r["n"]) for r in rows]), order, starts)
         keys = np.concatenate([sorted_in(r["ctx"]) for r in rows])[order][starts]
-        number = np.arange(len(total)) * parts + rows[0]["part"]
+        # frequent words get small numbers, which take fewer bytes
+        number = np.empty(len(total), np.int64)
+        number[np.argsort(-total, kind="stable")] = np.arange(len(total)) * parts + rows[0]["part"]
         out = [{"batch": -1, "level": 1, "part": rows[0]["part"], "kind": STATS, "stats": _histogram(total[keys != START])}]
-        answer = _with_flag(total, np.diff(starts, append=len(order)) > 1)
         back = [np.split(spread(x, order, starts), np.cumsum(lens)[:-1]) for x in (answer, number)]
         out += [{"batch": r["batch"], "level": 1, "part": r["part"], "kind": PLAIN, "n": _small(n), "word": _small(w)} for r, n, w in zip(rows, *back, strict=True)]
         return pa.Table.from_batches([_rows(out)])
@@ -233,11 +250,6 @@ def _add_words(parts: int):
     return run
 
 
-def _with_flag(total: np.ndarray, shared: np.ndarray) -> np.ndarray:
-    """A total with whether several batches have the n-gram."""
-    return 2 * total + shared
-
-
 def _fans(ctx: np.ndarray, total: np.ndarray, p_low: np.ndarray, n_ctx: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each context: how many n-grams were seen 1 .. K times and how often all others were; the lower-order probability they cover."""
     seen = total > 0
@@ -267,12 +279,11 @@ def _add_grams(part: pa.Table) -> pa.Table:
         order = np.lexsort((word, ctx))
         c, w = ctx[order], word[order]
         starts = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1]))))
-        total = np.add.reduceat(n[order], starts)
+        total, answer = _answers(n, order, starts)
         stats += _histogram(total)
         # an n-gram that nobody learnt has no probability sent with it; one that somebody did has his
         p_low = np.maximum.reduceat(p[order], starts)
         fans, lower = _fans(c[starts], total, p_low, int(ctx_of.max()) + 1)
-        answer = _with_flag(total, np.diff(starts, append=len(order)) > 1)
         back = np.split(spread(answer, order, starts), np.cumsum([len(_large(r["word"])) for r in mine])[:-1])
         edges = np.cumsum([len(sorted_in(r["ctx"])) for r in mine])[:-1]
         for r, t, k, needs in zip(mine, back, np.split(ctx_of, edges), np.split(need, edges), strict=True):
@@ -335,12 +346,14 @@ class Model:
 
 
 class Exchange:
-    """What a batch sends for one order, given total, probability and whether others have it of each n-gram of the order below."""
+    """What a batch sends for one order, given the answers and probabilities of the n-grams of the order below."""
 
-    def __init__(self, batch: Batch, m: int, below_total: np.ndarray, below_p: np.ndarray, below_shared: np.ndarray, model: Model) -> None:
+    def __init__(self, batch: Batch, m: int, below_answer: np.ndarray, below_p: np.ndarray, model: Model) -> None:
         self.level, below = batch.levels[m - 1], batch.levels[m - 2]
         by_hash = lambda x: x if m == 2 else _placed(x, below.rank)
-        self.keys, self.ctx_total, shared = below.keys, by_hash(below_total), by_hash(below_shared)
+        self.keys, answer = below.keys, by_hash(below_answer)
+        self.ctx_total, self.wanted, shared = answer >> 2, (answer & 2) > 0, (answer & 1) > 0
+        self.counts = _counts(batch, self.level)
         self.p_low = below_p[self.level.low]
         ctx = self.level.ctx
         sent = (shared & (self.ctx_total > 0))[ctx]
@@ -376,21 +389,22 @@ class Exchange:
 
     def _message(self, entries: np.ndarray, numbers: np.ndarray) -> dict:
         ctx, begin = self.contexts(entries)
-        count = self.level.count[entries]
-        values, p = np.unique(np.where(count > 0, self.p_low[entries], 0.0), return_inverse=True)
+        # the lower order's probabilities serve to back off, which only text held out does
+        says = (self.level.count > 0) & self.wanted[self.level.ctx]
+        values, p = np.unique(np.where(says[entries], self.p_low[entries], 0.0), return_inverse=True)
         return {
             "ctx": sorted_out(self.keys[ctx]), "fan": _small(np.diff(begin, append=len(entries))), "need": _small(self.need[ctx]),
-            "word": _small(numbers[self.level.word[entries]]), "n": _small(count), "p": _small(p), "values": squeeze(values),
+            "word": _small(numbers[self.level.word[entries]]), "n": _small(self.counts[entries]), "p": _small(p), "values": squeeze(values),
         }
 
-    def answered(self, rows: list[dict], discounts: Discounts, hot: tuple | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Total and probability of each n-gram, and whether other batches have it, from what the parts returned."""
-        answer = _with_flag(self.level.count, np.zeros(len(self.level.count), bool))
+    def answered(self, rows: list[dict], discounts: Discounts, hot: tuple | None) -> tuple[np.ndarray, np.ndarray]:
+        """The answer to each n-gram and its probability, from what the parts returned."""
+        answer = 4 * (self.counts >> 1) + 2 * (self.counts & 1)
         for kind, entries in ((PLAIN, self.plain), (HOT, self.hot)):
             mine = sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["part"])
             if mine:
                 answer[entries] = np.concatenate([_large(r["n"]) for r in mine])
-        total = answer >> 1
+        total = answer >> 2
         # contexts of this batch alone, then those that parts and all parts together answer for
         own = self.own
         fan, lower = _fans(self.level.ctx[own], total[own], self.p_low[own], len(self.keys))
@@ -411,7 +425,7 @@ class Exchange:
             alpha = np.where(count > 0, (1 - used * shrink) / (1 - lower), 1.0)
             of = self.level.ctx
             p = np.where(total > 0, discounts.kept(total) * shrink[of] / count[of], alpha[of] * self.p_low)
-        return total, p, (answer & 1).astype(bool)
+        return answer, p
 
 
 def _placed(x: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -426,15 +440,15 @@ def _spans(a: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(begin, [*begin[1:], len(a)], strict=False))
 
 
-def resolved(batch: Batch, rows: list[dict], model: Model, upto: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Word totals and numbers, and of each order up to ``upto`` the n-grams' totals, probabilities and whether other batches have them."""
+def resolved(batch: Batch, rows: list[dict], model: Model, upto: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Word totals and numbers, and of each order up to ``upto`` the answers to the n-grams and their probabilities."""
     of = defaultdict(list)
     for r in rows:
         of[r["level"]].append(r)
     words = sorted(of[1], key=lambda r: r["part"])
     answer, numbers = (np.concatenate([_large(r[c]) for r in words]) for c in ("n", "word"))
-    total = answer >> 1
-    known = [(total, model.words.p(total), (answer & 1).astype(bool))]
+    total = answer >> 2
+    known = [(answer, model.words.p(total))]
     for m in range(2, upto + 1):
         known.append(Exchange(batch, m, *known[-1], model).answered(of[m], model.discounts[m], model.hot.get(m)))
     return total, numbers, known
@@ -462,7 +476,7 @@ def _score(model: Model, order: int, kind: pa.DataType):
             words, _, known = resolved(batch, rows, model, order)
             base = np.log10((words + 0.5) / (model.words.n + 0.5 * (model.words.types + 1)))
             logs = np.zeros(len(batch.tokens))
-            for level, (_, p, _) in zip(batch.levels, known, strict=True):  # the highest order that a token has
+            for level, (_, p) in zip(batch.levels, known, strict=True):  # the highest order that a token has
                 at = np.flatnonzero(level.of >= 0)
                 logs[at] = np.log10(p)[level.of[at]]
             per_doc = lambda x: np.add.reduceat(x, batch.first).tolist()
@@ -514,6 +528,7 @@ def katz_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         model.discounts[m] = Discounts(_stats(more))
         model.hot[m] = _hot_sums(more)
         answers = answers.unionByName(more)
+        tidy(spark)
     kind = docs.schema[id_col].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
