@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import re
-import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{(named or LOCAL_FALLBACK).rstrip('/')}/ledgerloom-{spark.sparkContext.applicationId}"
 
 
+#: With this setting Spark deletes a write's shuffle files when the write has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _freeing(spark: SparkSession) -> Iterator[None]:
+    """Writes inside leave no shuffle files: what they wrote is read instead, and nothing runs their plans again."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -40,7 +54,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     _note(path)
-    df.write.parquet(path)
+    with _freeing(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,7 +65,8 @@ def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     name = f"ledgerloom_{label.replace('-', '_')}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     _note(path, name)
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(name)
+    with _freeing(spark):
+        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
@@ -74,7 +90,8 @@ def settle(make: Callable[[], DataFrame], label: str) -> DataFrame:
         df = make()
         spark = df.sparkSession
         path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        with _freeing(spark):
+            df.write.parquet(path)
     finally:
         written = _OPEN.pop()
         for at, name in written if spark else ():
@@ -92,14 +109,6 @@ def drop(df: DataFrame) -> None:
         _delete(df.sparkSession, path, name if name.startswith("ledgerloom_") and len(names) == 1 else None)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects garbage."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def release(spark: SparkSession) -> None:
     """Delete all that this application's operators wrote to the shared folder, with the tables that name it."""
     for t in spark.catalog.listTables():

@@ -14,7 +14,8 @@ sends its n-grams, grouped by context, to *parts* of the hash range of contexts,
 lower order's probabilities; a part adds up what all batches sent, and returns the totals, and for each
 context the number of followers by their count and the lower-order probability that they cover, from which
 the weights follow once the order's discounts are known. N-grams of contexts that no other batch has are not
-sent; which those are, the exchange of the order below tells. Parts follow the data: each gets about PART_TOKENS tokens' n-grams. The
+sent; which those are, the exchange of the order below tells. The orders above two are exchanged in rounds, each with
+its share of the parts, and a round's shuffle files go when it ends. Parts follow the data: each gets about PART_TOKENS tokens' n-grams. The
 n-grams of a context seen more than HOT_TOKENS times are dealt out by their own hash instead; the sums of
 these contexts (one for each HOT_TOKENS tokens at most) are added up in Spark and broadcast.
 
@@ -33,6 +34,7 @@ import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import cuts, grouped, sorted_in, sorted_out, spread, squeeze, unsqueeze
-from .common import bucketed, materialize, table, tidy
+from .common import bucketed, materialize, table
 
 #: Counts up to this are discounted.
 K = 7
@@ -51,6 +53,8 @@ BATCH_TOKENS = 1_200_000
 PART_TOKENS = 2_000_000
 #: Contexts seen more often are dealt out over all parts.
 HOT_TOKENS = 8_000_000
+#: Orders above two are exchanged in so many rounds, each with every so many-th part, so that less lies on disk at once.
+ROUNDS = 2
 START, END = np.uint64(1), np.uint64(2)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -375,16 +379,17 @@ class Exchange:
         begin = np.flatnonzero(np.diff(ctx, prepend=-1))
         return ctx[begin], begin
 
-    def messages(self, batch: Batch, m: int, numbers: np.ndarray, parts: int) -> list[dict]:
-        out = []
+    def messages(self, batch: Batch, m: int, numbers: np.ndarray, parts: int, turn: int, rounds: int) -> list[dict]:
+        """What goes to the parts whose turn it is."""
+        out, now = [], lambda part: part % rounds == turn
         ctx, begin = self.contexts(self.plain)
         end = np.append(begin, len(self.plain))
-        for part, i, j in cuts(self.keys[ctx], parts):
+        for part, i, j in (x for x in cuts(self.keys[ctx], parts) if now(x[0])):
             out.append(self._message(self.plain[end[i] : end[j]], numbers) | {"part": part, "kind": PLAIN})
-        for i, j in _spans(self.deal):
+        for i, j in (x for x in _spans(self.deal) if now(self.deal[x[0]])):
             out.append(self._message(self.hot[i:j], numbers) | {"part": int(self.deal[i]), "kind": HOT})
-        own = self.level.count[self.own]
-        out.append({"part": batch.number % parts, "kind": STATS, "stats": _histogram(own)})
+        if now(batch.number % parts):
+            out.append({"part": batch.number % parts, "kind": STATS, "stats": _histogram(self.level.count[self.own])})
         return [{"batch": batch.number, "level": m} | x for x in out]
 
     def _message(self, entries: np.ndarray, numbers: np.ndarray) -> dict:
@@ -454,13 +459,13 @@ def resolved(batch: Batch, rows: list[dict], model: Model, upto: int) -> tuple[n
     return total, numbers, known
 
 
-def _send_grams(m: int, model: Model):
+def _send_grams(m: int, model: Model, turn: int, rounds: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out, rows = [], right.to_pylist()
         for row in left.to_pylist():
             batch = Batch(row, m)
             _, numbers, known = resolved(batch, rows, model, m - 1)
-            out += Exchange(batch, m, *known[-1], model).messages(batch, m, numbers, model.parts)
+            out += Exchange(batch, m, *known[-1], model).messages(batch, m, numbers, model.parts, turn, rounds)
         return pa.Table.from_batches([_rows(out)])
 
     return run
@@ -524,11 +529,12 @@ def katz_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     answers = materialize(batches.mapInArrow(_send_words(parts), SENT).groupBy("part").applyInArrow(_add_words(parts), SENT), "katz-words")
     model = Model(Words(_stats(answers)), parts, HOT_TOKENS if hot_tokens is None else hot_tokens)
     for m in range(2, order + 1):
-        more = materialize(with_answers(_send_grams(m, model), SENT).groupBy("part").applyInArrow(_add_grams, SENT), f"katz-grams{m}")
+        rounds = 1 if m == 2 else ROUNDS
+        sent = (with_answers(_send_grams(m, model, turn, rounds), SENT) for turn in range(rounds))
+        more = reduce(DataFrame.unionByName, [materialize(x.groupBy("part").applyInArrow(_add_grams, SENT), f"katz-grams{m}") for x in sent])
         model.discounts[m] = Discounts(_stats(more))
         model.hot[m] = _hot_sums(more)
         answers = answers.unionByName(more)
-        tidy(spark)
     kind = docs.schema[id_col].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
