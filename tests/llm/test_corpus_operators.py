@@ -749,3 +749,18 @@ def test_mixing_comes_near(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     m = mixing.mix(df).join(df.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("k")).collect()
     assert all(abs(r["k"] - r["t"]) <= 0.02 * r["t"] + 5 for r in m)
+
+
+def test_writes_leave_no_shuffle_files(spark):
+    import glob
+
+    from ledgerloom.llm.common import CLEANUP, materialize
+
+    files = lambda: set(glob.glob(f"{spark.conf.get('spark.local.dir')}/**/shuffle_*", recursive=True))
+    before, setting = files(), spark.conf.get(CLEANUP)
+    counted = spark.range(100_000).selectExpr("id % 50000 AS k").groupBy("k").count()
+    written = materialize(counted, "test-shuffles")
+    assert not files() - before
+    assert spark.conf.get(CLEANUP) == setting
+    # the plan may still be run, and what was written stays
+    assert counted.count() == written.count() == 50_000
