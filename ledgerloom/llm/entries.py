@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bpe, decontaminate, html_extract, katz, linededup, mixing, quality, sharding, simhash, substring_dedup, surrogates
+from . import alignment, bpe, conversations, decontaminate, html_extract, katz, linededup, mixing, quality, sharding, simhash, substring_dedup, surrogates
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_katz": katz.op9_katz,
         "op10_mixing": mixing.op10_mixing,
         "op11_alignment": alignment.op11_alignment,
+        "op12_conversations": conversations.op12_conversations,
         "op13_bpe": bpe.op13_bpe,
     }
 
