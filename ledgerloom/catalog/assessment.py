@@ -57,7 +57,7 @@ FROM customer LEFT JOIN (SELECT company, count(*) AS n, max(ambiguous) AS amb, m
 
 
 def _late_sql(kind: str, code: str, mode: str = "strict") -> str:
-    core = "CASE WHEN state IS NULL THEN 'NO_OBLIGATION' WHEN n > 1 THEN 'AMBIGUOUS' WHEN state = 'UNRESOLVED' OR (state = 'FILED' AND filed > D) THEN 'WHY' END".replace("D)", f"{DAY})").replace("WHY", "UNRESOLVED_OBLIGATION" if mode == "strict" else "INCOMPLETE_FILING_HISTORY")
+    core = "CASE WHEN state IS NULL THEN 'NO_OBLIGATION' WHEN n > 1 THEN 'AMBIGUOUS' WHEN state = 'UNRESOLVED' OR due IS NULL OR (state = 'FILED' AND (filed IS NULL OR filed > DAY)) THEN 'WHY' END".replace("DAY", DAY).replace("WHY", "UNRESOLVED_OBLIGATION" if mode == "strict" else "INCOMPLETE_FILING_HISTORY")
     late = f"CAST(greatest(date_diff('day', due, CASE WHEN state = 'FILED' THEN filed ELSE {DAY} END), 0) AS DOUBLE)"
     if mode == "foundation":
         late = f"CASE WHEN due > {DAY} THEN 0.0 ELSE {late} END"
@@ -65,7 +65,7 @@ def _late_sql(kind: str, code: str, mode: str = "strict") -> str:
     return f"""SELECT company, '{code}' AS code, CASE WHEN reason IS NULL THEN late END AS value, reason FROM (
   SELECT c_custkey AS company, {late} AS late, {core} AS reason FROM customer LEFT JOIN (
     SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY company) AS n, row_number() OVER (PARTITION BY company ORDER BY obligation_id) AS k FROM (
-      SELECT *, rank() OVER (PARTITION BY company ORDER BY observed_at DESC) AS rk FROM obligations WHERE kind = '{kind}') WHERE rk = 1) WHERE k = 1) o ON c_custkey = o.company)"""
+      SELECT *, rank() OVER (PARTITION BY company ORDER BY observed_at DESC) AS rk FROM obligations WHERE kind = '{kind}' AND CAST(observed_at AS DATE) <= {DAY}) WHERE rk = 1) WHERE k = 1) o ON c_custkey = o.company)"""
 
 
 _START24 = f"({DAY} - INTERVAL 24 MONTH)::DATE"
@@ -83,16 +83,13 @@ FROM {companies} LEFT JOIN (SELECT company, median(date_diff('day', a, {DAY})) A
 _TURNOVER_SQL = f"""SELECT s_suppkey AS company, 'G2.1' AS code, CASE WHEN initial > 0 THEN CAST(gone AS DOUBLE) / initial END AS value, CASE WHEN coalesce(initial, 0) = 0 THEN 'ZERO_DIRECTOR_DENOMINATOR' END AS reason
 FROM supplier LEFT JOIN (SELECT company, count(DISTINCT person) FILTER (resigned BETWEEN {_START24} AND {DAY}) AS gone, count(DISTINCT person) FILTER ({_BEFORE}) AS initial FROM directors GROUP BY 1) ON s_suppkey = company"""
 
-_CONCENTRATION_SQL = f"""SELECT s_suppkey AS company, 'G2.3' AS code, CASE WHEN initial > 0 THEN CAST(b.gone AS DOUBLE) / initial END AS value,
-  CASE WHEN coalesce(initial, 0) = 0 THEN 'ZERO_DIRECTOR_DENOMINATOR' WHEN b.gone IS NULL THEN 'NO_COMPUTABLE_WINDOW' END AS reason, CASE WHEN initial > 0 THEN b.open END AS window_start
-FROM supplier
-LEFT JOIN (SELECT company, count(DISTINCT person) FILTER ({_BEFORE}) AS initial FROM directors GROUP BY 1) i ON s_suppkey = i.company
-LEFT JOIN (SELECT * FROM (SELECT company, open, gone, row_number() OVER (PARTITION BY company ORDER BY gone DESC, open) AS k FROM (
-  SELECT o.company, o.open, count(*) AS gone FROM (
-    SELECT DISTINCT company, greatest(least(x, {DAY} - 89), {_START24}) AS open FROM (SELECT company, day AS x FROM gone_days UNION ALL SELECT company, day - 89 FROM gone_days)) o
-  JOIN gone_days g ON g.company = o.company AND g.day BETWEEN o.open AND o.open + 89 GROUP BY 1, 2)) WHERE k = 1) b ON s_suppkey = b.company"""
+_CONCENTRATION_SQL = """SELECT s_suppkey AS company, 'G2.3' AS code, share AS value, CASE WHEN share IS NULL THEN 'NO_COMPUTABLE_WINDOW' END AS reason, open AS window_start
+FROM supplier LEFT JOIN (SELECT * FROM (SELECT company, open, gone / initial AS share, row_number() OVER (PARTITION BY company ORDER BY gone / initial DESC, open) AS k FROM (
+  SELECT company, open, CAST(count(DISTINCT person) FILTER (resigned BETWEEN open AND open + 89) AS DOUBLE) AS gone, CAST(count(DISTINCT person) FILTER (appointed < open AND (resigned IS NULL OR resigned >= open)) AS DOUBLE) AS initial
+  FROM opens JOIN directors USING (company) GROUP BY 1, 2) WHERE initial > 0) WHERE k = 1) ON s_suppkey = company"""
 
 EXTRA = {
+    "opens": (["gone_days"], f"SELECT DISTINCT company, greatest(least(x, {DAY} - 89), {_START24}) AS open FROM (SELECT company, day AS x FROM gone_days UNION ALL SELECT company, day - 89 FROM gone_days)"),
     "gone_days": (["directors"], f"SELECT DISTINCT company, person, resigned AS day FROM directors WHERE resigned BETWEEN {_START24} AND {DAY}"),
     "vals": (
         ["facts", "obligations", "directors"],
@@ -125,7 +122,7 @@ EXTRA["nodes"] = (["domains"], _ALL)
 
 #: All eleven variables of a company: financial ones of customers; governance ones of the supplier and user with the same number.
 EXTRA["vals11"] = (
-    ["facts", "obligations", "directors", "gone_days", "control_events"],
+    ["facts", "obligations", "directors", "opens", "controllers"],
     " UNION ALL ".join(
         f"SELECT company, code, value FROM ({q})"
         for q in [
@@ -137,9 +134,10 @@ EXTRA["vals11"] = (
 )
 _CONTROL_DAY = "DATE '2024-01-25'"
 EXTRA["control"] = (
-    ["control_events"],
-    f"""SELECT company, count(DISTINCT identity || '@' || day) FILTER (what = 'CEASED' AND day BETWEEN ({_CONTROL_DAY} - INTERVAL 36 MONTH)::DATE AND {_CONTROL_DAY}) AS exits,
-  bool_or((what = 'NOTIFIED' AND day BETWEEN ({_CONTROL_DAY} - INTERVAL 36 MONTH)::DATE AND {_CONTROL_DAY}) OR (what = 'CEASED' AND day IS NULL)) AS unclear FROM control_events GROUP BY 1""",
+    ["controllers"],
+    f"""SELECT company, bool_or(unclear OR two) AS unclear, CAST(sum(exits) AS BIGINT) AS exits FROM (
+  SELECT company, identity, count(DISTINCT coalesce(CAST(notified AS VARCHAR), '') || '/' || coalesce(CAST(ceased AS VARCHAR), '')) > 1 AS two, count(DISTINCT ceased) FILTER (ceased BETWEEN W AND {_CONTROL_DAY}) AS exits,
+         bool_or(statement OR identity IS NULL OR notified IS NULL OR notified BETWEEN W AND {_CONTROL_DAY} OR (ceased IS NULL AND cessation <> 'NOT_APPLICABLE')) AS unclear FROM controllers GROUP BY 1, 2) GROUP BY 1""".replace("W AND", f"({_CONTROL_DAY} - INTERVAL 36 MONTH)::DATE AND"),
 )
 EXTRA["vals11"][0].append("control")
 #: A stand-in reliability for each company: by its market segment.
@@ -184,7 +182,7 @@ def eleven_values(spark: SparkSession, d: str) -> DataFrame:
     parts = [variables.financial(who, adapters.facts(spark, d), (*variables.RATIOS, variables.TREND))]
     parts.append(variables.latenesses(who, adapters.obligations(spark, d), {"ACCOUNTS": "G1.1", "CONFIRMATION": "G1.2"}, day))
     parts += [variables.turnover(who, people, day), variables.median_tenure(who, people, day), variables.change_concentration(who, people, day)]
-    parts.append(variables.control_changes(who, adapters.control_events(spark, d), control_day()))
+    parts.append(variables.control_changes(who, adapters.controllers(spark, d), control_day()))
     return reduce(DataFrame.unionByName, (p.select("company", "code", "value") for p in parts))
 
 
@@ -218,9 +216,9 @@ def queries() -> dict[str, Query]:
         q[name] = Query(_value_query(lambda s, d, kind=kind, code=code: variables.lateness(flagship.companies(s, d), adapters.obligations(s, d), kind, code, adapters.as_of())), sql(["obligations"], f"{_R} FROM ({_late_sql(kind, code)})"))
     q["V08_director_turnover"] = Query(_value_query(lambda s, d: variables.turnover(suppliers(s, d), adapters.directors(s, d), adapters.as_of())), sql(["directors"], f"{_R} FROM ({_TURNOVER_SQL})"))
     q["V09_median_tenure"] = Query(_value_query(lambda s, d: variables.median_tenure(suppliers(s, d), adapters.directors(s, d), adapters.as_of())), sql(["directors"], f"{_R} FROM ({_tenure_sql('supplier', 's_suppkey')})"))
-    q["V10_change_concentration"] = Query(_value_query(lambda s, d: variables.change_concentration(suppliers(s, d), adapters.directors(s, d), adapters.as_of()), ("window_start",)), sql(["gone_days"], f"{_R}, window_start FROM ({_CONCENTRATION_SQL})"))
+    q["V10_change_concentration"] = Query(_value_query(lambda s, d: variables.change_concentration(suppliers(s, d), adapters.directors(s, d), adapters.as_of()), ("window_start",)), sql(["opens", "directors"], f"{_R}, window_start FROM ({_CONCENTRATION_SQL})"))
     q["V11_control_changes"] = Query(
-        _value_query(lambda s, d: variables.control_changes(users(s, d), adapters.control_events(s, d), control_day())),
+        _value_query(lambda s, d: variables.control_changes(users(s, d), adapters.controllers(s, d), control_day())),
         sql(["control"], "SELECT company, 'G3.1' AS code, CASE WHEN NOT unclear THEN CAST(exits AS DOUBLE) END AS value, CASE WHEN unclear THEN 'AMBIGUOUS' END AS reason FROM control"),
     )
     q["V12_active_at"] = Query(

@@ -177,33 +177,85 @@ FROM statements s LEFT JOIN (SELECT o_custkey AS company, year(o_orderdate) AS y
   SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_tax AS DECIMAL(4,2))) AS t FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1, 2) r ON r.company = s.company AND r.yr = s.yr"""
 
 
-def _r20(s: SparkSession, d: str) -> DataFrame:
-    li = table(s, d, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_partkey") * 10_000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("observation_id"), F.col("l_linenumber").alias("period"), F.col("l_returnflag").alias("unit"), F.col("l_quantity").alias("value"))
-    selected = V.latest_first(li, ["k"], [F.col("observation_id")])
-    return V.conflict_class(selected, li, ["k"]).groupBy("conflict").agg(F.count("*").alias("n"))
+def _observations(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Lines as observations of their order's amount, and the one that is selected: the first by id."""
+    line = F.col("l_partkey") * 10_000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")
+    li = table(s, d, "lineitem").select(
+        F.col("l_orderkey").alias("k"), line.alias("observation_id"), F.col("l_linestatus").alias("concept"), F.year("l_shipdate").alias("period"), F.col("l_returnflag").alias("unit"), F.col("l_quantity").alias("value")
+    )
+    first = li.groupBy("k").agg(F.min_by(F.struct(*(c for c in li.columns if c != "k")), "observation_id").alias("o")).select("k", "o.*")
+    return first, li
 
 
-_R20 = """WITH li AS (SELECT l_orderkey AS k, l_partkey * 10000 + l_suppkey * 10 + l_linenumber AS id, l_linenumber AS p, l_returnflag AS u, l_quantity AS v FROM lineitem), s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY id) AS r FROM li) WHERE r = 1)
-SELECT conflict, count(*) AS n FROM (SELECT s.k, CASE WHEN coalesce(bool_or(li.p = s.p AND li.u = s.u AND li.v <> s.v), false) THEN 'SERIOUS' WHEN coalesce(bool_or(li.p = s.p AND li.u <> s.u), false) THEN 'UNIT_DIFFERENCE' WHEN coalesce(bool_or(li.p <> s.p), false) THEN 'PERIOD_DIFFERENCE' ELSE 'NONE' END AS conflict
-FROM s LEFT JOIN li ON li.k = s.k AND li.id <> s.id GROUP BY 1) GROUP BY 1"""
+def _r20(s: SparkSession, d: str) -> DataFrame:
+    return V.conflict_class(*_observations(s, d), ["k"]).groupBy("conflict").agg(F.count("*").alias("n"))
+
+
+_CONFLICT = """li AS (SELECT l_orderkey AS k, l_partkey * 10000 + l_suppkey * 10 + l_linenumber AS id, l_linestatus AS con, year(l_shipdate) AS per, l_returnflag AS unit, l_quantity AS val FROM lineitem),
+sel AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY id) AS rk FROM li) WHERE rk = 1),
+stage AS (SELECT sel.k, count(li.id) FILTER (li.con = sel.con) AS same_concept, count(li.id) FILTER (li.con = sel.con AND li.per = sel.per) AS same_period, count(li.id) FILTER (li.con = sel.con AND li.per = sel.per AND li.unit = sel.unit) AS same_unit,
+  count(li.id) FILTER (li.con = sel.con AND li.per = sel.per AND li.unit = sel.unit AND li.val <> sel.val) AS disagree FROM sel LEFT JOIN li ON li.k = sel.k AND li.id <> sel.id GROUP BY 1),
+conflict AS (SELECT k, CASE WHEN same_concept = 0 THEN 'NONE' WHEN same_period = 0 THEN 'PERIOD_DIFFERENCE' WHEN same_unit = 0 THEN 'UNIT_DIFFERENCE' WHEN disagree > 0 THEN 'SERIOUS' ELSE 'NONE' END AS conflict FROM stage)"""
+_R20 = f"WITH {_CONFLICT} SELECT conflict, count(*) AS n FROM conflict GROUP BY 1"
+
+#: Where an order's amount comes from and how it was read, as far as its columns say.
+_SOURCES = {"1-URGENT": "API", "2-HIGH": "TAGGED", "3-MEDIUM": "PDF", "5-LOW": "WEBSITE"}
+_READINGS = {"BUILDING": "STRUCTURED", "AUTOMOBILE": "TAGGED", "MACHINERY": "NATIVE_PDF", "HOUSEHOLD": "OCR", "FURNITURE": "UNSUPPORTED_MODEL"}
+
+
+def _named(names: dict[str, str], key: str):
+    return F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.col(key))
+
+
+def _assessed(s: SparkSession, d: str) -> DataFrame:
+    """The assessment of every order: rules and support from its lines, conflict from its observations."""
+    cents = lambda c: F.round(F.col(c) * 100).cast("long")
+    lines = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("first"), F.sum(cents("l_extendedprice")).alias("amount"), F.sum(cents("l_tax")).alias("tax"), F.count("*").alias("n"))
+    o = table(s, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    who = table(s, d, "customer").select("c_custkey", "c_mktsegment")
+    o = o.join(who, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", _named(_SOURCES, "o_orderpriority").alias("source"), _named(_READINGS, "c_mktsegment").alias("transformation"), "o_orderdate", "first", "amount", cents("o_totalprice").alias("total"), "tax", "n")
+    rules = [
+        V.Rule("financial.period", "1", lambda: F.col("first") >= F.col("o_orderdate"), "PERIOD_MISMATCH"),
+        V.Rule("support.tax", "1", lambda: F.col("tax") <= 4 * F.col("n"), "NO_SUPPORT", hard=False),
+        V.Rule("support.total", "1", lambda: F.col("amount") >= F.col("total"), "NO_SUPPORT", hard=False),
+    ]
+    admission = F.col("rule_id") == "financial.period"
+    found = V.outcomes(o, "o_orderkey", rules).select(
+        "o_orderkey", "rule_id", "result", F.when(admission, "ADMISSION").otherwise("SUPPORT").alias("role"),
+        F.when(F.col("rule_id") == "support.total", "STRONG").when(F.col("rule_id") == "support.tax", "MEANINGFUL").otherwise("NONE").alias("strength"),
+        F.when(~admission, F.col("rule_id")).alias("independence_group"), F.when(admission, F.col("failure_code")).alias("failure_code"),
+    )
+    conflicts = V.conflict_class(*_observations(s, d), ["k"]).withColumnRenamed("k", "o_orderkey")
+    return V.assessed(o, "o_orderkey", found, conflicts).join(o.select("o_orderkey", "o_custkey"), "o_orderkey")
+
+
+def _cases(column: str, names: dict) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v!r}" if isinstance(v, str) else f"WHEN '{k}' THEN CAST({v} AS DECIMAL(4,2))" for k, v in names.items()) + " END"
+
+
+_ASSESSED = f"""{_CONFLICT},
+lines AS (SELECT l_orderkey, min(l_shipdate) AS first, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS amount, sum(CAST(round(l_tax * 100) AS BIGINT)) AS tax, count(*) AS n FROM lineitem GROUP BY 1),
+graded AS (SELECT *, {_cases("source", V.SOURCE_QUALITY)} AS s, {_cases("transformation", V.TRANSFORMATION_QUALITY)} AS e, {_cases("support", V.VALIDATION_FACTOR)} AS v, CAST(CASE WHEN conflict = 'SERIOUS' THEN 1 ELSE 0 END AS DECIMAL(4,2)) AS c,
+    concat_ws(',', CASE WHEN period_ok IS NULL THEN 'MISSING_INPUT' END, CASE WHEN NOT period_ok THEN 'PERIOD_MISMATCH' END, CASE WHEN conflict = 'SERIOUS' THEN 'SERIOUS_UNRESOLVED_CONFLICT' END, CASE WHEN transformation = 'UNSUPPORTED_MODEL' THEN 'UNSUPPORTED_LLM_NUMERIC' END) AS failures
+  FROM (SELECT o_orderkey, o_custkey, {_cases("o_orderpriority", _SOURCES)} AS source, {_cases("c_mktsegment", _READINGS)} AS transformation, first >= o_orderdate AS period_ok,
+      CASE WHEN coalesce(amount >= CAST(round(o_totalprice * 100) AS BIGINT), false) THEN 'STRONG' WHEN coalesce(tax <= 4 * n, false) THEN 'MEANINGFUL' ELSE 'NONE' END AS support,
+      CAST(coalesce(amount >= CAST(round(o_totalprice * 100) AS BIGINT), false) AS INT) + CAST(coalesce(tax <= 4 * n, false) AS INT) AS groups, coalesce(conflict, 'NONE') AS conflict
+    FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN lines ON l_orderkey = o_orderkey LEFT JOIN conflict ON k = o_orderkey)),
+assessed AS (SELECT *, CASE WHEN period_ok THEN 'PASS' WHEN NOT period_ok THEN 'FAIL' ELSE 'INCONCLUSIVE' END AS status,
+    CASE WHEN failures <> '' THEN 0.0::DOUBLE WHEN s IS NOT NULL THEN round(CAST(least(0.99, (s * e + (1 - s * e) * v) * (1 - c)) AS DOUBLE), 8) END AS r FROM graded)"""
 
 
 def _quality(s: SparkSession, d: str) -> DataFrame:
-    source = F.element_at(F.array(*map(F.lit, (*V.SOURCE_QUALITY, "UNKNOWN"))), (F.col("c_custkey") % 5 + 1).cast("int"))
-    how = F.element_at(F.array(*map(F.lit, V.TRANSFORMATION_QUALITY)), (F.col("c_nationkey") % 7 + 1).cast("int"))
-    support = F.element_at(F.array(*map(F.lit, V.VALIDATION_FACTOR)), (F.col("c_custkey") % 3 + 1).cast("int"))
-    conflict = F.when(F.col("c_acctbal") < 0, "SERIOUS_UNRESOLVED").when(F.col("c_acctbal") < 1000, "PARTIAL_UNRESOLVED").otherwise("NONE")
-    return table(s, d, "customer").select("c_custkey", V.lookup(V.SOURCE_QUALITY, source).alias("s"), V.lookup(V.TRANSFORMATION_QUALITY, how).alias("e"), V.lookup(V.VALIDATION_FACTOR, support).alias("v"), V.lookup(V.CONFLICT_FACTOR, conflict).alias("c"), (F.col("c_mktsegment") == "FURNITURE").alias("failed"))
+    """Per customer the weakest components of its orders."""
+    return _assessed(s, d).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("s").alias("s"), F.min("e").alias("e"), F.min("v").alias("v"), F.max("c").alias("c"), F.bool_and(F.size("failures") > 0).alias("failed"))
 
 
-_QUALITY = """quality AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 0.98 WHEN 1 THEN 0.97 WHEN 2 THEN 0.95 WHEN 3 THEN 0.85 END AS s, CASE c_nationkey % 7 WHEN 0 THEN 0.99 WHEN 1 THEN 0.98 WHEN 2 THEN 0.95 WHEN 3 THEN 0.85 WHEN 4 THEN 0.85 WHEN 5 THEN 0.75 ELSE 0.00 END AS e,
-  CASE c_custkey % 3 WHEN 0 THEN 0.00 WHEN 1 THEN 0.30 ELSE 0.60 END AS v, CASE WHEN c_acctbal < 0 THEN 1.00 WHEN c_acctbal < 1000 THEN 0.30 ELSE 0.00 END AS c, c_mktsegment = 'FURNITURE' AS failed FROM customer)"""
+_QUALITY = f"{_ASSESSED},\nquality AS (SELECT o_custkey AS c_custkey, min(s) AS s, min(e) AS e, min(v) AS v, max(c) AS c, bool_and(failures <> '') AS failed FROM assessed GROUP BY 1)"
 
 
 def _r21(s: SparkSession, d: str) -> DataFrame:
-    q = _quality(s, d).select("c_custkey", F.col("s").cast("double").alias("s"), F.col("e").cast("double").alias("e"))
-    o = table(s, d, "orders").join(q, F.col("o_custkey") == F.col("c_custkey"))
-    return V.weakest_component(o, "o_orderpriority", "e").join(o.groupBy("o_orderpriority").agg(F.min("s").alias("s")), "o_orderpriority")
+    q = _assessed(s, d).select("o_orderkey", F.col("s").cast("double").alias("s"), F.col("e").cast("double").alias("e"), "source")
+    return V.weakest_component(q, "source", "e").join(q.groupBy("source").agg(F.min("s").alias("s"), F.count("*").alias("inputs")), "source")
 
 
 def _r22(s: SparkSession, d: str) -> DataFrame:
@@ -215,10 +267,16 @@ _R = "CASE WHEN failed THEN 0.0 ELSE least(0.99, (s * e + (1 - s * e) * v) * (1
 
 
 def _r23(s: SparkSession, d: str) -> DataFrame:
-    q = _quality(s, d)
-    r = V.reliability(F.col("s"), F.col("e"), F.col("v"), F.col("c"), F.col("failed"))
-    why = F.concat_ws("; ", F.when(F.col("failed"), "failed a hard rule"), F.when(F.col("s").isNull(), "unmapped source"), F.when(F.col("v") > 0, "independently supported"), F.when(F.col("c") == 1, "seriously disputed"))
-    return q.select("c_custkey", F.round(r.cast("double"), 8).alias("r"), why.alias("reasons"))
+    j = _assessed(s, d)
+    return j.select(
+        "o_orderkey", "status", F.array_join("failures", ",").alias("failures"), "support", "conflict", *(F.col(c).cast("double").alias(c) for c in "sevc"), F.round(F.col("r").cast("double"), 8).alias("r"),
+        "source_reason", "transformation_reason", "support_reason", "conflict_reason",
+    )
+
+
+_R23 = f"""WITH {_ASSESSED} SELECT o_orderkey, status, failures, support, conflict, CAST(s AS DOUBLE) AS s, CAST(e AS DOUBLE) AS e, CAST(v AS DOUBLE) AS v, CAST(c AS DOUBLE) AS c, r,
+  CASE WHEN s IS NULL THEN 'unmapped source' ELSE 'source=' || source || ': S=' || s END AS source_reason, CASE WHEN e IS NULL THEN 'unmapped transformation' ELSE 'transformation=' || transformation || ': E=' || e END AS transformation_reason,
+  CASE WHEN support = 'NONE' THEN 'no independent support' ELSE support || ' from ' || groups || ' groups: V=' || v END AS support_reason, conflict || ': C=' || c AS conflict_reason FROM assessed"""
 
 
 def _q01(s: SparkSession, d: str) -> DataFrame:
@@ -285,12 +343,9 @@ def queries() -> dict[str, Query]:
         "R18_completeness_rule": Query(_r18, "SELECT l_returnflag, count(*) AS facts, count(*) FILTER (CASE WHEN l_linenumber <= 3 THEN 'A' WHEN l_linenumber <= 5 THEN 'R' ELSE 'N' END = l_returnflag) AS proved FROM lineitem GROUP BY 1"),
         "R19_cross_check": Query(_r19, with_ctes(["statements"], _R19)),
         "R20_conflict_class": Query(_r20, _R20),
-        "R21_quality_lookup": Query(_r21, f"WITH {_QUALITY} SELECT o_orderpriority, CAST(min(e) AS DOUBLE) AS e, CAST(min(s) AS DOUBLE) AS s FROM orders JOIN quality ON o_custkey = c_custkey GROUP BY 1"),
+        "R21_quality_lookup": Query(_r21, f"WITH {_ASSESSED} SELECT source, CAST(min(e) AS DOUBLE) AS e, CAST(min(s) AS DOUBLE) AS s, count(*) AS inputs FROM assessed WHERE source IS NOT NULL GROUP BY 1"),
         "R22_reliability": Query(_r22, f"WITH {_QUALITY} SELECT c_custkey, CASE WHEN failed THEN 0.0::DOUBLE WHEN s IS NOT NULL THEN round(CAST({_R} AS DOUBLE), 8) END AS r FROM quality"),
-        "R23_reliability_report": Query(
-            _r23,
-            f"WITH {_QUALITY} SELECT c_custkey, CASE WHEN failed THEN 0.0::DOUBLE WHEN s IS NOT NULL THEN round(CAST({_R} AS DOUBLE), 8) END AS r, concat_ws('; ', CASE WHEN failed THEN 'failed a hard rule' END, CASE WHEN s IS NULL THEN 'unmapped source' END, CASE WHEN v > 0 THEN 'independently supported' END, CASE WHEN c = 1 THEN 'seriously disputed' END) AS reasons FROM quality",
-        ),
+        "R23_reliability_report": Query(_r23, _R23),
         "Q01_record_checks": Query(_q01, _Q01),
         "U01_ordered_union": Query(_u01, _U01),
         "U02_subset_check": Query(_u02, _U02),

@@ -56,19 +56,32 @@ def duplicates(rows: DataFrame, key: str, parts: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("rows"), F.count_distinct(*parts).alias("distinct_rows")).withColumn("passes", F.col("rows") == F.col("distinct_rows"))
 
 
-def conflict_class(selected: DataFrame, competing: DataFrame, keys: list[str]) -> DataFrame:
-    """The conflict between the selected observation and its competitors (entity, concept, period, unit, value)."""
-    s = selected.select(*keys, *(F.col(c).alias(f"s_{c}") for c in ("observation_id", "period", "unit", "value")))
-    j = s.join(competing, keys, "left").filter(F.col("observation_id").isNull() | (F.col("observation_id") != F.col("s_observation_id")))
-    same_period, same_unit = F.col("period") == F.col("s_period"), F.col("unit") == F.col("s_unit")
-    n = j.groupBy(*keys).agg(
-        F.bool_or(same_period & same_unit & (F.col("value") != F.col("s_value"))).alias("serious"),
-        F.bool_or(same_period & ~same_unit).alias("unit"),
-        F.bool_or(~same_period).alias("period"),
-    )
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    kinds = F.when(yes("serious"), "SERIOUS").when(yes("unit"), "UNIT_DIFFERENCE").when(yes("period"), "PERIOD_DIFFERENCE").otherwise("NONE")
-    return selected.select(*keys).distinct().join(n, keys, "left").select(*keys, kinds.alias("conflict"))
+#: Columns in which a competitor has to agree, stage by stage, and what explains the difference if none of the stage before does.
+STAGES = (("company", "NONE"), ("concept", "NONE"), ("period", "PERIOD_DIFFERENCE"), ("unit", "UNIT_DIFFERENCE"))
+
+
+def conflict_class(selected: DataFrame, competing: DataFrame, keys: list[str], stages: tuple[tuple[str, str], ...] = STAGES) -> DataFrame:
+    """The conflict between the selected observation of each key and its competitors.
+
+    Competitors are narrowed in stages: a difference explains the disagreement only if no competitor is left after its
+    stage. Of those that agree in all stages, one with another value is a serious conflict; one without value is none.
+    Stages whose column the tables do not have are passed. The selected observation itself does not compete.
+
+    One aggregate finds how far any competitor gets, so that a key's competitors are counted where they lie.
+    """
+    have = [(c, why) for c, why in stages if c in selected.columns and c in competing.columns and c not in keys]
+    s = selected.select(*keys, *(F.col(c).alias(f"s_{c}") for c in ("observation_id", "value", *(c for c, _ in have))))
+    j = s.join(competing, keys, "left").filter(F.col("observation_id").isNotNull() & (F.col("observation_id") != F.col("s_observation_id")))
+    passed = F.lit(0)
+    for c, _ in reversed(have):
+        passed = F.when(F.col(c).eqNullSafe(F.col(f"s_{c}")), 1 + passed).otherwise(0)
+    j = j.withColumn("_passed", passed)
+    differs = (F.col("_passed") == len(have)) & F.col("value").isNotNull() & ~F.col("value").eqNullSafe(F.col("s_value"))
+    n = j.groupBy(*keys).agg(F.max("_passed").alias("passed"), F.bool_or(differs).alias("serious"))
+    kind = F.when(F.col("serious"), "SERIOUS")
+    for k, (_, why) in enumerate(have):
+        kind = kind.when(F.col("passed") == k, why)
+    return selected.select(*keys).distinct().join(n, keys, "left").select(*keys, kind.otherwise("NONE").alias("conflict"))
 
 
 def lookup(table: dict[str, float], key: Column) -> Column:
@@ -84,6 +97,45 @@ def reliability(s: Column, e: Column, v: Column, c: Column, hard_failure: Column
     return F.when(hard_failure, F.lit(0).cast("decimal(14,12)")).when(r.isNotNull(), F.least(F.lit("0.99").cast("decimal(14,12)"), r))
 
 
+def assessed(inputs: DataFrame, key: str, outcomes: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """The whole assessment of each input: report, support, conflict, S, E, V, C, reliability, and the reason of each.
+
+    ``inputs`` has ``key, source, transformation``; ``outcomes`` has ``key, rule_id, result, role, strength,
+    independence_group, failure_code`` (admission failures and independent support); ``conflicts`` has ``key, conflict``.
+    Only admission rules fail an input, by not passing. Support is the strongest candidate of any group of passed support rules. An unmapped source or transformation gives
+    no reliability; a failure, a serious conflict or a number that a model made up without support gives 0.
+    """
+    hard = F.col("role") == "ADMISSION"
+    support = (F.col("role") == "SUPPORT") & (F.col("result") == "PASS")
+    rank = F.when(F.col("strength") == "STRONG", 2).when(F.col("strength") == "MEANINGFUL", 1).otherwise(0)
+    n = outcomes.groupBy(key).agg(
+        F.bool_or(hard & (F.col("result") == "FAIL")).alias("_f"), F.bool_or(hard & (F.col("result") == "INCONCLUSIVE")).alias("_i"),
+        F.array_sort(F.collect_set(F.when(hard & (F.col("result") != "PASS"), F.col("failure_code")))).alias("_failures"),
+        F.coalesce(F.max(F.when(support, rank)), F.lit(0)).alias("_rank"),
+        F.count_distinct(F.when(support & (rank > 0), F.col("independence_group"))).alias("groups"),
+    )
+    j = inputs.select(key, "source", "transformation").join(n, key, "left").join(conflicts.select(key, "conflict"), key, "left")
+    level = F.when(F.col("conflict") == "SERIOUS", "SERIOUS_UNRESOLVED").when(F.col("conflict") == "PARTIAL", "PARTIAL_UNRESOLVED").otherwise("NONE")
+    extra = F.array(F.when(F.col("transformation") == "UNSUPPORTED_MODEL", "UNSUPPORTED_LLM_NUMERIC"), F.when(level == "SERIOUS_UNRESOLVED", "SERIOUS_UNRESOLVED_CONFLICT"))
+    failures = F.array_sort(F.array_distinct(F.concat(F.coalesce("_failures", F.array().cast("array<string>")), F.array_compact(extra))))
+    names = F.array(*map(F.lit, VALIDATION_FACTOR))
+    j = j.select(
+        key, "source", "transformation", F.coalesce("groups", F.lit(0)).alias("groups"), F.coalesce("conflict", F.lit("NONE")).alias("conflict"), level.alias("_level"),
+        F.when(F.col("_f"), "FAIL").when(F.col("_i"), "INCONCLUSIVE").otherwise("PASS").alias("status"), failures.alias("failures"),
+        F.get(names, F.coalesce("_rank", F.lit(0))).alias("support"),
+        lookup(SOURCE_QUALITY, F.col("source")).alias("s"), lookup(TRANSFORMATION_QUALITY, F.col("transformation")).alias("e"),
+    )
+    j = j.withColumns({"v": lookup(VALIDATION_FACTOR, F.col("support")), "c": lookup(CONFLICT_FACTOR, F.col("_level"))})
+    text = lambda c: F.col(c).cast("string")
+    return j.withColumns({
+        "r": reliability(F.col("s"), F.col("e"), F.col("v"), F.col("c"), F.size("failures") > 0),
+        "source_reason": F.when(F.col("s").isNull(), "unmapped source").otherwise(F.concat(F.lit("source="), "source", F.lit(": S="), text("s"))),
+        "transformation_reason": F.when(F.col("e").isNull(), "unmapped transformation").otherwise(F.concat(F.lit("transformation="), "transformation", F.lit(": E="), text("e"))),
+        "support_reason": F.when(F.col("support") == "NONE", "no independent support").otherwise(F.concat("support", F.lit(" from "), text("groups"), F.lit(" groups: V="), text("v"))),
+        "conflict_reason": F.concat("conflict", F.lit(": C="), text("c")),
+    }).drop("_level")
+
+
 def violations(checks: dict[str, Column]) -> Column:
     """The names of the checks that a row breaks, comma-joined."""
     return F.array_join(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in checks.items()))), ",")

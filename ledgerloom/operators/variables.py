@@ -149,8 +149,12 @@ def lateness(companies: DataFrame, obligations: DataFrame, kind: str, code: str,
 
 
 def latenesses(companies: DataFrame, obligations: DataFrame, codes: dict[str, str], as_of: Column, mode: str = "strict") -> DataFrame:
-    """The same for several kinds, from one selection of the latest obligations."""
-    latest = latest_observation(obligations.filter(F.col("kind").isin(*codes)), ["company", "kind"])
+    """The same for several kinds, from one selection of the latest obligations that were observed by ``as_of``.
+
+    An obligation without a due date, and one filed on no known day or after ``as_of``, is unresolved, not 0 days late.
+    """
+    known = obligations.filter(F.col("kind").isin(*codes) & (F.to_date("observed_at") <= as_of))
+    latest = latest_observation(known, ["company", "kind"])
     fields = ("state", "filed", "due", "ambiguous")
     wide = latest.groupBy("company").agg(*(F.max(F.when(F.col("kind") == k, F.struct(*fields))).alias(c) for k, c in codes.items()))
     row = companies.select("company").join(wide, "company", "left")
@@ -159,7 +163,8 @@ def latenesses(companies: DataFrame, obligations: DataFrame, codes: dict[str, st
         state, filed, due, ambiguous = (F.col(f"`{code}`.{f}") for f in fields)
         end = F.when(state == "FILED", filed).otherwise(as_of)
         why = F.when(state.isNull(), "NO_OBLIGATION").when(ambiguous, "AMBIGUOUS")
-        why = why.when((state == "UNRESOLVED") | ((state == "FILED") & (filed > as_of)), "UNRESOLVED_OBLIGATION" if mode == "strict" else "INCOMPLETE_FILING_HISTORY")
+        unclear = (state == "UNRESOLVED") | due.isNull() | end.isNull() | (end > as_of)
+        why = why.when(unclear, "UNRESOLVED_OBLIGATION" if mode == "strict" else "INCOMPLETE_FILING_HISTORY")
         late = F.greatest(F.datediff(end, due), F.lit(0)).cast("double")
         if mode == "foundation":  # what is not due yet is not late, whatever is known of its filing
             not_due = due > as_of
@@ -196,38 +201,57 @@ def median_tenure(companies: DataFrame, directors: DataFrame, as_of: Column) ->
 
 
 def change_concentration(companies: DataFrame, directors: DataFrame, as_of: Column, months: int = 24, days: int = WINDOW_DAYS) -> DataFrame:
-    """The largest share of the initial directors that left within ``days`` days; of equal windows the earliest.
+    """The largest share of directors that left within ``days`` days; of equal windows the earliest.
 
-    Windows that can be largest start on a departure or end on one. Departures of a company and day are
-    counted first, so that windows meet days, not persons.
+    Windows that can be largest start on a departure or end on one. Each has its own population: the distinct
+    directors just before it opens; windows with none do not count. A person counts once in a window, however often
+    they leave in it.
+
+    Both counts are sums of steps in time. A person's appointments, joined where they overlap, raise the population the
+    day after they start and lower it the day after they end. A departure counts for windows that open up to ``days - 1``
+    days before it and after the same person's departure before it. Steps are summed by company and day first, so that a
+    sweep over a company meets days, not persons.
     """
     start = F.add_months(as_of, -months)
-    initial = directors.groupBy("company").agg(F.count_distinct(F.when(active_at(start, True), F.col("person"))).alias("initial"))
-    # a person counts at the first departure of a window: keep the (company, person, day) rows distinct
-    left = directors.filter(F.col("resigned").between(start, as_of)).select("company", "person", F.col("resigned").alias("day")).distinct()
-    per_day = left.groupBy("company", "day").agg(F.count("*").alias("n"))
-    first = F.greatest(F.date_sub("day", days - 1), start)
-    last = F.date_sub(as_of, days - 1)
-    opens = per_day.select("company", F.explode(F.array(F.col("day"), first)).alias("open")).withColumn("open", F.greatest(F.least("open", last), start)).distinct()
-    # openings stand among the departure days; each sums the departures of the days that follow
-    number = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date")).alias("at")
-    mixed = per_day.select("company", number("day"), "n", F.lit(None).cast("date").alias("open")).unionByName(opens.select("company", number("open"), F.lit(0).cast("long").alias("n"), "open"))
-    ahead = F.sum("n").over(Window.partitionBy("company").orderBy("at").rangeBetween(0, days - 1))
-    counted = mixed.withColumn("left", ahead).filter("open is not null and left > 0").select("company", "open", "left")
-    best = counted.groupBy("company").agg(F.max(F.struct(F.col("left"), (-F.datediff("open", F.lit("1970-01-01").cast("date"))).alias("neg"), F.col("open"))).alias("b"))
-    out = companies.select("company").join(initial, "company", "left").join(best, "company", "left")
-    why = F.when(F.coalesce("initial", F.lit(0)) == 0, "ZERO_DIRECTOR_DENOMINATOR").when(F.col("b").isNull(), "NO_COMPUTABLE_WINDOW")
-    return out.select("company", F.lit("G2.3").alias("code"), F.when(why.isNull(), F.col("b.left") / F.col("initial")).alias("value"), why.alias("reason"), F.when(why.isNull(), F.col("b.open")).alias("window_start"))
-
-
-def control_changes(companies: DataFrame, events: DataFrame, as_of: Column, months: int = 36) -> DataFrame:
-    """Distinct dated exits from control in the window; a notification in it or an exit without a date is ambiguous."""
+    number = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    step = lambda at, present, left: F.struct(at.alias("at"), F.lit(present).alias("present"), F.lit(left).alias("left"))
+    mine = Window.partitionBy("company", "person").orderBy("appointed", F.col("resigned").asc_nulls_last())
+    ever = F.coalesce("resigned", F.lit("9999-12-30").cast("date"))
+    reached = F.max(ever).over(mine.rowsBetween(Window.unboundedPreceding, -1))
+    runs = directors.filter(F.col("person").isNotNull() & F.col("appointed").isNotNull()).withColumn("_new", F.coalesce(F.col("appointed") > reached, F.lit(True)).cast("int"))
+    runs = runs.withColumn("_run", F.sum("_new").over(mine)).groupBy("company", "person", "_run").agg(F.min("appointed").alias("from"), F.max(ever).alias("to"))
+    present = runs.select("company", F.inline(F.array(step(number(F.col("from")) + 1, 1, 0), step(number(F.col("to")) + 1, -1, 0))))
+    gone = directors.filter(F.col("resigned").between(start, as_of)).groupBy("company", "person", F.col("resigned").alias("day")).agg(F.lit(1).alias("one"))
+    before = F.lag("day").over(Window.partitionBy("company", "person").orderBy("day"))
+    earliest = F.greatest(number(F.col("day")) - (days - 1), F.coalesce(number(before) + 1, F.lit(-1_000_000)))
+    left = gone.select("company", "day", earliest.alias("earliest")).select("company", F.inline(F.array(step(F.col("earliest"), 0, 1), step(number(F.col("day")) + 1, 0, -1))))
+    opens = gone.select("company", F.explode(F.array(F.col("day"), F.date_sub("day", days - 1))).alias("x")).select("company", F.greatest(start, F.least(F.date_sub(as_of, days - 1), "x")).alias("open")).distinct()
+    steps = present.unionByName(left).groupBy("company", "at").agg(F.sum("present").alias("present"), F.sum("left").alias("left"))
+    mixed = steps.withColumn("open", F.lit(None).cast("date")).unionByName(opens.select("company", number(F.col("open")).alias("at"), F.lit(0).cast("long").alias("present"), F.lit(0).cast("long").alias("left"), "open"))
+    sweep = Window.partitionBy("company").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    counted = mixed.select("company", "open", F.sum("present").over(sweep).alias("initial"), F.sum("left").over(sweep).alias("left")).filter("open is not null and initial > 0")
+    best = counted.groupBy("company").agg(F.max(F.struct((F.col("left") / F.col("initial")).alias("share"), (-number(F.col("open"))).alias("neg"), F.col("open"))).alias("b"))
+    out = companies.select("company").join(best, "company", "left")
+    why = F.when(F.col("b").isNull(), "NO_COMPUTABLE_WINDOW")
+    return out.select("company", F.lit("G2.3").alias("code"), F.col("b.share").alias("value"), why.alias("reason"), F.col("b.open").alias("window_start"))
+
+
+def control_changes(companies: DataFrame, controllers: DataFrame, as_of: Column, months: int = 36) -> DataFrame:
+    """Distinct dated exits from control in the window.
+
+    ``controllers`` has a row for each observed controller: ``identity, notified, ceased, cessation`` (the availability of
+    ``ceased``) and ``statement`` (the row is a statement, not a controller). Ambiguous are companies with a statement, a
+    missing identity or notification, a notification in the window, an end that is neither known nor declared not to
+    apply, or one identity with two histories. A company without rows has no exits.
+    """
     start = F.add_months(as_of, -months)
-    inside = F.col("day").between(start, as_of)
-    n = events.groupBy("company").agg(
-        F.count_distinct(F.when((F.col("what") == "CEASED") & inside, F.struct("identity", "day"))).alias("exits"),
-        F.bool_or(((F.col("what") == "NOTIFIED") & inside) | ((F.col("what") == "CEASED") & F.col("day").isNull())).alias("unclear"),
+    history = F.struct("notified", "ceased")
+    unclear = F.coalesce(F.col("statement"), F.lit(False)) | F.col("identity").isNull() | F.col("notified").isNull() | F.col("notified").between(start, as_of)
+    unclear = unclear | (F.col("ceased").isNull() & ~F.col("cessation").eqNullSafe(F.lit("NOT_APPLICABLE")))
+    per_identity = controllers.groupBy("company", "identity").agg(
+        F.bool_or(unclear).alias("unclear"), (~F.min(history).eqNullSafe(F.max(history))).alias("two"), F.count_distinct(F.when(F.col("ceased").between(start, as_of), F.col("ceased"))).alias("exits")
     )
+    n = per_identity.groupBy("company").agg(F.bool_or(F.col("unclear") | F.col("two")).alias("unclear"), F.sum("exits").alias("exits"))
     out = companies.select("company").join(n, "company", "left")
     why = F.when(F.coalesce("unclear", F.lit(False)), "AMBIGUOUS")
     return out.select("company", F.lit("G3.1").alias("code"), F.when(why.isNull(), F.coalesce("exits", F.lit(0)).cast("double")).alias("value"), why.alias("reason"))

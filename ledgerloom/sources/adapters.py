@@ -50,18 +50,19 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``company, kind, obligation_id, period, due, filed, state, observed_at``."""
+    """``company, kind, obligation_id, period, due, filed, state, observed_at``; some have no due date, some filed ones no filing date."""
     orders = table(spark, sf_dir, "orders")
     shipped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").cast("date").alias("shipped"))
     o = orders.join(shipped, orders["o_orderkey"] == shipped["l_orderkey"], "left")
     status = F.col("o_orderstatus")
-    state = F.when((status == "F") & F.col("shipped").isNotNull(), "FILED").when(status == "O", "OUTSTANDING").otherwise("UNRESOLVED")
+    state = F.when(status == "F", "FILED").when(status == "O", "OUTSTANDING").otherwise("UNRESOLVED")
+    due = F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.date_add(F.col("o_orderdate").cast("date"), DUE_DAYS))
     return o.select(
         F.col("o_custkey").alias("company"),
         F.when(F.col("o_orderkey") % 2 == 0, "ACCOUNTS").otherwise("CONFIRMATION").alias("kind"),
         F.col("o_orderkey").alias("obligation_id"),
         F.col("o_orderdate").cast("date").alias("period"),
-        F.date_add(F.col("o_orderdate").cast("date"), DUE_DAYS).alias("due"),
+        due.alias("due"),
         F.when(state == "FILED", F.col("shipped")).alias("filed"),
         state.alias("state"),
         F.col("o_orderdate").alias("observed_at"),
@@ -75,12 +76,17 @@ def directors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).filter("appointed <= resigned").select("company", "person", "appointed", "resigned")
 
 
-def control_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``company, identity, day, what`` (CEASED, NOTIFIED or OTHER)."""
-    e = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("long")
-    what = F.when(F.col("event_type") == "error", "CEASED").when((F.col("event_type") == "signup") & (k == 0), "NOTIFIED").otherwise("OTHER")
-    return e.select(F.col("user_id").alias("company"), (F.col("event_id") % 7).alias("identity"), F.to_date("ts").alias("day"), what.alias("what"))
+def controllers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``company, identity, notified, ceased, cessation, statement``: one row per observed controller.
+
+    A user's events of one day are a controller: known by its first one, notified four years before, ceased on the day if
+    one of them is an error. A signup that stands alone does not say whether it ended; several are a statement.
+    """
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.to_date("ts").alias("day"), "event_id")
+    n = e.groupBy(F.col("user_id").alias("company"), "day").agg(F.min("event_id").alias("identity"), F.count_if(F.col("event_type") == "error").alias("errors"), F.count("*").alias("n"), F.count_if(F.col("event_type") == "signup").alias("signups"))
+    ceased = F.when(F.col("errors") > 0, F.col("day"))
+    cessation = F.when(F.col("errors") > 0, "AVAILABLE").when((F.col("n") == 1) & (F.col("signups") == 1), "NOT_DISCLOSED").otherwise("NOT_APPLICABLE")
+    return n.select("company", "identity", F.add_months("day", -48).alias("notified"), ceased.alias("ceased"), cessation.alias("cessation"), ((F.col("signups") == F.col("n")) & (F.col("n") > 1)).alias("statement"))
 
 
 CTES = {
@@ -101,8 +107,8 @@ FROM (SELECT o_custkey AS company, year(o_orderdate) AS yr, sum(CAST(o_totalpric
     "obligations": (
         [],
         f"""SELECT o_custkey AS company, CASE WHEN o_orderkey % 2 = 0 THEN 'ACCOUNTS' ELSE 'CONFIRMATION' END AS kind, o_orderkey AS obligation_id, CAST(o_orderdate AS DATE) AS period,
-       CAST(o_orderdate AS DATE) + {DUE_DAYS} AS due, CASE WHEN o_orderstatus = 'F' THEN shipped END AS filed,
-       CASE WHEN o_orderstatus = 'F' AND shipped IS NOT NULL THEN 'FILED' WHEN o_orderstatus = 'O' THEN 'OUTSTANDING' ELSE 'UNRESOLVED' END AS state, o_orderdate AS observed_at
+       CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN CAST(o_orderdate AS DATE) + {DUE_DAYS} END AS due, CASE WHEN o_orderstatus = 'F' THEN shipped END AS filed,
+       CASE WHEN o_orderstatus = 'F' THEN 'FILED' WHEN o_orderstatus = 'O' THEN 'OUTSTANDING' ELSE 'UNRESOLVED' END AS state, o_orderdate AS observed_at
 FROM orders LEFT JOIN (SELECT l_orderkey, CAST(max(l_shipdate) AS DATE) AS shipped FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""",
     ),
     "directors": (
@@ -110,10 +116,11 @@ FROM orders LEFT JOIN (SELECT l_orderkey, CAST(max(l_shipdate) AS DATE) AS shipp
         """SELECT l_suppkey AS company, l_orderkey * 10 + l_linenumber % 10 AS person, CAST(o_orderdate AS DATE) AS appointed, CAST(l_shipdate AS DATE) AS resigned
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE CAST(o_orderdate AS DATE) <= CAST(l_shipdate AS DATE)""",
     ),
-    "control_events": (
+    "controllers": (
         [],
-        """SELECT user_id AS company, event_id % 7 AS identity, CAST(ts AS DATE) AS day,
-       CASE WHEN event_type = 'error' THEN 'CEASED' WHEN event_type = 'signup' AND CAST(json_extract_string(props, '$.k') AS BIGINT) = 0 THEN 'NOTIFIED' ELSE 'OTHER' END AS what FROM events""",
+        """SELECT company, identity, CAST(day - INTERVAL 48 MONTH AS DATE) AS notified, CASE WHEN errors > 0 THEN day END AS ceased,
+       CASE WHEN errors > 0 THEN 'AVAILABLE' WHEN n = 1 AND signups = 1 THEN 'NOT_DISCLOSED' ELSE 'NOT_APPLICABLE' END AS cessation, signups = n AND n > 1 AS statement
+FROM (SELECT user_id AS company, CAST(ts AS DATE) AS day, min(event_id) AS identity, count(*) FILTER (event_type = 'error') AS errors, count(*) AS n, count(*) FILTER (event_type = 'signup') AS signups FROM events GROUP BY 1, 2)""",
     ),
 }
 
