@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import TypeVar
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,6 +136,18 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+T = TypeVar("T")
+
+
+def shipped(spark: SparkSession, value: T) -> Callable[[], T]:
+    """Broadcast ``value`` with this subpackage's own classes in it; in a task, the returned function gives it.
+
+    A plain broadcast only names such classes, so that executors would have to have the package.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
 def words(text: Column) -> Column:
     """White-space separated words of ``text`` (null: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WHITESPACE), lambda w: w != "")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import free_name, materialize, table
+from .common import free_name, materialize, shipped, table
 
 WINDOW = 13
 SHINGLE = 5
@@ -199,11 +199,12 @@ class Index:
         return _judgement(n_words, n_hit, items)
 
 
-def _counted(docs: DataFrame, shared, text_col: str) -> dict[int, np.ndarray]:
-    """How often each of the broadcast index's shingles occurs in all documents."""
+def _counted(docs: DataFrame, index: Index, text_col: str) -> dict[int, np.ndarray]:
+    """How often each of the index's shingles occurs in all documents."""
+    sent = shipped(docs.sparkSession, index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index = sent()
         total = {s: np.zeros(len(index.shingles[s]), np.int64) for s in index.sizes}
         for b in batches:
             for ids, _ in index.numbered(b.column(0).to_pylist()):
@@ -213,7 +214,6 @@ def _counted(docs: DataFrame, shared, text_col: str) -> dict[int, np.ndarray]:
             seen = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), s)), pa.array(seen), pa.array(n[seen])], names=["size", "shingle", "n"])
 
-    index = shared.value
     counts = {s: np.zeros(len(index.shingles[s]), np.int64) for s in index.sizes}
     for r in docs.select(text_col).mapInArrow(run, "size long, shingle long, n long").groupBy("size", "shingle").agg(F.sum("n").alias("n")).collect():  # at most the index's shingles
         counts[r["size"]][r["shingle"]] = r["n"]
@@ -221,21 +221,18 @@ def _counted(docs: DataFrame, shared, text_col: str) -> dict[int, np.ndarray]:
 
 
 def _by_broadcast(docs: DataFrame, items: DataFrame, text_col: str) -> DataFrame:
-    context = docs.sparkSession.sparkContext
     index = Index([(r["item_id"], r["text"]) for r in items.collect()])  # BROADCAST_BYTES of text at most
     if index.sizes:
-        shared = context.broadcast(index)
-        counts = _counted(docs, shared, text_col)
-        shared.unpersist()
-        index.choose_prefixes(counts)
-    shared = context.broadcast(index)
+        index.choose_prefixes(_counted(docs, index, text_col))
+    sent = shipped(docs.sparkSession, index)
     at, rest = docs.columns.index(text_col), [c for c in docs.columns if c not in RESULTS]
     keep = [docs.columns.index(c) for c in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent()
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *shared.value.judged(b.column(at).to_pylist())], names=[*rest, *RESULTS])
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *known.judged(b.column(at).to_pylist())], names=[*rest, *RESULTS])
 
     return docs.mapInArrow(run, _schema(docs, rest))
 

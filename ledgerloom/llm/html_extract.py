@@ -32,7 +32,6 @@ Defined results
 
 from __future__ import annotations
 
-import functools
 import html
 import math
 import re
@@ -94,9 +93,14 @@ _NAMED = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("
 _WORD = re.compile(r"[a-z]+")
 
 
-@functools.cache
+#: Patterns of end tags, kept where functions travel without this module.
+_CLOSE: dict[str, re.Pattern] = {}
+
+
 def _close(tag: str) -> re.Pattern:
-    return re.compile(f"</{tag}", re.I | re.A)
+    if tag not in _CLOSE:
+        _CLOSE[tag] = re.compile(f"</{tag}", re.I | re.A)
+    return _CLOSE[tag]
 
 
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, table
+from .common import free_name, materialize, shipped, table
 from .graph import components
 
 SHINGLE_WORDS = 4
@@ -162,12 +162,13 @@ def _trees(points: DataFrame) -> list[Tree]:
 
 def shards(points: DataFrame) -> DataFrame:
     """``(leaf, guest, fp)`` of all trees' leaves."""
-    trees = points.sparkSession.sparkContext.broadcast(_trees(points))
+    sent = shipped(points.sparkSession, _trees(points))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = sent()
         for b in batches:
             fp = b.column(0).to_numpy().view(np.uint64)
-            for k, tree in enumerate(trees.value):
+            for k, tree in enumerate(trees):
                 row, leaf, guest = tree.leaves(fp)
                 yield pa.RecordBatch.from_arrays([pa.array((leaf << 2) | k), pa.array(guest), pa.array(fp[row].view(np.int64))], names=["leaf", "guest", "fp"])
 
