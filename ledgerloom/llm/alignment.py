@@ -26,7 +26,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -122,9 +121,9 @@ def aligner(a_data: bytes, b_data: bytes) -> Callable[[list[str | None]], list[A
     import sentencepiece
     from tokenizers import Tokenizer
 
-    a_model = json.loads(a_data)
-    a_model["post_processor"] = None  # it would trim spans
-    a = Tokenizer.from_str(json.dumps(a_model))
+    a = Tokenizer.from_str(a_data.decode())
+    if a.post_processor is not None:  # it would trim spans
+        a = Tokenizer.from_str(json.dumps(json.loads(a_data) | {"post_processor": None}))
     a.encode_special_tokens = True
     b = sentencepiece.SentencePieceProcessor(model_proto=b_data)
     ids, _, special = vocabulary(a_data)
@@ -134,9 +133,9 @@ def aligner(a_data: bytes, b_data: bytes) -> Callable[[list[str | None]], list[A
     a_size = np.array([len(a_bytes.get(i, b"")) for i in range(max(a_bytes) + 1)], np.int64)
     b_size = np.array([len(x) for x in b_bytes], np.int64)
     cut = borders([p.replace("▁", " ") for p in pieces])
-    #: counts (40 bits each), listing, links (as bytes), and large groups' links; None if bytes differ
-    memo: dict[str, tuple[int, str, bytes, tuple] | None] = {}
-    old: dict[str, tuple[int, str, bytes, tuple] | None] = {}
+    #: counts (40 bits each), listing, links (as bytes), and large groups' links; False if bytes differ
+    memo: dict[str, tuple[int, str, bytes, tuple] | bool] = {}
+    old: dict[str, tuple[int, str, bytes, tuple] | bool] = {}
 
     def look_up(stretches: list[str]) -> None:
         """Align stretches that can stand one behind another, by reading them as one text; halves if that text cannot be read so."""
@@ -159,7 +158,7 @@ def aligner(a_data: bytes, b_data: bytes) -> Callable[[list[str | None]], list[A
             whole = bool((cuts[np.minimum(group, len(cuts) - 1)] == ends).all())
         if not same or not whole:
             if len(stretches) == 1:
-                memo[stretches[0]] = None
+                memo[stretches[0]] = False
                 return
             for half in (stretches[: len(stretches) // 2], stretches[len(stretches) // 2 :]):
                 look_up(half)
@@ -190,17 +189,16 @@ def aligner(a_data: bytes, b_data: bytes) -> Callable[[list[str | None]], list[A
         return [" " + w for w in text.split(" ")]
 
     def read(stretches: Iterable[str]) -> list[str]:
-        """Have all of these in ``memo``; returns those that should not stay there."""
+        """Have all of these, which are not in ``memo``, there; returns those that should not stay."""
         together, alone = [], []
         for s in dict.fromkeys(stretches):
-            if s not in memo:
-                if s in old:
-                    memo[s] = old[s]
-                # white space at the end would meet that of the next stretch
-                elif len(s) > MEMO_CHARS or s[-1].isspace() or s[0] != " ":
-                    alone.append(s)
-                else:
-                    together.append(s)
+            if s in old:
+                memo[s] = old[s]
+            # white space at the end would meet that of the next stretch
+            elif len(s) > MEMO_CHARS or s[-1].isspace() or s[0] != " ":
+                alone.append(s)
+            else:
+                together.append(s)
         for k in range(0, len(together), TOGETHER):
             look_up(together[k : k + TOGETHER])
         for s in alone:
@@ -208,14 +206,16 @@ def aligner(a_data: bytes, b_data: bytes) -> Callable[[list[str | None]], list[A
         return [s for s in alone if len(s) > MEMO_CHARS]
 
     def put_together(found: list) -> Aligned:
-        if None in found:
+        if not found or False in found:
             return NOTHING
         counts = sum([f[0] for f in found])
         pairs = np.frombuffer(b"".join([f[2] for f in found]), np.int64)
         if extra := [e for f in found if f[3] for e in f[3]]:
             distinct = summed(np.concatenate([pairs, *(e[0] for e in extra)]), np.concatenate([np.ones(len(pairs), np.int64), *(e[1] for e in extra)]))
         else:
-            distinct = summed(pairs, np.ones(len(pairs), np.int64))
+            pairs = np.sort(pairs)
+            first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+            distinct = pairs[first], np.diff(np.append(first, len(pairs)))
         low = (1 << 40) - 1
         return counts >> 80, counts >> 40 & low, counts & low, ";".join([f[1] for f in found]), *distinct
 
@@ -224,11 +224,15 @@ def aligner(a_data: bytes, b_data: bytes) -> Callable[[list[str | None]], list[A
         if len(memo) > MEMO:  # what is not met again until the next time goes
             memo, old = {}, memo
         cuts = [stretches_of(t) if t else [] for t in texts]
-        long = read(chain.from_iterable(cuts))
-        out = [put_together([memo[s] for s in c]) if c else NOTHING for c in cuts]
+        found = [list(map(memo.get, c)) for c in cuts]
+        new = [[k for k, x in enumerate(f) if x is None] if None in f else () for f in found]
+        long = read(c[k] for c, n in zip(cuts, new, strict=True) for k in n)
+        for c, f, n in zip(cuts, found, new, strict=True):
+            for k in n:
+                f[k] = memo[c[k]]
         for s in long:
             del memo[s]
-        return out
+        return list(map(put_together, found))
 
     return align
 
