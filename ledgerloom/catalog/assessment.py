@@ -27,7 +27,7 @@ def _with_currency(s: SparkSession, d: str) -> DataFrame:
     return adapters.facts(s, d).withColumn("currency", F.when(other, "EUR").otherwise("GBP"))
 
 
-def _periods_sql(concepts: tuple[str, ...], places: int = 1, signature: str = "1") -> str:
+def periods_sql(concepts: tuple[str, ...], places: int = 1, signature: str = "1") -> str:
     n = ", ".join(f"count(*) FILTER (concept = '{c}') AS n{k}, max(value) FILTER (concept = '{c}') AS v{k}" for k, c in enumerate(concepts))
     only = " AND ".join(f"n{k} = 1" for k in range(len(concepts)))
     once = f"{only} AND signs = 1"
@@ -38,7 +38,7 @@ def _periods_sql(concepts: tuple[str, ...], places: int = 1, signature: str = "1
   WINDOW w AS (PARTITION BY company ORDER BY period_end DESC)) WHERE {once} AND place <= {places}"""
 
 
-def _ratio_sql(code: str, mode: str = "strict") -> str:
+def ratio_sql(code: str, mode: str = "strict") -> str:
     top, less, bottom, reason = variables.RATIOS[code]
     concepts = tuple(c for c in (top, less, bottom) if c)
     b = len(concepts) - 1
@@ -47,13 +47,13 @@ def _ratio_sql(code: str, mode: str = "strict") -> str:
     return f"""SELECT company, '{code}' AS code, CASE WHEN reason IS NULL THEN x END AS value, reason, period_end FROM (
   SELECT c_custkey AS company, period_end, ({amount}) / nullif(CAST(v{b} AS DOUBLE), 0) AS x,
          CASE WHEN period_end IS NULL THEN 'NO_COMPATIBLE_PERIOD' WHEN ambiguous = 1 THEN 'AMBIGUOUS' WHEN {bad} THEN '{why}' END AS reason
-  FROM customer LEFT JOIN ({_periods_sql(concepts)}) p ON c_custkey = company)"""
+  FROM customer LEFT JOIN ({periods_sql(concepts)}) p ON c_custkey = company)"""
 
 
 _TREND_SQL = f"""SELECT c_custkey AS company, 'F1.2' AS code, CASE WHEN n >= 2 AND amb = 0 AND b <> 0 THEN (CAST(a AS DOUBLE) - CAST(b AS DOUBLE)) / abs(CAST(b AS DOUBLE)) END AS value,
   CASE WHEN coalesce(n, 0) < 2 THEN 'NON_COMPARABLE_PERIODS' WHEN amb = 1 THEN 'AMBIGUOUS' WHEN b = 0 THEN 'ZERO_PREVIOUS_NET_ASSETS' END AS reason, period_end
 FROM customer LEFT JOIN (SELECT company, count(*) AS n, max(ambiguous) AS amb, max(period_end) AS period_end, arg_max(v0, period_end) AS a, arg_min(v0, period_end) AS b
-  FROM ({_periods_sql(("NET_ASSETS",), 2)}) GROUP BY 1) ON c_custkey = company"""
+  FROM ({periods_sql(("NET_ASSETS",), 2)}) GROUP BY 1) ON c_custkey = company"""
 
 
 def _late_sql(kind: str, code: str, mode: str = "strict") -> str:
@@ -93,7 +93,7 @@ EXTRA = {
     "gone_days": (["directors"], f"SELECT DISTINCT company, person, resigned AS day FROM directors WHERE resigned BETWEEN {_START24} AND {DAY}"),
     "vals": (
         ["facts", "obligations", "directors"],
-        " UNION ALL ".join(f"SELECT company, code, value, reason FROM ({q})" for q in [*(_ratio_sql(c, "foundation") for c in ("F1.1", "F2.2", "F2.3")), _late_sql("ACCOUNTS", "G1.1", "foundation"), _late_sql("CONFIRMATION", "G1.2", "foundation"), _tenure_sql("customer", "c_custkey")]),
+        " UNION ALL ".join(f"SELECT company, code, value, reason FROM ({q})" for q in [*(ratio_sql(c, "foundation") for c in ("F1.1", "F2.2", "F2.3")), _late_sql("ACCOUNTS", "G1.1", "foundation"), _late_sql("CONFIRMATION", "G1.2", "foundation"), _tenure_sql("customer", "c_custkey")]),
     ),
     "vars": ([], "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{d}', {float(a)}::DOUBLE, {float(b)}::DOUBLE, '{u}')" for c, d, a, b, u in model.VARIABLES) + ") t(code, domain, low_ref, high_ref, unit)"),
     "member": (
@@ -126,7 +126,7 @@ EXTRA["vals11"] = (
     " UNION ALL ".join(
         f"SELECT company, code, value FROM ({q})"
         for q in [
-            *(_ratio_sql(c) for c in ("F1.1", "F2.2", "F2.3", "F3.1")), _TREND_SQL, _late_sql("ACCOUNTS", "G1.1"), _late_sql("CONFIRMATION", "G1.2"), _tenure_sql("customer", "c_custkey"),
+            *(ratio_sql(c) for c in ("F1.1", "F2.2", "F2.3", "F3.1")), _TREND_SQL, _late_sql("ACCOUNTS", "G1.1"), _late_sql("CONFIRMATION", "G1.2"), _tenure_sql("customer", "c_custkey"),
             _TURNOVER_SQL.replace("supplier", "customer").replace("s_suppkey", "c_custkey"), _CONCENTRATION_SQL.replace("supplier", "customer").replace("s_suppkey", "c_custkey"),
             "SELECT c_custkey AS company, 'G3.1' AS code, CASE WHEN NOT coalesce(unclear, false) THEN CAST(coalesce(exits, 0) AS DOUBLE) END AS value FROM customer LEFT JOIN control ON c_custkey = company",
         ]
@@ -210,7 +210,7 @@ def _beliefs(df: DataFrame, *cols: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     for name, code in (("V01_equity_ratio", "F1.1"), ("V03_current_ratio", "F2.2"), ("V04_quick_ratio", "F2.3"), ("V05_debt_ratio", "F3.1")):
-        q[name] = Query(_ratio(code), sql(["facts"], f"{_R}, period_end FROM ({_ratio_sql(code)})"))
+        q[name] = Query(_ratio(code), sql(["facts"], f"{_R}, period_end FROM ({ratio_sql(code)})"))
     q["V02_net_asset_trend"] = Query(_value_query(lambda s, d: variables.net_asset_trend(flagship.companies(s, d), adapters.facts(s, d)), ("period_end",)), sql(["facts"], f"{_R}, period_end FROM ({_TREND_SQL})"))
     for name, kind, code in (("V06_accounts_lateness", "ACCOUNTS", "G1.1"), ("V07_confirmation_lateness", "CONFIRMATION", "G1.2")):
         q[name] = Query(_value_query(lambda s, d, kind=kind, code=code: variables.lateness(flagship.companies(s, d), adapters.obligations(s, d), kind, code, adapters.as_of())), sql(["obligations"], f"{_R} FROM ({_late_sql(kind, code)})"))
@@ -266,7 +266,7 @@ def queries() -> dict[str, Query]:
     c3 = ("CURRENT_ASSETS", "INVENTORY", "CURRENT_LIABILITIES")
     q["W02_latest_compatible_period"] = Query(
         lambda s, d: variables.latest_compatible(_with_currency(s, d), c3).select("company", "period_end", *(F.col(c).cast("double").alias(c.lower()) for c in c3), "ambiguous"),
-        sql(["facts"], f"SELECT company, period_end, CAST(v0 AS DOUBLE) AS current_assets, CAST(v1 AS DOUBLE) AS inventory, CAST(v2 AS DOUBLE) AS current_liabilities, ambiguous = 1 AS ambiguous FROM ({_periods_sql(c3, signature=_CURRENCY)})"),
+        sql(["facts"], f"SELECT company, period_end, CAST(v0 AS DOUBLE) AS current_assets, CAST(v1 AS DOUBLE) AS inventory, CAST(v2 AS DOUBLE) AS current_liabilities, ambiguous = 1 AS ambiguous FROM ({periods_sql(c3, signature=_CURRENCY)})"),
     )
     q["W03_previous_period"] = Query(_previous, sql(["statements"], "SELECT company, yr, CAST(na AS DOUBLE) AS na, CAST(lag(ta) OVER (PARTITION BY company ORDER BY yr) AS DOUBLE) AS previous_ta FROM statements"))
     q["W04_closest_year"] = Query(

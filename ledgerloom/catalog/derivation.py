@@ -75,13 +75,23 @@ _A09 = f"SELECT o_orderkey, CASE WHEN t IS NULL THEN 'NO_COMPONENTS' WHEN o_orde
 
 
 def _a10(s: SparkSession, d: str) -> DataFrame:
-    """Three operands per company and year: (TA - CA) * 2 / NA."""
-    op = lambda k, o, c: F.struct(F.lit(k).alias("position"), F.lit(o).alias("op"), c.cast("double").alias("value"))
-    ops = F.array(op(4, "DIVIDE", F.col("na")), op(2, "SUBTRACT", F.col("ca")), op(1, "ADD", F.col("ta")), op(3, "MULTIPLY", F.lit(2)))
-    return adapters.statements(s, d).filter("ca is not null").select("company", "yr", r6("value", D.fold(ops)))
+    """Per order: its total, less its lines, over their number; pending orders begin with a subtraction."""
+    op = lambda k, o, c: F.struct(k.alias("position"), o.alias("op"), c.cast("decimal(20,4)").alias("value"))
+    order = table(s, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    lines = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    taken = lines.groupBy("l_orderkey").agg(F.collect_list(op(F.lit(10_000) + F.col("l_linenumber"), F.lit("SUBTRACT"), F.col("l_extendedprice"))).alias("taken"), F.count("*").alias("n"))
+    o = order.join(taken, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    start = F.array(op(F.lit(1).cast("long"), F.when(F.col("o_orderstatus") == "P", "SUBTRACT").otherwise("ADD"), F.col("o_totalprice")))
+    share = F.array(op(F.lit(1_000_000).cast("long"), F.lit("DIVIDE"), F.coalesce("n", F.lit(0))))
+    kind = "array<struct<position: bigint, op: string, value: decimal(20,4)>>"
+    r = o.select("o_orderkey", D.fold(F.concat(start.cast(kind), F.coalesce(F.col("taken").cast(kind), F.array().cast(kind)), share.cast(kind))).alias("r"))
+    return r.select("o_orderkey", r6("value", F.col("r.numerator").cast("double") / F.col("r.denominator").cast("double") / 10_000), F.col("r.reason").alias("reason"))
 
 
-_A10 = "SELECT company, yr, round((CAST(ta AS DOUBLE) - CAST(ca AS DOUBLE)) * 2 / nullif(CAST(na AS DOUBLE), 0), 6) AS value FROM statements WHERE ca IS NOT NULL"
+_A10 = """SELECT o_orderkey, CASE WHEN reason IS NULL THEN round(CAST(c AS DOUBLE) / n / 100, 6) END AS value, reason FROM (
+  SELECT *, CASE WHEN o_orderstatus = 'P' THEN 'INVALID_EXPRESSION' WHEN n IS NULL THEN 'DIVISION_BY_ZERO' WHEN n > 30 THEN 'INVALID_EXPRESSION' WHEN (c::HUGEINT * 1000000000000000000::HUGEINT) % n <> 0 THEN 'INEXACT' END AS reason
+  FROM (SELECT o_orderkey, o_orderstatus, n, CAST(round(o_totalprice * 100) AS BIGINT) - coalesce(cents, 0) AS c FROM orders LEFT JOIN (
+    SELECT l_orderkey, count(*) AS n, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey))"""
 
 
 def _a11(s: SparkSession, d: str) -> DataFrame:
@@ -136,7 +146,7 @@ def queries() -> dict[str, Query]:
         "A07_derived_subtotals": Query(_a07, with_ctes(["statements"], _A07)),
         "A08_component_sum": Query(_a08, _A08),
         "A09_completeness_check": Query(_a09, _A09),
-        "A10_ordered_expression": Query(_a10, with_ctes(["statements"], _A10)),
+        "A10_ordered_expression": Query(_a10, _A10),
         "A11_support_strength": Query(_a11, _A11),
         "A12_run_status": Query(
             lambda s, d: D.run_status(table(s, d, "orders").select(F.col("o_custkey").alias("run"), (F.col("o_orderstatus") == "F").alias("complete")), "run"),

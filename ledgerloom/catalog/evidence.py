@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import identity
 from ..operators import evidence as E
-from ..sources import adapters
+from ..operators import variables
+from ..sources import adapters, published
 from ..sources.adapters import table, with_ctes
+from ..sources.shared import shared_dir
+from .assessment import periods_sql, ratio_sql
 from .base import Query
 
 DAY = "DATE '2000-12-31'"
@@ -90,16 +95,56 @@ _S08 = """SELECT CASE WHEN n > 1 THEN 'DUPLICATE_ID' WHEN o_orderkey IS NULL THE
 FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem) LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') ON l_orderkey = o_orderkey GROUP BY 1"""
 
 
-def _published(s: SparkSession, d: str) -> DataFrame:
-    c = table(s, d, "customer").filter("c_custkey % 4 <> 1").select("c_custkey", "c_name", F.col("c_nationkey").alias("nation"))
-    return E.snapshots(c, "c_custkey", "model-1.2")
+CONFIG = "model-1.2"
+
+
+def _payloads(s: SparkSession, d: str, until: str, config=None) -> DataFrame:
+    """What is published of a company by a day: runs (its newest filing, and its newest one that was accepted), totals, open issues."""
+    o = table(s, d, "orders").filter(F.col("o_orderdate") <= F.lit(until).cast("timestamp"))
+    status = F.col("o_orderstatus")
+    n = o.groupBy("o_custkey").agg(
+        F.max("o_orderkey").alias("accounts_run"), F.max(F.when(status == "F", F.col("o_orderkey"))).alias("control_run"), F.count("*").alias("filings"),
+        F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("pence"), F.bool_or(status == "P").alias("pending"),
+    )
+    issues = F.array_compact(F.array(F.when(F.col("control_run").isNull(), "NO_ACCEPTED_FILING"), F.when(F.col("pending"), "PENDING_FILING")))
+    c = table(s, d, "customer").join(n, F.col("c_custkey") == F.col("o_custkey")).withColumn("issues", issues)
+    body = F.to_json(F.struct("c_custkey", "c_name", "accounts_run", "control_run", "filings", "pence", "issues"))
+    return c.select("c_custkey", body.alias("payload"), (F.lit(CONFIG) if config is None else config).alias("config"), "accounts_run", "control_run")
+
+
+def _payload_sql(until: str) -> str:
+    return f"""SELECT c_custkey, '{{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","accounts_run":' || accounts_run || coalesce(',"control_run":' || control_run, '') || ',"filings":' || filings || ',"pence":' || pence || ',"issues":['
+  || concat_ws(',', CASE WHEN control_run IS NULL THEN '"NO_ACCEPTED_FILING"' END, CASE WHEN pending THEN '"PENDING_FILING"' END) || ']}}' AS payload, accounts_run, control_run, c_mktsegment, c_acctbal
+FROM customer JOIN (SELECT o_custkey, max(o_orderkey) AS accounts_run, max(o_orderkey) FILTER (o_orderstatus = 'F') AS control_run, count(*) AS filings, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS pence, bool_or(o_orderstatus = 'P') AS pending
+  FROM orders WHERE o_orderdate <= TIMESTAMP '{until}' GROUP BY 1) ON o_custkey = c_custkey"""
+
+
+def _s10(s: SparkSession, d: str) -> DataFrame:
+    """Published at the end of 1999 and again at the end of 2000: rows that did not change keep their version."""
+    folder = f"{shared_dir(s)}/published-{uuid.uuid4().hex}"
+    for until in ("1999-12-31", "2000-12-31"):
+        published.publish(_payloads(s, d, until), folder, "c_custkey")
+    return published.read(s, folder, "c_custkey").select("c_custkey", "payload_hash", "config", "accounts_run", "control_run", "version")
+
+
+_S10 = f"""SELECT c_custkey, sha256(n.payload) AS payload_hash, '{CONFIG}' AS config, n.accounts_run, n.control_run, CAST(CASE WHEN o.payload = n.payload THEN 1 ELSE 2 END AS BIGINT) AS version
+FROM ({_payload_sql("2000-12-31")}) n LEFT JOIN (SELECT c_custkey, payload FROM ({_payload_sql("1999-12-31")})) o USING (c_custkey)"""
 
 
 def _s11(s: SparkSession, d: str) -> DataFrame:
-    p = _published(s, d).withColumn("config", F.when(F.col("c_custkey") % 8 == 2, "model-1.1").otherwise(F.col("config"))).withColumn("run_id", (F.col("c_custkey") % 6).cast("long"))
-    p = p.withColumn("payload", F.when(F.col("c_custkey") % 11 == 0, F.concat("payload", F.lit(" "))).otherwise(F.col("payload")))
-    latest = table(s, d, "customer").select("c_custkey", (F.col("c_custkey") % 6 + (F.col("c_custkey") % 5 == 4).cast("int")).cast("long").alias("latest_run"))
-    return E.snapshot_status(p, latest, "c_custkey", "model-1.2")
+    """What was published at the end of 1999, read with the evidence of the end of 2000; payloads of some companies were changed by hand."""
+    folder = f"{shared_dir(s)}/published-{uuid.uuid4().hex}"
+    who = table(s, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    old = _payloads(s, d, "1999-12-31").join(who, "c_custkey").withColumn("config", F.when(F.col("c_mktsegment") == "HOUSEHOLD", "model-1.1").otherwise(F.col("config")))
+    published.publish(old, folder, "c_custkey")
+    seen = published.read(s, folder, "c_custkey").join(who, "c_custkey").withColumn("payload", F.when(F.col("c_acctbal") < 0, F.concat("payload", F.lit(" "))).otherwise(F.col("payload")))
+    latest = who.select("c_custkey").join(_payloads(s, d, "2000-12-31"), "c_custkey", "left")
+    return published.status(seen, latest, "c_custkey", CONFIG)
+
+
+_S11 = f"""SELECT c_custkey, status = 'CURRENT' AS shown, status FROM (SELECT c.c_custkey, CASE WHEN o.payload IS NULL THEN 'MISSING' WHEN c.c_mktsegment = 'HOUSEHOLD' THEN 'OLD_CONFIG'
+  WHEN o.accounts_run IS DISTINCT FROM n.accounts_run OR o.control_run IS DISTINCT FROM n.control_run THEN 'NEWER_EVIDENCE' WHEN c.c_acctbal < 0 THEN 'HASH_MISMATCH' ELSE 'CURRENT' END AS status
+FROM customer c LEFT JOIN ({_payload_sql("1999-12-31")}) o ON o.c_custkey = c.c_custkey LEFT JOIN ({_payload_sql("2000-12-31")}) n ON n.c_custkey = c.c_custkey)"""
 
 
 def _j01(s: SparkSession, d: str) -> DataFrame:
@@ -298,10 +343,26 @@ _J17 = """SELECT d.doc_id, CASE coalesce(state, '') WHEN '' THEN 'PROCESS' WHEN
 FROM documents d LEFT JOIN (SELECT text, min(CASE doc_id % 4 WHEN 1 THEN 'COMPLETE' WHEN 2 THEN 'FAILED' ELSE 'RUNNING' END) AS state FROM documents WHERE doc_id % 4 <> 0 GROUP BY 1) l ON l.text = d.text"""
 
 
+AUDITED = ("F1.1", "F2.2", "F2.3", "F3.1")
+
+
 def _s12(s: SparkSession, d: str) -> DataFrame:
-    """Audit rows: every fact of a company with the period it belongs to, as the writer would partition it."""
-    f = adapters.facts(s, d)
-    return f.groupBy("company", "period_end").agg(F.count("*").alias("facts"), F.sum("value").cast("double").alias("total"))
+    """The audit of every company's ratios, written as JSON and read back: inputs, formula, issue."""
+    who = table(s, d, "customer").select(F.col("c_custkey").alias("company"))
+    rows = variables.export_audit(variables.audit_rows(who, adapters.facts(s, d), AUDITED), f"{shared_dir(s)}/audit-{uuid.uuid4().hex}")
+    text = F.transform("inputs", lambda x: F.concat_ws(" ", x["concept"], x["period_end"].cast("string"), x["amount"].cast("string")))
+    return rows.select("company", "code", F.array_join(text, "; ").alias("inputs"), "trace", "issue")
+
+
+def _s12_sql() -> str:
+    parts = []
+    for code in AUDITED:
+        top, less, bottom, _ = variables.RATIOS[code]
+        concepts = tuple(c for c in (top, less, bottom) if c)
+        inputs = " || '; ' || ".join(f"'{c} ' || period_end || ' ' || v{k}" for k, c in enumerate(concepts))
+        trace = f"({top} - {less}) / {bottom}" if less else f"{top} / {bottom}"
+        parts.append(f"SELECT r.company, '{code}' AS code, coalesce({inputs}, '') AS inputs, '{trace}' AS trace, reason AS issue FROM ({ratio_sql(code)}) r LEFT JOIN ({periods_sql(concepts)}) p ON p.company = r.company AND p.period_end = r.period_end".replace("' || period_end ||", "' || p.period_end ||"))
+    return with_ctes(["facts"], " UNION ALL ".join(parts))
 
 
 def queries() -> dict[str, Query]:
@@ -314,12 +375,9 @@ def queries() -> dict[str, Query]:
         "S06_object_key": Query(_s06, "SELECT event_id, lpad(user_id::VARCHAR, 8, '0') || '/' || lower(event_type) || '/' || strftime(ts, '%Y%m%dT%H%M%SZ') || '/' || event_id || '/' || sha256(props) || '.json' AS object_key FROM events"),
         "S07_immutable_append": Query(_s07, _S07),
         "S08_page_fact_append": Query(_s08, _S08),
-        "S10_snapshot_sink": Query(
-            lambda s, d: _published(s, d).select("c_custkey", "payload_hash", "config"),
-            """SELECT c_custkey, sha256('{"c_name":"' || c_name || '","nation":' || c_nationkey || '}') AS payload_hash, 'model-1.2' AS config FROM customer WHERE c_custkey % 4 <> 1""",
-        ),
-        "S11_snapshot_status": Query(_s11, "SELECT c_custkey, CASE WHEN c_custkey % 4 = 1 THEN 'MISSING' WHEN c_custkey % 11 = 0 THEN 'HASH_MISMATCH' WHEN c_custkey % 8 = 2 THEN 'OLD_CONFIG' WHEN c_custkey % 5 = 4 THEN 'NEWER_EVIDENCE' ELSE 'CURRENT' END AS status FROM customer"),
-        "S12_audit_export": Query(_s12, with_ctes(["facts"], "SELECT company, period_end, count(*) AS facts, CAST(sum(value) AS DOUBLE) AS total FROM facts GROUP BY 1, 2")),
+        "S10_snapshot_sink": Query(_s10, _S10),
+        "S11_snapshot_status": Query(_s11, _S11),
+        "S12_audit_export": Query(_s12, _s12_sql()),
         "J01_eav_filings": Query(_j01, "SELECT o_orderkey AS subject, o_custkey AS company, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderstatus = 'F'"),
         "J02_origin_snapshot": Query(_j02, _J02),
         "J03_snapshot_members": Query(_j03, "SELECT DISTINCT o_custkey AS c_custkey, l_suppkey, l_returnflag FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"),

@@ -45,14 +45,53 @@ def component_sum(components: DataFrame, schedule: str, allowed: tuple[str, ...]
     return n.select(schedule, F.when(reason.isNull(), F.col("total")).alias("total"), reason.alias("reason"))
 
 
+_INTEGER = "decimal(38,0)"
+MAX_OPERANDS = 32
+#: Digits behind the numerator's last one that an exact quotient may have.
+MAX_DIGITS = 18
+
+
 def fold(operands: Column) -> Column:
-    """Left-to-right value of an ordered array of ``struct(position, op, value double)``; null after a division by 0 or beyond 32 operands."""
-    start = F.lit(0.0)
+    """Exact left-to-right value of an ordered array of ``struct(position, op, value decimal(20,4))``.
+
+    The result is ``struct(numerator, denominator, reason)``; the value is ``numerator / denominator`` ten-thousandths. There is none,
+    but a reason, for no or more than 32 operands, a first operation other than ADD or an unknown one (INVALID_EXPRESSION), a
+    missing value (MISSING_OPERAND), a division by 0 (DIVISION_BY_ZERO) or one whose quotient does not end (INEXACT), and more
+    than 38 digits (OVERFLOW). All steps are in integers: sums keep the denominator, only divisions and factors with a
+    fraction raise it, and nothing is rounded.
+    """
+    ten = F.array(*(F.lit(10**k).cast(_INTEGER) for k in range(MAX_DIGITS + 1)))
+    times = lambda x, y: F.try_multiply(x, y).cast(_INTEGER)
+    state = lambda n, d, why=None: F.struct(n.cast(_INTEGER).alias("numerator"), d.cast(_INTEGER).alias("denominator"), (F.lit(why).cast("string") if why is None or isinstance(why, str) else why).alias("reason"))
+    refused = lambda why: state(F.lit(None), F.lit(None), why)
+
+    def fits(n: Column, d: Column) -> Column:
+        return F.when(n.isNull() | d.isNull(), refused("OVERFLOW")).otherwise(state(n, d))
 
     def step(acc: Column, x: Column) -> Column:
-        return F.when(x["op"] == "ADD", acc + x["value"]).when(x["op"] == "SUBTRACT", acc - x["value"]).when(x["op"] == "MULTIPLY", acc * x["value"]).otherwise(F.try_divide(acc, x["value"]))
-
-    return F.when(F.size(operands) <= 32, F.aggregate(F.array_sort(operands), start, step))
+        n, d = acc["numerator"], acc["denominator"]
+        units = (x["value"] * 10_000).cast(_INTEGER)
+        whole = units % 10_000 == 0
+        # as a fraction: a whole number over 1, else ten-thousandths
+        top = F.when(whole, x["value"].cast(_INTEGER)).otherwise(units)
+        bottom = F.when(whole, 1).otherwise(10_000).cast(_INTEGER)
+        shift = times(units, d)
+        over, under = times(times(n, bottom), F.signum(top).cast(_INTEGER)), times(d, F.abs(top))
+        ends = F.exists(F.sequence(F.lit(0), F.lit(MAX_DIGITS)), lambda k: F.coalesce(times(over, F.get(ten, k)) % under == 0, F.lit(False)))
+        divided = F.when(units == 0, refused("DIVISION_BY_ZERO")).when(over.isNull() | under.isNull(), refused("OVERFLOW")).when(ends, state(over, under)).otherwise(refused("INEXACT"))
+        return (
+            F.when(acc["reason"].isNotNull(), acc)
+            .when(x["value"].isNull(), refused("MISSING_OPERAND"))
+            .when(x["op"] == "ADD", fits(F.try_add(n, shift).cast(_INTEGER), d))
+            .when(x["op"] == "SUBTRACT", fits(F.try_subtract(n, shift).cast(_INTEGER), d))
+            .when(x["op"] == "MULTIPLY", fits(times(n, top), times(d, bottom)))
+            .when(x["op"] == "DIVIDE", divided)
+            .otherwise(refused("INVALID_EXPRESSION"))
+        )
+
+    first = F.get(F.array_sort(operands), F.lit(0))
+    bad = operands.isNull() | ~F.size(operands).between(1, MAX_OPERANDS) | ~F.coalesce(first["op"] == "ADD", F.lit(False))
+    return F.when(bad, refused("INVALID_EXPRESSION")).otherwise(F.aggregate(F.array_sort(operands), state(F.lit(0), F.lit(1)), step))
 
 
 STRENGTHS = ("NONE", "MEANINGFUL", "STRONG")

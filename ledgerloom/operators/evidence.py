@@ -75,21 +75,6 @@ def page_fact_append(facts: DataFrame, evidence: DataFrame) -> DataFrame:
     return j.withColumn("verdict", F.coalesce(why, F.lit("ACCEPTED"))).drop("_n", "_source")
 
 
-def snapshots(payload: DataFrame, key: str, config: str) -> DataFrame:
-    """One published JSON payload per key, with its hash and the fingerprint of the configuration."""
-    body = F.to_json(F.struct(*(c for c in payload.columns if c != key)))
-    return payload.select(key, body.alias("payload"), F.sha2(body, 256).alias("payload_hash"), F.lit(config).alias("config"))
-
-
-def snapshot_status(published: DataFrame, latest: DataFrame, key: str, config: str) -> DataFrame:
-    """Whether the published snapshot of each key can be shown, or why not."""
-    j = latest.join(published, key, "left")
-    return j.select(
-        key,
-        F.when(F.col("payload").isNull(), "MISSING").when(F.sha2("payload", 256) != F.col("payload_hash"), "HASH_MISMATCH").when(F.col("config") != config, "OLD_CONFIG").when(F.col("run_id") != F.col("latest_run"), "NEWER_EVIDENCE").otherwise("CURRENT").alias("status"),
-    )
-
-
 # ------------------------------------------------------------------------ joins
 
 

@@ -141,6 +141,30 @@ def net_asset_trend(companies: DataFrame, facts: DataFrame) -> DataFrame:
     return financial(companies, facts, (TREND,))
 
 
+AUDIT = "company long, inputs array<struct<concept: string, period_end: date, amount: decimal(20,4)>>, trace string, issue string, code string"
+
+
+def audit_rows(companies: DataFrame, facts: DataFrame, codes: tuple[str, ...]) -> DataFrame:
+    """One row per company and ratio: the amounts that entered it, the formula they entered, and why there is no value, if so."""
+    needs = {c: tuple(x for x in RATIOS[c][:3] if x) for c in codes}
+    row = companies.select("company").join(selected_periods(facts, needs), "company", "left")
+    values = financial(companies, facts, codes).select("company", "code", F.col("reason").alias("issue"))
+    found = []
+    for code, concepts in needs.items():
+        top, less, bottom, _ = RATIOS[code]
+        period = F.get(F.col(f"`{code}`.periods"), F.lit(0))
+        inputs = F.array(*(F.struct(F.lit(c).alias("concept"), period["period_end"].alias("period_end"), F.get(period["amounts"], F.lit(k)).alias("amount")) for k, c in enumerate(concepts)))
+        none = F.array().cast("array<struct<concept: string, period_end: date, amount: decimal(20,4)>>")
+        found.append(F.struct(F.lit(code).alias("code"), F.when(period.isNotNull(), inputs).otherwise(none).alias("inputs"), F.lit(f"({top} - {less}) / {bottom}" if less else f"{top} / {bottom}").alias("trace")))
+    return row.select("company", F.inline(F.array(*found))).join(values, ["company", "code"])
+
+
+def export_audit(rows: DataFrame, folder: str) -> DataFrame:
+    """Write audit rows as JSON lines, one folder for each code, and return what the files say."""
+    rows.select("company", "inputs", "trace", "issue", "code").write.mode("overwrite").partitionBy("code").json(folder)
+    return rows.sparkSession.read.schema(AUDIT).json(folder)
+
+
 # ----------------------------------------------------------------- governance
 
 def lateness(companies: DataFrame, obligations: DataFrame, kind: str, code: str, as_of: Column, mode: str = "strict") -> DataFrame:

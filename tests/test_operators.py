@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 from decimal import Decimal
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import scalars as S
 from ledgerloom.operators import beliefs, derivation, documents, evidence, validation, variables
 from ledgerloom.plans import model
+from ledgerloom.sources import published
 
 
 def day(s):
@@ -262,9 +264,46 @@ def test_immutable_append(spark):
     assert got == {(1, "a"): "UNCHANGED", (2, "x"): "CONFLICT", (3, "c"): "NEW", (3, "d"): "CONFLICT", (4, None): "NEW"}
 
 
-def test_fold_and_greedy(spark):
-    ops = F.array(*(F.struct(F.lit(k).alias("position"), F.lit(o).alias("op"), F.lit(float(v)).alias("value")) for k, o, v in ((2, "MULTIPLY", 3), (1, "ADD", 4), (3, "DIVIDE", 2))))
-    assert cell(spark, derivation.fold(ops)) == 6.0
+def folded(spark, steps):
+    """(value as a fraction, reason) of steps (operation, value)."""
+    ops = spark.createDataFrame([([(k, o, None if v is None else Decimal(v)) for k, (o, v) in enumerate(steps)][::-1],)], "ops array<struct<position: int, op: string, value: decimal(20,4)>>")
+    r = one(ops.select(derivation.fold(F.col("ops")).alias("r")), "r")
+    return (None if r["numerator"] is None else Fraction(int(r["numerator"]), int(r["denominator"]) * 10_000), r["reason"])
+
+
+@pytest.mark.parametrize(
+    "steps, value, reason",
+    [
+        ([("ADD", "4"), ("MULTIPLY", "3"), ("DIVIDE", "2")], "6", None), ([("ADD", "0.1"), ("ADD", "0.2")], "0.3", None), ([("ADD", "1"), ("DIVIDE", "-8"), ("MULTIPLY", "0.5")], "-1/16", None),
+        ([("ADD", "7.5"), ("DIVIDE", "0.03")], "250", None), ([("ADD", "9999999999999999.9999"), ("SUBTRACT", "0.0001")], "9999999999999999.9998", None),
+        ([("ADD", "1"), ("DIVIDE", "3")], None, "INEXACT"), ([("ADD", "1"), ("DIVIDE", "3"), ("MULTIPLY", "3")], None, "INEXACT"), ([("ADD", "1"), ("DIVIDE", "0")], None, "DIVISION_BY_ZERO"), ([("SUBTRACT", "1")], None, "INVALID_EXPRESSION"),
+        ([], None, "INVALID_EXPRESSION"), ([("ADD", "1"), ("POWER", "2")], None, "INVALID_EXPRESSION"), ([("ADD", "1"), ("ADD", None)], None, "MISSING_OPERAND"), ([("ADD", "1")] * 32, "32", None), ([("ADD", "1")] * 33, None, "INVALID_EXPRESSION"),
+        ([("ADD", "9000000000000000")] + [("MULTIPLY", "9000000000000000")] * 2, None, "OVERFLOW"),
+    ],
+)
+def test_exact_expressions(spark, steps, value, reason):
+    assert folded(spark, steps) == (None if value is None else Fraction(value), reason)
+
+
+def test_published_versions(spark, tmp_path):
+    schema = "k long, payload string, config string, accounts_run long, control_run long"
+    put = lambda rows: published.publish(spark.createDataFrame(rows, schema), str(tmp_path), "k", 8)
+    have = lambda: {r["k"]: (r["payload"], r["version"]) for r in published.read(spark, str(tmp_path), "k").collect()}
+    rows = [(k, f"p{k}", "c", k, None) for k in range(50)]
+    assert have() == {} and put(rows) == 1 and put(rows) == 1  # a repeat changes nothing
+    before = published.manifest(spark, str(tmp_path))[1]
+    assert put([(3, "new", "c", 3, None), (99, "more", "c", 1, 1), (4, "p4", "c", 4, None)]) == 2
+    after = published.manifest(spark, str(tmp_path))[1]
+    assert 1 <= sum(before.get(b) != p for b, p in after.items()) <= 2  # only the buckets of the two changed keys
+    assert have() == {k: (f"p{k}", 1) for k in range(50)} | {3: ("new", 2), 99: ("more", 2)}
+    latest = spark.createDataFrame([(1, 1, None), (2, 7, None), (3, 3, None), (200, 1, 1)], "k long, accounts_run long, control_run long")
+    told = {r["k"]: r["status"] for r in published.status(published.read(spark, str(tmp_path), "k"), latest, "k", "c").collect()}
+    assert told == {1: "CURRENT", 2: "NEWER_EVIDENCE", 3: "CURRENT", 200: "MISSING"}
+    with pytest.raises(Exception, match="null"):
+        put([(None, "p", "c", 1, 1)])
+
+
+def test_greedy(spark):
     pages = spark.createDataFrame([(1, 0, 10, 50), (1, 1, 11, 60), (1, 2, 12, 40), (1, 3, 13, 10)], "k int, rank int, page long, size long")
     assert one(documents.greedy_fit(pages, "k", 100, 4), "used", "pages") == (100, "10,12,13")
 
