@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import identity
 from ..operators import evidence as E
-from ..operators import variables
+from ..operators import grounding, variables
 from ..sources import adapters, published
 from ..sources.adapters import table, with_ctes
 from ..sources.shared import shared_dir
@@ -314,15 +314,17 @@ _J15 = "SELECT o_orderkey, bool_and(l_suppkey < 90) AS allowed, count(DISTINCT l
 
 
 def _j14(s: SparkSession, d: str) -> DataFrame:
-    """Claims against the cited text: each benchmark passage's first line must occur in documents; in how many."""
-    claims = table(s, d, "benchmark").select("item_id", F.trim(F.split("text", "\n")[0]).alias("line")).filter("length(line) >= 20")
-    lines = table(s, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line"))
-    found = lines.join(claims.select("line").distinct(), "line", "left_semi").distinct().groupBy("line").agg(F.count("*").alias("n"))
-    return claims.join(found, "line", "left").select("item_id", F.coalesce("n", F.lit(0)).cast("long").alias("documents"), F.coalesce(F.col("n") == 1, F.lit(False)).alias("grounded"))
+    """Every sentence of the benchmark's texts as a quote from the documents: in how many, and how often, it stands."""
+    sentences = table(s, d, "benchmark").select("item_id", F.posexplode(F.split("text", r"[.!?\n]+")).alias("sentence", "quote"))
+    claims = sentences.withColumn("claim", F.concat_ws("#", "item_id", "sentence"))
+    found = grounding.grounded(claims.select("claim", "quote"), table(s, d, "documents").select("doc_id", "text"))
+    return found.select("claim", "words", "documents", "status")
 
 
-_J14 = """WITH claims AS (SELECT item_id, trim(string_split(text, chr(10))[1]) AS line FROM benchmark), lines AS (SELECT DISTINCT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents)
-SELECT item_id, count(doc_id) AS documents, count(doc_id) = 1 AS grounded FROM (SELECT * FROM claims WHERE length(line) >= 20) c LEFT JOIN lines l ON c.line = l.line GROUP BY 1"""
+_J14 = """WITH claims AS (SELECT item_id || '#' || k AS claim, regexp_extract_all(quote, '[\\p{L}\\p{N}]+') AS words FROM (SELECT item_id, unnest(q) AS quote, unnest(range(len(q))) AS k FROM (SELECT item_id, regexp_split_to_array(text, '[.!?\\n]+') AS q FROM benchmark))),
+docs AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), ' ') || ' ' AS said FROM documents),
+met AS (SELECT claim, count(*) AS n FROM claims JOIN docs ON len(words) > 0 AND contains(said, ' ' || array_to_string(words, ' ') || ' ') GROUP BY 1)
+SELECT claim, len(words) AS words, coalesce(n, 0) AS documents, CASE WHEN len(words) = 0 THEN 'EMPTY' WHEN n IS NULL THEN 'ABSENT' WHEN n = 1 THEN 'GROUNDED' ELSE 'AMBIGUOUS' END AS status FROM claims LEFT JOIN met USING (claim)"""
 
 
 def _j16(s: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import validation, variables
+from ledgerloom.operators import grounding, validation, variables
 
 
 def day(s):
@@ -124,3 +124,29 @@ def test_composed_reliability(assessment):
     }
     assert assessment[1]["groups"] == 2 and assessment[1]["support_reason"] == "MEANINGFUL from 2 groups: V=0.30"
     assert assessment[5]["source_reason"] == "unmapped source" and assessment[6]["conflict_reason"] == "SERIOUS: C=1.00"
+
+
+def test_quotes_are_found_word_for_word(spark):
+    rng = random.Random(7)
+    say = lambda n: " ".join(rng.choice(["a", "b", "c", "rare" if rng.random() < 0.05 else "d"]) for _ in range(n))
+    docs = [(k, say(rng.randrange(0, 40)).replace(" b", rng.choice([" b", ", b", " b\n"]))) for k in range(60)] + [(60, None), (61, "a a a a"), (62, "")]
+    claims = [(k, say(rng.randrange(1, 6))) for k in range(60)] + [(60, "..."), (61, None), (62, "a a"), (63, "nowhere a"), (64, "a")]
+    import re
+
+    split = lambda t: re.findall(r"[^\W_]+", t or "")
+    want = {}
+    for k, q in claims:
+        w = split(q)
+        places = [(d, i) for d, t in docs for i in range(len(split(t)) - len(w) + 1) if w and split(t)[i : i + len(w)] == w]
+        n = len({d for d, _ in places})
+        want[k] = (len(w), n, len(places), "EMPTY" if not w else "ABSENT" if not n else "GROUNDED" if n == 1 else "AMBIGUOUS")
+    c, t = spark.createDataFrame(claims, "claim int, quote string"), spark.createDataFrame(docs, "doc_id int, text string")
+    got = {r["claim"]: (r["words"], r["documents"], r["places"], r["status"]) for r in grounding.grounded(c, t).collect()}
+    assert {w[3] for w in want.values()} == {"EMPTY", "ABSENT", "GROUNDED", "AMBIGUOUS"} and got == want
+
+
+def test_amounts_are_found_as_printed(spark):
+    docs = spark.createDataFrame([(1, "Net assets (1,234) and 5 678.50 in 2024, not 12a or 3.4.5"), (2, None)], "doc_id int, text string")
+    claims = [(1, 1, "1234", True), (2, 1, "-1234", True), (3, 1, "5678.5", True), (4, 1, "12", False), (5, 1, "234", False), (6, 2, "1", False), (7, 1, "2024", True)]
+    c = spark.createDataFrame([(k, d, Decimal(a)) for k, d, a, _ in claims], "claim int, doc_id int, amount decimal(20,4)")
+    assert {r["claim"]: r["present"] for r in grounding.amounts_present(c, docs).collect()} == {k: x for k, _, _, x in claims}
