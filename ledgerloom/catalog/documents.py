@@ -17,27 +17,37 @@ from .validation import _QUALITY, _quality
 
 # ---------------------------------------------------------------- documents
 
-def _tagged_documents(s: SparkSession, d: str) -> DataFrame:
-    """Each order as an inline-tagged document with one tag per line of it."""
+def tagged_documents(s: SparkSession, d: str) -> DataFrame:
+    """Each order as an inline-tagged document with one tag per line of it.
+
+    Open lines are of the order's day, others of the year before, in a context with a dimension that unspecified orders
+    lack; urgent pending orders say their first context twice; lines of kind N are in shares.
+    """
     li = table(s, d, "lineitem").withColumn("tag", F.concat(
-        F.lit('<p><ix:nonFraction name="uk:'), F.col("l_returnflag"), F.lit('" contextRef="c'), (F.col("l_linenumber") % 2).cast("string"), F.lit('" unitRef="u" scale="'), (F.col("l_linenumber") % 3).cast("string"),
-        F.when(F.col("l_linestatus") == "O", '" sign="-').otherwise(""), F.lit('">'), F.format_number(F.floor("l_extendedprice"), 0), F.lit("</ix:nonFraction></p>")))
+        F.lit('<p><ix:nonFraction name="uk:'), F.col("l_returnflag"), F.lit('" contextRef="'), F.when(F.col("l_linestatus") == "O", "c0").otherwise("c1"), F.lit('" unitRef="'), F.when(F.col("l_returnflag") == "N", "s").otherwise("u"), F.lit('" scale="'), F.round(F.col("l_tax") * 100).cast("int").cast("string"),
+        F.when(F.col("l_returnflag") == "R", '" sign="-').otherwise(""), F.lit('"><span>'), F.format_number(F.floor("l_extendedprice"), 0), F.lit("</span></ix:nonFraction></p>")))
     body = li.groupBy("l_orderkey").agg(F.array_join(F.collect_list("tag"), "\n").alias("body"))
     o = table(s, d, "orders").join(body, F.col("o_orderkey") == F.col("l_orderkey"))
     end = F.col("o_orderdate").cast("date")
-    context = lambda k, day: F.concat(F.lit(f'<xbrli:context id="c{k}"><xbrli:period><xbrli:instant>'), day.cast("string"), F.lit("</xbrli:instant></xbrli:period></xbrli:context>"))
-    second = F.when(F.col("o_orderkey") % 10 != 7, context(1, F.add_months(end, -12))).otherwise(F.lit(""))
-    return o.select(F.col("o_orderkey").alias("document_id"), F.concat(F.lit("<html>"), context(0, end), second, F.lit('<xbrli:unit id="u"><xbrli:measure>iso4217:GBP</xbrli:measure></xbrli:unit>'), F.col("body"), F.lit("</html>")).alias("content"))
+    context = lambda k, day, more="": F.concat(F.lit(f"<xbrli:context id='c{k}'><xbrli:entity><xbrli:identifier scheme='uk'>"), F.col("o_custkey").cast("string"), F.lit(f"</xbrli:identifier>{more}</xbrli:entity><xbrli:period><xbrli:instant>"), day.cast("string"), F.lit("</xbrli:instant></xbrli:period></xbrli:context>"))
+    member = '<xbrli:segment><xbrldi:explicitMember dimension="uk:Scope">uk:Company</xbrldi:explicitMember></xbrli:segment>'
+    second = F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", context(1, F.add_months(end, -12), member)).otherwise(F.lit(""))
+    twice = F.when((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT"), context(0, end)).otherwise(F.lit(""))
+    units = '<xbrli:unit id="u"><xbrli:measure>iso4217:GBP</xbrli:measure></xbrli:unit><xbrli:unit id="s"><xbrli:measure>xbrli:shares</xbrli:measure></xbrli:unit>'
+    return o.select(F.col("o_orderkey").alias("document_id"), F.col("o_custkey").alias("number"), F.concat(F.lit("<html>"), context(0, end), twice, second, F.lit(units), F.col("body"), F.lit("</html>")).alias("content"))
 
 
-_D01 = """SELECT o_orderkey AS document_id, l_returnflag AS name, CASE WHEN l_linenumber % 2 = 0 THEN CAST(o_orderdate AS DATE) WHEN o_orderkey % 10 <> 7 THEN (CAST(o_orderdate AS DATE) - INTERVAL 12 MONTH)::DATE END AS period_end, 'GBP' AS currency,
-  CAST(CASE WHEN l_linestatus = 'O' THEN -1 ELSE 1 END * floor(l_extendedprice) * pow(10, l_linenumber % 3) AS DOUBLE) AS value, o_orderkey % 10 = 7 AND bool_or(l_linenumber % 2 = 1) OVER (PARTITION BY o_orderkey) AS failed
-FROM orders JOIN lineitem ON l_orderkey = o_orderkey"""
+_TAGGED = """tagged AS (SELECT *, CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN 'DUPLICATE_CONTEXT' WHEN o_orderpriority = '4-NOT SPECIFIED' AND bool_or(l_linestatus = 'F') OVER (PARTITION BY o_orderkey) THEN 'UNRESOLVED_REFERENCE' END AS failure
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"""
+TAGGED_SQL = f"""WITH {_TAGGED} SELECT o_orderkey AS document_id, l_returnflag AS name, CASE WHEN l_linestatus = 'O' THEN CAST(o_orderdate AS DATE) ELSE (CAST(o_orderdate AS DATE) - INTERVAL 12 MONTH)::DATE END AS period_end, 'GBP' AS currency, CAST(o_custkey AS VARCHAR) AS entity,
+  CASE WHEN l_linestatus = 'O' THEN '' ELSE 'uk:Scope=uk:Company' END AS dimensions, CAST(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * floor(l_extendedprice) * pow(10, round(l_tax * 100)) AS DOUBLE) AS value, NULL AS failure
+FROM tagged WHERE failure IS NULL AND l_returnflag <> 'N' UNION ALL SELECT DISTINCT o_orderkey, NULL, NULL::DATE, NULL, NULL, NULL, NULL, failure FROM tagged WHERE failure IS NOT NULL"""
 
 
 def _d01(s: SparkSession, d: str) -> DataFrame:
-    f = D.tagged_facts(_tagged_documents(s, d))
-    return f.select("document_id", F.substring_index("name", ":", -1).alias("name"), "period_end", "currency", F.col("value").cast("double").alias("value"), "failed")
+    f = D.tagged_facts(tagged_documents(s, d))
+    dimensions = F.array_join(F.transform("dimensions", lambda x: F.concat(x["dimension"], F.lit("="), x["member"])), ",")
+    return f.select("document_id", F.substring_index("name", ":", -1).alias("name"), "period_end", "currency", "entity", dimensions.alias("dimensions"), F.col("value").cast("double").alias("value"), "failure")
 
 
 def _words(s: SparkSession, d: str) -> DataFrame:
@@ -249,14 +259,14 @@ def queries() -> dict[str, Query]:
         "T01_page_selection": Query(_t01, _T01),
         "T02_newest_first": Query(lambda s, d: table(s, d, "orders").orderBy(F.col("o_orderdate").desc(), "o_orderkey").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("day")), "SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS day FROM orders ORDER BY o_orderdate DESC, o_orderkey"),
         "T03_company_list": Query(lambda s, d: table(s, d, "customer").join(table(s, d, "orders").filter("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name").orderBy("c_name"), "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') ORDER BY c_name"),
-        "D01_tagged_facts": Query(_d01, _D01),
+        "D01_tagged_facts": Query(_d01, TAGGED_SQL),
         "D02_visible_text": Query(
             lambda s, d: table(s, d, "pages").select("page_id", F.sha2(D.visible_text(F.col("html")).cast("binary"), 256).alias("text_sha256")),
             r"SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)\b[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))) AS text_sha256 FROM pages",
         ),
         "D03_period_role": Query(
-            lambda s, d: D.period_roles(D.tagged_facts(_tagged_documents(s, d)).filter("not failed")).groupBy("document_id", "role").agg(F.count("*").alias("facts")),
-            f"SELECT document_id, CASE WHEN period_end = latest THEN 'CURRENT' ELSE 'COMPARATIVE' END AS role, count(*) AS facts FROM (SELECT *, max(period_end) OVER (PARTITION BY document_id) AS latest FROM ({_D01}) WHERE NOT failed) GROUP BY 1, 2",
+            lambda s, d: D.period_roles(D.tagged_facts(tagged_documents(s, d)).filter("not failed")).groupBy("document_id", "role").agg(F.count("*").alias("facts")),
+            f"SELECT document_id, CASE WHEN period_end = latest THEN 'CURRENT' ELSE 'COMPARATIVE' END AS role, count(*) AS facts FROM (SELECT *, max(period_end) OVER (PARTITION BY document_id) AS latest FROM ({TAGGED_SQL}) WHERE failure IS NULL) GROUP BY 1, 2",
         ),
         "D04_labelled_columns": Query(_d04, _D04),
         "D05_asset_side": Query(_d05, _D05),

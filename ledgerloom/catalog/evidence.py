@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from ..functions.scalars import identity
 from ..operators import evidence as E
 from ..operators import grounding, variables
+from ..operators.documents import tagged_facts
 from ..sources import adapters, published
 from ..sources.adapters import table, with_ctes
 from ..sources.shared import shared_dir
 from .assessment import periods_sql, ratio_sql
-from .base import Query
+from .base import Query, r6
+from .documents import TAGGED_SQL, tagged_documents
 
 DAY = "DATE '2000-12-31'"
 
@@ -186,13 +188,19 @@ def _j04(s: SparkSession, d: str) -> DataFrame:
     return counts.select("duty", F.when(F.col("matches") == 0, "OUTSTANDING").when(F.col("matches") == 1, "FILED").otherwise("UNRESOLVED").alias("state"))
 
 
-MAPPING = (("A", "REGULAR", 1), ("R", "RETURNED", -1))
+#: Names of tags and the dimensions that they have to have.
+MAPPING = (("uk:A", (), "TOTAL_ASSETS", 1), ("uk:A", (("uk:Scope", "uk:Company"),), "COMPANY_ASSETS", 1), ("uk:R", (("uk:Scope", "uk:Company"),), "CREDITORS", -1))
 
 
 def _j05(s: SparkSession, d: str) -> DataFrame:
-    mapping = s.createDataFrame(list(MAPPING), "l_returnflag string, concept string, sign int")
-    m = table(s, d, "lineitem").join(F.broadcast(mapping), "l_returnflag", "left")
-    return m.groupBy(F.coalesce("concept", F.lit("UNMAPPED")).alias("concept")).agg(F.count("*").alias("n"), F.sum(F.col("l_extendedprice").cast("decimal(12,2)") * F.coalesce("sign", F.lit(0))).cast("double").alias("total"))
+    """The tagged facts of all documents under canonical concepts."""
+    mapping = s.createDataFrame([(n, list(x), c, sign) for n, x, c, sign in MAPPING], "source_concept string, dimensions array<struct<dimension: string, member: string>>, concept string, sign int")
+    m = E.mapped_facts(tagged_facts(tagged_documents(s, d)).filter("not failed"), mapping)
+    return m.groupBy("concept", "mapping_status").agg(F.count("*").alias("n"), r6("total", F.sum("mapped_value")))
+
+
+_J05 = f"""SELECT concept, CASE WHEN concept IS NULL THEN 'UNMAPPED' ELSE 'MAPPED' END AS mapping_status, count(*) AS n, CASE WHEN concept IS NOT NULL THEN round(sum(value) * CASE concept WHEN 'CREDITORS' THEN -1 ELSE 1 END, 6) END AS total
+FROM (SELECT *, CASE WHEN name = 'A' AND dimensions = '' THEN 'TOTAL_ASSETS' WHEN name = 'A' THEN 'COMPANY_ASSETS' WHEN name = 'R' AND dimensions <> '' THEN 'CREDITORS' END AS concept FROM ({TAGGED_SQL}) WHERE failure IS NULL) GROUP BY 1, 2"""
 
 
 def _j06(s: SparkSession, d: str) -> DataFrame:
@@ -384,7 +392,7 @@ def queries() -> dict[str, Query]:
         "J02_origin_snapshot": Query(_j02, _J02),
         "J03_snapshot_members": Query(_j03, "SELECT DISTINCT o_custkey AS c_custkey, l_suppkey, l_returnflag FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"),
         "J04_obligation_match": Query(_j04, f"SELECT o_orderkey AS duty, CASE count(l_orderkey) WHEN 0 THEN 'OUTSTANDING' WHEN 1 THEN 'FILED' ELSE 'UNRESOLVED' END AS state FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = o_orderkey % 7 AND l_shipdate <= {DAY} GROUP BY 1"),
-        "J05_concept_mapping": Query(_j05, "SELECT CASE l_returnflag WHEN 'A' THEN 'REGULAR' WHEN 'R' THEN 'RETURNED' ELSE 'UNMAPPED' END AS concept, count(*) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN -1 ELSE 0 END) AS DOUBLE) AS total FROM lineitem GROUP BY 1"),
+        "J05_concept_mapping": Query(_j05, _J05),
         "J06_provenance": Query(_j06, _J06),
         "J07_competing_observations": Query(_j07, "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, count(*) AS rows, count(DISTINCT l_extendedprice) > 1 AS competing FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1"),
         "J08_run_pairing": Query(_j08, """SELECT a.o_custkey, a.o_orderkey AS accounts_run, g.o_orderkey AS governance_run, g.o_orderkey IS NOT NULL AS paired

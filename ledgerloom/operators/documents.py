@@ -2,35 +2,103 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import tagged_amount
+from ..functions.scalars import strict_date, tagged_amount
 
-_TAG = r"(<ix:nonFraction\b[^>]*>[^<]*</ix:nonFraction>)"
-_CONTEXT = r"(?s)(<xbrli:context\b.*?</xbrli:context>)"
-_UNIT = r"(?s)(<xbrli:unit\b.*?</xbrli:unit>)"
+# Elements under any prefix, attributes in either quotes.
+_TAG = r"(?s)(<(?:\w+:)?nonFraction\b[^>]*>.*?</(?:\w+:)?nonFraction>|<(?:\w+:)?nonFraction\b[^>]*/>)"
+_CONTEXT = r"(?s)(<(?:\w+:)?context\b.*?</(?:\w+:)?context>)"
+_UNIT = r"(?s)(<(?:\w+:)?unit\b.*?</(?:\w+:)?unit>)"
+_MEMBER = r"(?s)(<(?:\w+:)?explicitMember\b.*?</(?:\w+:)?explicitMember>)"
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    return F.regexp_extract(tag, rf'\b{name}="([^"]*)"', 1)
+    """An attribute of an element's own start tag; empty if there is none."""
+    return F.regexp_extract(tag, rf"""^<[^>]*?[\s:]{name}\s*=\s*["']([^"']*)["']""", 1)
+
+
+def _inside(element: Column, name: str) -> Column:
+    return F.trim(F.regexp_extract(element, rf"(?s)<(?:\w+:)?{name}\b[^>]*>([^<]*)<", 1))
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once: a lambda variable is, an expression inside a lambda is not."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _context(c: Column) -> Column:
+    instant, start, end = (_inside(c, n) for n in ("instant", "startDate", "endDate"))
+    members = F.transform(F.regexp_extract_all(c, F.lit(_MEMBER), F.lit(1)), lambda m: F.struct(_attribute(m, "dimension").alias("dimension"), F.trim(F.regexp_extract(m, ">([^<]*)<", 1)).alias("member")))
+    return F.struct(
+        _attribute(c, "id").alias("id"), F.when(instant != "", "INSTANT").otherwise("DURATION").alias("period_type"), strict_date(F.when(instant == "", start)).alias("period_start"),
+        strict_date(F.when(instant != "", instant).otherwise(end)).alias("period_end"), _inside(c, "identifier").alias("entity"), F.array_sort(members).alias("dimensions"), c.rlike(r"<(?:\w+:)?typedMember\b").alias("typed"),
+    )
+
+
+def _unit(u: Column) -> Column:
+    """The currency of a unit of one measure in it; others (shares, ratios) have none."""
+    measures = F.regexp_extract_all(u, F.lit(r"(?s)<(?:\w+:)?measure\b[^>]*>\s*([^<]*?)\s*<"), F.lit(1))
+    return F.struct(_attribute(u, "id").alias("id"), F.when(F.size(measures) == 1, F.nullif(F.regexp_extract(F.get(measures, F.lit(0)), r"^iso4217:([A-Z]{3})$", 1), F.lit(""))).alias("currency"))
+
+
+def _tag(t: Column) -> Column:
+    body = F.regexp_extract(t, r"(?s)^<[^>]*>(.*)</[^>]*>$", 1)
+    return F.struct(
+        _attribute(t, "name").alias("name"), _attribute(t, "contextRef").alias("context"), _attribute(t, "unitRef").alias("unit"), F.trim(F.regexp_replace(body, "<[^>]*>", "")).alias("raw"),
+        F.coalesce(F.nullif(_attribute(t, "scale"), F.lit("")), F.lit("0")).try_cast("int").alias("scale"), _attribute(t, "sign").alias("sign"), _attribute(t, "format").rlike("(zerodash|zero-dash|fixed-zero)$").alias("dash"),
+        _attribute(t, "nil").isin("true", "1").alias("nil"), ((_attribute(t, "continuedAt") != "") | t.rlike(r"<(?:\w+:)?exclude\b")).alias("cut"),
+    )
+
+
+def _repeated(items: Column) -> Column:
+    ids = F.transform(items, lambda x: x["id"])
+    return (F.size(F.array_distinct(ids)) < F.size(ids)) | F.array_contains(ids, "")
 
 
 def tagged_facts(documents: DataFrame) -> DataFrame:
-    """Monetary tags of inline-tagged XHTML (``document_id, content``) joined to their contexts and units.
+    """Monetary tags of inline-tagged XHTML (``document_id, content`` and, if entities are to be checked, ``number``).
 
-    A document with a reference that does not resolve fails as a whole: its rows have ``failed`` true.
+    A row per fact: its name, context with entity, period and sorted dimensions, currency, exact value or the reason that there is
+    none. Nil facts are NOT_DISCLOSED; tags in other units than currencies are no facts. A document fails as a whole, with one
+    row and its ``failure``: repeated or nameless contexts or units, a reference that does not resolve, a period that is no
+    date, another entity, typed dimensions, continued or excluded text.
+
+    A document is read in one pass, where it lies: nothing is joined or shuffled.
     """
-    every = lambda pattern: F.explode(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)))
-    tags = documents.select("document_id", every(_TAG).alias("t")).select(
-        "document_id", _attribute(F.col("t"), "name").alias("name"), _attribute(F.col("t"), "contextRef").alias("context"), _attribute(F.col("t"), "unitRef").alias("unit"),
-        tagged_amount(F.regexp_extract("t", ">([^<]*)<", 1), F.coalesce(_attribute(F.col("t"), "scale").try_cast("int"), F.lit(0)), _attribute(F.col("t"), "sign"), F.lit(False)).alias("amount"),
-    )
-    contexts = documents.select("document_id", every(_CONTEXT).alias("c")).select("document_id", _attribute(F.col("c"), "id").alias("context"), F.to_date(F.regexp_extract("c", "<xbrli:(?:instant|endDate)>([^<]*)<", 1)).alias("period_end")).distinct()
-    units = documents.select("document_id", every(_UNIT).alias("u")).select("document_id", _attribute(F.col("u"), "id").alias("unit"), F.regexp_extract("u", "<xbrli:measure>(?:[^:<]*:)?([^<]*)<", 1).alias("currency")).distinct()
-    j = tags.join(contexts, ["document_id", "context"], "left").join(units, ["document_id", "unit"], "left")
-    bad = F.bool_or(F.col("period_end").isNull() | F.col("currency").isNull()).over(Window.partitionBy("document_id"))
-    return j.withColumns({"failed": bad, "value": F.col("amount.value"), "reason": F.col("amount.reason")}).drop("amount")
+    elements = lambda pattern, read: F.transform(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)), read)
+    number = F.col("number").cast("string") if "number" in documents.columns else F.lit(None).cast("string")
+    read = F.struct(elements(_CONTEXT, _context).alias("contexts"), elements(_UNIT, _unit).alias("units"), elements(_TAG, _tag).alias("tags"), number.alias("number"))
+
+    def resolved(d: Column) -> Column:
+        named = lambda items, key: F.get(F.filter(items, lambda x: x["id"] == key), F.lit(0))
+        each = F.transform(d["tags"], lambda t: F.struct(t.alias("t"), named(d["contexts"], t["context"]).alias("c"), named(d["units"], t["unit"]).alias("u")))
+        return F.struct(d["number"].alias("number"), (_repeated(d["contexts"])).alias("contexts"), (_repeated(d["units"])).alias("units"), F.exists(d["contexts"], lambda c: c["period_end"].isNull() | ((c["period_type"] == "DURATION") & c["period_start"].isNull())).alias("periods"), each.alias("each"))
+
+    def judged(d: Column) -> Column:
+        money = F.filter(d["each"], lambda x: x["u"]["currency"].isNotNull())
+        failure = (
+            F.when(d["contexts"], "DUPLICATE_CONTEXT").when(d["units"], "DUPLICATE_UNIT").when(d["periods"], "INVALID_PERIOD")
+            .when(F.exists(d["each"], lambda x: x["c"].isNull() | x["u"].isNull()), "UNRESOLVED_REFERENCE")
+            .when(F.exists(money, lambda x: x["c"]["entity"] == ""), "MISSING_ENTITY")
+            .when(F.coalesce(F.exists(money, lambda x: x["c"]["entity"] != d["number"]), F.lit(False)), "OTHER_ENTITY")
+            .when(F.exists(money, lambda x: x["c"]["typed"]), "TYPED_DIMENSION").when(F.exists(money, lambda x: x["t"]["cut"]), "CONTINUED")
+        )
+        facts = F.transform(money, lambda x: F.struct(
+            x["t"]["name"].alias("name"), x["t"]["context"].alias("context"), x["u"]["currency"].alias("currency"), *(x["c"][c].alias(c) for c in ("entity", "dimensions", "period_type", "period_start", "period_end")),
+            x["t"]["raw"].alias("raw"), x["t"]["nil"].alias("nil"), tagged_amount(x["t"]["raw"], x["t"]["scale"], x["t"]["sign"], x["t"]["dash"]).alias("amount")))
+        return F.struct(failure.alias("failure"), F.when(failure.isNull(), facts).alias("facts"))
+
+    rows = documents.select("document_id", _once(_once(read, resolved), judged).alias("d")).select("document_id", F.col("d.failure").alias("failure"), F.explode_outer("d.facts").alias("f"))
+    rows = rows.filter("failure is not null or f is not null").select("document_id", "failure", F.col("failure").isNotNull().alias("failed"), "f.*")
+    nil = F.col("nil")
+    return rows.withColumns({
+        "value": F.when(~nil, F.col("amount.value")), "reason": F.when(nil & (F.col("raw") != ""), "NIL_WITH_VALUE").when(~nil, F.col("amount.reason")),
+        "availability": F.when(nil, "NOT_DISCLOSED").when(~nil, "AVAILABLE"),
+    }).drop("amount", "nil")
 
 
 def visible_text(html: Column) -> Column:

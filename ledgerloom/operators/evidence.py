@@ -102,6 +102,30 @@ def origin_snapshots(snapshots: DataFrame, same: tuple[str, ...] = ()) -> DataFr
     return s.select("snapshot_id", F.when(why.isNull(), F.col("at")).alias("origin"), F.when(why.isNull(), F.col("depth")).alias("depth"), why.alias("issue"))
 
 
+def dimension_key(dimensions: Column) -> Column:
+    """One text for a set of (dimension, member) pairs: their order and repetitions do not matter; null is the empty set."""
+    pairs = F.transform(F.coalesce(dimensions, F.array().cast("array<struct<dimension: string, member: string>>")), lambda x: F.to_json(F.array(x["dimension"], x["member"])))
+    return F.array_join(F.array_sort(F.array_distinct(pairs)), "")
+
+
+def mapped_facts(facts: DataFrame, mapping: DataFrame, most: int = 10_000) -> DataFrame:
+    """Facts with their canonical ``concept`` and ``mapping_status``.
+
+    A mapping (``source_concept, dimensions, concept, sign``) holds for facts of that name with exactly those
+    dimensions: one more or one less is another fact. Facts of periods that are no instant (WRONG_PERIOD), or of another
+    entity than the document's company, if the columns ``entity`` and ``number`` say so (OTHER_ENTITY), are not mapped; nor are those
+    without a mapping (UNMAPPED) or with two (AMBIGUOUS). ``mapped_value`` is the value with the mapping's sign.
+    """
+    rules = mapping.select(F.col("source_concept").alias("name"), dimension_key(F.col("dimensions")).alias("_dimensions"), "concept", "sign")
+    rules = rules.groupBy("name", "_dimensions").agg(F.min("concept").alias("concept"), F.min("sign").alias("sign"), F.count("*").alias("_n"))
+    small = rules.limit(most + 1).count() <= most
+    j = facts.withColumn("_dimensions", dimension_key(F.col("dimensions"))).join(F.broadcast(rules) if small else rules, ["name", "_dimensions"], "left")
+    why = F.when(F.col("_n").isNull(), "UNMAPPED").when(F.col("_n") > 1, "AMBIGUOUS").when(~F.col("period_type").eqNullSafe("INSTANT"), "WRONG_PERIOD")
+    if {"entity", "number"} <= set(facts.columns):
+        why = why.when(~F.col("entity").eqNullSafe(F.col("number").cast("string")), "OTHER_ENTITY")
+    return j.withColumns({"concept": F.when(why.isNull(), F.col("concept")), "mapped_value": F.when(why.isNull(), F.col("value") * F.col("sign")), "mapping_status": F.coalesce(why, F.lit("MAPPED"))}).drop("_dimensions", "_n", "sign")
+
+
 def latest_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")

@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import grounding, validation, variables
+from ledgerloom.operators import documents, evidence, grounding, validation, variables
 
 
 def day(s):
@@ -150,3 +150,49 @@ def test_amounts_are_found_as_printed(spark):
     claims = [(1, 1, "1234", True), (2, 1, "-1234", True), (3, 1, "5678.5", True), (4, 1, "12", False), (5, 1, "234", False), (6, 2, "1", False), (7, 1, "2024", True)]
     c = spark.createDataFrame([(k, d, Decimal(a)) for k, d, a, _ in claims], "claim int, doc_id int, amount decimal(20,4)")
     assert {r["claim"]: r["present"] for r in grounding.amounts_present(c, docs).collect()} == {k: x for k, _, _, x in claims}
+
+
+CONTEXTS = """<x:context id="now"><x:entity><x:identifier scheme="s">7</x:identifier></x:entity><x:period><x:instant>2025-12-31</x:instant></x:period></x:context>
+<x:context id='then'><x:entity><x:identifier scheme="s"> 7 </x:identifier><x:segment><d:explicitMember dimension="uk:B">uk:y</d:explicitMember><d:explicitMember dimension="uk:A">uk:x</d:explicitMember></x:segment></x:entity>
+<x:period><x:startDate>2024-01-01</x:startDate><x:endDate>2024-12-31</x:endDate></x:period></x:context>"""
+UNITS = '<x:unit id="GBP"><x:measure> iso4217:GBP </x:measure></x:unit><x:unit id="n"><x:measure>x:shares</x:measure></x:unit><x:unit id="r"><x:divide><x:measure>iso4217:GBP</x:measure><x:measure>x:shares</x:measure></x:divide></x:unit>'
+
+
+def tag(body, context="now", unit="GBP", more="", end="</ix:nonFraction>"):
+    return f'<ix:nonFraction name="uk:Cash" contextRef="{context}" unitRef="{unit}" {more}>{body}{end}'
+
+
+def test_tagged_facts(spark):
+    sound = CONTEXTS + UNITS
+    docs = {
+        1: sound + tag("<b>123</b>.<i>40</i>", more='scale="3" sign="-"') + tag("200,000", "then") + tag("5", unit="n") + tag("6", unit="r") + tag("", more='xsi:nil="true"') + tag("x") + tag("-", more="format='ixt:zerodash'"),
+        2: sound + CONTEXTS.split("\n")[0].replace("2025", "2023") + tag("1"), 3: sound + UNITS + tag("1"), 4: sound + tag("1", "never"), 5: sound + tag("1", unit="EUR"), 6: sound.replace("2024-12-31", "end of 2024") + tag("1"),
+        7: sound.replace(">7<", ">8<") + tag("1"), 8: sound.replace("</x:segment>", "<d:typedMember/></x:segment>") + tag("1", "then"), 9: sound + tag("1<ix:exclude>2</ix:exclude>"), 10: sound + tag("1", more='continuedAt="c"'),
+        11: sound.replace("2025-12-31", "2025-13-01") + tag("1"), 12: "<p>nothing</p>", 13: None, 14: sound.replace('<x:identifier scheme="s">7</x:identifier>', "") + tag("1"), 15: sound + tag("1", unit="n", context="never"),
+    }
+    rows = documents.tagged_facts(spark.createDataFrame([(k, 7, v) for k, v in docs.items()], "document_id int, number long, content string")).collect()
+    failures = {r["document_id"]: r["failure"] for r in rows if r["failed"]}
+    assert failures == {
+        2: "DUPLICATE_CONTEXT", 3: "DUPLICATE_UNIT", 4: "UNRESOLVED_REFERENCE", 5: "UNRESOLVED_REFERENCE", 6: "INVALID_PERIOD", 7: "OTHER_ENTITY", 8: "TYPED_DIMENSION", 9: "CONTINUED", 10: "CONTINUED", 11: "INVALID_PERIOD", 14: "MISSING_ENTITY",
+        15: "UNRESOLVED_REFERENCE",
+    }
+    facts = [r for r in rows if not r["failed"]]
+    assert {r["document_id"] for r in facts} == {1}
+    got = [(r["context"], r["value"], r["reason"], r["availability"], r["period_type"], [tuple(x) for x in r["dimensions"]]) for r in facts]
+    assert got == [
+        ("now", Decimal(-123400), None, "AVAILABLE", "INSTANT", []), ("then", Decimal(200000), None, "AVAILABLE", "DURATION", [("uk:A", "uk:x"), ("uk:B", "uk:y")]), ("now", None, None, "NOT_DISCLOSED", "INSTANT", []),
+        ("now", None, "NOT_A_NUMBER", "AVAILABLE", "INSTANT", []), ("now", Decimal(0), None, "AVAILABLE", "INSTANT", []),
+    ]
+
+
+def test_mapping_by_sets_of_dimensions(spark):
+    ab, ba, abc = [("d", "1"), ("e", "2")], [("e", "2"), ("d", "1")], [("d", "1"), ("e", "2"), ("f", "3")]
+    pairs = "array<struct<dimension: string, member: string>>"
+    rules = spark.createDataFrame([("n", ab, "X", -1), ("n", None, "Y", 1), ("m", [], "Z", 1), ("m", [], "W", 1)], f"source_concept string, dimensions {pairs}, concept string, sign int")
+    facts = [(1, "n", ba, "INSTANT", "7"), (2, "n", abc, "INSTANT", "7"), (3, "n", [], "INSTANT", "7"), (4, "n", ab, "DURATION", "7"), (5, "n", ab, "INSTANT", "8"), (6, "m", None, "INSTANT", "7"), (7, "n", ab[:1], "INSTANT", "7"), (8, None, None, "INSTANT", "7")]
+    df = spark.createDataFrame([(*f, 7, Decimal(5)) for f in facts], f"k int, name string, dimensions {pairs}, period_type string, entity string, number long, value decimal(20,4)")
+    for most in (10_000, 0):
+        got = {r["k"]: (r["concept"], r["mapping_status"], r["mapped_value"]) for r in evidence.mapped_facts(df, rules, most).collect()}
+        assert got == {
+            1: ("X", "MAPPED", Decimal(-5)), 2: (None, "UNMAPPED", None), 3: ("Y", "MAPPED", Decimal(5)), 4: (None, "WRONG_PERIOD", None), 5: (None, "OTHER_ENTITY", None), 6: (None, "AMBIGUOUS", None), 7: (None, "UNMAPPED", None), 8: (None, "UNMAPPED", None),
+        }
