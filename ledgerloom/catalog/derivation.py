@@ -105,16 +105,21 @@ def _a11(s: SparkSession, d: str) -> DataFrame:
 _A11 = """SELECT l_orderkey AS input_id, CASE coalesce(max(s), 0) WHEN 2 THEN 'STRONG' WHEN 1 THEN 'MEANINGFUL' ELSE 'NONE' END AS strength, count(DISTINCT CASE WHEN s IS NOT NULL THEN l_suppkey % 4 END) AS groups FROM (
   SELECT *, CASE WHEN l_linestatus = 'O' AND l_quantity > 10 AND l_returnflag <> 'R' THEN CASE WHEN l_tax > 0.06 THEN 2 WHEN l_tax > 0.02 THEN 1 ELSE 0 END END AS s FROM lineitem) GROUP BY 1"""
 
-NEEDS = (("F1.1", "NET_ASSETS"), ("F1.1", "TOTAL_ASSETS"), ("F2.2", "CURRENT_ASSETS"), ("F2.2", "CURRENT_LIABILITIES"), ("F2.3", "CURRENT_ASSETS"), ("F2.3", "INVENTORY"), ("F2.3", "CURRENT_LIABILITIES"), ("F3.1", "INTEREST_BEARING_DEBT"), ("F3.1", "TOTAL_ASSETS"))
+NEEDS = {"F1.1": ("NET_ASSETS", "TOTAL_ASSETS"), "F1.2": ("NET_ASSETS",), "F2.2": ("CURRENT_ASSETS", "CURRENT_LIABILITIES"), "F2.3": ("CURRENT_ASSETS", "INVENTORY", "CURRENT_LIABILITIES"), "F3.1": ("INTEREST_BEARING_DEBT", "TOTAL_ASSETS")}
+TREND = ("F1.2", "NET_ASSETS")
 
 
 def _a13(s: SparkSession, d: str) -> DataFrame:
     who = table(s, d, "customer").select(F.col("c_custkey").alias("company"))
-    return D.readiness(who, adapters.facts(s, d), s.createDataFrame(list(NEEDS), "code string, concept string"))
+    return D.readiness(who, adapters.facts(s, d), NEEDS, TREND)
 
 
-_A13 = f"""SELECT company, code, present, missing, missing = '' AS ready FROM (SELECT c_custkey AS company, code, count(f.concept) AS present, coalesce(string_agg(n.concept, ',' ORDER BY n.concept) FILTER (f.concept IS NULL), '') AS missing
-FROM customer CROSS JOIN (VALUES {', '.join(map(str, NEEDS))}) n(code, concept) LEFT JOIN (SELECT DISTINCT company, concept FROM facts) f ON f.company = c_custkey AND f.concept = n.concept GROUP BY 1, 2)"""
+_NEED_ROWS = ", ".join(f"('{code}', '{c}')" for code, n in NEEDS.items() for c in n)
+_A13 = f"""SELECT company, period_end, code, count(f) AS present, coalesce(string_agg(concept, ',' ORDER BY concept) FILTER (f IS NULL), '') AS missing, count(f) = count(*) AS ready, max(candidates) AS candidates FROM (
+  SELECT c_custkey AS company, NULL::DATE AS period_end, code, n.concept, h.concept AS f, CASE WHEN code = 'F1.2' THEN coalesce(k, 0) END AS candidates FROM customer CROSS JOIN (VALUES {_NEED_ROWS}) n(code, concept)
+    LEFT JOIN (SELECT DISTINCT company, concept FROM facts) h ON h.company = c_custkey AND h.concept = n.concept LEFT JOIN (SELECT company, count(DISTINCT period_end) AS k FROM facts WHERE concept = 'NET_ASSETS' GROUP BY 1) t ON t.company = c_custkey
+  UNION ALL SELECT p.company, p.period_end, code, n.concept, h.concept, NULL FROM (SELECT DISTINCT company, period_end FROM facts) p CROSS JOIN (VALUES {_NEED_ROWS}) n(code, concept) LEFT JOIN (SELECT DISTINCT company, period_end, concept FROM facts) h
+    ON h.company = p.company AND h.period_end = p.period_end AND h.concept = n.concept WHERE code <> 'F1.2') GROUP BY 1, 2, 3"""
 
 
 def _a14(s: SparkSession, d: str) -> DataFrame:

@@ -240,15 +240,16 @@ JOIN (SELECT event_type, arg_max(floor(value), event_id) AS now FROM events GROU
 
 
 def _u04(s: SparkSession, d: str) -> DataFrame:
-    """A conversation's user turns as the plan, its assistant turns as the narrative: the same words, each as often."""
-    told = table(s, d, "conversations").filter("role IN ('user', 'assistant')").select("conv_id", "role", F.explode(F.split("text", " ")).alias("part"))
-    n = lambda r: F.count_if(F.col("role") == r).alias(r)
-    each = told.groupBy("conv_id", "part").agg(n("user"), n("assistant"))
-    return each.groupBy("conv_id").agg(F.bool_and(F.col("user") == F.col("assistant")).alias("keeps_every_part_once"), F.count_if(F.col("user") > F.col("assistant")).alias("lost"), F.count_if(F.col("user") < F.col("assistant")).alias("added"))
+    """Documents of one source, language and length: each tells the lines of the first of them, in whatever order."""
+    doc = table(s, d, "documents").select("doc_id", "text", F.concat_ws("/", F.coalesce("source", F.lit("")), "lang", F.length("text")).alias("name"))
+    first = doc.groupBy("name").agg(F.min_by("text", "doc_id").alias("plan"))
+    lines = lambda c: F.explode(F.split(c, "\n")).alias("line")
+    return D.permuted(doc.join(first, "name").select("doc_id", lines("plan")), doc.select("doc_id", lines("text")), "doc_id", "line")
 
 
-_U04 = """SELECT conv_id, bool_and(u = a) AS keeps_every_part_once, count(*) FILTER (u > a) AS lost, count(*) FILTER (u < a) AS added FROM (SELECT conv_id, part, count(*) FILTER (role = 'user') AS u, count(*) FILTER (role = 'assistant') AS a
-FROM (SELECT conv_id, role, unnest(string_split(text, ' ')) AS part FROM conversations WHERE role IN ('user', 'assistant')) GROUP BY 1, 2) GROUP BY 1"""
+_U04 = """WITH doc AS (SELECT doc_id, text, coalesce(source, '') || '/' || lang || '/' || length(text) AS name FROM documents), first AS (SELECT name, arg_min(text, doc_id) AS plan FROM doc GROUP BY 1),
+each AS (SELECT doc_id, line, sum(x) AS x FROM (SELECT doc_id, unnest(string_split(plan, chr(10))) AS line, 1 AS x FROM doc JOIN first USING (name) UNION ALL SELECT doc_id, unnest(string_split(text, chr(10))), -1 FROM doc) GROUP BY 1, 2)
+SELECT doc_id, bool_and(x = 0) AS keeps_every_part_once, CAST(sum(greatest(x, 0)) AS BIGINT) AS lost, CAST(sum(greatest(-x, 0)) AS BIGINT) AS added FROM each GROUP BY 1"""
 
 
 def queries() -> dict[str, Query]:

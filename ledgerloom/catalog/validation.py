@@ -141,16 +141,16 @@ _R16 = """SELECT o_orderkey, CASE WHEN (o_orderpriority = '1-URGENT' AND o_order
 
 
 def _r17(s: SparkSession, d: str) -> DataFrame:
-    """The total that an order states against the exact recomputation from its lines, as whole pence; intact if they agree to the pound."""
-    pence = lambda c: (F.col(c).cast("decimal(20,2)") * 100).cast("decimal(20,0)")
-    again = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.sum(pence("l_extendedprice")).alias("again"), F.count("*").alias("components"))
-    j = table(s, d, "orders").join(again, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    gap = F.abs(pence("o_totalprice") - F.col("again"))
-    return j.select("o_orderkey", F.coalesce("components", F.lit(0)).cast("long").alias("components"), F.when(F.col("again").isNull(), "NO_COMPONENTS").when(gap == 0, "INTACT").when(gap < 5_000_000, "NEAR").otherwise("BROKEN").alias("verdict"))
+    """The discount of an order, rounded once, against that of its lines, rounded each, where all of them have one status."""
+    off = F.col("l_extendedprice").cast("decimal(12,2)") * F.col("l_discount").cast("decimal(4,2)")
+    li = table(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), off.alias("off"), F.col("l_linestatus").alias("context"))
+    whole = li.groupBy("o_orderkey").agg(F.round(F.sum("off"), 2).cast("decimal(20,2)").alias("value"), F.min("context").alias("context"))
+    derived = table(s, d, "orders").select("o_orderkey").join(whole, "o_orderkey", "left")
+    return V.recomputed(derived, li.select("o_orderkey", F.round("off", 2).cast("decimal(20,2)").alias("value"), "context"), "o_orderkey")
 
 
-_R17 = """SELECT o_orderkey, coalesce(n, 0) AS components, CASE WHEN a IS NULL THEN 'NO_COMPONENTS' WHEN abs(p - a) = 0 THEN 'INTACT' WHEN abs(p - a) < 5000000 THEN 'NEAR' ELSE 'BROKEN' END AS verdict
-FROM (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(20,2)) * 100 AS BIGINT) AS p FROM orders) LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(CAST(CAST(l_extendedprice AS DECIMAL(20,2)) * 100 AS BIGINT)) AS a FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"""
+_R17 = """SELECT o_orderkey, coalesce(n, 0) AS components, CASE WHEN n IS NULL THEN 'NO_COMPONENTS' WHEN contexts > 1 THEN 'OTHER_CONTEXT' WHEN whole = parts THEN 'INTACT' ELSE 'BROKEN' END AS verdict FROM orders LEFT JOIN (
+  SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linestatus) AS contexts, round(sum(x), 2) AS whole, sum(round(x, 2)) AS parts FROM (SELECT l_orderkey, l_linestatus, CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2)) AS x FROM lineitem) GROUP BY 1) ON l_orderkey = o_orderkey"""
 
 
 def _r18(s: SparkSession, d: str) -> DataFrame:

@@ -109,12 +109,37 @@ def run_status(parts: DataFrame, key: str) -> DataFrame:
     return parts.groupBy(key).agg(F.when(F.bool_and("complete"), "COMPLETE").when(F.bool_or("complete"), "PARTIAL").otherwise("FAILED").alias("status"))
 
 
-def readiness(companies: DataFrame, facts: DataFrame, needs: DataFrame) -> DataFrame:
-    """Per company and variable the concepts that are there and missing (``needs``: code, concept)."""
-    have = facts.select("company", "concept").distinct().withColumn("have", F.lit(True))
-    grid = companies.crossJoin(F.broadcast(needs))  # some concepts per company
-    j = grid.join(have, ["company", "concept"], "left")
-    return j.groupBy("company", "code").agg(F.count("have").alias("present"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("have").isNull(), F.col("concept")))), ",").alias("missing")).withColumn("ready", F.col("missing") == "")
+def readiness(companies: DataFrame, facts: DataFrame, needs: dict[str, tuple[str, ...]], trend: tuple[str, str] | None = None) -> DataFrame:
+    """``company, period_end, code, present, missing, ready, candidates``: the concepts that each variable has and lacks.
+
+    Rows without a period say what a company has in any period, rows with one what that period has. ``trend`` (code,
+    concept) is a variable over periods: it has no rows of single periods, and ``candidates`` counts those with its concept.
+    Facts count if they have a value and, where facts say so, are available. Both kinds of rows come from one aggregate
+    over grouping sets; a group holds names of concepts, of which there are few.
+    """
+    known = F.col("value").isNotNull()
+    if "availability" in facts.columns:
+        known = known & (F.col("availability") == "AVAILABLE")
+    grid = [F.col("company"), F.col("period_end")]
+    names = sorted({c for n in needs.values() for c in n})
+    have = facts.groupingSets([[grid[0]], grid], *grid).agg(
+        F.grouping("period_end").alias("_any"), F.array_sort(F.collect_set(F.when(known & F.col("concept").isin(*names), F.col("concept")))).alias("_have"),
+        F.count_distinct(F.when(known & (F.col("concept") == (trend[1] if trend else "")), F.col("period_end"))).alias("_periods"),
+    )
+    whole = companies.select("company").join(have.filter("_any = 1").drop("_any"), "company", "left")
+    single = companies.select("company").join(have.filter("_any = 0").drop("_any"), "company")
+    none = F.array().cast("array<string>")
+
+    def rows(df: DataFrame, codes: list[str], any_period: bool) -> DataFrame:
+        got = F.coalesce("_have", none)
+        parts = []
+        for code in codes:
+            lacks = F.array_except(F.array(*map(F.lit, sorted(needs[code]))), got)
+            candidates = F.coalesce("_periods", F.lit(0)).cast("long") if any_period and trend and code == trend[0] else F.lit(None).cast("long")
+            parts.append(F.struct(F.lit(code).alias("code"), (F.lit(len(needs[code])) - F.size(lacks)).cast("long").alias("present"), F.array_join(lacks, ",").alias("missing"), (F.size(lacks) == 0).alias("ready"), candidates.alias("candidates")))
+        return df.select("company", "period_end", F.inline(F.array(*parts)))
+
+    return rows(whole, list(needs), True).unionByName(rows(single, [c for c in needs if not trend or c != trend[0]], False))
 
 
 def completed(facts: DataFrame, targets: tuple[str, ...]) -> DataFrame:

@@ -108,6 +108,17 @@ def visible_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"<[^>]*>", " "), r"[ \t\r\n]+", " "))
 
 
+def permuted(plan: DataFrame, told: DataFrame, key: str, part: str) -> DataFrame:
+    """Per key whether ``told`` has exactly the parts of ``plan``, each as often, in whatever order; how many it lost and added.
+
+    Parts of both are counted by (key, part) before they meet.
+    """
+    both = plan.select(key, part, F.lit(1).alias("_d")).unionByName(told.select(key, part, F.lit(-1).alias("_d")))
+    each = both.groupBy(key, part).agg(F.sum("_d").alias("_d"))
+    n = each.groupBy(key).agg(F.sum(F.greatest("_d", F.lit(0))).alias("lost"), F.sum(F.greatest(-F.col("_d"), F.lit(0))).alias("added"))
+    return n.select(key, ((F.col("lost") == 0) & (F.col("added") == 0)).alias("keeps_every_part_once"), "lost", "added")
+
+
 def period_roles(facts: DataFrame) -> DataFrame:
     """CURRENT for the latest period of a document, COMPARATIVE for all before."""
     latest = F.max("period_end").over(Window.partitionBy("document_id"))

@@ -45,6 +45,17 @@ def preferred_representation(documents: DataFrame, filing: str = "filing") -> Da
     return documents.filter(rank > 0).withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
 
 
+def verified(documents: DataFrame, recorded: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """``key, checksum, verdict``: the content's SHA-256 against the one recorded for its key: VERIFIED, CHANGED or UNRECORDED.
+
+    Content that is null has no checksum, and is MISSING where one was recorded.
+    """
+    have = documents.select(key, F.sha2(F.col(content).cast("binary"), 256).alias("checksum"))
+    j = have.join(recorded.select(key, F.col("checksum").alias("_recorded")), key, "left")
+    verdict = F.when(F.col("_recorded").isNull(), "UNRECORDED").when(F.col("checksum").isNull(), "MISSING").when(F.col("checksum") == F.col("_recorded"), "VERIFIED").otherwise("CHANGED")
+    return j.select(key, "checksum", verdict.alias("verdict"))
+
+
 def object_key(number: Column, kind: Column, at: Column, source_id: Column, digest: Column, extension: Column) -> Column:
     return F.concat(F.concat_ws("/", number, F.lower(kind), F.date_format(at, "yyyyMMdd'T'HHmmss'Z'"), source_id.cast("string"), digest), F.lit("."), extension)
 

@@ -84,6 +84,21 @@ def conflict_class(selected: DataFrame, competing: DataFrame, keys: list[str], s
     return selected.select(*keys).distinct().join(n, keys, "left").select(*keys, kind.otherwise("NONE").alias("conflict"))
 
 
+def recomputed(derived: DataFrame, components: DataFrame, key: str) -> DataFrame:
+    """Each derived amount (``key, value, context``) against the sum of its components (``key, value, context``), exactly.
+
+    INTACT if they are equal; else BROKEN. NO_COMPONENTS, COMPONENT_MISSING (one without value) and OTHER_CONTEXT (components, or
+    the amount itself, of more than one context) leave nothing to compare.
+    """
+    n = components.groupBy(key).agg(
+        F.sum("value").alias("_sum"), F.count("*").alias("components"), F.count("value").alias("_values"), F.min("context").alias("_low"), F.max("context").alias("_high")
+    )
+    j = derived.select(key, "value", "context").join(n, key, "left")
+    one = F.col("_low").eqNullSafe(F.col("_high")) & F.col("_low").eqNullSafe(F.col("context"))
+    verdict = F.when(F.col("components").isNull(), "NO_COMPONENTS").when(F.col("_values") < F.col("components"), "COMPONENT_MISSING").when(~one, "OTHER_CONTEXT").when(F.col("value").eqNullSafe(F.col("_sum")), "INTACT").otherwise("BROKEN")
+    return j.select(key, F.coalesce("components", F.lit(0)).cast("long").alias("components"), verdict.alias("verdict"))
+
+
 def lookup(table: dict[str, float], key: Column) -> Column:
     """A fixed table's value as an exact decimal; null for a key that it does not have."""
     return F.element_at(F.create_map(*(x for k, v in table.items() for x in (F.lit(k), F.lit(str(v)).cast("decimal(4,2)")))), key)
