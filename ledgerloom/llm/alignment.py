@@ -41,8 +41,8 @@ from .common import free_name, materialize, table
 PIECE_MODEL = "piece_bpe_32k.model"
 #: Pairs whose counts are broadcast; the counts of others are joined.
 HOT_PAIRS = 1_000_000
-#: Stretches that a task keeps twice at most (new and old ones), and those that are read together.
-MEMO, TOGETHER = 300_000, 2_000
+#: Stretches that a worker keeps, twice at most (new and old ones), and those that are read together.
+MEMO, TOGETHER = 250_000, 2_000
 #: Links of a group above which they are counted by distinct ids.
 LARGE = 4_096
 #: Bytes of texts that are worked on together.
@@ -259,13 +259,15 @@ def aligned(docs: DataFrame, text: str = "text", a_path: str = VOCABULARY, b_pat
     Rows whose texts cannot be aligned have zeros, no groups and no links.
     """
     spark = docs.sparkSession
-    a_data, b_data = (spark.sparkContext.broadcast(read_small(installed(p))) for p in (a_path, b_path))
+    # a worker process keeps the broadcast, and with it the aligner and its words, from task to task
+    sent = spark.sparkContext.broadcast({"models": [read_small(installed(p)) for p in (a_path, b_path)]})
     last = free_name(docs, "_text")
     kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in RESULTS), F.col(f"`{text}`").cast("binary").alias(last))
     schema = StructType(kept.schema.fields[:-1] + StructType.fromDDL(", ".join(f"{n} {t}" for n, t in RESULTS.items())).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align = aligner(a_data.value, b_data.value)
+        kept = sent.value
+        align = kept.get("align") or kept.setdefault("align", aligner(*kept["models"]))
         for whole in batches:
             for b in _bounded(whole):
                 texts = [t.as_py().decode("utf-8", "replace") if t.is_valid else None for t in b.column(b.num_columns - 1)]
