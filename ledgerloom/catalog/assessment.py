@@ -11,6 +11,7 @@ from ..operators import beliefs, variables
 from ..plans import flagship, model
 from ..sources import adapters
 from ..sources.adapters import AS_OF, with_ctes
+from ..sources.shared import materialize
 from .base import Query, r6
 
 DAY = f"DATE '{AS_OF}'"
@@ -56,6 +57,18 @@ FROM customer LEFT JOIN (SELECT company, count(*) AS n, max(ambiguous) AS amb, m
   FROM ({periods_sql(("NET_ASSETS",), 2)}) GROUP BY 1) ON c_custkey = company"""
 
 
+def _dated_currency(s: SparkSession, d: str) -> DataFrame:
+    """Facts in the currency of their time, and comparable from 1996 on."""
+    f = adapters.facts(s, d)
+    return f.withColumns({"currency": F.when(F.col("yr") < 2000, "ECU").otherwise("GBP"), "unit": F.lit("GBP"), "period_type": F.lit("INSTANT"), "comparability": F.when(F.col("yr") >= 1996, "COMPARABLE").otherwise("REVIEW_REQUIRED")})
+
+
+_TREND_CURRENCY_SQL = f"""SELECT c_custkey AS company, 'F1.2' AS code, CASE WHEN reason IS NULL THEN (CAST(a AS DOUBLE) - CAST(b AS DOUBLE)) / abs(CAST(b AS DOUBLE)) END AS value, coalesce(reason, CASE WHEN n IS NULL THEN 'NON_COMPARABLE_PERIODS' END) AS reason, period_end
+FROM customer LEFT JOIN (SELECT *, CASE WHEN n < 2 THEN 'NON_COMPARABLE_PERIODS' WHEN (newest < 2000) <> (oldest < 2000) THEN 'INCOMPATIBLE_INPUTS' WHEN b = 0 THEN 'ZERO_PREVIOUS_NET_ASSETS' END AS reason FROM (
+  SELECT company, count(*) AS n, max(period_end) AS period_end, max(yr) AS newest, min(yr) AS oldest, arg_max(value, yr) AS a, arg_min(value, yr) AS b FROM (
+    SELECT *, row_number() OVER (PARTITION BY company ORDER BY yr DESC) AS k FROM facts WHERE concept = 'NET_ASSETS' AND yr >= 1996 AND period_end <= {DAY}) WHERE k <= 2 GROUP BY 1)) ON c_custkey = company"""
+
+
 def _late_sql(kind: str, code: str, mode: str = "strict") -> str:
     core = "CASE WHEN state IS NULL THEN 'NO_OBLIGATION' WHEN n > 1 THEN 'AMBIGUOUS' WHEN state = 'UNRESOLVED' OR due IS NULL OR (state = 'FILED' AND (filed IS NULL OR filed > DAY)) THEN 'WHY' END".replace("DAY", DAY).replace("WHY", "UNRESOLVED_OBLIGATION" if mode == "strict" else "INCOMPLETE_FILING_HISTORY")
     late = f"CAST(greatest(date_diff('day', due, CASE WHEN state = 'FILED' THEN filed ELSE {DAY} END), 0) AS DOUBLE)"
@@ -211,7 +224,7 @@ def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     for name, code in (("V01_equity_ratio", "F1.1"), ("V03_current_ratio", "F2.2"), ("V04_quick_ratio", "F2.3"), ("V05_debt_ratio", "F3.1")):
         q[name] = Query(_ratio(code), sql(["facts"], f"{_R}, period_end FROM ({ratio_sql(code)})"))
-    q["V02_net_asset_trend"] = Query(_value_query(lambda s, d: variables.net_asset_trend(flagship.companies(s, d), adapters.facts(s, d)), ("period_end",)), sql(["facts"], f"{_R}, period_end FROM ({_TREND_SQL})"))
+    q["V02_net_asset_trend"] = Query(_value_query(lambda s, d: variables.net_asset_trend(flagship.companies(s, d), _dated_currency(s, d), adapters.as_of()), ("period_end",)), sql(["facts"], f"{_R}, period_end FROM ({_TREND_CURRENCY_SQL})"))
     for name, kind, code in (("V06_accounts_lateness", "ACCOUNTS", "G1.1"), ("V07_confirmation_lateness", "CONFIRMATION", "G1.2")):
         q[name] = Query(_value_query(lambda s, d, kind=kind, code=code: variables.lateness(flagship.companies(s, d), adapters.obligations(s, d), kind, code, adapters.as_of())), sql(["obligations"], f"{_R} FROM ({_late_sql(kind, code)})"))
     q["V08_director_turnover"] = Query(_value_query(lambda s, d: variables.turnover(suppliers(s, d), adapters.directors(s, d), adapters.as_of())), sql(["directors"], f"{_R} FROM ({_TURNOVER_SQL})"))
@@ -245,7 +258,11 @@ def queries() -> dict[str, Query]:
         lambda s, d: discounted_leaves(s, d).filter("value is not null").select("company", "code", r6("high"), r6("value_high", beliefs.anchored_high(F.col("value"), F.col("low_ref"), F.col("high_ref")))),
         sql(["leaf", "vars"], "SELECT company, code, round(high, 6) AS high, round(least(1.0, greatest(0.0, (value - low_ref) / (high_ref - low_ref))), 6) AS value_high FROM leaf JOIN vars USING (code) WHERE value IS NOT NULL"),
     )
-    q["B07_leaf_audit"] = Query(_leaf_audit, sql(["leaf", "member"], "SELECT code, count(*) AS leaves, count(*) FILTER (abs(l.high - m.high) > 1e-9 OR abs(l.low - m.low) > 1e-9 OR abs(l.unknown - m.unknown) > 1e-9) AS differs FROM leaf l JOIN member m USING (company, code) GROUP BY 1"))
+    q["B07_leaf_audit"] = Query(
+        _leaf_audit,
+        sql(["leaf", "vars", "reliability"], f"""SELECT code, count(*) AS leaves, count(*) FILTER (same) AS reproduced, count(*) FILTER (NOT same) AS differs FROM (
+          SELECT code, value IS NULL OR abs(r - CASE WHEN c_mktsegment = 'MACHINERY' THEN 0.95 ELSE r END) <= {beliefs.TOLERANCE} AS same FROM leaf JOIN reliability USING (company) JOIN customer ON c_custkey = company) GROUP BY 1"""),
+    )
     q["A01_er_combine"] = Query(
         lambda s, d: _beliefs(beliefs.combine(flagship.reference_beliefs(s, d).join(F.broadcast(model.hierarchy(s)), F.col("code") == F.col("child")).withColumnRenamed("parent", "node"), ["company", "node"]), "company", "node"),
         sql(["domains"], f"SELECT company, node, {_B} FROM domains"),
@@ -325,16 +342,12 @@ def _by_version(s: SparkSession, d: str) -> DataFrame:
     return discounted_leaves(s, d).join(F.broadcast(members.select("model_version", "code")), "code").groupBy("model_version", "code").agg(F.count("value").alias("known"), F.count("*").alias("companies"))
 
 
-def leaf_audit(stored: DataFrame, again: DataFrame) -> DataFrame:
-    """Stored leaves against the same leaves worked out again: per variable how many differ."""
-    both = stored.select("company", "code", F.struct("low", "high", "unknown").alias("was")).join(again.select("company", "code", F.struct("low", "high", "unknown").alias("now")), ["company", "code"])
-    far = lambda c: F.abs(F.col(f"was.{c}") - F.col(f"now.{c}")) > 1e-9
-    return both.groupBy("code").agg(F.count("*").alias("leaves"), F.count_if(far("low") | far("high") | far("unknown")).alias("differs"))
-
-
 def _leaf_audit(s: SparkSession, d: str) -> DataFrame:
-    """Discounted leaves of the whole model against the undiscounted memberships of foundation facts: equal only where reliability and rules agree."""
-    return leaf_audit(discounted_leaves(s, d), flagship.reference_beliefs(s, d))
+    """The leaves of the whole model, stored with their inputs; the reliability of one segment's companies was revised since."""
+    segment = adapters.table(s, d, "customer").select(F.col("c_custkey").alias("company"), "c_mktsegment")
+    stored = materialize(discounted_leaves(s, d).join(segment, "company"), "leaves").withColumn("r", F.when(F.col("c_mktsegment") == "MACHINERY", 0.95).otherwise(F.col("r")))
+    told = beliefs.reproduced(stored.select("company", "code", "value", "r", "low", "high", "unknown"), model.variables(s, "1"))
+    return told.groupBy("code").agg(F.count("*").alias("leaves"), F.count_if("same").alias("reproduced"), F.count_if(~F.col("same")).alias("differs"))
 
 
 def _previous(s: SparkSession, d: str) -> DataFrame:

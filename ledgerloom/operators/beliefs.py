@@ -34,6 +34,23 @@ def leaves(companies: DataFrame, values: DataFrame, variables: DataFrame) -> Dat
     return v.withColumns({"high": F.when(known, r * high).otherwise(0.0), "low": F.when(known, r * (1 - high)).otherwise(0.0), "unknown": 1 - r})
 
 
+#: Stored beliefs may differ so much from their reproduction.
+TOLERANCE = 1e-8
+
+
+def reproduced(stored: DataFrame, variables: DataFrame) -> DataFrame:
+    """Each stored leaf with ``same``: whether its stored inputs (``value``, ``r``) and the model's levels give its beliefs again.
+
+    A leaf without value or reliability has to be unknown as a whole; one of a variable that the model does not have is not reproduced.
+    """
+    v = stored.join(F.broadcast(variables.select("code", "low_ref", "high_ref")), "code", "left")
+    known = F.col("value").isNotNull() & F.col("r").isNotNull()
+    high = anchored_high(F.col("value"), F.col("low_ref"), F.col("high_ref"))
+    want = {"high": F.when(known, F.col("r") * high).otherwise(0.0), "low": F.when(known, F.col("r") * (1 - high)).otherwise(0.0), "unknown": F.when(known, 1 - F.col("r")).otherwise(1.0)}
+    near = reduce(Column.__and__, (F.abs(F.col(c) - x) <= TOLERANCE for c, x in want.items()))
+    return v.withColumn("same", F.coalesce(near & F.col("low_ref").isNotNull(), F.lit(False))).drop("low_ref", "high_ref")
+
+
 def combine(children: DataFrame, keys: list[str]) -> DataFrame:
     """Analytical Evidential Reasoning: ``keys`` with ``low, high, unknown`` from children (``weight, low, high``).
 

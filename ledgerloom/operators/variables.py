@@ -44,7 +44,7 @@ def usable(facts: DataFrame, as_of: Column) -> DataFrame:
 def selected_periods(facts: DataFrame, needs: dict[str, tuple[str, ...]], periods: dict[str, int] | None = None) -> DataFrame:
     """Per company and each name of ``needs``, a struct ``(periods, ambiguous)``: the newest periods that have every concept once, in one signature.
 
-    ``periods`` (one unless said otherwise) are structs ``(period_end, amounts)``, the newest first; ambiguous if a period as new has all
+    ``periods`` (one unless said otherwise) are structs ``(period_end, amounts, signature)``, the newest first; ambiguous if a period as new has all
     concepts, one of them twice. All names are served by two aggregates: by company and period, then by company.
     """
     concepts = sorted({c for n in needs.values() for c in n})
@@ -55,14 +55,14 @@ def selected_periods(facts: DataFrame, needs: dict[str, tuple[str, ...]], period
     aggregates = [x for c in concepts for x in (F.count(of(c, 1)).alias(count[c]), F.max(of(c, F.col("value"))).alias(value[c]))]
     for k, n in enumerate(needs.values()):
         mine = F.when(F.col("concept").isin(*n), sign)
-        aggregates.append(F.min(mine).eqNullSafe(F.max(mine)).alias(f"_s{k}"))
+        aggregates += [F.min(mine).eqNullSafe(F.max(mine)).alias(f"_s{k}"), F.min(mine).alias(f"_g{k}")]
     each = facts.filter(F.col("concept").isin(*concepts)).groupBy("company", "period_end").agg(*aggregates)
     out = []
     for k, (name, n) in enumerate(needs.items()):
         counts = [F.col(count[c]) for c in n]
         once = reduce(Column.__and__, [x == 1 for x in counts]) & F.col(f"_s{k}")
         twice = reduce(Column.__and__, [x >= 1 for x in counts]) & reduce(Column.__or__, [x > 1 for x in counts])
-        period = F.when(once, F.struct("period_end", F.array(*(F.col(value[c]) for c in n)).alias("amounts")))
+        period = F.when(once, F.struct("period_end", F.array(*(F.col(value[c]) for c in n)).alias("amounts"), F.col(f"_g{k}").alias("signature")))
         wanted = (periods or {}).get(name, 1)
         # a company has few periods; where one is enough, only that one is kept
         chosen = F.array_compact(F.array(F.max(period))) if wanted == 1 else F.slice(F.sort_array(F.collect_list(period), asc=False), 1, wanted)
@@ -105,11 +105,13 @@ RATIOS = {
 }
 
 
-def financial(companies: DataFrame, facts: DataFrame, codes: tuple[str, ...], mode: str = "strict") -> DataFrame:
+def financial(companies: DataFrame, facts: DataFrame, codes: tuple[str, ...], mode: str = "strict", as_of: Column | None = None) -> DataFrame:
     """``company, code, value, reason, period_end`` of the balance-sheet variables ``codes``, from one selection of their periods.
 
-    ``mode`` foundation refuses only a denominator of 0.
+    ``mode`` foundation refuses only a denominator of 0. With ``as_of`` only usable facts enter. The two periods of the trend have
+    to be in one currency, unit and type of period, as far as facts have these.
     """
+    facts = facts if as_of is None else usable(facts, as_of)
     needs = {c: ("NET_ASSETS",) if c == TREND else tuple(x for x in RATIOS[c][:3] if x) for c in codes}
     chosen = selected_periods(facts, needs, {TREND: 2})
     row = companies.select("company").join(chosen, "company", "left")
@@ -119,7 +121,9 @@ def financial(companies: DataFrame, facts: DataFrame, codes: tuple[str, ...], mo
         n, ambiguous = F.coalesce(F.size(F.col(f"`{code}`.periods")), F.lit(0)), F.col(f"`{code}`.ambiguous")
         if code == TREND:
             now, before = amount(code, 0, 0), amount(code, 1, 0)
-            why = F.when(n < 2, "NON_COMPARABLE_PERIODS").when(ambiguous, "AMBIGUOUS").when(before == 0, "ZERO_PREVIOUS_NET_ASSETS")
+            sign = lambda k: F.get(F.col(f"`{TREND}`.periods"), F.lit(k))["signature"]
+            differ = [~sign(0)[c].eqNullSafe(sign(1)[c]) for c in ("currency", "unit", "period_type") if c in facts.columns]
+            why = F.when(n < 2, "NON_COMPARABLE_PERIODS").when(ambiguous, "AMBIGUOUS").when(reduce(Column.__or__, differ, F.lit(False)), "INCOMPATIBLE_INPUTS").when(before == 0, "ZERO_PREVIOUS_NET_ASSETS")
             value = (now.cast("double") - before.cast("double")) / F.abs(before.cast("double"))
         else:
             _, less, _, reason = RATIOS[code]
@@ -136,9 +140,14 @@ def ratio(companies: DataFrame, facts: DataFrame, code: str, mode: str = "strict
     return financial(companies, facts, (code,), mode)
 
 
-def net_asset_trend(companies: DataFrame, facts: DataFrame) -> DataFrame:
-    """Change of net assets against the previous comparable period, relative to its size."""
-    return financial(companies, facts, (TREND,))
+def net_asset_trend(companies: DataFrame, facts: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Change of net assets against the previous comparable period, relative to its size.
+
+    Where facts say whether they are comparable, the others do not enter.
+    """
+    if "comparability" in facts.columns:
+        facts = facts.filter(F.col("comparability") == "COMPARABLE")
+    return financial(companies, facts, (TREND,), as_of=as_of)
 
 
 AUDIT = "company long, inputs array<struct<concept: string, period_end: date, amount: decimal(20,4)>>, trace string, issue string, code string"

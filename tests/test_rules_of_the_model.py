@@ -7,7 +7,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import documents, evidence, grounding, validation, variables
+from ledgerloom.operators import beliefs, derivation, documents, evidence, grounding, validation, variables
+from ledgerloom.plans import model
 
 
 def day(s):
@@ -196,3 +197,47 @@ def test_mapping_by_sets_of_dimensions(spark):
         assert got == {
             1: ("X", "MAPPED", Decimal(-5)), 2: (None, "UNMAPPED", None), 3: ("Y", "MAPPED", Decimal(5)), 4: (None, "WRONG_PERIOD", None), 5: (None, "OTHER_ENTITY", None), 6: (None, "AMBIGUOUS", None), 7: (None, "UNMAPPED", None), 8: (None, "UNMAPPED", None),
         }
+
+
+def test_trend_needs_two_periods_of_one_kind(spark):
+    rows = []
+    for company, old, new in ((1, ("GBP", "COMPARABLE"), ("GBP", "COMPARABLE")), (2, ("EUR", "COMPARABLE"), ("GBP", "COMPARABLE")), (3, ("GBP", "REVIEW_REQUIRED"), ("GBP", "COMPARABLE"))):
+        rows += [(company, day("1998-12-31"), Decimal(100), *old), (company, day("1999-12-31"), Decimal(80), *new), (company, day("2003-12-31"), Decimal(1), "GBP", "COMPARABLE")]
+    schema = "company int, period_end date, value decimal(20,4), currency string, comparability string"
+    facts = spark.createDataFrame(rows, schema).withColumns({"concept": F.lit("NET_ASSETS"), "unit": F.lit("GBP"), "period_type": F.lit("INSTANT")})
+    who = spark.createDataFrame([(k,) for k in (1, 2, 3)], "company int")
+    got = {r["company"]: (r["value"], r["reason"]) for r in variables.net_asset_trend(who, facts, F.lit(AS_OF)).collect()}
+    assert got == {1: (-0.2, None), 2: (None, "INCOMPATIBLE_INPUTS"), 3: (None, "NON_COMPARABLE_PERIODS")}
+
+
+def test_leaves_are_reproduced_from_their_inputs(spark):
+    rows = [(1, "F2.2", 1.3, 0.6, 0.3, 0.3, 0.4), (2, "F2.2", 1.3, 0.7, 0.3, 0.3, 0.4), (3, "F2.2", None, 0.6, 0.0, 0.0, 1.0), (4, "F2.2", None, 0.6, 0.3, 0.3, 0.4), (5, "F9.9", 1.3, 0.6, 0.3, 0.3, 0.4), (6, "F2.2", 1.3, None, 0.0, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "company int, code string, value double, r double, low double, high double, unknown double")
+    assert {r["company"]: r["same"] for r in beliefs.reproduced(df, model.variables(spark)).collect()} == {1: True, 2: False, 3: True, 4: False, 5: False, 6: True}
+
+
+def test_checksums_permutations_and_recomputed_amounts(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None), (5, "")], "k int, content string")
+    sha = lambda t: __import__("hashlib").sha256(t.encode()).hexdigest()
+    known = spark.createDataFrame([(1, sha("a")), (2, sha("x")), (4, sha("d")), (5, sha(""))], "k int, checksum string")
+    assert {r["k"]: r["verdict"] for r in evidence.verified(docs, known, "k").collect()} == {1: "VERIFIED", 2: "CHANGED", 3: "UNRECORDED", 4: "MISSING", 5: "VERIFIED"}
+    parts = lambda d: spark.createDataFrame([(k, p) for k, v in d.items() for p in v], "k int, part string")
+    told = documents.permuted(parts({1: "aab", 2: "ab", 3: "a"}), parts({1: "aba", 2: "abb", 4: "a"}), "k", "part")
+    assert {r["k"]: (r["keeps_every_part_once"], r["lost"], r["added"]) for r in told.collect()} == {1: (True, 0, 0), 2: (False, 0, 1), 3: (False, 1, 0), 4: (False, 0, 1)}
+    d = Decimal
+    derived = spark.createDataFrame([(1, d(5), "x"), (2, d(5), "x"), (3, d(5), "x"), (4, d(5), "x"), (5, d(5), "y"), (6, None, "x")], "k int, value decimal(20,4), context string")
+    of = spark.createDataFrame([(1, d(2), "x"), (1, d(3), "x"), (2, d("4.9999"), "x"), (3, None, "x"), (3, d(5), "x"), (5, d(5), "x"), (6, d(1), "x")], "k int, value decimal(20,4), context string")
+    assert {r["k"]: r["verdict"] for r in validation.recomputed(derived, of, "k").collect()} == {1: "INTACT", 2: "BROKEN", 3: "COMPONENT_MISSING", 4: "NO_COMPONENTS", 5: "OTHER_CONTEXT", 6: "BROKEN"}
+
+
+def test_readiness_by_company_and_period(spark):
+    a, b = day("1999-12-31"), day("2000-12-31")
+    rows = [(1, a, "NET_ASSETS", 1, "AVAILABLE"), (1, a, "TOTAL_ASSETS", 1, "AVAILABLE"), (1, b, "NET_ASSETS", 1, "AVAILABLE"), (1, b, "TOTAL_ASSETS", None, "NOT_DISCLOSED"), (2, b, "OTHER", 1, "AVAILABLE")]
+    facts = spark.createDataFrame([(c, p, n, None if v is None else Decimal(v), x) for c, p, n, v, x in rows], "company int, period_end date, concept string, value decimal(20,4), availability string")
+    who = spark.createDataFrame([(1,), (2,), (3,)], "company int")
+    needs = {"F1.1": ("NET_ASSETS", "TOTAL_ASSETS"), "F1.2": ("NET_ASSETS",)}
+    got = {(r["company"], r["period_end"], r["code"]): (r["present"], r["missing"], r["ready"], r["candidates"]) for r in derivation.readiness(who, facts, needs, ("F1.2", "NET_ASSETS")).collect()}
+    assert got == {
+        (1, None, "F1.1"): (2, "", True, None), (1, None, "F1.2"): (1, "", True, 2), (1, a, "F1.1"): (2, "", True, None), (1, b, "F1.1"): (1, "TOTAL_ASSETS", False, None), (2, None, "F1.1"): (0, "NET_ASSETS,TOTAL_ASSETS", False, None),
+        (2, None, "F1.2"): (0, "NET_ASSETS", False, 0), (2, b, "F1.1"): (0, "NET_ASSETS,TOTAL_ASSETS", False, None), (3, None, "F1.1"): (0, "NET_ASSETS,TOTAL_ASSETS", False, None), (3, None, "F1.2"): (0, "NET_ASSETS", False, 0),
+    }
