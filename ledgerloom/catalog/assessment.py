@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -192,11 +190,13 @@ def reliability(spark: SparkSession, d: str) -> DataFrame:
 def eleven_values(spark: SparkSession, d: str) -> DataFrame:
     who, day = flagship.companies(spark, d), adapters.as_of()
     people = adapters.directors(spark, d)
-    parts = [variables.financial(who, adapters.facts(spark, d), (*variables.RATIOS, variables.TREND))]
-    parts.append(variables.latenesses(who, adapters.obligations(spark, d), {"ACCOUNTS": "G1.1", "CONFIRMATION": "G1.2"}, day))
-    parts += [variables.turnover(who, people, day), variables.median_tenure(who, people, day), variables.change_concentration(who, people, day)]
-    parts.append(variables.control_changes(who, adapters.controllers(spark, d), control_day()))
-    return reduce(DataFrame.unionByName, (p.select("company", "code", "value") for p in parts))
+    return variables.together(
+        who,
+        variables.financial_part(adapters.facts(spark, d), (*variables.RATIOS, variables.TREND)),
+        variables.lateness_part(adapters.obligations(spark, d), {"ACCOUNTS": "G1.1", "CONFIRMATION": "G1.2"}, day),
+        variables.turnover_part(people, day), variables.tenure_part(people, day), variables.concentration_part(people, day),
+        variables.control_part(adapters.controllers(spark, d), control_day()),
+    ).select("company", "code", "value")
 
 
 def discounted_leaves(spark: SparkSession, d: str) -> DataFrame:

@@ -45,13 +45,24 @@ def _unit(u: Column) -> Column:
     return F.struct(_attribute(u, "id").alias("id"), F.when(F.size(measures) == 1, F.nullif(F.regexp_extract(F.get(measures, F.lit(0)), r"^iso4217:([A-Z]{3})$", 1), F.lit(""))).alias("currency"))
 
 
+_ATTRIBUTES = r"""(?:^|[\s:])(\w+)\s*=\s*["']([^"']*)["']"""
+
+
 def _tag(t: Column) -> Column:
-    body = F.regexp_extract(t, r"(?s)^<[^>]*>(.*)</[^>]*>$", 1)
-    return F.struct(
-        _attribute(t, "name").alias("name"), _attribute(t, "contextRef").alias("context"), _attribute(t, "unitRef").alias("unit"), F.trim(F.regexp_replace(body, "<[^>]*>", "")).alias("raw"),
-        F.coalesce(F.nullif(_attribute(t, "scale"), F.lit("")), F.lit("0")).try_cast("int").alias("scale"), _attribute(t, "sign").alias("sign"), _attribute(t, "format").rlike("(zerodash|zero-dash|fixed-zero)$").alias("dash"),
-        _attribute(t, "nil").isin("true", "1").alias("nil"), ((_attribute(t, "continuedAt") != "") | t.rlike(r"<(?:\w+:)?exclude\b")).alias("cut"),
-    )
+    """A tag's attributes, all found in two passes over its start, and its text without nested tags."""
+    start = F.regexp_extract(t, "^<([^>]*)>", 1)
+    found = lambda k: F.regexp_extract_all(start, F.lit(_ATTRIBUTES), F.lit(k))
+
+    def read(x: Column) -> Column:
+        of = lambda name: F.coalesce(F.get(x["values"], (F.array_position(x["names"], name) - 1).cast("int")), F.lit(""))
+        body = F.regexp_extract(x["t"], r"(?s)^<[^>]*>(.*)</[^>]*>$", 1)
+        return F.struct(
+            of("name").alias("name"), of("contextRef").alias("context"), of("unitRef").alias("unit"), F.trim(F.regexp_replace(body, "<[^>]*>", "")).alias("raw"),
+            F.coalesce(F.nullif(of("scale"), F.lit("")), F.lit("0")).try_cast("int").alias("scale"), of("sign").alias("sign"), of("format").rlike("(zerodash|zero-dash|fixed-zero)$").alias("dash"),
+            of("nil").isin("true", "1").alias("nil"), ((of("continuedAt") != "") | x["t"].rlike(r"<(?:\w+:)?exclude\b")).alias("cut"),
+        )
+
+    return _once(F.struct(t.alias("t"), found(1).alias("names"), found(2).alias("values")), read)
 
 
 def _repeated(items: Column) -> Column:

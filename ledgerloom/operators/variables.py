@@ -111,10 +111,30 @@ def financial(companies: DataFrame, facts: DataFrame, codes: tuple[str, ...], mo
     ``mode`` foundation refuses only a denominator of 0. With ``as_of`` only usable facts enter. The two periods of the trend have
     to be in one currency, unit and type of period, as far as facts have these.
     """
+    chosen, found = financial_part(facts, codes, mode, as_of)
+    row = companies.select("company").join(chosen, "company", "left")
+    return row.select("company", F.inline(F.array(*(F.struct(c, v, w, p) for c, v, w, p in found))))
+
+
+#: What :func:`together` puts side by side: a table with one row a company at most, and (code, value, reason, ...) columns over it.
+Part = tuple[DataFrame, list[tuple[Column, ...]]]
+
+
+def together(companies: DataFrame, *parts: Part) -> DataFrame:
+    """``company, code, value, reason`` of all parts, from one row for each company.
+
+    The parts are aggregated by company already: they meet where they lie, and what follows by company needs no shuffle.
+    """
+    row = companies.select("company")
+    for df, _ in parts:
+        row = row.join(df, "company", "left")
+    return row.select("company", F.inline(F.array(*(F.struct(*c[:3]) for _, found in parts for c in found))))
+
+
+def financial_part(facts: DataFrame, codes: tuple[str, ...], mode: str = "strict", as_of: Column | None = None) -> Part:
     facts = facts if as_of is None else usable(facts, as_of)
     needs = {c: ("NET_ASSETS",) if c == TREND else tuple(x for x in RATIOS[c][:3] if x) for c in codes}
     chosen = selected_periods(facts, needs, {TREND: 2})
-    row = companies.select("company").join(chosen, "company", "left")
     amount = lambda code, period, k: F.get(F.get(F.col(f"`{code}`.periods"), F.lit(period))["amounts"], F.lit(k))
     found = []
     for code in codes:
@@ -131,8 +151,8 @@ def financial(companies: DataFrame, facts: DataFrame, codes: tuple[str, ...], mo
             why = F.when(n < 1, "NO_COMPATIBLE_PERIOD").when(ambiguous, "AMBIGUOUS").when(bottom == 0 if mode == "foundation" else bottom <= 0, reason if mode != "foundation" else "ZERO_DENOMINATOR")
             value = (amount(code, 0, 0).cast("double") - (amount(code, 0, 1).cast("double") if less else F.lit(0.0))) / bottom.cast("double")
         period = F.when(n > 0, F.get(F.col(f"`{code}`.periods"), F.lit(0))["period_end"])
-        found.append(F.struct(F.lit(code).alias("code"), F.when(why.isNull(), value).alias("value"), why.alias("reason"), period.alias("period_end")))
-    return row.select("company", F.inline(F.array(*found)))
+        found.append((F.lit(code).alias("code"), F.when(why.isNull(), value).alias("value"), why.alias("reason"), period.alias("period_end")))
+    return chosen, found
 
 
 def ratio(companies: DataFrame, facts: DataFrame, code: str, mode: str = "strict") -> DataFrame:
@@ -186,11 +206,14 @@ def latenesses(companies: DataFrame, obligations: DataFrame, codes: dict[str, st
 
     An obligation without a due date, and one filed on no known day or after ``as_of``, is unresolved, not 0 days late.
     """
+    return together(companies, lateness_part(obligations, codes, as_of, mode))
+
+
+def lateness_part(obligations: DataFrame, codes: dict[str, str], as_of: Column, mode: str = "strict") -> Part:
     known = obligations.filter(F.col("kind").isin(*codes) & (F.to_date("observed_at") <= as_of))
     latest = latest_observation(known, ["company", "kind"])
     fields = ("state", "filed", "due", "ambiguous")
     wide = latest.groupBy("company").agg(*(F.max(F.when(F.col("kind") == k, F.struct(*fields))).alias(c) for k, c in codes.items()))
-    row = companies.select("company").join(wide, "company", "left")
     found = []
     for code in codes.values():
         state, filed, due, ambiguous = (F.col(f"`{code}`.{f}") for f in fields)
@@ -202,8 +225,8 @@ def latenesses(companies: DataFrame, obligations: DataFrame, codes: dict[str, st
         if mode == "foundation":  # what is not due yet is not late, whatever is known of its filing
             not_due = due > as_of
             late, why = F.when(not_due, 0.0).otherwise(late), F.when(not_due & ~ambiguous, None).otherwise(why)
-        found.append(F.struct(F.lit(code).alias("code"), F.when(why.isNull(), late).alias("value"), why.alias("reason")))
-    return row.select("company", F.inline(F.array(*found)))
+        found.append((F.lit(code).alias("code"), F.when(why.isNull(), late).alias("value"), why.alias("reason")))
+    return wide, found
 
 
 def active_at(day: Column, just_before: bool = False) -> Column:
@@ -215,22 +238,28 @@ def active_at(day: Column, just_before: bool = False) -> Column:
 
 def turnover(companies: DataFrame, directors: DataFrame, as_of: Column, months: int = 24) -> DataFrame:
     """Distinct departures in the window over distinct directors just before it."""
+    return together(companies, turnover_part(directors, as_of, months))
+
+
+def turnover_part(directors: DataFrame, as_of: Column, months: int = 24) -> Part:
     start = F.add_months(as_of, -months)
     n = directors.groupBy("company").agg(
-        F.count_distinct(F.when(F.col("resigned").between(start, as_of), F.col("person"))).alias("left"), F.count_distinct(F.when(active_at(start, True), F.col("person"))).alias("initial")
+        F.count_distinct(F.when(F.col("resigned").between(start, as_of), F.col("person"))).alias("_left"), F.count_distinct(F.when(active_at(start, True), F.col("person"))).alias("_initial")
     )
-    out = companies.select("company").join(n, "company", "left")
-    why = F.when(F.coalesce("initial", F.lit(0)) == 0, "ZERO_DIRECTOR_DENOMINATOR")
-    return out.select("company", F.lit("G2.1").alias("code"), F.when(why.isNull(), F.col("left") / F.col("initial")).alias("value"), why.alias("reason"))
+    why = F.when(F.coalesce("_initial", F.lit(0)) == 0, "ZERO_DIRECTOR_DENOMINATOR")
+    return n, [(F.lit("G2.1").alias("code"), F.when(why.isNull(), F.col("_left") / F.col("_initial")).alias("value"), why.alias("reason"))]
 
 
 def median_tenure(companies: DataFrame, directors: DataFrame, as_of: Column) -> DataFrame:
     """Median years in office of the active directors; one identity with two starts is ambiguous."""
+    return together(companies, tenure_part(directors, as_of))
+
+
+def tenure_part(directors: DataFrame, as_of: Column) -> Part:
     per_person = directors.filter(active_at(as_of)).groupBy("company", "person").agg(F.min("appointed").alias("appointed"), (F.min("appointed") != F.max("appointed")).alias("two"))
-    n = per_person.groupBy("company").agg(F.median(F.datediff(as_of, F.col("appointed"))).alias("days"), F.bool_or("two").alias("two"))
-    out = companies.select("company").join(n, "company", "left")
-    why = F.when(F.col("days").isNull(), "EMPTY_DIRECTOR_POPULATION").when(F.col("two"), "AMBIGUOUS_DIRECTOR_IDENTITY")
-    return out.select("company", F.lit("G2.2").alias("code"), F.when(why.isNull(), F.col("days") / YEAR_DAYS).alias("value"), why.alias("reason"))
+    n = per_person.groupBy("company").agg(F.median(F.datediff(as_of, F.col("appointed"))).alias("_days"), F.bool_or("two").alias("_two"))
+    why = F.when(F.col("_days").isNull(), "EMPTY_DIRECTOR_POPULATION").when(F.col("_two"), "AMBIGUOUS_DIRECTOR_IDENTITY")
+    return n, [(F.lit("G2.2").alias("code"), F.when(why.isNull(), F.col("_days") / YEAR_DAYS).alias("value"), why.alias("reason"))]
 
 
 def change_concentration(companies: DataFrame, directors: DataFrame, as_of: Column, months: int = 24, days: int = WINDOW_DAYS) -> DataFrame:
@@ -245,6 +274,11 @@ def change_concentration(companies: DataFrame, directors: DataFrame, as_of: Colu
     days before it and after the same person's departure before it. Steps are summed by company and day first, so that a
     sweep over a company meets days, not persons.
     """
+    best, [(code, value, reason, window)] = concentration_part(directors, as_of, months, days)
+    return companies.select("company").join(best, "company", "left").select("company", code, value, reason, window)
+
+
+def concentration_part(directors: DataFrame, as_of: Column, months: int = 24, days: int = WINDOW_DAYS) -> Part:
     start = F.add_months(as_of, -months)
     number = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
     step = lambda at, present, left: F.struct(at.alias("at"), F.lit(present).alias("present"), F.lit(left).alias("left"))
@@ -263,10 +297,9 @@ def change_concentration(companies: DataFrame, directors: DataFrame, as_of: Colu
     mixed = steps.withColumn("open", F.lit(None).cast("date")).unionByName(opens.select("company", number(F.col("open")).alias("at"), F.lit(0).cast("long").alias("present"), F.lit(0).cast("long").alias("left"), "open"))
     sweep = Window.partitionBy("company").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
     counted = mixed.select("company", "open", F.sum("present").over(sweep).alias("initial"), F.sum("left").over(sweep).alias("left")).filter("open is not null and initial > 0")
-    best = counted.groupBy("company").agg(F.max(F.struct((F.col("left") / F.col("initial")).alias("share"), (-number(F.col("open"))).alias("neg"), F.col("open"))).alias("b"))
-    out = companies.select("company").join(best, "company", "left")
-    why = F.when(F.col("b").isNull(), "NO_COMPUTABLE_WINDOW")
-    return out.select("company", F.lit("G2.3").alias("code"), F.col("b.share").alias("value"), why.alias("reason"), F.col("b.open").alias("window_start"))
+    best = counted.groupBy("company").agg(F.max(F.struct((F.col("left") / F.col("initial")).alias("share"), (-number(F.col("open"))).alias("neg"), F.col("open"))).alias("_window"))
+    why = F.when(F.col("_window").isNull(), "NO_COMPUTABLE_WINDOW")
+    return best, [(F.lit("G2.3").alias("code"), F.col("_window.share").alias("value"), why.alias("reason"), F.col("_window.open").alias("window_start"))]
 
 
 def control_changes(companies: DataFrame, controllers: DataFrame, as_of: Column, months: int = 36) -> DataFrame:
@@ -277,6 +310,10 @@ def control_changes(companies: DataFrame, controllers: DataFrame, as_of: Column,
     missing identity or notification, a notification in the window, an end that is neither known nor declared not to
     apply, or one identity with two histories. A company without rows has no exits.
     """
+    return together(companies, control_part(controllers, as_of, months))
+
+
+def control_part(controllers: DataFrame, as_of: Column, months: int = 36) -> Part:
     start = F.add_months(as_of, -months)
     history = F.struct("notified", "ceased")
     unclear = F.coalesce(F.col("statement"), F.lit(False)) | F.col("identity").isNull() | F.col("notified").isNull() | F.col("notified").between(start, as_of)
@@ -284,10 +321,9 @@ def control_changes(companies: DataFrame, controllers: DataFrame, as_of: Column,
     per_identity = controllers.groupBy("company", "identity").agg(
         F.bool_or(unclear).alias("unclear"), (~F.min(history).eqNullSafe(F.max(history))).alias("two"), F.count_distinct(F.when(F.col("ceased").between(start, as_of), F.col("ceased"))).alias("exits")
     )
-    n = per_identity.groupBy("company").agg(F.bool_or(F.col("unclear") | F.col("two")).alias("unclear"), F.sum("exits").alias("exits"))
-    out = companies.select("company").join(n, "company", "left")
-    why = F.when(F.coalesce("unclear", F.lit(False)), "AMBIGUOUS")
-    return out.select("company", F.lit("G3.1").alias("code"), F.when(why.isNull(), F.coalesce("exits", F.lit(0)).cast("double")).alias("value"), why.alias("reason"))
+    n = per_identity.groupBy("company").agg(F.bool_or(F.col("unclear") | F.col("two")).alias("_unclear"), F.sum("exits").alias("_exits"))
+    why = F.when(F.coalesce("_unclear", F.lit(False)), "AMBIGUOUS")
+    return n, [(F.lit("G3.1").alias("code"), F.when(why.isNull(), F.coalesce("_exits", F.lit(0)).cast("double")).alias("value"), why.alias("reason"))]
 
 
 def role_gate(members: DataFrame, excluded: tuple[str, ...], known: tuple[str, ...]) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +17,12 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def foundation_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``company, code, value, reason`` of the six variables, without reliability."""
     who, as_of = companies(spark, sf_dir), adapters.as_of()
-    parts = [
-        variables.financial(who, adapters.facts(spark, sf_dir), ("F1.1", "F2.2", "F2.3"), "foundation"),
-        variables.latenesses(who, adapters.obligations(spark, sf_dir), {"ACCOUNTS": "G1.1", "CONFIRMATION": "G1.2"}, as_of, "foundation"),
-        variables.median_tenure(who, adapters.directors(spark, sf_dir), as_of),
-    ]
-    return reduce(DataFrame.unionByName, (p.select("company", "code", "value", "reason") for p in parts))
+    return variables.together(
+        who,
+        variables.financial_part(adapters.facts(spark, sf_dir), ("F1.1", "F2.2", "F2.3"), "foundation"),
+        variables.lateness_part(adapters.obligations(spark, sf_dir), {"ACCOUNTS": "G1.1", "CONFIRMATION": "G1.2"}, as_of, "foundation"),
+        variables.tenure_part(adapters.directors(spark, sf_dir), as_of),
+    )
 
 
 def reference_beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
