@@ -13,7 +13,7 @@ from ..operators import grounding, variables
 from ..operators.documents import tagged_facts
 from ..sources import adapters, published
 from ..sources.adapters import table, with_ctes
-from ..sources.shared import shared_dir
+from ..sources.shared import materialize, shared_dir
 from .assessment import periods_sql, ratio_sql
 from .base import Query, r6
 from .documents import TAGGED_SQL, tagged_documents
@@ -290,12 +290,14 @@ UNION ALL SELECT 'e' || event_id, 'e' || reused FROM (SELECT event_id, CASE WHEN
 
 def _j12(s: SparkSession, d: str) -> DataFrame:
     """Retention: what the chosen companies need is kept, all other nodes could go."""
-    edges = _edges(s, d)
+    edges = materialize(_edges(s, d), "edges")
     start = table(s, d, "customer").filter("c_acctbal < 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
     start = start.union(table(s, d, "events").filter("value > 99").select(F.concat(F.lit("e"), F.col("event_id").cast("string"))))
-    kept = E.reachable(edges, start).withColumn("kept", F.lit(True))
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    return nodes.join(kept, "node", "left").groupBy(F.substring("node", 1, 1).alias("kind")).agg(F.count("kept").alias("kept"), F.count_if(F.col("kept").isNull()).alias("could_go"))
+    kept = E.reachable(edges, start)
+    # one aggregate finds the nodes of all edges and which of them are kept
+    there = edges.select(F.explode(F.array("src", "dst")).alias("node"), F.lit(True).alias("linked"), F.lit(False).alias("kept"))
+    nodes = there.unionByName(kept.select("node", F.lit(False).alias("linked"), F.lit(True).alias("kept"))).groupBy("node").agg(F.max("linked").alias("linked"), F.max("kept").alias("kept")).filter("linked")
+    return nodes.groupBy(F.substring("node", 1, 1).alias("kind")).agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("could_go"))
 
 
 _J12 = f"""WITH RECURSIVE {_EDGES}, seen AS (SELECT 'c' || c_custkey AS node FROM customer WHERE c_acctbal < 0 UNION SELECT 'e' || event_id FROM events WHERE value > 99 UNION SELECT dst FROM seen JOIN edges ON node = src)

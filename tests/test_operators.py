@@ -225,6 +225,18 @@ def test_long_chains_are_followed_to_the_end(spark):
     assert evidence.reachable(edges, spark.createDataFrame([(1,)], "node long"), hops_a_round=16).count() == 61
 
 
+def test_reachable_follows_long_chains_in_few_rounds(spark, monkeypatch):
+    """A chain of 300 nodes, which ends in a fork and a ring, is followed in log2 of its length."""
+    written = []
+    real = evidence.materialize
+    monkeypatch.setattr(evidence, "materialize", lambda df, label="table": written.append(label) or real(df, label))
+    chain = [(k, k + 1) for k in range(300)]
+    edges = spark.createDataFrame([*chain, (300, 1000), (300, 2000), (1000, 1001), (2000, 2001), (2001, 2000), (5000, 5), (7000, 7001)], "src long, dst long")
+    found = {r["node"] for r in evidence.reachable(edges, spark.createDataFrame([(3,), (9999,)], "node long")).collect()}
+    assert found == {*range(3, 301), 1000, 1001, 2000, 2001, 9999}
+    assert len(written) < 50  # 4 hops a round would take 150
+
+
 def test_signatures_and_usable_facts(spark):
     """Amounts in two currencies are never put together; what is not admissible, not available or not over is no input."""
     schema = "company int, period_end date, concept string, value decimal(20,4), currency string, availability string, admissible boolean"
