@@ -50,21 +50,18 @@ def printed_amount(raw: Column, unit: Column) -> Column:
 def tagged_amount(token: Column, scale: Column, sign: Column, zero_dash: Column) -> Column:
     """A struct ``(value decimal(38,18), reason)``: a strictly grouped number times a power of ten from -18 to 18, exactly.
 
-    A dash is zero only with an explicit format flag. The point is moved in the digits, so that nothing is rounded;
-    what 20 digits before the point and 18 after it cannot hold has a reason instead of a value.
+    A dash is zero only with an explicit format flag. Nothing is rounded: what 20 digits before the point and 18 after it
+    cannot hold has a reason instead of a value. Digits are counted, not moved; the power goes into the cast as an exponent.
     """
     t = F.trim(token)
     dash = zero_dash & t.isin("-", "–", "—")
     plain = t.rlike(r"^(\d{1,3}(,\d{3})+|\d+)(\.\d+)?$") | dash
-    number = F.when(dash, F.lit("0")).otherwise(F.regexp_replace(t, ",", ""))
-    whole, part = F.regexp_extract(number, r"^(\d+)", 1), F.regexp_extract(number, r"\.(\d+)$", 1)
-    zeros = lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
-    digits = F.concat(zeros(-scale), whole, part, zeros(scale))
-    point = F.length(whole) + F.greatest(scale, F.lit(0))
-    left, right = F.substring(digits, F.lit(1), point), F.substring(digits, point + 1, F.length(digits))
-    left, right = F.regexp_replace(left, "^0+", ""), F.regexp_replace(right, "0+$", "")
-    fits = (F.length(left) <= 20) & (F.length(right) <= 18)
-    value = F.concat(F.when(sign == "-", "-").otherwise(""), F.lit("0"), left, F.lit("."), right, F.lit("0")).try_cast("decimal(38,18)")
+    number = F.when(dash, F.lit("0")).otherwise(F.replace(t, F.lit(","), F.lit("")))
+    digits = F.replace(number, F.lit("."), F.lit(""))
+    behind = F.when(F.length(digits) == F.length(number), 0).otherwise(F.length(number) - F.instr(number, "."))
+    first, last = F.length(F.ltrim(digits, F.lit("0"))), F.length(F.rtrim(digits, F.lit("0")))
+    fits = (first == 0) | ((first - behind + scale <= 20) & (behind - scale - F.length(digits) + last <= 18))
+    value = F.concat(F.when(sign == "-", "-").otherwise(""), number, F.lit("E"), scale.cast("string")).try_cast("decimal(38,18)")
     reason = F.when(~F.coalesce(plain, F.lit(False)), "NOT_A_NUMBER").when(~F.coalesce(scale.between(-18, 18), F.lit(False)), "UNSUPPORTED_SCALE").when(~fits, "OUT_OF_RANGE")
     return F.struct(F.when(reason.isNull(), value).alias("value"), reason.alias("reason"))
 
