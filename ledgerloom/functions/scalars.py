@@ -18,7 +18,7 @@ def company_number(value: Column) -> Column:
 
 def strict_date(value: Column) -> Column:
     """Exactly YYYY-MM-DD, else null."""
-    return F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(value, "yyyy-MM-dd"))
+    return F.when(value.rlike(r"^(?!0000)\d{4}-\d{2}-\d{2}$"), value.try_cast("date"))
 
 
 def months_before(day: Column, months: int) -> Column:

@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import strict_date, tagged_amount
 
-# Elements under any prefix, attributes in either quotes.
-_TAG = r"(?s)(<(?:\w+:)?nonFraction\b[^>]*>.*?</(?:\w+:)?nonFraction>|<(?:\w+:)?nonFraction\b[^>]*/>)"
-_CONTEXT = r"(?s)(<(?:\w+:)?context\b.*?</(?:\w+:)?context>)"
-_UNIT = r"(?s)(<(?:\w+:)?unit\b.*?</(?:\w+:)?unit>)"
-_MEMBER = r"(?s)(<(?:\w+:)?explicitMember\b.*?</(?:\w+:)?explicitMember>)"
+
+
+def _element(name: str, start: str = "") -> str:
+    """A pattern of elements ``name`` under any prefix, up to the first end tag; what lies inside is passed from tag to tag."""
+    return rf"<(?:\w+:)?{name}\b{start}[^<]*+(?:<(?!/(?:\w+:)?{name}>)[^<]*+)*+</(?:\w+:)?{name}>"
+
+
+# Attributes are in either quotes.
+_TAG = _element("nonFraction", "[^>]*+>") + r"|<(?:\w+:)?nonFraction\b[^>]*/>"
+_CONTEXT, _UNIT, _MEMBER = (_element(n) for n in ("context", "unit", "explicitMember"))
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -31,38 +36,49 @@ def _once(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _context(c: Column) -> Column:
-    instant, start, end = (_inside(c, n) for n in ("instant", "startDate", "endDate"))
-    members = F.transform(F.regexp_extract_all(c, F.lit(_MEMBER), F.lit(1)), lambda m: F.struct(_attribute(m, "dimension").alias("dimension"), F.trim(F.regexp_extract(m, ">([^<]*)<", 1)).alias("member")))
-    return F.struct(
-        _attribute(c, "id").alias("id"), F.when(instant != "", "INSTANT").otherwise("DURATION").alias("period_type"), strict_date(F.when(instant == "", start)).alias("period_start"),
-        strict_date(F.when(instant != "", instant).otherwise(end)).alias("period_end"), _inside(c, "identifier").alias("entity"), F.array_sort(members).alias("dimensions"), c.rlike(r"<(?:\w+:)?typedMember\b").alias("typed"),
-    )
+    def read(x: Column) -> Column:
+        c, instant = x["c"], x["instant"]
+        element = F.regexp_extract_all(c, F.lit(_MEMBER), F.lit(0))
+        members = F.transform(element, lambda m: F.struct(_attribute(m, "dimension").alias("dimension"), F.trim(F.regexp_extract(m, ">([^<]*)<", 1)).alias("member")))
+        # most contexts have no members, and patterns cost more than a look for a word
+        members = F.when(F.contains(c, F.lit("explicitMember")), F.array_sort(members)).otherwise(F.array().cast("array<struct<dimension: string, member: string>>"))
+        typed = F.contains(c, F.lit("typedMember")) & c.rlike(r"<(?:\w+:)?typedMember\b")
+        start = F.when(instant == "", _once(_inside(c, "startDate"), strict_date))
+        end = _once(F.when(instant != "", instant).otherwise(_inside(c, "endDate")), strict_date)
+        return F.struct(
+            _attribute(c, "id").alias("id"), F.when(instant != "", "INSTANT").otherwise("DURATION").alias("period_type"), start.alias("period_start"),
+            end.alias("period_end"), _inside(c, "identifier").alias("entity"), members.alias("dimensions"), typed.alias("typed"),
+        )
+
+    return _once(F.struct(c.alias("c"), _inside(c, "instant").alias("instant")), read)
 
 
 def _unit(u: Column) -> Column:
     """The currency of a unit of one measure in it; others (shares, ratios) have none."""
-    measures = F.regexp_extract_all(u, F.lit(r"(?s)<(?:\w+:)?measure\b[^>]*>\s*([^<]*?)\s*<"), F.lit(1))
-    return F.struct(_attribute(u, "id").alias("id"), F.when(F.size(measures) == 1, F.nullif(F.regexp_extract(F.get(measures, F.lit(0)), r"^iso4217:([A-Z]{3})$", 1), F.lit(""))).alias("currency"))
+    measures = F.regexp_extract_all(u, F.lit(r"<(?:\w+:)?measure\b[^>]*>\s*([^<]*?)\s*<"), F.lit(1))
+    iso = r"^iso4217:([A-Z]{3})$"
+    currency = _once(measures, lambda m: F.when((F.size(m) == 1) & F.get(m, F.lit(0)).rlike(iso), F.regexp_extract(F.get(m, F.lit(0)), iso, 1)))
+    return F.struct(_attribute(u, "id").alias("id"), currency.alias("currency"))
+
 
+_ATTRIBUTES = r"""(?:^|[\s:])(\w++)\s*+=\s*+["']([^"']*+)["']"""
 
-_ATTRIBUTES = r"""(?:^|[\s:])(\w+)\s*=\s*["']([^"']*)["']"""
+
+def _of(tag: Column, name: str) -> Column:
+    """An attribute of what :func:`_tag` read; empty if there is none."""
+    return F.coalesce(F.get(tag["values"], (F.array_position(tag["names"], name) - 1).cast("int")), F.lit(""))
 
 
 def _tag(t: Column) -> Column:
-    """A tag's attributes, all found in two passes over its start, and its text without nested tags."""
+    """A tag with its attributes, all found in two passes over its start, and what its document is judged by."""
     start = F.regexp_extract(t, "^<([^>]*)>", 1)
-    found = lambda k: F.regexp_extract_all(start, F.lit(_ATTRIBUTES), F.lit(k))
+    found = lambda x, k: F.regexp_extract_all(x, F.lit(_ATTRIBUTES), F.lit(k))
 
     def read(x: Column) -> Column:
-        of = lambda name: F.coalesce(F.get(x["values"], (F.array_position(x["names"], name) - 1).cast("int")), F.lit(""))
-        body = F.regexp_extract(x["t"], r"(?s)^<[^>]*>(.*)</[^>]*>$", 1)
-        return F.struct(
-            of("name").alias("name"), of("contextRef").alias("context"), of("unitRef").alias("unit"), F.trim(F.regexp_replace(body, "<[^>]*>", "")).alias("raw"),
-            F.coalesce(F.nullif(of("scale"), F.lit("")), F.lit("0")).try_cast("int").alias("scale"), of("sign").alias("sign"), of("format").rlike("(zerodash|zero-dash|fixed-zero)$").alias("dash"),
-            of("nil").isin("true", "1").alias("nil"), ((of("continuedAt") != "") | x["t"].rlike(r"<(?:\w+:)?exclude\b")).alias("cut"),
-        )
+        cut = (F.array_contains(x["names"], "continuedAt") & (_of(x, "continuedAt") != "")) | (F.contains(x["t"], F.lit("exclude")) & x["t"].rlike(r"<(?:\w+:)?exclude\b"))
+        return F.struct(x["t"].alias("t"), x["names"].alias("names"), x["values"].alias("values"), _of(x, "contextRef").alias("context"), _of(x, "unitRef").alias("unit"), cut.alias("cut"))
 
-    return _once(F.struct(t.alias("t"), found(1).alias("names"), found(2).alias("values")), read)
+    return _once(start, lambda s: _once(F.struct(t.alias("t"), found(s, 1).alias("names"), found(s, 2).alias("values")), read))
 
 
 def _repeated(items: Column) -> Column:
@@ -70,6 +86,16 @@ def _repeated(items: Column) -> Column:
     return (F.size(F.array_distinct(ids)) < F.size(ids)) | F.array_contains(ids, "")
 
 
+def _failure(d: Column, money: Column) -> Column:
+    return (
+        F.when(d["contexts"], "DUPLICATE_CONTEXT").when(d["units"], "DUPLICATE_UNIT").when(d["periods"], "INVALID_PERIOD")
+        .when(F.exists(d["each"], lambda x: x["c"].isNull() | x["u"].isNull()), "UNRESOLVED_REFERENCE")
+        .when(F.exists(money, lambda x: x["c"]["entity"] == ""), "MISSING_ENTITY")
+        .when(F.coalesce(F.exists(money, lambda x: x["c"]["entity"] != d["number"]), F.lit(False)), "OTHER_ENTITY")
+        .when(F.exists(money, lambda x: x["c"]["typed"]), "TYPED_DIMENSION").when(F.exists(money, lambda x: x["t"]["cut"]), "CONTINUED")
+    )
+
+
 def tagged_facts(documents: DataFrame) -> DataFrame:
     """Monetary tags of inline-tagged XHTML (``document_id, content`` and, if entities are to be checked, ``number``).
 
@@ -80,7 +106,7 @@ def tagged_facts(documents: DataFrame) -> DataFrame:
 
     A document is read in one pass, where it lies: nothing is joined or shuffled.
     """
-    elements = lambda pattern, read: F.transform(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)), read)
+    elements = lambda pattern, read: F.transform(F.regexp_extract_all("content", F.lit(pattern), F.lit(0)), read)
     number = F.col("number").cast("string") if "number" in documents.columns else F.lit(None).cast("string")
     read = F.struct(elements(_CONTEXT, _context).alias("contexts"), elements(_UNIT, _unit).alias("units"), elements(_TAG, _tag).alias("tags"), number.alias("number"))
 
@@ -90,26 +116,28 @@ def tagged_facts(documents: DataFrame) -> DataFrame:
         return F.struct(d["number"].alias("number"), (_repeated(d["contexts"])).alias("contexts"), (_repeated(d["units"])).alias("units"), F.exists(d["contexts"], lambda c: c["period_end"].isNull() | ((c["period_type"] == "DURATION") & c["period_start"].isNull())).alias("periods"), each.alias("each"))
 
     def judged(d: Column) -> Column:
-        money = F.filter(d["each"], lambda x: x["u"]["currency"].isNotNull())
-        failure = (
-            F.when(d["contexts"], "DUPLICATE_CONTEXT").when(d["units"], "DUPLICATE_UNIT").when(d["periods"], "INVALID_PERIOD")
-            .when(F.exists(d["each"], lambda x: x["c"].isNull() | x["u"].isNull()), "UNRESOLVED_REFERENCE")
-            .when(F.exists(money, lambda x: x["c"]["entity"] == ""), "MISSING_ENTITY")
-            .when(F.coalesce(F.exists(money, lambda x: x["c"]["entity"] != d["number"]), F.lit(False)), "OTHER_ENTITY")
-            .when(F.exists(money, lambda x: x["c"]["typed"]), "TYPED_DIMENSION").when(F.exists(money, lambda x: x["t"]["cut"]), "CONTINUED")
-        )
-        facts = F.transform(money, lambda x: F.struct(
-            x["t"]["name"].alias("name"), x["t"]["context"].alias("context"), x["u"]["currency"].alias("currency"), *(x["c"][c].alias(c) for c in ("entity", "dimensions", "period_type", "period_start", "period_end")),
-            x["t"]["raw"].alias("raw"), x["t"]["nil"].alias("nil"), tagged_amount(x["t"]["raw"], x["t"]["scale"], x["t"]["sign"], x["t"]["dash"]).alias("amount")))
-        return F.struct(failure.alias("failure"), F.when(failure.isNull(), facts).alias("facts"))
+        return _once(F.struct(d.alias("d"), F.filter(d["each"], lambda x: x["u"]["currency"].isNotNull()).alias("money")), lambda x: _once(F.struct(_failure(x["d"], x["money"]).alias("failure"), x["money"].alias("money")), facts))
+
+    def facts(d: Column) -> Column:
+        each = F.transform(d["money"], lambda x: F.struct(x["t"].alias("tag"), x["u"]["currency"].alias("currency"), x["c"].alias("c")))
+        return F.struct(d["failure"].alias("failure"), F.when(d["failure"].isNull(), each).alias("facts"))
 
     rows = documents.select("document_id", _once(_once(read, resolved), judged).alias("d")).select("document_id", F.col("d.failure").alias("failure"), F.explode_outer("d.facts").alias("f"))
-    rows = rows.filter("failure is not null or f is not null").select("document_id", "failure", F.col("failure").isNotNull().alias("failed"), "f.*")
+    # a filter on ``failed`` has to stay above the explode: pushed below, it would read the document once more
+    # the facts of sound documents are read as rows: inside the array everything would be worked out anew wherever it is used
+    tag, c = F.col("f.tag"), F.col("f.c")
+    body = F.regexp_extract(tag["t"], r"(?s)^<[^>]*>(.*)</[^>]*>$", 1)
+    rows = rows.filter("failure is not null or f is not null").select(
+        "document_id", "failure", F.col("f").isNull().alias("failed"), F.when(tag.isNotNull(), _of(tag, "name")).alias("name"), tag["context"].alias("context"), F.col("f.currency").alias("currency"),
+        *(c[x].alias(x) for x in ("entity", "dimensions", "period_type", "period_start", "period_end")), F.trim(F.regexp_replace(body, "<[^>]*>", "")).alias("raw"),
+        F.when(tag.isNotNull(), _of(tag, "nil").isin("true", "1")).alias("nil"), _of(tag, "scale").alias("scale"), _of(tag, "sign").alias("sign"), _of(tag, "format").rlike("(zerodash|zero-dash|fixed-zero)$").alias("dash"),
+    )
+    rows = rows.withColumn("amount", F.when(~F.col("nil"), tagged_amount(F.col("raw"), F.when(F.col("scale") == "", 0).otherwise(F.col("scale").try_cast("int")), F.col("sign"), F.col("dash"))))
     nil = F.col("nil")
     return rows.withColumns({
         "value": F.when(~nil, F.col("amount.value")), "reason": F.when(nil & (F.col("raw") != ""), "NIL_WITH_VALUE").when(~nil, F.col("amount.reason")),
         "availability": F.when(nil, "NOT_DISCLOSED").when(~nil, "AVAILABLE"),
-    }).drop("amount", "nil")
+    }).drop("amount", "nil", "scale", "sign", "dash")
 
 
 def visible_text(html: Column) -> Column:

@@ -186,6 +186,16 @@ def test_tagged_facts(spark):
     ]
 
 
+def test_tagged_facts_read_a_document_once(spark):
+    """A filter on sound documents was pushed into the reading, which then ran twice; amounts were worked out inside the array."""
+    docs = spark.range(1).selectExpr("id AS document_id", "string(id) AS content")
+    plan = documents.tagged_facts(docs).filter("not failed").groupBy("name").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"instant\b") == 1, plan
+    pad = "<b>x</b>" * 20_000  # elements between start and end do not deepen the match
+    got = documents.tagged_facts(spark.createDataFrame([(1, CONTEXTS + UNITS + tag("1" + pad.replace("x", "")))], "document_id int, content string")).first()
+    assert got["value"] == 1
+
+
 def test_mapping_by_sets_of_dimensions(spark):
     ab, ba, abc = [("d", "1"), ("e", "2")], [("e", "2"), ("d", "1")], [("d", "1"), ("e", "2"), ("f", "3")]
     pairs = "array<struct<dimension: string, member: string>>"
