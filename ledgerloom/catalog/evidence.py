@@ -225,8 +225,8 @@ _J06 = """SELECT *, CASE WHEN resolved < claimed THEN 'SOURCE_MISSING' WHEN grou
 
 def _j07(s: SparkSession, d: str) -> DataFrame:
     li = table(s, d, "lineitem")
-    n = li.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("rows"), F.count_distinct("l_extendedprice").alias("vals"))
-    return n.filter("rows > 1").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "rows", (F.col("vals") > 1).alias("competing"))
+    n = li.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("rows"), F.min("l_extendedprice").alias("least"), F.max("l_extendedprice").alias("most"))
+    return n.filter("rows > 1").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "rows", F.coalesce(F.col("least") != F.col("most"), F.lit(False)).alias("competing"))
 
 
 def _j08(s: SparkSession, d: str) -> DataFrame:

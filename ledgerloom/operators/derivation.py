@@ -35,12 +35,16 @@ def derived_subtotals(facts: DataFrame, keys: list[str], rules: tuple[tuple[str,
 
 def component_sum(components: DataFrame, schedule: str, allowed: tuple[str, ...]) -> DataFrame:
     """The sum of a schedule's components if all are available, distinct, of allowed labels, in one context, and said to be complete."""
-    n = components.groupBy(schedule).agg(
-        F.sum("value").alias("total"), F.count("*").alias("n"), F.count_distinct("label").alias("labels"), F.bool_and(F.col("label").isin(*allowed)).alias("known"),
-        F.count("value").alias("values"), F.count_distinct("context").alias("contexts"), F.bool_or("says_complete").alias("said"),
+    # one row for each label first: distinct counts of several columns would multiply the rows before they are shuffled
+    label = components.groupBy(schedule, "label").agg(
+        F.sum("value").alias("total"), F.count("*").alias("n"), F.count("value").alias("values"), F.min("context").alias("first"), F.max("context").alias("last"), F.bool_or("says_complete").alias("said")
+    )
+    n = label.groupBy(schedule).agg(
+        F.sum("total").alias("total"), F.sum("n").alias("n"), F.count("label").alias("labels"), F.bool_and(F.col("label").isin(*allowed)).alias("known"),
+        F.sum("values").alias("values"), (F.min("first") != F.max("last")).alias("contexts"), F.bool_or("said").alias("said"),
     )
     reason = (
-        F.when(F.col("values") < F.col("n"), "COMPONENT_MISSING").when(F.col("labels") < F.col("n"), "REPEATED_LABEL").when(~F.col("known"), "LABEL_NOT_ALLOWED").when(F.col("contexts") > 1, "OTHER_CONTEXT").when(~F.coalesce("said", F.lit(False)), "NOT_COMPLETE")
+        F.when(F.col("values") < F.col("n"), "COMPONENT_MISSING").when(F.col("labels") < F.col("n"), "REPEATED_LABEL").when(~F.col("known"), "LABEL_NOT_ALLOWED").when(F.col("contexts"), "OTHER_CONTEXT").when(~F.coalesce("said", F.lit(False)), "NOT_COMPLETE")
     )
     return n.select(schedule, F.when(reason.isNull(), F.col("total")).alias("total"), reason.alias("reason"))
 

@@ -392,3 +392,23 @@ def test_sessions_close_once_and_late_rows_are_counted(spark, tmp_path):
     assert run() == ([(1, t(1, 1), 2), (1, t(1, 9), 1)], 0)
     put([(2, t(5, 2)), (1, t(1, 3)), (1, t(9, 1))], 2)
     assert run() == ([(1, t(1, 1), 2), (1, t(1, 9), 1), (2, t(5, 1), 2)], 1)
+
+
+def test_component_sums_do_not_multiply_their_rows(spark):
+    """Two distinct counts made three rows of each component before the shuffle."""
+    rows = [(1, 5, "a", "x", True), (1, 7, "b", "x", False), (2, 5, "a", "x", True), (2, 5, "a", "x", True), (3, 5, "a", "x", True), (3, None, "b", "x", True), (4, 5, "a", "x", True), (4, 5, "b", "y", True), (5, 5, "c", "x", True), (6, 5, "a", None, None), (7, 5, None, "x", True)]
+    sums = derivation.component_sum(spark.createDataFrame(rows, "s int, value int, label string, context string, says_complete boolean"), "s", ("a", "b"))
+    assert "Expand" not in sums._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["s"]: (r["total"], r["reason"]) for r in sums.collect()} == {
+        1: (12, None), 2: (None, "REPEATED_LABEL"), 3: (None, "COMPONENT_MISSING"), 4: (None, "OTHER_CONTEXT"), 5: (None, "LABEL_NOT_ALLOWED"), 6: (None, "NOT_COMPLETE"), 7: (None, "REPEATED_LABEL"),
+    }
+
+
+def test_competing_observations_are_shuffled_once(spark, tmp_path):
+    from ledgerloom.catalog import registry
+
+    rows = [(1, 1, 5.0), (1, 1, 5.0), (1, 2, 5.0), (1, 2, 6.0), (1, 3, 5.0), (2, 1, None), (2, 1, None), (2, 2, None), (2, 2, 1.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.queries()["J07_competing_observations"].run(spark, str(tmp_path))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert {(r[0], r[1]): (r["rows"], r["competing"]) for r in got.collect()} == {(1, 1): (2, False), (1, 2): (2, True), (2, 1): (2, False), (2, 2): (2, False)}
