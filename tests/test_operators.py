@@ -412,3 +412,18 @@ def test_competing_observations_are_shuffled_once(spark, tmp_path):
     got = registry.queries()["J07_competing_observations"].run(spark, str(tmp_path))
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
     assert {(r[0], r[1]): (r["rows"], r["competing"]) for r in got.collect()} == {(1, 1): (2, False), (1, 2): (2, True), (2, 1): (2, False), (2, 2): (2, False)}
+
+
+def test_concentration_keeps_no_table_of_persons(spark):
+    """Runs and departures come from sorted neighbours: aggregates by person held every appointment in a task's memory."""
+    rows = [(1, 7, "1990-01-01", "1995-01-01"), (1, 7, "1994-01-01", "2000-06-01"), (1, 7, "1994-06-01", "1994-07-01"), (1, 7, "2000-06-02", None), (1, 8, "1990-01-01", "2000-06-01"), (1, 8, "1990-01-01", "2000-06-01"), (1, 9, "1990-01-01", None), (1, None, "1990-01-01", "1999-12-01"), (2, 5, None, "2000-05-05")]
+    d = spark.createDataFrame(rows, "company int, person int, a string, r string").selectExpr("company", "person", "date(a) AS appointed", "date(r) AS resigned")
+    who = spark.createDataFrame([(1,), (2,), (3,)], "company int")
+    got = variables.change_concentration(who, d, F.lit("2000-12-31").cast("date"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Aggregate [" in x and "person#" in x.split("]")[0]]
+    # persons 7 and 8 leave on one day, out of the three in office
+    assert {r["company"]: (None if r["value"] is None else round(r["value"], 6), r["reason"], r["window_start"]) for r in got.collect()} == {1: (0.666667, None, day("2000-03-04")), 2: (None, "NO_COMPUTABLE_WINDOW", None), 3: (None, "NO_COMPUTABLE_WINDOW", None)}
+    left = variables.turnover(who, d, F.lit("2000-12-31").cast("date"))
+    assert "Expand" not in left._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["company"]: r["value"] for r in left.collect()} == {1: 2 / 3, 2: None, 3: None}
