@@ -427,3 +427,14 @@ def test_concentration_keeps_no_table_of_persons(spark):
     left = variables.turnover(who, d, F.lit("2000-12-31").cast("date"))
     assert "Expand" not in left._jdf.queryExecution().optimizedPlan().toString()
     assert {r["company"]: r["value"] for r in left.collect()} == {1: 2 / 3, 2: None, 3: None}
+
+
+def test_statements_are_summed_in_whole_pence(spark, tmp_path):
+    from ledgerloom.sources import adapters
+
+    spark.createDataFrame([(1, 7, day("1999-01-01"), 10.5)], "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 0.29, 0.07, 0.01, "R"), (1, 99999999.99, 0.1, 0.08, "N")], "l_orderkey long, l_extendedprice double, l_discount double, l_tax double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(7, -1.01)], "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    s = adapters.statements(spark, str(tmp_path))
+    assert any("l_extendedprice" in x and "as bigint" in x for x in s._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert one(s, "ta", "ca", "inv", "cl", "na", "debt") == tuple(map(Decimal, ("10.5", "100000000.28", "50000000.0965", "160000000.0420", "-5.05", "0.29")))
