@@ -18,7 +18,7 @@ def company_number(value: Column) -> Column:
 
 def strict_date(value: Column) -> Column:
     """Exactly YYYY-MM-DD, else null."""
-    return F.when(value.rlike(r"^(?!0000)\d{4}-\d{2}-\d{2}$"), value.try_cast("date"))
+    return F.when(value.rlike(r"^(?!0000)\d{4}-\d{2}-\d{2}\z"), value.try_cast("date"))
 
 
 def months_before(day: Column, months: int) -> Column:
@@ -56,7 +56,7 @@ def tagged_amount(token: Column, scale: Column, sign: Column, zero_dash: Column)
     t = F.trim(token)
     dash = zero_dash & t.isin("-", "–", "—")
     plain = t.rlike(r"^(\d{1,3}(,\d{3})+|\d+)(\.\d+)?$") | dash
-    number = F.when(dash, F.lit("0")).otherwise(F.replace(t, F.lit(","), F.lit("")))
+    number = F.when(dash, F.lit("0")).otherwise(F.translate(t, ",\n\r\u0085\u2028\u2029", ""))  # the pattern allows a line to end behind the number
     digits = F.replace(number, F.lit("."), F.lit(""))
     behind = F.when(F.length(digits) == F.length(number), 0).otherwise(F.length(number) - F.instr(number, "."))
     first, last = F.length(F.ltrim(digits, F.lit("0"))), F.length(F.rtrim(digits, F.lit("0")))

@@ -438,3 +438,8 @@ def test_statements_are_summed_in_whole_pence(spark, tmp_path):
     s = adapters.statements(spark, str(tmp_path))
     assert any("l_extendedprice" in x and "as bigint" in x for x in s._jdf.queryExecution().optimizedPlan().toString().splitlines())
     assert one(s, "ta", "ca", "inv", "cl", "na", "debt") == tuple(map(Decimal, ("10.5", "100000000.28", "50000000.0965", "160000000.0420", "-5.05", "0.29")))
+
+
+def test_a_line_may_end_behind_an_amount_but_not_behind_a_date(spark):
+    assert cell(spark, S.tagged_amount(F.lit("1,234.5\n"), F.lit(1), F.lit("-"), F.lit(False)))["value"] == -12345
+    assert [cell(spark, S.strict_date(F.lit(x))) for x in ("2024-02-29\n", "2023-02-29", "0000-01-01", "2024-02-29")] == [None, None, None, day("2024-02-29")]
