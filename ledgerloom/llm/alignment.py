@@ -136,6 +136,8 @@ def aligner(a_data: bytes, b_data: bytes) -> Callable[[list[str | None]], list[A
     #: counts (40 bits each), listing, links (as bytes), and large groups' links; False if bytes differ
     memo: dict[str, tuple[int, str, bytes, tuple] | bool] = {}
     old: dict[str, tuple[int, str, bytes, tuple] | bool] = {}
+    #: few stretches have counts of their own: kept once, as they take as much memory as a listing
+    once: dict[int, int] = {}
 
     def look_up(stretches: list[str]) -> None:
         """Align stretches that can stand one behind another, by reading them as one text; halves if that text cannot be read so."""
@@ -179,7 +181,7 @@ def aligner(a_data: bytes, b_data: bytes) -> Callable[[list[str | None]], list[A
         for s, lo, hi in zip(stretches, group, group[1:], strict=False):
             counts = (a_upto[hi] - a_upto[lo]) << 80 | (b_upto[hi] - b_upto[lo]) << 40 | (hi - lo)
             extra = tuple(product_counts(a_ids[i[g] : p[g]], b_ids[j[g] : q[g]]) for g in large if lo <= g < hi) if large else ()
-            memo[s] = (counts, ";".join(listing[lo:hi]), blob[upto[lo] : upto[hi]], extra)
+            memo[s] = (once.setdefault(counts, counts), ";".join(listing[lo:hi]), blob[upto[lo] : upto[hi]], extra)
 
     def stretches_of(text: str) -> list[str]:
         if cut is None:
@@ -223,6 +225,7 @@ def aligner(a_data: bytes, b_data: bytes) -> Callable[[list[str | None]], list[A
         nonlocal memo, old
         if len(memo) > MEMO:  # what is not met again until the next time goes
             memo, old = {}, memo
+            once.clear()
         cuts = [stretches_of(t) if t else [] for t in texts]
         found = [list(map(memo.get, c)) for c in cuts]
         new = [[k for k, x in enumerate(f) if x is None] if None in f else () for f in found]
@@ -237,6 +240,19 @@ def aligner(a_data: bytes, b_data: bytes) -> Callable[[list[str | None]], list[A
     return align
 
 
+def ready(kept: dict) -> Callable[[list[str | None]], list[Aligned]]:
+    """The aligner of ``kept["models"]``, made once; an earlier one that nothing holds any more goes first.
+
+    An aligner's functions refer to one another, so that it outlives its job, words and all, until garbage is collected.
+    """
+    if "align" not in kept:
+        import gc
+
+        gc.collect()
+        kept["align"] = aligner(*kept["models"])
+    return kept["align"]
+
+
 # ---------------------------------------------------------------------- on tables
 
 RESULTS = {"n_a": "long", "n_b": "long", "n_groups": "long", "groups": "string", "links": "array<struct<pair: bigint, often: bigint>>"}
@@ -266,8 +282,7 @@ def aligned(docs: DataFrame, text: str = "text", a_path: str = VOCABULARY, b_pat
     schema = StructType(kept.schema.fields[:-1] + StructType.fromDDL(", ".join(f"{n} {t}" for n, t in RESULTS.items())).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = sent.value
-        align = kept.get("align") or kept.setdefault("align", aligner(*kept["models"]))
+        align = ready(sent.value)
         for whole in batches:
             for b in _bounded(whole):
                 texts = [t.as_py().decode("utf-8", "replace") if t.is_valid else None for t in b.column(b.num_columns - 1)]

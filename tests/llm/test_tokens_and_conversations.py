@@ -342,3 +342,23 @@ def test_op12(spark, tmp_path):
 def test_no_conversations(spark):
     empty = spark.createDataFrame([], CONV)
     assert conversations.parsed(empty).count() == 0 and conversations.repaired(empty).count() == 0
+
+
+def test_an_earlier_jobs_aligner_goes_before_the_next_is_made():
+    """A worker that is given new models (another broadcast) must not hold two aligners with their words."""
+    import gc
+    import weakref
+
+    models = [alignment.read_small(alignment.installed(p)) for p in (alignment.VOCABULARY, alignment.PIECE_MODEL)]
+    gc.disable()
+    try:
+        kept = {"models": models}
+        first = weakref.ref(alignment.ready(kept))
+        assert alignment.ready(kept) is first()  # from task to task
+        first()(["some words", "some more"])
+        del kept
+        again = alignment.ready({"models": models})
+        assert first() is None
+        assert again(["some words"])[0][:3] == alignment.aligner(*models)(["some words"])[0][:3]
+    finally:
+        gc.enable()
