@@ -10,8 +10,8 @@ probability of one seen once and discounted. All counts come from all training d
 
 A corpus has more n-grams than rows that Spark shuffles well, so that the tables are made of blocks. A
 *batch* is some thousand documents as word numbers with their vocabulary (hashes of words). For each order it
-sends its n-grams, grouped by context, to *parts* of the hash range of contexts, with its own counts and the
-lower order's probabilities; a part adds up what all batches sent, and returns the totals, and for each
+sends its n-grams, grouped by context, to *parts* of the hash range of contexts, with its own counts and those
+that the lower order's probabilities follow from; a part adds up what all batches sent, and returns the totals, and for each
 context the number of followers by their count and the lower-order probability that they cover, from which
 the weights follow once the order's discounts are known. N-grams of contexts that no other batch has are not
 sent; which those are, the exchange of the order below tells. The orders above two are exchanged in rounds, each with
@@ -34,7 +34,6 @@ import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import cuts, grouped, sorted_in, sorted_out, spread, squeeze, unsqueeze
-from .common import bucketed, materialize, table
+from .common import add_to, bucket_table, bucketed, table
 
 #: Counts up to this are discounted.
 K = 7
@@ -184,7 +183,7 @@ class Batch:
 
 # ---------------------------------------------------------------- the exchange
 
-_FIELDS = {"batch": "long", "level": "int", "part": "int", "kind": "int", "ctx": "binary", "fan": "binary", "word": "binary", "n": "binary", "p": "binary", "values": "binary", "need": "binary", "stats": "array<bigint>"}
+_FIELDS = {"batch": "long", "level": "int", "part": "int", "kind": "int", "ctx": "binary", "fan": "binary", "word": "binary", "n": "binary", "low": "binary", "base": "binary", "shrink": "binary", "p": "binary", "need": "binary", "stats": "array<bigint>"}
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "double": pa.float64()}
 SENT = ", ".join(f"{k} {v}" for k, v in _FIELDS.items())
 
@@ -224,6 +223,11 @@ def _answers(n: np.ndarray, order: np.ndarray, starts: np.ndarray) -> tuple[np.n
     return total, 4 * total + 2 * held + (np.diff(starts, append=len(order)) > 1)
 
 
+def _of_none(row: dict) -> int:
+    """The batch that rows for the driver name: none, and another one for each part, so that no bucket gets them all."""
+    return -1 - row["part"]
+
+
 def _send_words(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -246,7 +250,7 @@ def _add_words(parts: int):
         # frequent words get small numbers, which take fewer bytes
         number = np.empty(len(total), np.int64)
         number[np.argsort(-total, kind="stable")] = np.arange(len(total)) * parts + rows[0]["part"]
-        out = [{"batch": -1, "level": 1, "part": rows[0]["part"], "kind": STATS, "stats": _histogram(total[keys != START])}]
+        out = [{"batch": _of_none(rows[0]), "level": 1, "part": rows[0]["part"], "kind": STATS, "stats": _histogram(total[keys != START])}]
         back = [np.split(spread(x, order, starts), np.cumsum(lens)[:-1]) for x in (answer, number)]
         out += [{"batch": r["batch"], "level": 1, "part": r["part"], "kind": PLAIN, "n": _small(n), "word": _small(w)} for r, n, w in zip(rows, *back, strict=True)]
         return pa.Table.from_batches([_rows(out)])
@@ -264,42 +268,59 @@ def _fans(ctx: np.ndarray, total: np.ndarray, p_low: np.ndarray, n_ctx: int) ->
     return fan, np.bincount(ctx[seen], p_low[seen], n_ctx)[:n_ctx].astype(float)  # of nothing, numpy counts in whole numbers
 
 
-def _add_grams(part: pa.Table) -> pa.Table:
+def _add_grams(m: int, model: Model):
     """What all batches sent of a part's contexts, added up and returned to each in its order."""
-    rows = sorted(part.to_pylist(), key=lambda r: (r["kind"], r["batch"]))  # a fixed order, so that reruns add up alike
-    out, stats = [], np.zeros(K + 5, np.int64)
-    for r in rows:
-        if r["kind"] == STATS:
-            stats += r["stats"]
-    for kind in (PLAIN, HOT):
-        mine = [r for r in rows if r["kind"] == kind]
-        if not mine:
-            continue
-        keys, fan, need = (np.concatenate(x) for x in zip(*((sorted_in(r["ctx"]), _large(r["fan"]), _large(r["need"])) for r in mine), strict=True))
-        word, n = (np.concatenate([_large(r[c]) for r in mine]) for c in ("word", "n"))
-        p = np.concatenate([unsqueeze(r["values"], np.float64)[_large(r["p"])] for r in mine])
-        _, ctx_of = np.unique(keys, return_inverse=True)
-        ctx = np.repeat(ctx_of, fan)
-        order = np.lexsort((word, ctx))
-        c, w = ctx[order], word[order]
-        starts = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1]))))
-        total, answer = _answers(n, order, starts)
-        stats += _histogram(total)
-        # an n-gram that nobody learnt has no probability sent with it; one that somebody did has his
-        p_low = np.maximum.reduceat(p[order], starts)
-        fans, lower = _fans(c[starts], total, p_low, int(ctx_of.max()) + 1)
-        back = np.split(spread(answer, order, starts), np.cumsum([len(_large(r["word"])) for r in mine])[:-1])
-        edges = np.cumsum([len(sorted_in(r["ctx"])) for r in mine])[:-1]
-        for r, t, k, needs in zip(mine, back, np.split(ctx_of, edges), np.split(need, edges), strict=True):
-            row = {"batch": r["batch"], "level": r["level"], "part": r["part"], "kind": kind, "n": _small(t)}
-            if kind == PLAIN:
-                row |= {"fan": _small(fans[k].T.reshape(-1)), "p": squeeze(lower[k[needs > 0]])}
-            out.append(row)
-        if kind == HOT:
-            hot = np.unique(keys)
-            out.append({"batch": -1, "level": mine[0]["level"], "part": mine[0]["part"], "kind": SUMS, "ctx": sorted_out(hot), "fan": _small(fans.reshape(-1)), "p": squeeze(lower)})
-    out.append({"batch": -1, "level": rows[0]["level"], "part": rows[0]["part"], "kind": STATS, "stats": stats.tolist()})
-    return pa.Table.from_batches([_rows(out)])
+
+    def run(part: pa.Table) -> pa.Table:
+        rows = sorted(part.to_pylist(), key=lambda r: (r["kind"], r["batch"]))  # a fixed order, so that reruns add up alike
+        about = {"level": m, "part": rows[0]["part"]}
+        out, stats = [], np.zeros(K + 5, np.int64)
+        for r in rows:
+            if r["kind"] == STATS:
+                stats += r["stats"]
+        for kind in (PLAIN, HOT):
+            mine = [r for r in rows if r["kind"] == kind]
+            if not mine:
+                continue
+            keys, fan, need = zip(*((sorted_in(r["ctx"]), _large(r["fan"]), _large(r["need"])) for r in mine), strict=True)
+            words = [_large(r["word"]) for r in mine]
+            p = np.concatenate([_low_p(r, w, f, m, model) for r, w, f in zip(mine, words, fan, strict=True)])
+            edges, sizes = np.cumsum([len(k) for k in keys])[:-1], np.cumsum([len(w) for w in words])[:-1]
+            keys, fan, word = np.concatenate(keys), np.concatenate(fan), np.concatenate(words)
+            n = np.concatenate([_large(r["n"]) for r in mine])
+            _, ctx_of = np.unique(keys, return_inverse=True)
+            ctx = np.repeat(ctx_of, fan)
+            order = np.lexsort((word, ctx))
+            c, w = ctx[order], word[order]
+            starts = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1]))))
+            total, answer = _answers(n, order, starts)
+            stats += _histogram(total)
+            # those who have learnt an n-gram all send one probability, others that or none
+            p_low = np.maximum.reduceat(p[order], starts)
+            fans, lower = _fans(c[starts], total, p_low, int(ctx_of.max()) + 1)
+            back = np.split(spread(answer, order, starts), sizes)
+            for r, t, k, needs in zip(mine, back, np.split(ctx_of, edges), need, strict=True):
+                row = about | {"batch": r["batch"], "kind": kind, "n": _small(t)}
+                if kind == PLAIN:  # how often all others were seen follows from the context's own count
+                    row |= {"fan": _small(fans[k, :K].T.reshape(-1)), "p": squeeze(lower[k[needs > 0]])}
+                out.append(row)
+            if kind == HOT:
+                hot = np.unique(keys)
+                out.append(about | {"batch": _of_none(about), "kind": SUMS, "ctx": sorted_out(hot), "fan": _small(fans.reshape(-1)), "p": squeeze(lower)})
+        out.append(about | {"batch": _of_none(about), "kind": STATS, "stats": stats.tolist()})
+        return pa.Table.from_batches([_rows(out)])
+
+    return run
+
+
+def _low_p(row: dict, word: np.ndarray, fan: np.ndarray, m: int, model: Model) -> np.ndarray:
+    """The lower-order probabilities of a message's n-grams, from the counts that were sent (see :meth:`Exchange._message`); 0 where none was."""
+    low = _large(row["low"])
+    if m == 2:
+        return model.words.p(_placed(low, np.argsort(word, kind="stable")))
+    base = np.repeat(_large(row["base"]), fan)
+    shrink = np.repeat(unsqueeze(row["shrink"], np.float64), fan) if row["shrink"] else 1.0
+    return np.where((low > 0) & (base > 0), model.discounts[m - 1].kept(low) * shrink / np.maximum(base, 1), 0.0)
 
 
 # ---------------------------------------------------------------- the model
@@ -350,9 +371,12 @@ class Model:
 
 
 class Exchange:
-    """What a batch sends for one order, given the answers and probabilities of the n-grams of the order below."""
+    """What a batch sends for one order, given what is known of the n-grams of the order below.
 
-    def __init__(self, batch: Batch, m: int, below_answer: np.ndarray, below_p: np.ndarray, model: Model) -> None:
+    That is their answers and probabilities, and of their contexts the counts and by what their n-grams are shrunk (none of words).
+    """
+
+    def __init__(self, batch: Batch, m: int, below_answer: np.ndarray, below_p: np.ndarray, below_contexts: tuple[np.ndarray, np.ndarray] | None, model: Model) -> None:
         self.level, below = batch.levels[m - 1], batch.levels[m - 2]
         by_hash = lambda x: x if m == 2 else _placed(x, below.rank)
         self.keys, answer = below.keys, by_hash(below_answer)
@@ -360,6 +384,11 @@ class Exchange:
         self.counts = _counts(batch, self.level)
         self.p_low = below_p[self.level.low]
         ctx = self.level.ctx
+        self.low, self.base = (below_answer >> 2)[self.level.low], None
+        if below_contexts is not None:
+            # the lower order's probabilities serve to back off, which only text held out does
+            self.low[(self.level.count == 0) | ~self.wanted[ctx]] = 0
+            self.base, self.below_ctx = below_contexts, below.ctx
         sent = (shared & (self.ctx_total > 0))[ctx]
         hot = (self.ctx_total > model.hot_tokens)[ctx]
         self.plain, self.hot = np.flatnonzero(sent & ~hot), np.flatnonzero(sent & hot)
@@ -393,17 +422,22 @@ class Exchange:
         return [{"batch": batch.number, "level": m} | x for x in out]
 
     def _message(self, entries: np.ndarray, numbers: np.ndarray) -> dict:
+        """N-grams by context, with what their lower-order probabilities follow from.
+
+        Of pairs these are the words' counts, in the order of the words' numbers, so that equal ones lie side by side. Of longer
+        n-grams they are the counts of those one word shorter, and for each context the count and the shrinking of its own end.
+        """
         ctx, begin = self.contexts(entries)
-        # the lower order's probabilities serve to back off, which only text held out does
-        says = (self.level.count > 0) & self.wanted[self.level.ctx]
-        values, p = np.unique(np.where(says[entries], self.p_low[entries], 0.0), return_inverse=True)
-        return {
-            "ctx": sorted_out(self.keys[ctx]), "fan": _small(np.diff(begin, append=len(entries))), "need": _small(self.need[ctx]),
-            "word": _small(numbers[self.level.word[entries]]), "n": _small(self.counts[entries]), "p": _small(p), "values": squeeze(values),
-        }
-
-    def answered(self, rows: list[dict], discounts: Discounts, hot: tuple | None) -> tuple[np.ndarray, np.ndarray]:
-        """The answer to each n-gram and its probability, from what the parts returned."""
+        word, low = numbers[self.level.word[entries]], self.low[entries]
+        out = {"ctx": sorted_out(self.keys[ctx]), "fan": _small(np.diff(begin, append=len(entries))), "need": _small(self.need[ctx]), "word": _small(word), "n": _small(self.counts[entries])}
+        if self.base is None:
+            return out | {"low": _small(low[np.argsort(word, kind="stable")])}
+        end, wanted = self.below_ctx[self.level.low[entries[begin]]], self.wanted[ctx]
+        count, shrink = np.where(wanted, self.base[0][end], 0), np.where(wanted, self.base[1][end], 1.0)
+        return out | {"low": _small(low), "base": _small(count), "shrink": squeeze(shrink) if (shrink != 1).any() else b""}
+
+    def answered(self, rows: list[dict], discounts: Discounts, hot: tuple | None) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """The answer to each n-gram and its probability, from what the parts returned; the contexts' counts and shrinkings."""
         answer = 4 * (self.counts >> 1) + 2 * (self.counts & 1)
         for kind, entries in ((PLAIN, self.plain), (HOT, self.hot)):
             mine = sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["part"])
@@ -416,7 +450,9 @@ class Exchange:
         ctx, _ = self.contexts(self.plain)
         mine = sorted((r for r in rows if r["kind"] == PLAIN), key=lambda r: r["part"])
         if mine:
-            fan[ctx] = np.concatenate([_large(r["fan"]).reshape(K + 1, -1).T for r in mine])
+            few = np.concatenate([_large(r["fan"]).reshape(K, -1).T for r in mine])
+            # each occurrence of a context in training has one word behind it
+            fan[ctx] = np.column_stack((few, self.ctx_total[ctx] - few @ np.arange(1, K + 1)))
             lower[ctx[self.need[ctx] > 0]] = np.concatenate([unsqueeze(r["p"], np.float64) for r in mine])
         if hot is not None and len(self.hot):
             ctx = np.unique(self.level.ctx[self.hot])
@@ -430,7 +466,7 @@ class Exchange:
             alpha = np.where(count > 0, (1 - used * shrink) / (1 - lower), 1.0)
             of = self.level.ctx
             p = np.where(total > 0, discounts.kept(total) * shrink[of] / count[of], alpha[of] * self.p_low)
-        return answer, p
+        return answer, p, (self.ctx_total, shrink)
 
 
 def _placed(x: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -445,7 +481,7 @@ def _spans(a: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(begin, [*begin[1:], len(a)], strict=False))
 
 
-def resolved(batch: Batch, rows: list[dict], model: Model, upto: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+def resolved(batch: Batch, rows: list[dict], model: Model, upto: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray] | None]]]:
     """Word totals and numbers, and of each order up to ``upto`` the answers to the n-grams and their probabilities."""
     of = defaultdict(list)
     for r in rows:
@@ -453,7 +489,7 @@ def resolved(batch: Batch, rows: list[dict], model: Model, upto: int) -> tuple[n
     words = sorted(of[1], key=lambda r: r["part"])
     answer, numbers = (np.concatenate([_large(r[c]) for r in words]) for c in ("n", "word"))
     total = answer >> 2
-    known = [(answer, model.words.p(total))]
+    known = [(answer, model.words.p(total), None)]
     for m in range(2, upto + 1):
         known.append(Exchange(batch, m, *known[-1], model).answered(of[m], model.discounts[m], model.hot.get(m)))
     return total, numbers, known
@@ -481,7 +517,7 @@ def _score(model: Model, order: int, kind: pa.DataType):
             words, _, known = resolved(batch, rows, model, order)
             base = np.log10((words + 0.5) / (model.words.n + 0.5 * (model.words.types + 1)))
             logs = np.zeros(len(batch.tokens))
-            for level, (_, p) in zip(batch.levels, known, strict=True):  # the highest order that a token has
+            for level, (_, p, _) in zip(batch.levels, known, strict=True):  # the highest order that a token has
                 at = np.flatnonzero(level.of >= 0)
                 logs[at] = np.log10(p)[level.of[at]]
             per_doc = lambda x: np.add.reduceat(x, batch.first).tolist()
@@ -524,22 +560,29 @@ def katz_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     batches = bucketed(_batches(docs, text_col, id_col), "batch", "katz-batches")
     tokens = batches.select(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).agg(F.sum("n")).first()[0] or 0
     parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // PART_TOKENS))
-    with_answers = lambda how, schema: batches.groupBy("batch").cogroup(answers.filter("batch >= 0").groupBy("batch")).applyInArrow(how, schema)
+    # an answer goes to its batch once, however often the batch reads it
+    name = bucket_table("katz-answers")
+    keep = lambda df: add_to(name, df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "batch"), "batch")
+
+    def with_answers(upto: int, how, schema: str) -> DataFrame:
+        mine = spark.table(name).filter((F.col("batch") >= 0) & (F.col("level") <= upto))
+        return batches.groupBy("batch").cogroup(mine.groupBy("batch")).applyInArrow(how, schema)
 
-    answers = materialize(batches.mapInArrow(_send_words(parts), SENT).groupBy("part").applyInArrow(_add_words(parts), SENT), "katz-words")
+    answers = keep(batches.mapInArrow(_send_words(parts), SENT).groupBy("part").applyInArrow(_add_words(parts), SENT))
     model = Model(Words(_stats(answers)), parts, HOT_TOKENS if hot_tokens is None else hot_tokens)
     for m in range(2, order + 1):
         rounds = 1 if m == 2 else ROUNDS
-        sent = (with_answers(_send_grams(m, model, turn, rounds), SENT) for turn in range(rounds))
-        more = reduce(DataFrame.unionByName, [materialize(x.groupBy("part").applyInArrow(_add_grams, SENT), f"katz-grams{m}") for x in sent])
-        model.discounts[m] = Discounts(_stats(more))
-        model.hot[m] = _hot_sums(more)
-        answers = answers.unionByName(more)
+        for turn in range(rounds):
+            sent = with_answers(m - 1, _send_grams(m, model, turn, rounds), SENT)
+            answers = keep(sent.groupBy("part").applyInArrow(_add_grams(m, model), SENT))
+        answers = answers.filter(F.col("level") == m)
+        model.discounts[m] = Discounts(_stats(answers))
+        model.hot[m] = _hot_sums(answers)
     kind = docs.schema[id_col].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
     result = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return with_answers(_score(model, order, to_arrow_type(kind)), result)
+    return with_answers(order, _score(model, order, to_arrow_type(kind)), result)
 
 
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -655,6 +656,41 @@ def test_katz_tells_copies_and_junk_apart(spark):
     assert max(new) < min(got[k] for k in taught[:300])
 
 
+def test_katz_sends_each_answer_once_and_no_tables_of_probabilities(docs):
+    """op9: every reading of the answers shuffled them again, and each message listed its probabilities, so that they grew with batches times parts."""
+    plan = katz.katz_scores(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Exchange" not in plan
+    row = katz._batches(docs.coalesce(1), "text", "doc_id").first().asDict()
+    batch = katz.Batch(row, 3)
+    total = batch.levels[0].count
+    model = katz.Model(katz.Words(katz._histogram(total[batch.words != katz.START])), 8, 10**9)
+    known = (4 * total + 3, model.words.p(total), None)  # as if other batches had all words, too
+    sent = {}
+    for m in (2, 3):
+        exchange = katz.Exchange(batch, m, *known, model)
+        rows = exchange.messages(batch, m, np.arange(len(batch.words)), 8, 0, 1)
+        plain = sorted((r for r in rows if r["kind"] == katz.PLAIN), key=lambda r: r["part"])
+        p = np.concatenate([katz._low_p(r, katz._large(r["word"]), katz._large(r["fan"]), m, model) for r in plain])
+        learnt = (exchange.level.count > 0)[exchange.plain] & exchange.wanted[exchange.level.ctx[exchange.plain]]
+        assert learnt.sum() > 100 and (p[learnt] == exchange.p_low[exchange.plain][learnt]).all()
+        sent[m] = sum(len(r[c]) for r in plain for c in ("low", "base", "shrink") if r.get(c)) / len(exchange.plain)
+        stats = katz._histogram(exchange.level.count)
+        model.discounts[m] = katz.Discounts(stats)
+        alone = [r | dict(zip(("n", "fan", "p"), katz_alone(exchange, r), strict=True)) for r in plain]
+        known = exchange.answered(alone, model.discounts[m], None)
+        known = (known[0] | 3, *known[1:])
+    assert max(sent.values()) < 4
+
+
+def katz_alone(exchange, row):
+    """What a part answers that only this batch sends to."""
+    n, fan, need = (katz._large(row[c]) for c in ("n", "fan", "need"))
+    ctx = np.repeat(np.arange(len(fan)), fan)
+    of = np.flatnonzero(np.isin(exchange.keys[exchange.level.ctx], katz.sorted_in(row["ctx"])))
+    fans, lower = katz._fans(ctx, n >> 1, exchange.p_low[of], len(fan))
+    return katz._small(4 * (n >> 1) + 2 * (n & 1)), katz._small(fans[:, : katz.K].T.reshape(-1)), katz.squeeze(lower[need > 0])
+
+
 def test_katz_edges(spark, empty):
     assert katz.katz_scores(empty).count() == 0
     held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 1)
