@@ -228,6 +228,11 @@ def _of_none(row: dict) -> int:
     return -1 - row["part"]
 
 
+def _said(n: np.ndarray) -> np.ndarray:
+    """The part of an answer that follows from what the batch itself has sent (see :func:`_counts`)."""
+    return 4 * (n >> 1) + 2 * (n & 1)
+
+
 def _send_words(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -245,14 +250,16 @@ def _add_words(parts: int):
     def run(part: pa.Table) -> pa.Table:
         rows = part.to_pylist()
         order, starts, lens = grouped([r["ctx"] for r in rows])
-        total, answer = _answers(np.concatenate([_large(r["n"]) for r in rows]), order, starts)
+        n = np.concatenate([_large(r["n"]) for r in rows])
+        total, answer = _answers(n, order, starts)
         keys = np.concatenate([sorted_in(r["ctx"]) for r in rows])[order][starts]
         # frequent words get small numbers, which take fewer bytes
         number = np.empty(len(total), np.int64)
         number[np.argsort(-total, kind="stable")] = np.arange(len(total)) * parts + rows[0]["part"]
         out = [{"batch": _of_none(rows[0]), "level": 1, "part": rows[0]["part"], "kind": STATS, "stats": _histogram(total[keys != START])}]
         back = [np.split(spread(x, order, starts), np.cumsum(lens)[:-1]) for x in (answer, number)]
-        out += [{"batch": r["batch"], "level": 1, "part": r["part"], "kind": PLAIN, "n": _small(n), "word": _small(w)} for r, n, w in zip(rows, *back, strict=True)]
+        said = np.split(_said(n), np.cumsum(lens)[:-1])
+        out += [{"batch": r["batch"], "level": 1, "part": r["part"], "kind": PLAIN, "n": _small(a - s), "word": _small(w)} for r, s, a, w in zip(rows, said, *back, strict=True)]
         return pa.Table.from_batches([_rows(out)])
 
     return run
@@ -298,11 +305,12 @@ def _add_grams(m: int, model: Model):
             # those who have learnt an n-gram all send one probability, others that or none
             p_low = np.maximum.reduceat(p[order], starts)
             fans, lower = _fans(c[starts], total, p_low, int(ctx_of.max()) + 1)
-            back = np.split(spread(answer, order, starts), sizes)
+            back = np.split(spread(answer, order, starts) - _said(n), sizes)
+            seen = np.bincount(c[starts], total).astype(np.int64)  # how often each context was
             for r, t, k, needs in zip(mine, back, np.split(ctx_of, edges), need, strict=True):
                 row = about | {"batch": r["batch"], "kind": kind, "n": _small(t)}
-                if kind == PLAIN:  # how often all others were seen follows from the context's own count
-                    row |= {"fan": _small(fans[k, :K].T.reshape(-1)), "p": squeeze(lower[k[needs > 0]])}
+                if kind == PLAIN:  # contexts in the order of their counts, which batches know, have like fans side by side; how often all others were seen follows
+                    row |= {"fan": _small(fans[k[np.argsort(seen[k], kind="stable")], :K].T.reshape(-1)), "p": squeeze(lower[k[needs > 0]])}
                 out.append(row)
             if kind == HOT:
                 hot = np.unique(keys)
@@ -438,11 +446,11 @@ class Exchange:
 
     def answered(self, rows: list[dict], discounts: Discounts, hot: tuple | None) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
         """The answer to each n-gram and its probability, from what the parts returned; the contexts' counts and shrinkings."""
-        answer = 4 * (self.counts >> 1) + 2 * (self.counts & 1)
+        answer = _said(self.counts)
         for kind, entries in ((PLAIN, self.plain), (HOT, self.hot)):
             mine = sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["part"])
             if mine:
-                answer[entries] = np.concatenate([_large(r["n"]) for r in mine])
+                answer[entries] += np.concatenate([_large(r["n"]) for r in mine])
         total = answer >> 2
         # contexts of this batch alone, then those that parts and all parts together answer for
         own = self.own
@@ -450,7 +458,9 @@ class Exchange:
         ctx, _ = self.contexts(self.plain)
         mine = sorted((r for r in rows if r["kind"] == PLAIN), key=lambda r: r["part"])
         if mine:
-            few = np.concatenate([_large(r["fan"]).reshape(K, -1).T for r in mine])
+            few = [_large(r["fan"]).reshape(K, -1).T for r in mine]
+            counts = np.split(self.ctx_total[ctx], np.cumsum([len(f) for f in few])[:-1])
+            few = np.concatenate([_placed(f, np.argsort(c, kind="stable")) for f, c in zip(few, counts, strict=True)])
             # each occurrence of a context in training has one word behind it
             fan[ctx] = np.column_stack((few, self.ctx_total[ctx] - few @ np.arange(1, K + 1)))
             lower[ctx[self.need[ctx] > 0]] = np.concatenate([unsqueeze(r["p"], np.float64) for r in mine])
@@ -488,6 +498,7 @@ def resolved(batch: Batch, rows: list[dict], model: Model, upto: int) -> tuple[n
         of[r["level"]].append(r)
     words = sorted(of[1], key=lambda r: r["part"])
     answer, numbers = (np.concatenate([_large(r[c]) for r in words]) for c in ("n", "word"))
+    answer += _said(_counts(batch, batch.levels[0]))
     total = answer >> 2
     known = [(answer, model.words.p(total), None)]
     for m in range(2, upto + 1):

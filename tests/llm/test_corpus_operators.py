@@ -688,7 +688,8 @@ def katz_alone(exchange, row):
     ctx = np.repeat(np.arange(len(fan)), fan)
     of = np.flatnonzero(np.isin(exchange.keys[exchange.level.ctx], katz.sorted_in(row["ctx"])))
     fans, lower = katz._fans(ctx, n >> 1, exchange.p_low[of], len(fan))
-    return katz._small(4 * (n >> 1) + 2 * (n & 1)), katz._small(fans[:, : katz.K].T.reshape(-1)), katz.squeeze(lower[need > 0])
+    by_count = np.argsort(np.bincount(ctx, n >> 1), kind="stable")
+    return katz._small(0 * n), katz._small(fans[by_count, : katz.K].T.reshape(-1)), katz.squeeze(lower[need > 0])
 
 
 def test_katz_edges(spark, empty):
