@@ -57,3 +57,32 @@ def spread(values: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndar
     out = np.empty(len(order), values.dtype)
     out[order] = np.repeat(values, np.diff(starts, append=len(order)))
     return out
+
+
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """The places of whole numbers (none below 0) in their order, equal ones as they stand.
+
+    Numbers sort several times faster than places by numbers, so that places are sorted below the keys' highest bits.
+    """
+    bits = len(keys).bit_length()
+    top = int(keys.max()).bit_length() if len(keys) else 0
+    cut = max(0, top + bits - 64)
+    place = np.arange(len(keys), dtype=np.uint64)
+    packed = np.sort((keys.astype(np.uint64) >> np.uint64(cut)) << np.uint64(bits) | place)
+    order = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+    if cut:  # keys that differ in the bits left out alone may stand wrong
+        k = keys[order]
+        if (k[1:] < k[:-1]).any():
+            return np.argsort(keys, kind="stable")
+    return order
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct of whole numbers in order, where each is first, and the number of each key's."""
+    order = order_of(keys)
+    k = keys[order]
+    first = np.ones(len(k), bool)
+    np.not_equal(k[1:], k[:-1], out=first[1:])
+    number = np.empty(len(k), np.int64)
+    number[order] = np.cumsum(first) - 1
+    return k[first], order[first], number

@@ -9,11 +9,13 @@ estimated from the words seen once and twice (``n_1^2 / 2 n_2``), so that an unk
 probability of one seen once and discounted. All counts come from all training documents, single ones included.
 
 A corpus has more n-grams than rows that Spark shuffles well, so that the tables are made of blocks. A
-*batch* is some thousand documents as word numbers with their vocabulary (hashes of words). For each order it
+*batch* is some thousand documents as word numbers with their vocabulary (hashes of words); a task keeps one open
+for each of the first KINDS values of a column that tells like documents (their language), as fewer batches then
+share a context. No score depends on that. For each order it
 sends its n-grams, grouped by context, to *parts* of the hash range of contexts, with its own counts and those
 that the lower order's probabilities follow from; a part adds up what all batches sent, and returns the totals, and for each
-context the number of followers by their count and the lower-order probability that they cover, from which
-the weights follow once the order's discounts are known. N-grams of contexts that no other batch has are not
+context the number of followers by their count and (to batches that have to back off from it) the lower-order probability
+that they cover, from which the weights follow once the order's discounts are known. N-grams of contexts that no other batch has are not
 sent; which those are, the exchange of the order below tells. The orders above two are exchanged in rounds, each with
 its share of the parts, and a round's shuffle files go when it ends. Parts follow the data: each gets about PART_TOKENS tokens' n-grams. The
 n-grams of a context seen more than HOT_TOKENS times are dealt out by their own hash instead; the sums of
@@ -25,7 +27,7 @@ Defined results
 * a null id is trained on and scored, ids may repeat: each row is a document of its own;
 * a context with no mass left for backing off gets half a count's worth, taken evenly from its n-grams;
 * a corpus without training documents gives every token the probability of the unknown one;
-* an empty table gives an empty result; other columns of the input are not read.
+* an empty table gives an empty result; other columns of the input are not read, and that of like documents may hold anything.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import cuts, grouped, sorted_in, sorted_out, spread, squeeze, unsqueeze
+from .blocks import cuts, distinct, grouped, order_of, sorted_in, sorted_out, spread, squeeze, unsqueeze
 from .common import add_to, bucket_table, bucketed, table
 
 #: Counts up to this are discounted.
@@ -48,6 +50,8 @@ K = 7
 ORDER = 3
 #: A batch is closed when it holds so many tokens.
 BATCH_TOKENS = 1_200_000
+#: Batches that a task has open at once, and the tokens in them; beyond these the largest is closed.
+KINDS, OPEN_TOKENS = 6, 3_600_000
 #: Tokens whose n-grams one part adds up on average at most.
 PART_TOKENS = 2_000_000
 #: Contexts seen more often are dealt out over all parts.
@@ -80,8 +84,8 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 BATCHES = "batch long, docs array<{kind}>, held array<boolean>, n_tokens array<int>, vocabulary binary, tokens binary"
 
 
-def _batches(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """One row for each batch of documents."""
+def _batches(docs: DataFrame, text_col: str, id_col: str, like_col: str | None = None) -> DataFrame:
+    """One row for each batch of documents; of like ones, as far as ``like_col`` tells."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,12 +93,14 @@ def _batches(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 32
-        names: list[str] | None = None
         number = itertools.count()
         fresh = lambda: (defaultdict(itertools.count().__next__), [], [], [])
-        words, ids, held, tokens = fresh()
+        kinds: dict[str | None, int] = {}
+        begun, sizes = defaultdict(fresh), defaultdict(int)
 
-        def close() -> pa.RecordBatch:
+        def close(kind: int) -> pa.RecordBatch:
+            words, ids, held, tokens = begun.pop(kind)
+            del sizes[kind]
             hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
             hashes = np.concatenate((hashes, [START, END])).astype(np.uint64)
             vocabulary, place = np.unique(hashes, return_inverse=True)
@@ -108,25 +114,29 @@ def _batches(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
                 pa.array([sorted_out(vocabulary)], pa.binary()),
                 pa.array([squeeze(place[flat].astype(np.uint32))], pa.binary()),
             ]
-            return pa.RecordBatch.from_arrays(columns, names=names)
+            return pa.RecordBatch.from_arrays(columns, names=["batch", "docs", "held", "n_tokens", "vocabulary", "tokens"])
 
-        size = 0
         for b in batches:
-            names = ["batch", "docs", "held", "n_tokens", "vocabulary", "tokens"]
             docs_type = b.schema.field(0).type
-            for i, h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for i, h, like, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                kind = kinds.get(like, KINDS - 1)
+                if kind == KINDS - 1 > len(kinds):
+                    kind = kinds[like] = len(kinds)
+                words, ids, held, tokens = begun[kind]
                 w = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
                 ids.append(i)
                 held.append(h)
-                tokens.append(np.fromiter(map(words.__getitem__, w), np.int64, len(w)))
-                size += len(w) + 1
-                if size >= BATCH_TOKENS:
-                    yield close()
-                    size, (words, ids, held, tokens) = 0, fresh()
-        if ids:
-            yield close()
-
-    read = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held"), F.col(text_col).alias("text"))
+                tokens.append(np.fromiter(map(words.__getitem__, w), np.int32, len(w)))
+                sizes[kind] += len(w) + 1
+                if sizes[kind] >= BATCH_TOKENS:
+                    yield close(kind)
+                elif sum(sizes.values()) >= OPEN_TOKENS:
+                    yield close(max(sizes, key=sizes.get))
+        for kind in list(begun):
+            yield close(kind)
+
+    like = F.lit(None).cast("string") if like_col is None else F.col(like_col).cast("string")
+    read = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held"), like.alias("like"), F.col(text_col).alias("text"))
     return read.mapInArrow(run, BATCHES.format(kind=kind))
 
 
@@ -167,14 +177,14 @@ class Batch:
             ctx = below.rank[below.of[at - 1]]
             if m == 2:
                 ctx[self.first] = start
-            grams, one, inverse = np.unique(ctx * len(self.words) + self.tokens[at], return_index=True, return_inverse=True)
+            grams, one, inverse = distinct(ctx * len(self.words) + self.tokens[at])
             of = np.full(len(self.tokens), -1)
             of[at] = inverse
             ctx, word = np.divmod(grams, max(1, len(self.words)))
             rank = keys = grams[:0]
             if m < order:
                 h = _mixed(below.keys[ctx], self.words[word])
-                by_hash = np.argsort(h)
+                by_hash = order_of(h)
                 rank = np.empty(len(h), np.int64)
                 rank[by_hash] = np.arange(len(h))
                 keys = h[by_hash]
@@ -228,6 +238,13 @@ def _of_none(row: dict) -> int:
     return -1 - row["part"]
 
 
+def _backing_off(ctx: np.ndarray, n: np.ndarray, total: np.ndarray, n_ctx: int) -> np.ndarray:
+    """1 for each context behind which a batch has an n-gram of held-out text that nobody has learnt, 0 for others."""
+    need = np.zeros(n_ctx, np.int64)
+    need[ctx[(n & 1 > 0) & (total == 0)]] = 1
+    return need
+
+
 def _said(n: np.ndarray) -> np.ndarray:
     """The part of an answer that follows from what the batch itself has sent (see :func:`_counts`)."""
     return 4 * (n >> 1) + 2 * (n & 1)
@@ -289,15 +306,18 @@ def _add_grams(m: int, model: Model):
             mine = [r for r in rows if r["kind"] == kind]
             if not mine:
                 continue
-            keys, fan, need = zip(*((sorted_in(r["ctx"]), _large(r["fan"]), _large(r["need"])) for r in mine), strict=True)
+            keys, fan = zip(*((sorted_in(r["ctx"]), _large(r["fan"])) for r in mine), strict=True)
             words = [_large(r["word"]) for r in mine]
             p = np.concatenate([_low_p(r, w, f, m, model) for r, w, f in zip(mine, words, fan, strict=True)])
             edges, sizes = np.cumsum([len(k) for k in keys])[:-1], np.cumsum([len(w) for w in words])[:-1]
+            own, lens = [np.repeat(np.arange(len(f)), f) for f in fan], [len(f) for f in fan]
             keys, fan, word = np.concatenate(keys), np.concatenate(fan), np.concatenate(words)
             n = np.concatenate([_large(r["n"]) for r in mine])
-            _, ctx_of = np.unique(keys, return_inverse=True)
+            ctx_of = np.empty(len(keys), np.int64)
+            by_key = np.argsort(keys, kind="stable")  # each message's are in order already
+            ctx_of[by_key] = np.cumsum(np.diff(keys[by_key], prepend=keys[by_key[:1]]) != 0)
             ctx = np.repeat(ctx_of, fan)
-            order = np.lexsort((word, ctx))
+            order = order_of(ctx * (int(word.max()) + 1) + word)
             c, w = ctx[order], word[order]
             starts = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1]))))
             total, answer = _answers(n, order, starts)
@@ -305,7 +325,9 @@ def _add_grams(m: int, model: Model):
             # those who have learnt an n-gram all send one probability, others that or none
             p_low = np.maximum.reduceat(p[order], starts)
             fans, lower = _fans(c[starts], total, p_low, int(ctx_of.max()) + 1)
-            back = np.split(spread(answer, order, starts) - _said(n), sizes)
+            answer = spread(answer, order, starts)
+            back = np.split(answer - _said(n), sizes)
+            need = [_backing_off(*x) for x in zip(own, np.split(n, sizes), np.split(answer >> 2, sizes), lens, strict=True)]
             seen = np.bincount(c[starts], total).astype(np.int64)  # how often each context was
             for r, t, k, needs in zip(mine, back, np.split(ctx_of, edges), need, strict=True):
                 row = about | {"batch": r["batch"], "kind": kind, "n": _small(t)}
@@ -401,10 +423,8 @@ class Exchange:
         hot = (self.ctx_total > model.hot_tokens)[ctx]
         self.plain, self.hot = np.flatnonzero(sent & ~hot), np.flatnonzero(sent & hot)
         self.own = np.flatnonzero(~sent)
-        # contexts that held-out tokens may back off from
-        tokens = np.flatnonzero((self.level.of >= 0) & ~batch.learn)
-        self.need = np.zeros(len(self.keys), np.int64)
-        self.need[ctx[self.level.of[tokens]]] = 1
+        # contexts that held-out tokens may back off from: an n-gram that the batch has learnt is no reason
+        self.need = _backing_off(ctx, self.counts, self.counts >> 1, len(self.keys))
         # hot n-grams go by their own hash
         self.deal = (_mixed(self.keys[ctx[self.hot]], batch.words[self.level.word[self.hot]]) % np.uint64(model.parts)).astype(np.int64)
         order = np.argsort(self.deal, kind="stable")
@@ -463,7 +483,8 @@ class Exchange:
             few = np.concatenate([_placed(f, np.argsort(c, kind="stable")) for f, c in zip(few, counts, strict=True)])
             # each occurrence of a context in training has one word behind it
             fan[ctx] = np.column_stack((few, self.ctx_total[ctx] - few @ np.arange(1, K + 1)))
-            lower[ctx[self.need[ctx] > 0]] = np.concatenate([unsqueeze(r["p"], np.float64) for r in mine])
+            need = _backing_off(self.level.ctx[self.plain], self.counts[self.plain], total[self.plain], len(self.keys))
+            lower[ctx[need[ctx] > 0]] = np.concatenate([unsqueeze(r["p"], np.float64) for r in mine])
         if hot is not None and len(self.hot):
             ctx = np.unique(self.level.ctx[self.hot])
             at = np.searchsorted(hot[0], self.keys[ctx])
@@ -563,12 +584,15 @@ def _hot_sums(answers: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, np.array([[r[n] for n in names[1:-1]] for r in found], np.int64).reshape(len(found), K + 1), np.array([r["lower"] for r in found], np.float64)
 
 
-def katz_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", order: int = ORDER, hot_tokens: int | None = None) -> DataFrame:
-    """For each row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` (log10)."""
+def katz_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", order: int = ORDER, hot_tokens: int | None = None, like_col: str | None = None) -> DataFrame:
+    """For each row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` (log10).
+
+    Rows that are alike in ``like_col`` are worked on together, which saves shuffling and changes no score.
+    """
     if order < 1:
         raise ValueError("order must be positive")
     spark = docs.sparkSession
-    batches = bucketed(_batches(docs, text_col, id_col), "batch", "katz-batches")
+    batches = bucketed(_batches(docs, text_col, id_col, like_col), "batch", "katz-batches")
     tokens = batches.select(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).agg(F.sum("n")).first()[0] or 0
     parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // PART_TOKENS))
     # an answer goes to its batch once, however often the batch reads it
@@ -597,4 +621,5 @@ def katz_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
 
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents")
+    return katz_scores(docs, like_col="lang" if "lang" in docs.columns else None)

@@ -9,10 +9,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, graph, html_extract, katz, linededup, mixing, quality, sharding, simhash, substring_dedup, surrogates
+from ledgerloom.llm import blocks, decontaminate, graph, html_extract, katz, linededup, mixing, quality, sharding, simhash, substring_dedup, surrogates
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -692,6 +693,52 @@ def katz_alone(exchange, row):
     return katz._small(0 * n), katz._small(fans[by_count, : katz.K].T.reshape(-1)), katz.squeeze(lower[need > 0])
 
 
+def test_katz_keeps_like_documents_together(spark, monkeypatch):
+    """op9: batches of all languages shared more contexts, which were sent by each of them."""
+    texts = [(k, f"{'abcd'[k % 4]}{k % 7} {'abcd'[k % 4]}{k % 5} x", [None, "la", "lb", "lc"][k % 4]) for k in range(400)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string").coalesce(1)
+    monkeypatch.setattr(katz, "BATCH_TOKENS", 250)
+    held = [r["docs"] for r in katz._batches(df, "text", "doc_id", "lang").collect()]
+    assert sorted(i for d in held for i in d) == list(range(400)) and all(len({i % 4 for i in d}) == 1 for d in held)
+    want = {r["doc_id"]: r for r in katz.katz_scores(df).collect()}
+    monkeypatch.setattr(katz, "KINDS", 3)
+    monkeypatch.setattr(katz, "OPEN_TOKENS", 500)
+    for r in katz.katz_scores(df, like_col="lang").collect():
+        assert math.isclose(r["score"], want[r["doc_id"]]["score"], rel_tol=1e-12) and r["n_known"] == want[r["doc_id"]]["n_known"]
+
+
+def test_katz_answers_covered_probabilities_only_to_who_backs_off(spark):
+    """op9: every context of held-out text was answered with 8 bytes, also where all its n-grams are learnt elsewhere."""
+    held, taught = ([k for k in range(3000) if (zlib.crc32(str(k).encode()) % 5 == 1) == x][:2] for x in (True, False))
+    rows = [[(held[0], "x y"), (held[1], "z y")], [(taught[0], "x y"), (taught[1], "z z")]]
+    batches = [katz._batches(spark.createDataFrame(r, "doc_id long, text string").coalesce(1), "text", "doc_id").first().asDict() | {"batch": k} for k, r in enumerate(rows)]
+
+    def parts(sent, how):
+        return [r for p in sorted({r["part"] for r in sent}) for r in how(pa.Table.from_batches([katz._rows([r for r in sent if r["part"] == p])])).to_pylist()]
+
+    sent = [r for row in batches for b in katz._send_words(1)(iter([pa.RecordBatch.from_pylist([row])])) for r in b.to_pylist()]
+    answers = parts(sent, katz._add_words(1))
+    model = katz.Model(katz.Words(next(r["stats"] for r in answers if r["kind"] == katz.STATS)), 1, 10**9)
+    sent, exchanges = [], []
+    for row in batches:
+        batch = katz.Batch(row, 2)
+        _, numbers, known = katz.resolved(batch, [r for r in answers if r["batch"] == batch.number], model, 1)
+        exchanges.append(katz.Exchange(batch, 2, *known[-1], model))
+        sent += exchanges[-1].messages(batch, 2, numbers, 1, 0, 1)
+    back = [r for r in parts(sent, katz._add_grams(2, model)) if r["kind"] == katz.PLAIN]
+    # "z y" alone is learnt nowhere; "x y", and what follows the start mark, is
+    assert {r["batch"]: len(katz.unsqueeze(r["p"], np.float64)) for r in back} == {0: 1, 1: 0}
+
+
+def test_places_by_numbers():
+    rng = np.random.default_rng(1)
+    many = rng.integers(0, 2**64, 5000, dtype=np.uint64)
+    for keys in (many, np.append(many, many), many >> np.uint64(50), np.array([2**63 + 1, 2**63, 2**63 + 1], np.uint64), np.array([], np.int64), np.zeros(3, np.int64)):
+        assert (blocks.order_of(keys) == np.argsort(keys, kind="stable")).all()
+        for got, want in zip(blocks.distinct(keys), np.unique(keys, return_index=True, return_inverse=True), strict=True):
+            assert (got == want).all()
+
+
 def test_katz_edges(spark, empty):
     assert katz.katz_scores(empty).count() == 0
     held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 1)
