@@ -4,7 +4,8 @@ A byte-level BPE (A) reads a space and the text; a sentencepiece model (B) reads
 Both are cut where tokens of both end. The spans that the libraries give are coarse: A's are in characters, so that
 tokens inside one character share its span, and B's of byte-fallback tokens are empty or whole characters. So the
 places where both libraries end a token on a character's border are the coarse cuts, and where a token between two
-of them does not cover whole characters, the tokens' decoded bytes refine the stretch.
+of them does not cover whole characters, the tokens' decoded bytes refine the stretch. In ASCII a byte is a character, so
+that a token's span is its bytes: such stretches are read apart from others, and the libraries asked for ids alone.
 
 Neither tokenizer joins a character to white space behind it (checked for the model's pieces; otherwise texts are
 worked on whole), so that texts are cut there and equal stretches are aligned once a task.
@@ -26,6 +27,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -132,6 +134,7 @@ def aligner(a_data: bytes, b_data: bytes) -> Callable[[list[str | None]], list[A
     b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
     a_size = np.array([len(a_bytes.get(i, b"")) for i in range(max(a_bytes) + 1)], np.int64)
     b_size = np.array([len(x) for x in b_bytes], np.int64)
+    a_name, b_name = ([str(i) for i in range(len(size))] for size in (a_size, b_size))
     cut = borders([p.replace("▁", " ") for p in pieces])
     #: counts (40 bits each), listing, links (as bytes), and large groups' links; False if bytes differ
     memo: dict[str, tuple[int, str, bytes, tuple] | bool] = {}
@@ -143,19 +146,24 @@ def aligner(a_data: bytes, b_data: bytes) -> Callable[[list[str | None]], list[A
         """Align stretches that can stand one behind another, by reading them as one text; halves if that text cannot be read so."""
         # both libraries read a word first, so that the model's own space does not touch a stretch
         text = " a" + "".join(stretches)
-        raw = text.encode("utf-8", "surrogatepass")
+        raw, plain = text.encode("utf-8", "surrogatepass"), text.isascii()
         x = a.encode(text, add_special_tokens=False)
-        y = [(p.id, p.begin, p.end) for p in b.encode(text[1:], return_type="proto").pieces]
-        a_ids, b_ids = np.array(x.ids, np.int64), np.array([t[0] for t in y], np.int64)
-        same = b"".join([a_bytes[i] for i in x.ids]) == raw == b"".join([b_bytes[t[0]] for t in y])
-        ends = np.cumsum([2, *(len(s) if s.isascii() else len(s.encode("utf-8", "surrogatepass")) for s in stretches)])
+        y = () if plain else b.encode(text[1:], return_type="proto").pieces
+        x_ids, y_ids = x.ids, b.encode(text[1:], return_type=int) if plain else [t.id for t in y]
+        a_ids, b_ids = np.fromiter(x_ids, np.int64, len(x_ids)), np.fromiter(y_ids, np.int64, len(y_ids))
+        same = b"".join([a_bytes[i] for i in x_ids]) == raw == b"".join([b_bytes[i] for i in y_ids])
+        ends = np.cumsum([2, *(map(len, stretches) if plain else (len(s.encode("utf-8", "surrogatepass")) for s in stretches))])
         if same:
             a_ends, b_ends = np.cumsum(a_size[a_ids]), np.cumsum(b_size[b_ids])
-            code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-            at = np.r_[0, np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF), dtype=np.int64)]
-            spans = np.array([t[1:] for t in y], np.int64).T + 1
-            spans[0, 0] = 0  # the model's own space
-            cuts = token_cuts(a_ends, b_ends, at[np.array(x.offsets, np.int64).T], spans)
+            if plain:
+                a_spans, b_spans = np.stack((a_ends - a_size[a_ids], a_ends)), np.stack((b_ends - b_size[b_ids], b_ends))
+            else:
+                code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+                at = np.r_[0, np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF), dtype=np.int64)]
+                a_spans = at[np.fromiter(chain.from_iterable(x.offsets), np.int64, 2 * len(x_ids)).reshape(-1, 2).T]
+                b_spans = np.fromiter((v for t in y for v in (t.begin, t.end)), np.int64, 2 * len(y_ids)).reshape(-1, 2).T + 1
+                b_spans[0, 0] = 0  # the model's own space
+            cuts = token_cuts(a_ends, b_ends, a_spans, b_spans)
             group = np.searchsorted(cuts, ends)
             whole = bool((cuts[np.minimum(group, len(cuts) - 1)] == ends).all())
         if not same or not whole:
@@ -175,7 +183,7 @@ def aligner(a_data: bytes, b_data: bytes) -> Callable[[list[str | None]], list[A
         of = np.repeat(np.arange(len(cuts)), links)
         k = np.arange(upto[-1]) - upto[of]
         pairs = a_ids[i[of] + k // nb[of]] << 32 | b_ids[j[of] + k % nb[of]]
-        blob, a_text, b_text = pairs.tobytes(), list(map(str, x.ids)), [str(t[0]) for t in y]
+        blob, a_text, b_text = pairs.tobytes(), [a_name[i] for i in x_ids], [b_name[i] for i in y_ids]
         listing = [f"{a_text[e]}|{b_text[g]}" if f - e == 1 == h - g else f"{','.join(a_text[e:f])}|{','.join(b_text[g:h])}" for e, f, g, h in zip(i.tolist(), p.tolist(), j.tolist(), q.tolist(), strict=True)]
         upto, a_upto, b_upto, group = (8 * upto).tolist(), np.r_[0, p].tolist(), np.r_[0, q].tolist(), (group + 1).tolist()
         for s, lo, hi in zip(stretches, group, group[1:], strict=False):
@@ -192,7 +200,7 @@ def aligner(a_data: bytes, b_data: bytes) -> Callable[[list[str | None]], list[A
 
     def read(stretches: Iterable[str]) -> list[str]:
         """Have all of these, which are not in ``memo``, there; returns those that should not stay."""
-        together, alone = [], []
+        ascii_only, together, alone = [], [], []
         for s in dict.fromkeys(stretches):
             if s in old:
                 memo[s] = old[s]
@@ -200,9 +208,10 @@ def aligner(a_data: bytes, b_data: bytes) -> Callable[[list[str | None]], list[A
             elif len(s) > MEMO_CHARS or s[-1].isspace() or s[0] != " ":
                 alone.append(s)
             else:
-                together.append(s)
-        for k in range(0, len(together), TOGETHER):
-            look_up(together[k : k + TOGETHER])
+                (ascii_only if s.isascii() else together).append(s)
+        for some in (ascii_only, together):
+            for k in range(0, len(some), TOGETHER):
+                look_up(some[k : k + TOGETHER])
         for s in alone:
             look_up([s])
         return [s for s in alone if len(s) > MEMO_CHARS]

@@ -362,3 +362,19 @@ def test_an_earlier_jobs_aligner_goes_before_the_next_is_made():
         assert again(["some words"])[0][:3] == alignment.aligner(*models)(["some words"])[0][:3]
     finally:
         gc.enable()
+
+
+def test_ascii_words_are_aligned_by_ids_alone(monkeypatch, brute):
+    """op11: every new word had its spans built as objects by both libraries, where those of ASCII follow from the tokens' bytes."""
+    import sentencepiece
+
+    asked, encode = [], sentencepiece.SentencePieceProcessor.encode
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "encode", lambda self, text, **how: asked.append((text, how)) or encode(self, text, **how))
+    align = alignment.aligner(*(alignment.read_small(alignment.installed(p)) for p in (alignment.VOCABULARY, alignment.PIECE_MODEL)))
+    texts = ["plain words, and \x01 signs <0x41>", "na\xefve words \U0001f600 \x00", "plain na\xefve"]
+    for t, got in zip(texts, align(texts), strict=True):
+        n_a, n_b, n_groups, groups, links = brute(t)
+        assert got[:4] == (n_a, n_b, n_groups, groups)
+        assert dict(zip([(int(p) >> 32, int(p) & 0xFFFFFFFF) for p in got[4]], got[5].tolist(), strict=True)) == links
+    spans = [text for text, how in asked if how.get("return_type") == "proto"]
+    assert spans and all(not w.isascii() for text in spans for w in text.split(" ")[1:]) and len(asked) > len(spans)
